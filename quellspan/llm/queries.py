@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quellspan.llm import simhash
+from quellspan.llm import brown, simhash
 from quellspan.session import table
 
 
@@ -12,5 +12,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2, seed=42)
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_brown": op10_brown, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
