@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quellspan.llm import brown, simhash
+from quellspan.llm import brown, simhash, tokens
 from quellspan.session import table
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2, seed=42)
 
@@ -16,5 +21,5 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_brown": op10_brown, "op7_simhash": op7_simhash}
+QUERIES = {"op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
