@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, simhash, tokens
+from quellspan.llm import brown, chat, quality, simhash, tokens
 from quellspan.session import table
 
 
@@ -50,6 +50,62 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_sql(rows: str = "documents") -> str:
+    """The statistics by unnested windows, the sketches and fences by grouped counts."""
+    space, million, sub = r"[\x20\x09-\x0D]", quality.MILLION, 1 << quality.SUB
+    ratio = {r.name: f"{r.part} * {million} // greatest({r.of}, 1)" for r in quality.RULES}
+    shift = lambda v: f"greatest(length(bin({v})) - {quality.SUB + 1}, 0)"
+    points = " UNION ALL ".join(f"SELECT grp_lang, grp_source, '{k}' AS rule, CAST({v} AS BIGINT) AS v FROM judged WHERE NOT base_failed" for k, v in ratio.items())
+    floor = lambda b: f"(({b} - greatest({b} // {sub} - 1, 0) * {sub}) << CAST(greatest({b} // {sub} - 1, 0) AS INTEGER))"
+    slack = " ".join(f"WHEN rule = '{r.name}' THEN {r.slack}" for r in quality.RULES)
+    pick = lambda r, side: f"coalesce((SELECT {side} FROM fence f WHERE f.level = 2 AND f.rule = '{r}' AND f.grp_lang = g.grp_lang AND f.grp_source = g.grp_source), (SELECT {side} FROM fence f WHERE f.level = 1 AND f.rule = '{r}' AND f.grp_lang = g.grp_lang), (SELECT {side} FROM fence f WHERE f.level = 0 AND f.rule = '{r}'))"
+    limits = ", ".join(f"{pick(r.name, side)} AS {r.name}_{side}" for r in quality.RULES for side in ("low", "high"))
+    inside = " AND ".join(f"{ratio[r.name]} <= {r.name}_high" + (f" AND {ratio[r.name]} >= {r.name}_low" if r.low else "") for r in quality.RULES)
+    return rf"""
+WITH numbered AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS body, coalesce(lang, '') AS grp_lang, coalesce(source, '') AS grp_source FROM {rows}),
+cut AS (
+    SELECT *, list_filter(string_split_regex(body, '{space}+'), lambda w: w <> '') AS words,
+        list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+    FROM numbered
+),
+windows AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM cut WHERE len(words) >= 8)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT rid, sum(least(8, coalesce(following - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS following FROM twice) GROUP BY rid),
+stats AS (
+    SELECT cut.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+    FROM cut LEFT JOIN covered USING (rid)
+),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stats),
+points AS ({points}),
+sketch AS (SELECT grp_lang, grp_source, rule, {shift("v")} * {sub} + (v >> CAST({shift("v")} AS INTEGER)) AS bucket, count(*) AS n FROM points GROUP BY ALL),
+levels AS (
+    SELECT 2 AS level, grp_lang, grp_source, rule, bucket, n FROM sketch
+    UNION ALL SELECT 1, grp_lang, '', rule, bucket, n FROM sketch UNION ALL SELECT 0, '', '', rule, bucket, n FROM sketch
+),
+merged AS (SELECT level, grp_lang, grp_source, rule, bucket, sum(n) AS n FROM levels GROUP BY ALL),
+counted AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, grp_lang, grp_source, rule ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below,
+        sum(n) OVER (PARTITION BY level, grp_lang, grp_source, rule) AS total
+    FROM merged
+),
+quarters AS (
+    SELECT level, grp_lang, grp_source, rule, max(total) AS total, min(CASE WHEN below * 4 >= total THEN bucket END) AS b1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS b3
+    FROM counted GROUP BY ALL
+),
+quartiles AS (SELECT *, {floor("b1")} AS q1, {floor("b3")} AS q3 FROM quarters WHERE level = 0 OR total >= {quality.LEAST_ROWS}),
+fence AS (SELECT *, q1 - {quality.WIDTH} * greatest(q3 - q1, CASE {slack} END) AS low, q3 + {quality.WIDTH} * greatest(q3 - q1, CASE {slack} END) AS high FROM quartiles),
+fences AS (SELECT grp_lang, grp_source, {limits} FROM (SELECT DISTINCT grp_lang, grp_source FROM sketch) g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, TRUE) AS kept
+FROM judged LEFT JOIN fences USING (grp_lang, grp_source)"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2, seed=42)
 
@@ -58,5 +114,5 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql()}
+QUERIES = {"op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql()}
