@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, quality, simhash, tokens
+from quellspan.llm import brown, chat, pieces, quality, simhash, tokens
 from quellspan.session import table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_pieces and the crc32 of the ids as little-endian 32-bit numbers; lossless: whether they decode to the very text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+
+    @F.arrow_udf("long")
+    def crc(rows: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(r.values.to_numpy().astype("<u4").tobytes()) for r in rows], pa.int64())
+
+    out = pieces.with_pieces(table(spark, sf_dir, "documents"), model)
+    back = pieces.decode(F.col("pieces"), model)
+    return out.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), crc("pieces").alias("ids_crc32"), (back == F.coalesce("text", F.lit(""))).alias("lossless")
+    )
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(
@@ -70,7 +88,8 @@ def op6_sql(rows: str = "documents") -> str:
 WITH numbered AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS body, coalesce(lang, '') AS grp_lang, coalesce(source, '') AS grp_source FROM {rows}),
 cut AS (
     SELECT *, list_filter(string_split_regex(body, '{space}+'), lambda w: w <> '') AS words,
-        list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+        list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
     FROM numbered
 ),
 windows AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM cut WHERE len(words) >= 8)),
@@ -114,5 +133,5 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+QUERIES = {"op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql()}
