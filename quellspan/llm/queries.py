@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, pieces, quality, simhash, tokens
+from quellspan.llm import brown, chat, mixing, pieces, quality, simhash, tokens
 from quellspan.session import table
 
 
@@ -133,5 +133,41 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql()}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_sql() -> str:
+    topic = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in mixing.TOPICS)
+    space = r"[\x20\x09-\x0D]+"
+    steps, last = [], "w0"
+    for n in range(mixing.ROUNDS):
+        for d in mixing.DIMENSIONS:
+            step = f"w{n + 1}_{d}"
+            steps.append(f"{step} AS (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
+            last = step
+    shares = ", ".join(f"t{d} AS (SELECT {d}, pow(sum(tokens), {mixing.POWERS[d]}) AS share FROM cells GROUP BY {d})" for d in mixing.DIMENSIONS)
+    given = ", ".join(f"share_{d} / (SELECT sum(share) FROM t{d}) AS t_{d}" for d in mixing.DIMENSIONS)
+    joins = " ".join(f"JOIN (SELECT {d}, share AS share_{d} FROM t{d}) USING ({d})" for d in mixing.DIMENSIONS)
+    return rf"""
+WITH labelled AS (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE 'prose' END AS topic,
+        CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{space}'), lambda w: w <> '')) AS BIGINT) AS n_tokens
+    FROM documents
+),
+counts AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM labelled GROUP BY ALL),
+cells AS (SELECT * FROM counts WHERE tokens > 0),
+{shares},
+w0 AS (SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM cells) AS w, {given} FROM cells {joins}),
+{", ".join(steps)},
+weights AS (SELECT source, lang, topic, w * (SELECT sum(tokens) FROM cells) / tokens AS weight FROM {last}),
+drawn AS (
+    SELECT *, round(least(1.0, coalesce(weight, 0.0) / (SELECT max(weight) FROM weights)), 6) AS probability,
+        CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS chance
+    FROM labelled LEFT JOIN weights USING (source, lang, topic)
+)
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0.0), 6) AS weight, probability, chance < probability AS kept FROM drawn"""
+
+
+QUERIES = {"op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}

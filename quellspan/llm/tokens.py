@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quellspan.session import work_path
 
-MOST_CACHED = 400_000
+MOST_CACHED = 800_000
 SLICE_BYTES = 4 << 20
 
 
@@ -58,18 +58,18 @@ class Encoder:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+    def _ids(self, text: str) -> bytes:
+        """Raw ids of one text, from the library."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces, each with the space before it; encoded together and cut where a token opens with a space."""
-        ids = self._ids(" " + " ".join(pieces)) if pieces else np.empty(0, self.dtype)
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(pieces):
-            parts = [self._ids(" " + p) for p in pieces]
+        raw = self._ids(" " + " ".join(pieces)) if pieces else b""
+        at = (np.flatnonzero(self.opens[np.frombuffer(raw, self.dtype)]) * self.dtype.itemsize).tolist()
+        if len(at) == len(pieces):
+            self.cache.update((p, raw[i:j]) for p, i, j in zip(pieces, at, [*at[1:], len(raw)]))
         else:
-            parts = np.split(ids, at[1:]) if len(at) else []
-        self.cache.update(zip(pieces, (p.tobytes() for p in parts)))
+            self.cache.update((p, self._ids(" " + p)) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as raw bytes of ``dtype``."""
@@ -84,19 +84,26 @@ class Encoder:
         return out
 
     def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        """An empty value in the cache marks a piece at which a text can't be cut."""
         if len(self.cache) > MOST_CACHED:
             self.cache.clear()
-        cut = [t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut)) - self.cache.keys()
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self._learn(sorted(new - odd))
-        get, out = self.cache.__getitem__, []
-        for text, pieces in zip(texts, cut):
-            first = pieces[0]
-            if (odd and not odd.isdisjoint(pieces)) or first[-1:].isspace() or (not first and len(pieces) > 1):
-                out.append(self._ids(text).tobytes())
+        get, cut, new = self.cache.get, [t.split(" ") for t in texts], set()
+        found = [list(map(get, pieces)) for pieces in cut]
+        for pieces, values in zip(cut, found):
+            if None in values:
+                new.update(p for p, v in zip(pieces, values) if v is None)
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        self._learn(list(new.difference(odd)))
+        self.cache.update(dict.fromkeys(odd, b""))
+        out = []
+        for text, pieces, values in zip(texts, cut, found):
+            if None in values:
+                values = [get(p) if v is None else v for p, v in zip(pieces, values)]
+            if len(pieces) > 1 and b"" in values:
+                out.append(self._ids(text))
             else:
-                out.append(self._ids(first).tobytes() + b"".join(map(get, pieces[1:])))
+                values[0] = self._ids(pieces[0])
+                out.append(b"".join(values))
         return out
 
 
