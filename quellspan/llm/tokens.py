@@ -18,13 +18,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quellspan.session import work_path
 
 MOST_CACHED = 800_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 # ---- encoding ---------------------------------------------------------------------------------------------------------
@@ -71,40 +72,48 @@ class Encoder:
         else:
             self.cache.update((p, self._ids(" " + p)) for p in pieces)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as raw bytes of ``dtype``."""
-        out, at = [], 0
-        while at < len(texts):
-            upto, held = at, 0
-            while upto < len(texts) and held < SLICE_BYTES:
-                held += len(texts[upto])
-                upto += 1
-            out += self._encode_slice(texts[at:upto])
-            at = upto
-        return out
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[bytes, np.ndarray]:
+        """Raw ids of all texts one after the other, ``end`` after each, and how many ids each text has, ``end`` included.
 
-    def _encode_slice(self, texts: list[str]) -> list[bytes]:
-        """An empty value in the cache marks a piece at which a text can't be cut."""
+        The pieces of all texts are told apart once; each distinct piece is looked up, or learned, once.
+        """
         if len(self.cache) > MOST_CACHED:
             self.cache.clear()
-        get, cut, new = self.cache.get, [t.split(" ") for t in texts], set()
-        found = [list(map(get, pieces)) for pieces in cut]
-        for pieces, values in zip(cut, found):
-            if None in values:
-                new.update(p for p, v in zip(pieces, values) if v is None)
+        lists = pc.split_pattern(texts.fill_null(""), " ")
+        pieces = lists.flatten().dictionary_encode()
+        place, distinct = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary.to_pylist()
+        n, edges = len(texts), np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy(zero_copy_only=False)]))
+        first = np.zeros(len(place), bool)
+        first[edges[:-1]] = True
+        own = np.repeat(np.arange(n), np.diff(edges))
+        values, used = list(map(self.cache.get, distinct)), np.zeros(len(distinct), bool)
+        used[place[~first]] = True
+        new = [distinct[i] for i in np.flatnonzero(used).tolist() if values[i] is None]
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        self._learn(list(new.difference(odd)))
-        self.cache.update(dict.fromkeys(odd, b""))
-        out = []
-        for text, pieces, values in zip(texts, cut, found):
-            if None in values:
-                values = [get(p) if v is None else v for p, v in zip(pieces, values)]
-            if len(pieces) > 1 and b"" in values:
-                out.append(self._ids(text))
-            else:
-                values[0] = self._ids(pieces[0])
-                out.append(b"".join(values))
-        return out
+        self._learn(list(set(new).difference(odd)))
+        self.cache.update(dict.fromkeys(odd, b""))  # at an empty value a text can't be cut
+        values = [v if v is not None or not u else self.cache[p] for p, v, u in zip(distinct, values, used.tolist())]
+        blocked = np.fromiter((v == b"" for v in values), bool, len(values))
+        whole = np.zeros(n, bool)
+        whole[own[blocked[place] & ~first]] = True
+        heads = [self._ids(texts[i].as_py()) if whole[i] else self._ids(distinct[place[at]]) for i, at in enumerate(edges[:-1].tolist())]
+        place[first] = len(distinct) + np.arange(n)
+        kept = first | ~whole[own]
+        counts = np.bincount(own[kept], minlength=n)
+        table = pa.array([*(v or b"" for v in values), *heads, end], pa.large_binary())
+        order = np.insert(place[kept], np.cumsum(counts), len(values) + n)
+        out = table.take(pa.array(order))
+        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[np.concatenate([[0], np.cumsum(counts + 1)])]
+        return out.buffers()[2].to_pybytes()[at[0] : at[-1]] if n else b"", np.diff(at) // self.dtype.itemsize
+
+
+def slices(texts: pa.Array):
+    """Runs of rows of about SLICE_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cell = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(cell, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(texts)]):
+        yield texts.slice(a, b - a)
 
 
 # ---- minimal perfect hash -----------------------------------------------------------------------------------------------
@@ -233,16 +242,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                 sink = fs.open_output_stream(part)
             nulls += batch.column(0).null_count
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            for payload in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
-                sink.write(payload + end)
-                lengths.append((len(payload) + len(end)) // encoder.dtype.itemsize)
+            for texts in slices(batch.column(1)):
+                payload, counts = encoder.encode(texts, end)
+                sink.write(payload)
+                lengths.append(counts)
         if sink is None:
             return
         ids = np.concatenate(ids).astype(np.int64)
-        sink.write(index_bytes(ids, nulls, np.array(lengths, np.int64), encoder.dtype))
+        lengths = np.concatenate(lengths)
+        sink.write(index_bytes(ids, nulls, lengths, encoder.dtype))
         sink.close()
         fs.move(part, f"{name}.qids")
-        row = (context.partitionId(), len(ids), sum(lengths), int(ids[0]) if not nulls else None, int(ids[-1]) if nulls < len(ids) else None)
+        row = (context.partitionId(), len(ids), int(lengths.sum()), int(ids[0]) if not nulls else None, int(ids[-1]) if nulls < len(ids) else None)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["shard", "n_docs", "n_ids", "first_id", "last_id"])
 
     placed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))

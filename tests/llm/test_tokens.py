@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -39,7 +40,11 @@ def test_encoder_equals_the_library():
     want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
     encoder = tokens.Encoder(PATH)
     for _ in range(2):
-        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+        for end in (b"", np.array([2], encoder.dtype).tobytes()):
+            raw, counts = encoder.encode(pa.array([*texts, None, "last"])[:-1], end)
+            got = np.split(np.frombuffer(raw, encoder.dtype), np.cumsum(counts)[:-1])
+            assert [x.tolist() for x in got] == [w + [2] * bool(end) for w in [*want, []]]
+    assert [len(x) for x in tokens.slices(pa.array(["a" * (9 << 20), None, "b", "c" * (9 << 20), "d"]))] == [1, 3, 1]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 65, 5000])
