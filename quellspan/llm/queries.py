@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, mixing, pieces, quality, simhash, tokens
+from quellspan.llm import brown, chat, mixing, pieces, quality, simhash, tokens, vectors
 from quellspan.session import table
 
 
@@ -129,6 +129,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2, seed=42)
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, answers=20)
+
+
 def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
@@ -169,5 +173,5 @@ drawn AS (
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0.0), 6) AS weight, probability, chance < probability AS kept FROM drawn"""
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+QUERIES = {"op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}
