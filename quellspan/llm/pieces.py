@@ -15,14 +15,16 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.llm.tokens import mixed
+from quellspan.llm.tokens import mixed, slices
 
 SPACE = "▁"
 LITERAL = "\0" + SPACE
-MOST_CACHED = 400_000
+MOST_CACHED = 700_000
+SHORT, NEVER = 48, float("inf")
 MASK = (1 << 64) - 1
 
 
@@ -41,64 +43,87 @@ class Model:
         from sentencepiece import SentencePieceProcessor
 
         own = SentencePieceProcessor(model_file=path)
-        self.rank, self.ids, self.byte = {}, {}, [0] * 256
+        self.dtype = np.dtype("<u2" if own.vocab_size() <= 1 << 16 else "<u4")
+        self.ids, self.known, self.byte = {}, {}, [b""] * 256
         self.raw: list[bytes] = []
         for i in range(own.vocab_size()):
             piece = own.id_to_piece(i)
             if own.is_byte(i):
                 value = int(piece[3:5], 16)
-                self.byte[value] = i
+                self.byte[value] = i.to_bytes(self.dtype.itemsize, "little")
                 self.raw.append(bytes([value]))
             elif own.is_control(i) or own.is_unknown(i) or own.is_unused(i):
                 self.raw.append(b"")
             else:
                 self.ids[piece] = i
-                self.rank[piece] = -own.get_score(i)
+                self.known[piece] = (-own.get_score(i), i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans a space; texts can't be cut before spaces")
-        self.dtype = np.dtype("<u2" if own.vocab_size() <= 1 << 16 else "<u4")
+        self.packed = {p: i.to_bytes(self.dtype.itemsize, "little") for p, i in self.ids.items()}
 
-    def segment(self, stretch: str, dropout: float, key: int) -> np.ndarray:
-        """Ids of one stretch: leading spaces (one more than it shows, for the cut) and what follows them."""
+    def segment(self, stretch: str, dropout: float, key: int) -> bytes:
+        """Raw ids of one stretch: leading spaces (one more than it shows, for the cut) and what follows them."""
         body = stretch.lstrip(" ")
         symbols = [SPACE] * (len(stretch) - len(body) + 1)
-        symbols += [c if c != SPACE else LITERAL for c in body]
-        n, rank, ids = len(symbols), self.rank, self.ids
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        limit, agenda = int(dropout * (1 << 32)), []
+        symbols += [c if c != SPACE else LITERAL for c in body] if SPACE in body else body
+        symbols = (self._merged if len(symbols) <= SHORT else self._merged_long)(symbols, int(dropout * 2147483647), key & 0x3FFFFFFF)
+        try:
+            return b"".join([self.packed[s] for s in symbols])
+        except KeyError:
+            return b"".join([self.packed[s] if s in self.packed else self._bytes(s) for s in symbols])
+
+    def _bytes(self, symbol: str) -> bytes:
+        return b"".join([self.byte[x] for x in (SPACE if symbol == LITERAL else symbol).encode()])
+
+    def _rank(self, pair: str, left: int, limit: int, key: int) -> float:
+        """When a candidate comes up; never, if no piece reads so or the keyed hash skips it."""
+        known = self.known.get(pair)
+        if known is None or ((key ^ (left << 15) ^ known[1]) * 48271 % 2147483647) < limit:
+            return NEVER
+        return known[0]
+
+    def _merged(self, symbols: list[str], limit: int, key: int) -> list[str]:
+        """The agenda as a list of the neighbours' ranks: the least and leftmost comes up."""
+        rank, at = self._rank, list(range(len(symbols)))
+        agenda = [rank(a + b, i, limit, key) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+        while agenda:
+            least = min(agenda)
+            if least == NEVER:
+                break
+            i = agenda.index(least)
+            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(merged + symbols[i + 1], at[i], limit, key)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + merged, at[i - 1], limit, key)
+        return symbols
+
+    def _merged_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
+        """The agenda as a heap, for long stretches."""
+        n, rank = len(symbols), self._rank
+        before, after, agenda = list(range(-1, n - 1)), [*range(1, n), -1], []
+
+        def wait(left, right):
+            pair = symbols[left] + symbols[right]
+            if (r := rank(pair, left, limit, key)) < NEVER:
+                heapq.heappush(agenda, (r, left, right, len(pair)))
+
         for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in rank:
-                agenda.append((rank[pair], i, i + 1, len(pair)))
-        heapq.heapify(agenda)
+            wait(i, i + 1)
         while agenda:
             _, left, right, size = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if not a or not b or len(a) + len(b) != size:
+            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
                 continue
-            pair = a + b
-            if limit and (((key ^ (left * 0x9E3779B97F4A7C15 + ids[pair] * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & MASK) >> 32) < limit:
-                continue
-            symbols[left], symbols[right] = pair, ""
-            nxt = after[left] = after[right]
-            if nxt >= 0:
-                before[nxt] = left
-                near = pair + symbols[nxt]
-                if near in rank:
-                    heapq.heappush(agenda, (rank[near], left, nxt, len(near)))
-            prev = before[left]
-            if prev >= 0:
-                near = symbols[prev] + pair
-                if near in rank:
-                    heapq.heappush(agenda, (rank[near], prev, left, len(near)))
-        out = []
-        for s in symbols:
-            if s in ids:
-                out.append(ids[s])
-            elif s:
-                out += [self.byte[x] for x in (SPACE if s == LITERAL else s).encode()]
-        return np.array(out, self.dtype)
+            symbols[left], symbols[right] = symbols[left] + symbols[right], ""
+            after[left] = after[right]
+            if after[left] >= 0:
+                before[after[left]] = left
+                wait(left, after[left])
+            if before[left] >= 0:
+                wait(before[left], left)
+        return [s for s in symbols if s]
 
     def decode(self, ids) -> str:
         """The text of its pieces; the space before the first stretch isn't the text's."""
@@ -115,7 +140,7 @@ class Variant(dict):
     def __missing__(self, stretch: str) -> bytes:
         from xxhash import xxh64_intdigest
 
-        self[stretch] = out = self.model.segment(stretch, self.dropout, xxh64_intdigest(stretch.encode(), self.salt)).tobytes()
+        self[stretch] = out = self.model.segment(stretch, self.dropout, xxh64_intdigest(stretch, self.salt))
         return out
 
 
@@ -134,46 +159,69 @@ class Encoder:
         self.variants = [Variant(self.model, dropout, seed, v) for v in range(variants if dropout else 1)]
         self.seed = seed
 
-    def encode(self, text: str | None, key: bytes) -> bytes:
-        """The ids of a whole text as raw bytes; ``key`` names the row."""
+    def draw(self, count: np.ndarray, keys: list[bytes]) -> np.ndarray:
+        """The variant of each stretch of texts of ``count`` stretches; ``keys`` name the texts."""
         from xxhash import xxh64_intdigest
 
-        if not text:
-            return b""
-        cut = text.split(" ")
-        if "" in cut:
-            joined, spaces = [], 0
-            for p in cut:
-                if p:
-                    joined.append(" " * spaces + p)
-                spaces = 0 if p else spaces + 1
-            if spaces:
-                joined.append(" " * (spaces - 1))
-            cut = joined
         if len(self.variants) == 1:
-            out = b"".join(map(self.variants[0].__getitem__, cut))
-        else:
-            drawn = mixed(np.arange(len(cut), dtype=np.uint64) + np.uint64(xxh64_intdigest(key, self.seed)), self.seed)
-            drawn = (drawn >> np.uint64(40)) % np.uint64(len(self.variants))
-            tables = self.variants
-            out = b"".join([tables[v][p] for v, p in zip(drawn.tolist(), cut)])
+            return np.zeros(count.sum(), np.int64)
+        base = np.repeat(np.fromiter((xxh64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys)), count)
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        with np.errstate(over="ignore"):
+            hashed = mixed(within.astype(np.uint64) + base, self.seed)
+        return ((hashed >> np.uint64(40)) % np.uint64(len(self.variants))).astype(np.int64)
+
+    def encode_one(self, text: str, key: bytes) -> bytes:
+        """Raw ids of a text in which spaces follow each other."""
+        cut, spaces = [], 0
+        for p in text.split(" ") if text else ():
+            if p:
+                cut.append(" " * spaces + p)
+            spaces = 0 if p else spaces + 1
+        if spaces:
+            cut.append(" " * (spaces - 1))
+        return b"".join(self.variants[v][p] for v, p in zip(self.draw(np.array([len(cut)]), [key]).tolist(), cut))
+
+    def encode(self, texts: pa.Array, keys: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """Raw ids of all texts one after the other, and how many each has. Each distinct stretch and variant is looked up once."""
         if sum(map(len, self.variants)) > MOST_CACHED:
             for v in self.variants:
                 v.clear()
-        return out
-
-
-def encode(text: Column, key: Column, model: str, dropout: float = 0.1, seed: int = 20240229, variants: int = 16) -> Column:
+        n, lists = len(texts), pc.split_pattern(texts, " ")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()
+        place, distinct = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary.to_pylist()
+        own = np.repeat(np.arange(n), count)
+        apart = np.zeros(n, bool)
+        if "" in distinct:
+            apart[own[place == distinct.index("")]] = True
+        whole = [self.encode_one(texts[i].as_py(), keys[i]) for i in np.flatnonzero(apart).tolist()]
+        kept = ~apart[own]
+        code, found = np.unique(place[kept] * len(self.variants) + self.draw(count, keys)[kept], return_inverse=True)
+        values = [self.variants[c % len(self.variants)][distinct[c // len(self.variants)]] for c in code.tolist()]
+        size = np.where(apart, 1, count)
+        order = np.empty(int(size.sum()), np.int64)
+        single = np.repeat(apart, size)
+        order[~single], order[single] = found, len(values) + np.arange(len(whole))
+        out = pa.array([*values, *whole], pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[np.concatenate([[0], np.cumsum(size)])]
+        return out.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(out) else b"", np.diff(at) // self.model.dtype.itemsize
+
+
+def encode(text: Column, key: Column, model: str, dropout: float = 0.1, seed: int = 20240229, variants: int = 4) -> Column:
     """Piece ids of each text as ``array<int>``; a null text has none. ``key``: what draws the variants, such as the id."""
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        encoder = Encoder.of(model, dropout, seed, variants)
-        raw = [encoder.encode(t, (k or "").encode()) for t, k in zip(texts.to_pylist(), keys.to_pylist())]
-        size = encoder.model.dtype.itemsize
-        ends = np.cumsum([0, *map(len, raw)]) // size
+        encoder, raw, counts, at = Encoder.of(model, dropout, seed, variants), [], [np.zeros(1, np.int64)], 0
+        names = [(k or "").encode() for k in keys.to_pylist()]
+        for cut in slices(texts.fill_null("")):
+            payload, count = encoder.encode(cut, names[at : at + len(cut)])
+            at += len(cut)
+            raw.append(payload)
+            counts.append(count)
         flat = np.frombuffer(b"".join(raw), encoder.model.dtype).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(flat))
 
     return run(text, key.cast("string"))
 
@@ -184,7 +232,7 @@ def decode(ids: Column, model: str) -> Column:
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
         own = Model.of(model)
-        return pa.array([None if r is None else own.decode(r) for r in rows.to_pylist()], pa.string())
+        return pa.array([own.decode(r.values.to_numpy().tolist()) if r.is_valid else None for r in rows], pa.string())
 
     return run(ids)
 
