@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, kneser_ney, mixing, pieces, quality, simhash, tokens, vectors
+from quellspan.llm import brown, chat, kneser_ney, lines, mixing, pieces, quality, simhash, tokens, vectors
 from quellspan.session import table
 
 
@@ -69,6 +69,10 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -178,5 +182,5 @@ drawn AS (
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0.0), 6) AS weight, probability, chance < probability AS kept FROM drawn"""
 
 
-QUERIES = {"op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}
