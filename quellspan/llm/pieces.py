@@ -12,6 +12,7 @@ What is in no piece becomes byte pieces. A literal U+2581 becomes bytes too, so
 from __future__ import annotations
 
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from quellspan.llm.tokens import mixed, slices
 
 SPACE = "▁"
 LITERAL = "\0" + SPACE
-MOST_CACHED = 700_000
+MOST_CACHED = 1_100_000
 SHORT, NEVER = 48, float("inf")
 MASK = (1 << 64) - 1
 
@@ -60,6 +61,7 @@ class Model:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans a space; texts can't be cut before spaces")
+        self.table = pa.array(self.raw, pa.large_binary())
         self.packed = {p: i.to_bytes(self.dtype.itemsize, "little") for p, i in self.ids.items()}
 
     def segment(self, stretch: str, dropout: float, key: int) -> bytes:
@@ -84,9 +86,12 @@ class Model:
         return known[0]
 
     def _merged(self, symbols: list[str], limit: int, key: int) -> list[str]:
-        """The agenda as a list of the neighbours' ranks: the least and leftmost comes up."""
-        rank, at = self._rank, list(range(len(symbols)))
-        agenda = [rank(a + b, i, limit, key) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+        """The agenda as a list of the neighbours' ranks: the least and leftmost comes up. :meth:`_rank`, written out for speed."""
+        known, at = self.known.get, list(range(len(symbols)))
+        agenda = [
+            k[0] if (k := known(a + b)) and (key ^ (i << 15) ^ k[1]) * 48271 % 2147483647 >= limit else NEVER
+            for i, (a, b) in enumerate(zip(symbols, symbols[1:]))
+        ]
         while agenda:
             least = min(agenda)
             if least == NEVER:
@@ -95,9 +100,11 @@ class Model:
             merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del at[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = rank(merged + symbols[i + 1], at[i], limit, key)
+                k = known(merged + symbols[i + 1])
+                agenda[i] = k[0] if k and (key ^ (at[i] << 15) ^ k[1]) * 48271 % 2147483647 >= limit else NEVER
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + merged, at[i - 1], limit, key)
+                k = known(symbols[i - 1] + merged)
+                agenda[i - 1] = k[0] if k and (key ^ (at[i - 1] << 15) ^ k[1]) * 48271 % 2147483647 >= limit else NEVER
         return symbols
 
     def _merged_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
@@ -125,6 +132,12 @@ class Model:
                 wait(before[left], left)
         return [s for s in symbols if s]
 
+    def decoded(self, flat: np.ndarray, edges: list[int]) -> list[bytes]:
+        """The UTF-8 texts of runs of ids."""
+        out = self.table.take(pa.array(flat))
+        at, raw = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[edges].tolist(), out.buffers()[2].to_pybytes() if len(out) else b""
+        return [raw[a + 1 : b] for a, b in zip(at, at[1:])]
+
     def decode(self, ids) -> str:
         """The text of its pieces; the space before the first stretch isn't the text's."""
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
@@ -208,20 +221,27 @@ class Encoder:
         return out.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(out) else b"", np.diff(at) // self.model.dtype.itemsize
 
 
-def encode(text: Column, key: Column, model: str, dropout: float = 0.1, seed: int = 20240229, variants: int = 4) -> Column:
-    """Piece ids of each text as ``array<int>``; a null text has none. ``key``: what draws the variants, such as the id."""
+def encoded(text: Column, key: Column, model: str, dropout: float = 0.1, seed: int = 20240229, variants: int = 4) -> Column:
+    """``struct<pieces array<int>, ids_crc32 long, lossless boolean>`` of each text; a null text is empty.
+
+    key: what draws the variants, such as the id. ids_crc32: of the ids as little-endian 32-bit numbers. lossless: whether the
+    ids were decoded to the very text. One function gives all three, so that a text is encoded once.
+    """
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<pieces:array<int>,ids_crc32:bigint,lossless:boolean>")
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        encoder, raw, counts, at = Encoder.of(model, dropout, seed, variants), [], [np.zeros(1, np.int64)], 0
-        names = [(k or "").encode() for k in keys.to_pylist()]
+        encoder, at = Encoder.of(model, dropout, seed, variants), 0
+        names, ids, counts, crc, same = [(k or "").encode() for k in keys.to_pylist()], [], [np.zeros(1, np.int64)], [], []
         for cut in slices(texts.fill_null("")):
             payload, count = encoder.encode(cut, names[at : at + len(cut)])
+            flat, edges = np.frombuffer(payload, encoder.model.dtype).astype(np.int32), np.concatenate([[0], np.cumsum(count)]).tolist()
+            crc += [zlib.crc32(flat[a:b]) for a, b in zip(edges, edges[1:])]
+            same += [d == t for d, t in zip(encoder.model.decoded(flat, edges), cut.cast(pa.binary()).to_pylist())]
             at += len(cut)
-            raw.append(payload)
+            ids.append(flat)
             counts.append(count)
-        flat = np.frombuffer(b"".join(raw), encoder.model.dtype).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(flat))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["pieces", "ids_crc32", "lossless"])
 
     return run(text, key.cast("string"))
 
@@ -231,12 +251,14 @@ def decode(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
-        own = Model.of(model)
-        return pa.array([own.decode(r.values.to_numpy().tolist()) if r.is_valid else None for r in rows], pa.string())
+        edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))]).tolist()
+        texts = Model.of(model).decoded(rows.flatten().to_numpy(zero_copy_only=False), edges)
+        return pa.array([t.decode() if v else None for t, v in zip(texts, rows.is_valid().to_pylist())], pa.string())
 
     return run(ids)
 
 
 def with_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the column ``pieces``, in place of any of that name. A null id draws as the empty key."""
-    return docs.withColumn("pieces", encode(F.col(text_col), F.col(id_col), model, **options))
+    """``docs`` with the columns ``pieces``, ``ids_crc32`` and ``lossless``, in place of any of those names. A null id draws as the empty key."""
+    out = docs.withColumn("_encoded", encoded(F.col(text_col), F.col(id_col), model, **options))
+    return out.withColumns({c: F.col("_encoded")[c] for c in ("pieces", "ids_crc32", "lossless")}).drop("_encoded")

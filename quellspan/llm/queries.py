@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +11,8 @@ from quellspan.session import table
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_pieces and the crc32 of the ids as little-endian 32-bit numbers; lossless: whether they decode to the very text."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-
-    @F.arrow_udf("long")
-    def crc(rows: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(r.values.to_numpy().astype("<u4").tobytes()) for r in rows], pa.int64())
-
-    out = pieces.with_pieces(table(spark, sf_dir, "documents"), model)
-    back = pieces.decode(F.col("pieces"), model)
-    return out.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), crc("pieces").alias("ids_crc32"), (back == F.coalesce("text", F.lit(""))).alias("lossless")
-    )
+    out = pieces.with_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", "lossless")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
