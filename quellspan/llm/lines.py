@@ -112,7 +112,7 @@ def banded_distance(short: Column, long: Column, threshold: int) -> Column:
 
 
 def _letters(text: str) -> Column:
-    return F.array(*[F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in COUNTED])
+    return F.array(*[F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in COUNTED])
 
 
 def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFrame:
@@ -127,13 +127,12 @@ def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFra
     pairs = written(pairs, "lines-pairs")
     side = lambda x: texts.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    gaps = F.zip_with(_letters("text_a"), _letters("text_b"), lambda x, y: F.abs(x - y))
-    shift = F.length("text_b") - F.length("text_a")
-    # each edit changes the counts of two letters at most, and these counts are of what is left without a letter
-    less = F.aggregate(F.transform(gaps, lambda g: g), F.lit(0), lambda acc, g: F.greatest(acc, g))
-    met = met.where((less <= threshold) & shift.between(0, threshold))
-    met = met.withColumns({"chars_a": F.split("text_a", ""), "chars_b": F.split("text_b", "")})
-    met = met.withColumn("edits", banded_distance(F.col("chars_a"), F.col("chars_b"), threshold))
+    # an edit changes the counts of two letters at most, by one each
+    apart = F.aggregate(F.zip_with(_letters("text_a"), _letters("text_b"), lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, g: acc + g)
+    met = met.where((F.length("text_b") - F.length("text_a")).between(0, threshold) & (apart <= 2 * threshold))
+    # the code points are bound first: an expression inside a lambda is evaluated at each of its steps
+    edits = _let(F.split("text_a", ""), lambda short: _let(F.split("text_b", ""), lambda long: banded_distance(short, long, threshold)))
+    met = met.withColumn("edits", edits)
     return met.where(F.col("edits") <= threshold).select("a", "b", "place_a", "place_b")
 
 
