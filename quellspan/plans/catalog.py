@@ -2,6 +2,266 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from quellspan.functions import checks
+from quellspan.operators import detect, lookups, masking, records, reports
+from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
+from quellspan.plans import oracle
+from quellspan.session import table
+
 FLAGSHIP = "all_findings_resolved"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _spans_query(name: str, rules, source: str = "documents", key: str = "doc_id", text: str = "text") -> None:
+    sql = f'WITH {oracle.candidates_sql(rules, source, key, text)} SELECT {key}, "start", "end", rule, type, value FROM candidates'
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return detect.candidate_rows(table(spark, sf_dir, source), key, text_col=text, rules=rules).drop("priority")
+
+
+by_id = lambda *ids: chosen(ids=ids)
+_spans_query("phone_findings", by_id("phone"))
+_spans_query("ipv4_public_findings", by_id("ipv4"))
+_spans_query("card_luhn_findings", by_id("card"))
+_spans_query("iban_findings", by_id("iban"))
+_spans_query("token_assignment_findings", by_id("token-assignment"))
+_spans_query("email_candidates", (EMAIL_SHAPE,))
+_spans_query("email_findings", by_id("email"))
+_spans_query("page_email_candidates", (EMAIL_SHAPE,), "pages", "page_id", "html")
+_spans_query("vendor_token_findings", TOKENS)
+_spans_query("labelled_secret_findings", LABELLED)
+_spans_query("regional_number_findings", REGIONAL)
+_spans_query("personal_findings", PERSONAL)
+
+_FOUND = f"WITH {oracle.findings_sql(CATALOG)}"
+
+
+@query(FLAGSHIP, f'{_FOUND} SELECT doc_id, "start", "end", rule, type FROM findings')
+def all_findings_resolved(spark, sf_dir):
+    """Every rule over every document; no values leave the query."""
+    return detect.findings(table(spark, sf_dir, "documents"), "doc_id").drop("value")
+
+
+# ---- queries over the findings of the core rules -----------------------------------------------------------------------
+
+CORE = (*by_id("token-assignment", "card", "ipv4", "phone"), EMAIL_SHAPE)
+_CORE = f"WITH {oracle.findings_sql(CORE)}"
+_CANDIDATES = f"WITH {oracle.candidates_sql(CORE)}"
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _core(spark, sf_dir, *keep):
+    return detect.findings(_documents(spark, sf_dir), "doc_id", *keep, rules=CORE)
+
+
+@query("findings_by_type", f"{_CORE} SELECT type, rule, count(*) AS n, count(DISTINCT doc_id) AS texts FROM findings GROUP BY type, rule")
+def findings_by_type(spark, sf_dir):
+    return _core(spark, sf_dir).groupBy("type", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("texts"))
+
+
+@query("findings_by_lang_source", f"{_CORE} SELECT lang, source, type, count(*) AS n FROM findings JOIN documents USING (doc_id) GROUP BY lang, source, type")
+def findings_by_lang_source(spark, sf_dir):
+    return _core(spark, sf_dir, "lang", "source").groupBy("lang", "source", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("findings_joined_labels", f"{_CORE} SELECT quality, toxic, type, count(*) AS n FROM findings JOIN labels USING (doc_id) GROUP BY quality, toxic, type")
+def findings_joined_labels(spark, sf_dir):
+    return _core(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DIGITS = replace(PERSONAL[0], id="long-number", type="ID_NUMBER", value="[0-9]{9,}", checks=(), band="literal")
+_CLASH = (*CORE, _DIGITS)
+
+
+@query(
+    "rule_priority_conflicts",
+    f'WITH {oracle.candidates_sql(_CLASH)} SELECT a.rule AS owner, b.rule AS yields, count(*) AS n FROM candidates a JOIN candidates b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end" AND a.priority < b.priority GROUP BY ALL',
+)
+def rule_priority_conflicts(spark, sf_dir):
+    return reports.conflicts(detect.candidate_rows(_documents(spark, sf_dir), "doc_id", rules=_CLASH), "doc_id")
+
+
+_NEAR = replace(_DIGITS, id="number-near-a-word", near=("call", "phone", "number", "card", "the", "der", "de"))
+_spans_query("context_window_filter", (_NEAR,))
+
+
+@query("keyword_gate_selectivity", " UNION ALL ".join(f"SELECT '{r.id}' AS rule, count(*) FILTER ({' OR '.join(f'contains(text, {oracle.quoted(k)})' for k in r.keywords) or 'TRUE'}) AS passed, count(*) AS texts FROM documents" for r in CORE))
+def keyword_gate_selectivity(spark, sf_dir):
+    text = F.col("text")
+    rows = _documents(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), detect.gate(r, text).alias("open")) for r in CORE])).alias("g"))
+    return rows.groupBy("g.rule").agg(F.sum(F.when(F.col("g.open"), 1).otherwise(0)).alias("passed"), F.count(F.lit(1)).alias("texts"))
+
+
+_LABEL = r"(?:the|de|der|and|of)\.?$"
+
+
+@query(
+    "keyword_next_line",
+    f"""WITH l AS (SELECT doc_id, i - 1 AS number, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+n AS (SELECT *, trim(lead(line) OVER (PARTITION BY doc_id ORDER BY number)) AS value FROM l WHERE trim(line) <> '')
+SELECT doc_id, CAST(number AS INTEGER) AS number, value FROM n WHERE regexp_matches(line, '{_LABEL}') AND value IS NOT NULL""",
+)
+def keyword_next_line(spark, sf_dir):
+    return records.next_line_values(_documents(spark, sf_dir), "doc_id", "text", _LABEL)
+
+
+@query("entropy_by_token", f"{_CORE} SELECT doc_id, \"start\", round({checks.sql_entropy('value')}, 6) AS entropy FROM findings WHERE type = 'SECRET'")
+def entropy_by_token(spark, sf_dir):
+    return _core(spark, sf_dir).where("type = 'SECRET'").select("doc_id", "start", F.round(checks.entropy(F.col("value")), 6).alias("entropy"))
+
+
+@query(
+    "masked_documents",
+    f"""{_CORE},
+cut AS (SELECT doc_id, body, "start", type, "end", lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY "start") AS before FROM findings JOIN source USING (doc_id)),
+out AS (SELECT doc_id, string_agg(substr(body, before + 1, "start" - before) || '⟦' || type || '⟧', '' ORDER BY "start") || substr(any_value(body), max("end") + 1) AS masked, count(*) AS n FROM cut GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(length(coalesce(masked, text)) AS BIGINT) AS chars, sha256(coalesce(masked, text)) AS digest FROM documents LEFT JOIN out USING (doc_id)""",
+)
+def masked_documents(spark, sf_dir):
+    out = detect.with_findings(_documents(spark, sf_dir), rules=CORE).withColumn("masked", masking.masked(F.col("text"), F.col("findings")))
+    return out.select("doc_id", F.size("findings").cast("long").alias("n"), F.length("masked").cast("long").alias("chars"), F.sha2("masked", 256).alias("digest"))
+
+
+_SQL_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+
+
+@query(
+    "display_masks",
+    f"""{_CORE} SELECT doc_id, "start", CASE type WHEN 'EMAIL' THEN substr(value, 1, 2) || '•••@' || string_split(value, '@')[-1] WHEN 'PHONE' THEN '+' || substr({_SQL_DIGITS}, 1, 1) || '•••' || right({_SQL_DIGITS}, 2)
+WHEN 'CARD' THEN '•••' || right({_SQL_DIGITS}, 4) WHEN 'IP' THEN string_split(value, '.')[1] || '.' || string_split(value, '.')[2] || '.•.•' ELSE '•••' END AS shown FROM findings""",
+)
+def display_masks(spark, sf_dir):
+    return _core(spark, sf_dir).select("doc_id", "start", masking.displayed(F.col("type"), F.col("value")).alias("shown"))
+
+
+_KEY = "quellspan-demo-key"
+
+
+@query(
+    "reference_assignment",
+    f"""{_CORE}, f AS (SELECT type, value, min({{'d': doc_id, 's': "start"}}) AS place, count(*) AS uses FROM findings GROUP BY type, value)
+SELECT type, sha256(sha256('{_KEY}' || value) || '{_KEY}') AS fingerprint, row_number() OVER (PARTITION BY type ORDER BY place, value) AS number, uses FROM f""",
+)
+def reference_assignment(spark, sf_dir):
+    return masking.numbered(_core(spark, sf_dir), _KEY)
+
+
+@query("allow_list_anti_join", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE sha256(value) NOT IN (SELECT sha256(value) FROM findings WHERE doc_id % 2 = 0)")
+def allow_list_anti_join(spark, sf_dir):
+    """Values that some even document holds are allowed everywhere."""
+    found = _core(spark, sf_dir)
+    allowed = found.where("doc_id % 2 = 0").select(F.sha2("value", 256).alias("digest")).distinct()
+    return detect.without_values(found, allowed).select("doc_id", "start", "type")
+
+
+@query("audit_verdicts", f"""{_CORE} SELECT sha256(value) AS digest, type, count(*) AS uses, count(DISTINCT doc_id) AS texts, count(DISTINCT source) AS sources,
+CASE WHEN bool_or(rule IN ('token-assignment', 'card')) THEN 'REAL' WHEN count(DISTINCT doc_id) > 1 THEN 'SPREAD' ELSE 'SINGLE' END AS verdict FROM findings JOIN documents USING (doc_id) GROUP BY sha256(value), type""")
+def audit_verdicts(spark, sf_dir):
+    return reports.verdicts(_core(spark, sf_dir, "source"), ("token-assignment", "card"))
+
+
+@query(
+    "span_scoring",
+    f"""{_CORE}, truth AS (SELECT doc_id, "start", "end" - CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS "end", type FROM findings WHERE doc_id % 5 > 0), found AS (SELECT * FROM findings WHERE doc_id % 4 > 0),
+per AS (SELECT t.type, max(CASE WHEN f.start = t.start AND f."end" = t."end" THEN 2 WHEN f.start IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM truth t LEFT JOIN found f ON t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end" GROUP BY t.type, t.doc_id, t.start, t."end"),
+hits AS (SELECT type, count(*) FILTER (hit = 2) AS exact, count(*) FILTER (hit = 1) AS partial, count(*) FILTER (hit = 0) AS missed FROM per GROUP BY type),
+wrong AS (SELECT type, count(*) AS false_findings FROM found f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end") GROUP BY type)
+SELECT type, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(false_findings, 0) AS false_findings FROM hits FULL JOIN wrong USING (type)""",
+)
+def span_scoring(spark, sf_dir):
+    """The scorer against a truth that lacks some findings, cuts others short and has some that weren't found."""
+    found = _core(spark, sf_dir)
+    truth = found.where("doc_id % 5 > 0").withColumn("end", F.col("end") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0))
+    return reports.scored(found.where("doc_id % 4 > 0"), truth, "doc_id")
+
+
+# ---- other tables and records -------------------------------------------------------------------------------------------
+
+
+@query("channel_routing", f"""WITH {oracle.candidates_sql(CORE, "conversations", "conv_id, turn, role")} SELECT CASE WHEN role = 'user' THEN 'prompt' ELSE 'tool' END AS channel, rule, count(*) AS n FROM candidates GROUP BY ALL""")
+def channel_routing(spark, sf_dir):
+    rows = detect.candidate_rows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", rules=CORE)
+    return rows.groupBy(F.when(F.col("role") == "user", "prompt").otherwise("tool").alias("channel"), "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TERMS = (("LICENCE", "licensed under"), ("LICENCE", "public license"), ("LICENCE", "cc by"), ("FUNCTION", "of the"), ("FUNCTION", "de la"))
+_GRAMS = " UNION ALL ".join(f"SELECT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS gram, i - 1 AS position FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM words)" for n in (1, 2))
+
+
+@query(
+    "term_dictionary_hits",
+    f"""WITH words AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{lookups.WORD}'), lambda x: lower(x)) AS w FROM documents),
+grams AS ({_GRAMS}), terms AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _TERMS)}) AS t(label, term))
+SELECT doc_id, label, CAST(position AS INTEGER) AS position FROM grams JOIN terms ON gram = term""",
+)
+def term_dictionary_hits(spark, sf_dir):
+    return lookups.term_hits(_documents(spark, sf_dir), "doc_id", "text", spark.createDataFrame(list(_TERMS), "label string, term string"), 2)
+
+
+@query("imported_value_hits", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE value IN (SELECT value FROM findings WHERE doc_id < 500)")
+def imported_value_hits(spark, sf_dir):
+    """Values of one part of the corpus, imported, found in all of it."""
+    found = _core(spark, sf_dir)
+    return lookups.value_hits(found, found.where("doc_id < 500").select("value")).select("doc_id", "start", "type")
+
+
+@query(
+    "pipe_table_cells",
+    """WITH l AS (SELECT doc_id, i - 1 AS number, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+c AS (SELECT doc_id, number, string_split(line, ' | ') AS cells FROM l WHERE contains(line, ' | '))
+SELECT doc_id, CAST(number AS INTEGER) AS number, CAST(i - 1 AS INTEGER) AS position, trim(cells[i]) AS cell FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM c)""",
+)
+def pipe_table_cells(spark, sf_dir):
+    return records.pipe_cells(_documents(spark, sf_dir), "doc_id", "text")
+
+
+@query("json_leaf_values", "SELECT event_id, k AS name, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_leaf_values(spark, sf_dir):
+    return records.json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("html_entity_text", f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest FROM (SELECT page_id, {records.sql_html_text('html')} AS t FROM pages)")
+def html_entity_text(spark, sf_dir):
+    out = table(spark, sf_dir, "pages").select("page_id", records.html_text(F.col("html")).alias("t"))
+    return out.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query("normalised_hits")
+def normalised_hits(spark, sf_dir):
+    """Findings of the texts cleaned of invisible characters."""
+    clean = _documents(spark, sf_dir).withColumn("text", records.without_hidden(F.col("text")))
+    return detect.findings(clean, "doc_id", rules=CORE).drop("value")
+
+
+@query("decoded_run_hits")
+def decoded_run_hits(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.size(records.decoded_runs(F.col("text"))).alias("runs")).where("runs > 0")
+
+
+@query("session_rate_limit", "SELECT event_id, uses, uses > 20 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS uses FROM events)")
+def session_rate_limit(spark, sf_dir):
+    return reports.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", 3600, 20).select("event_id", "uses", "limited")
+
+
+@query("ttl_expiry", "SELECT user_id, max(epoch_us(ts)) AS last_use, count(*) AS uses, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) > 86400000000 AS expired FROM events GROUP BY user_id")
+def ttl_expiry(spark, sf_dir):
+    return reports.expired(table(spark, sf_dir, "events"), "user_id", "ts", 86_400)
