@@ -111,8 +111,22 @@ def banded_distance(short: Column, long: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(long)), start, step, lambda s: s["d"])
 
 
-def _letters(text: str) -> Column:
-    return F.array(*[F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in COUNTED])
+def letters(text: Column) -> Column:
+    """How often each counted letter occurs, 255 at most, a byte each. Such counts are never farther apart than the true ones."""
+    packed = F.lit(0).cast("bigint")
+    for k, c in enumerate(COUNTED):
+        n = F.least(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
+        packed = packed.bitwiseOR(F.shiftleft(n, 8 * k))
+    return packed
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """The sum of the differences of two letter counts; an edit changes it by two at most."""
+    total = F.lit(0).cast("bigint")
+    for k in range(len(COUNTED)):
+        byte = lambda x: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
+        total = total + F.abs(byte(a) - byte(b))
+    return total
 
 
 def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFrame:
@@ -120,16 +134,16 @@ def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFra
 
     distinct: ``(line, place, text)``; texts: the same rows, laid out by line.
     """
-    sized = distinct.select("line", "text", F.length("text").alias("length"))
-    index = sized.select(F.col("line").alias("a"), F.explode(filed(threshold)).alias("key"))
-    probes = sized.select(F.col("line").alias("b"), F.explode(probed(threshold)).alias("key"))
-    pairs = index.join(probes, "key").where("a <> b").select("a", "b").distinct()
+    sized = distinct.select("line", "text", F.length("text").alias("length"), letters(F.col("text")).alias("letters"))
+    index = sized.select(F.col("line").alias("a"), F.col("letters").alias("of_a"), F.explode(filed(threshold)).alias("key"))
+    probes = sized.select(F.col("line").alias("b"), F.col("letters").alias("of_b"), F.explode(probed(threshold)).alias("key"))
+    # lines that share a segment but differ in more letters than the threshold allows are told apart inside the join
+    alike = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("of_a"), F.col("of_b")) <= 2 * threshold)
+    pairs = index.join(probes, alike).select("a", "b").distinct()
     pairs = written(pairs, "lines-pairs")
     side = lambda x: texts.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    # an edit changes the counts of two letters at most, by one each
-    apart = F.aggregate(F.zip_with(_letters("text_a"), _letters("text_b"), lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, g: acc + g)
-    met = met.where((F.length("text_b") - F.length("text_a")).between(0, threshold) & (apart <= 2 * threshold))
+    met = met.where((F.length("text_b") - F.length("text_a")).between(0, threshold))
     # the code points are bound first: an expression inside a lambda is evaluated at each of its steps
     edits = _let(F.split("text_a", ""), lambda short: _let(F.split("text_b", ""), lambda long: banded_distance(short, long, threshold)))
     met = met.withColumn("edits", edits)
