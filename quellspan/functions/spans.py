@@ -11,7 +11,9 @@ SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 def unmarked(text: Column) -> Column:
     """The text with the two marks of :func:`spans` replaced, its length unchanged; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "\ufffd\ufffd")
+    text = F.coalesce(text, F.lit(""))
+    clean = F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")
+    return F.when(text.contains(OPEN) | text.contains(CLOSE), clean).otherwise(text)
 
 
 def marked(text: Column, before: str, value: str) -> Column:

@@ -77,12 +77,15 @@ def _by_start(x: Column) -> Column:
 
 
 def findings(df: DataFrame, *keep: str, text_col: str = "text", rules=CATALOG) -> DataFrame:
-    """One row per finding: the columns ``keep``, start, end, rule, type, value."""
-    return with_findings(df, text_col, rules).select(*keep, F.explode("findings").alias("x")).select(*keep, "x.*")
+    """One row per finding: the columns ``keep``, start, end, rule, type, value.
+
+    Exploded as outer and filtered behind: a filter on the array's size before it would evaluate every pattern twice.
+    """
+    return with_findings(df, text_col, rules).select(*keep, F.explode_outer("findings").alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
 
 
 def candidate_rows(df: DataFrame, *keep: str, text_col: str = "text", rules=CATALOG) -> DataFrame:
-    return with_candidates(df, text_col, rules).select(*keep, F.explode("candidates").alias("x")).select(*keep, "x.*")
+    return with_candidates(df, text_col, rules).select(*keep, F.explode_outer("candidates").alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
 
 
 def without_values(rows: DataFrame, allowed: DataFrame) -> DataFrame:

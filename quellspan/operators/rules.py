@@ -136,11 +136,11 @@ PERSONAL = (
     Rule("ipv4", "IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", before="(?:^|[^0-9.])", after="[0-9]", checks=(checks.PUBLIC_IPV4,), band="personal"),
     Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", before="(?:^|[^A-Za-z0-9._%+-])", keywords=("@",), checks=(checks.PERSON_EMAIL,), band="personal"),
     Rule("phone", "PHONE", r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}", before="(?:^|[^0-9A-Za-z+])", after="[0-9]", keywords=("+",), checks=(checks.PHONE_DIGITS,), band="personal"),
-    Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", band="personal", channel="tool"),
-    Rule("username-after-label", "USERNAME", r"[A-Za-z0-9._-]{3,40}", before=r"(?i)(?:user ?name|login|benutzername|usuario|utilisateur) ?[:=] ?", band="personal", channel="tool"),
+    Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", keywords=("irth", "IRTH", "dob", "DOB", "Dob", "ebur", "EBUR", "ebor", "acimiento", "aissance"), band="personal", channel="tool"),
+    Rule("username-after-label", "USERNAME", r"[A-Za-z0-9._-]{3,40}", before=r"(?i)(?:user ?name|login|benutzername|usuario|utilisateur) ?[:=] ?", keywords=("ser", "SER", "ogin", "LOGIN", "enutzer", "suario", "tilisateur"), band="personal", channel="tool"),
     Rule("user-in-home-path", "USERNAME", r"[a-z_][a-z0-9_-]{1,31}", before="/home/", after="[A-Za-z0-9_]", keywords=("/home/",), band="personal", channel="tool"),
-    Rule("name-after-label", "NAME", r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}", before=r"(?:[Ff]ull [Nn]ame|[Nn]ame|[Cc]ontact|[Pp]atient): ", band="personal", channel="tool"),
-    Rule("street-address", "ADDRESS", r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)", before="(?:^|[^0-9A-Za-z])", after="[A-Za-z]", band="personal", channel="tool"),
+    Rule("name-after-label", "NAME", r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}", before=r"(?:[Ff]ull [Nn]ame|[Nn]ame|[Cc]ontact|[Pp]atient): ", keywords=("ame: ", "ontact: ", "atient: "), band="personal", channel="tool"),
+    Rule("street-address", "ADDRESS", r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)", before="(?:^|[^0-9A-Za-z])", after="[A-Za-z]", keywords=(" St", " Ave", " R", " L", " Dr", " B", " C"), band="personal", channel="tool"),
 )
 
 CATALOG: tuple[Rule, ...] = TOKENS + LABELLED + REGIONAL + PERSONAL

@@ -10,7 +10,7 @@ from quellspan.functions import checks
 from quellspan.operators import detect, lookups, masking, records, reports
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle
-from quellspan.session import table
+from quellspan.session import spread, table
 
 FLAGSHIP = "all_findings_resolved"
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def _spans_query(name: str, rules, source: str = "documents", key: str = "doc_id
 
     @query(name, sql)
     def run(spark, sf_dir):
-        return detect.candidate_rows(table(spark, sf_dir, source), key, text_col=text, rules=rules).drop("priority")
+        return detect.candidate_rows(spread(table(spark, sf_dir, source).select(key, text)), key, text_col=text, rules=rules).drop("priority")
 
 
 by_id = lambda *ids: chosen(ids=ids)
@@ -55,7 +55,7 @@ _FOUND = f"WITH {oracle.findings_sql(CATALOG)}"
 @query(FLAGSHIP, f'{_FOUND} SELECT doc_id, "start", "end", rule, type FROM findings')
 def all_findings_resolved(spark, sf_dir):
     """Every rule over every document; no values leave the query."""
-    return detect.findings(table(spark, sf_dir, "documents"), "doc_id").drop("value")
+    return detect.findings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").drop("value")
 
 
 # ---- queries over the findings of the core rules -----------------------------------------------------------------------
@@ -66,7 +66,7 @@ _CANDIDATES = f"WITH {oracle.candidates_sql(CORE)}"
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _core(spark, sf_dir, *keep):
