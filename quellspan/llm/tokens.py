@@ -107,10 +107,10 @@ class Encoder:
         return out.buffers()[2].to_pybytes()[at[0] : at[-1]] if n else b"", np.diff(at) // self.dtype.itemsize
 
 
-def slices(texts: pa.Array):
-    """Runs of rows of about SLICE_BYTES."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """Runs of rows of about ``size`` bytes."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cell = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cell = (np.cumsum(sizes) - sizes) // size
     starts = np.flatnonzero(np.diff(cell, prepend=-1)).tolist()
     for a, b in zip(starts, [*starts[1:], len(texts)]):
         yield texts.slice(a, b - a)
