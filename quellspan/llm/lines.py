@@ -19,7 +19,7 @@ from quellspan.session import written
 
 THRESHOLD, MIN_CHARS = 2, 40
 #: Letters whose counts bound the edit distance from below.
-COUNTED = "eantirso"
+COUNTED = "eantirs"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -112,29 +112,31 @@ def banded_distance(short: Column, long: Column, threshold: int) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """How often each counted letter occurs, 255 at most, a byte each. Such counts are never farther apart than the true ones."""
-    packed = F.lit(0).cast("bigint")
+    """How many characters are each counted letter, and how many are none, modulo 256, a byte each."""
+    packed, rest = F.lit(0).cast("bigint"), F.length(text)
     for k, c in enumerate(COUNTED):
-        n = F.least(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
-        packed = packed.bitwiseOR(F.shiftleft(n, 8 * k))
-    return packed
+        n = F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+        rest = rest - n
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255)), 8 * k))
+    return packed.bitwiseOR(F.shiftleft(rest.cast("bigint").bitwiseAND(F.lit(255)), 8 * len(COUNTED)))
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """The sum of the differences of two letter counts; an edit changes it by two at most."""
+    """The sum of the differences of two counts, each on the circle of 256; an edit changes it by two at most."""
     total = F.lit(0).cast("bigint")
-    for k in range(len(COUNTED)):
+    for k in range(len(COUNTED) + 1):
         byte = lambda x: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
-        total = total + F.abs(byte(a) - byte(b))
+        gap = F.abs(byte(a) - byte(b))
+        total = total + F.least(gap, 256 - gap)
     return total
 
 
 def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFrame:
     """``(a, b)``: distinct lines within the threshold, their places as ``place_a``, ``place_b``.
 
-    distinct: ``(line, place, text)``; texts: the same rows, laid out by line.
+    distinct: ``(line, place, text, letters)``; texts: the same rows, laid out by line.
     """
-    sized = distinct.select("line", "text", F.length("text").alias("length"), letters(F.col("text")).alias("letters"))
+    sized = distinct.select("line", "text", F.length("text").alias("length"), "letters")
     index = sized.select(F.col("line").alias("a"), F.col("letters").alias("of_a"), F.explode(filed(threshold)).alias("key"))
     probes = sized.select(F.col("line").alias("b"), F.col("letters").alias("of_b"), F.explode(probed(threshold)).alias("key"))
     # lines that share a segment but differ in more letters than the threshold allows are told apart inside the join
@@ -142,7 +144,8 @@ def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFra
     pairs = index.join(probes, alike).select("a", "b").distinct()
     pairs = written(pairs, "lines-pairs")
     side = lambda x: texts.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    # the texts stay where they are laid out, and the pairs of each part are hashed rather than all its texts sorted
+    met = side("b").join(side("a").join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
     met = met.where((F.length("text_b") - F.length("text_a")).between(0, threshold))
     # the code points are bound first: an expression inside a lambda is evaluated at each of its steps
     edits = _let(F.split("text_a", ""), lambda short: _let(F.split("text_b", ""), lambda long: banded_distance(short, long, threshold)))
@@ -165,6 +168,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # one row per distinct line, laid out by line, so that joins by line need not move texts again
     first = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
+    first = first.withColumn("letters", letters(F.col("text")))
     path = work_path(spark, "lines-distinct")
     name = "lines_" + path.rsplit("-", 1)[1]
     first.write.option("path", path).option("compression", "zstd").bucketBy(parts, "line").saveAsTable(name)
