@@ -169,6 +169,14 @@ def links(distinct: DataFrame, max_distance: int = 2, pivots: int = 16) -> DataF
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(marked: DataFrame, max_distance: int, pivots: int) -> DataFrame:
+    """``(fp, root, least)`` per fingerprint of ``marked(id, fp)``: the smallest fingerprint that links reach, and its own smallest id."""
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    linked = written(components(links(distinct, max_distance, pivots), "simhash"), "simhash-roots")
+    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return written(rooted, "simhash-rooted")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2, seed: int = 42, pivots: int = 16
 ) -> DataFrame:
@@ -178,10 +186,7 @@ def near_duplicates(
     like any other; repeated rows give repeated result rows; other columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle_words, seed), "simhash")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    linked = written(components(links(distinct, max_distance, pivots), "simhash"), "simhash-roots")
-    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    rooted = written(rooted, "simhash-rooted")
+    rooted = _rooted(marked, max_distance, pivots)
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return marked.join(named, "fp").select(
@@ -189,10 +194,24 @@ def near_duplicates(
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id (of equal ids, the smallest text hash)."""
-    heads = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_head")).distinct()
-    heads = written(heads, "simhash-heads")
-    own = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    kept = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").select(docs.columns)
+def _row_key(id_col: str, text_col: str):
+    """Digest of a row's id and text, nulls told from empty values. Rows that share it are copies, so always of one group."""
+    parts = [F.coalesce(F.concat(F.lit("+"), F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.md5(F.concat(*parts))
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2, seed: int = 42, pivots: int = 16
+) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id, null ids last (of equal ids, the smallest text hash).
+
+    Groups are of rows, not of ids: rows with a null id, or of one id with different texts, stay or go by their own texts.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), _row_key(id_col, text_col).alias("key"))
+    own = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    marked = written(fingerprints(own, "row", "text", shingle_words, seed), "simhash")
+    rooted = _rooted(marked, max_distance, pivots)
+    heads = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_head")), "simhash-heads")
+    once = Window.partitionBy("_key").orderBy(F.lit(1))
+    kept = docs.withColumn("_key", _row_key(id_col, text_col)).join(heads, F.col("_key") == F.col("_head"), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)

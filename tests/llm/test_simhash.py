@@ -94,3 +94,23 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, plain_fingerprint(r.text, 3)) for r in docs.collect()]
     assert sorted(tuple(r) for r in queries.op7_simhash(spark, sf_dir).collect()) == plain_components(rows, 2)
+
+
+def test_deduplicate_null_and_repeated_ids(spark):
+    """Rows without an id and rows that share one are judged by their own texts."""
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [
+        (None, "alone without an id in this table"),
+        (None, base),
+        (1, base),
+        (2, "first text of the second id here"),
+        (2, "quite another text of that same id"),
+        (None, "pair of rows without any id"),
+        (None, "pair of rows without any id"),
+        (3, "first text of the second id here"),
+        (4, base),
+        (4, "words that only the fourth id has"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[4], rows[5], rows[9]], key=str)
