@@ -7,6 +7,10 @@ coordinate difference exceeds ``max_distance`` cannot be linked; only survivors
 
 Exact copies fold into one fingerprint before any pair is looked at, and a bucket emits a spanning star of each of its
 linked parts, never its pairs.
+
+A bound on the overlap of the shingles instead of on bits (:func:`overlapping`) is a far wider radius: at Jaccard similarity
+0.8 two fingerprints differ in about ten bits, where blocks of bits no longer tell pairs apart. There, candidates share a
+band of MinHash values, fingerprints discard those beyond ``WIDE`` bits, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from quellspan.session import written
 
 LONG_RUN = 64
 BLOCK = 512
+#: MinHash bands and values in each: of pairs at Jaccard 0.8, 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 share a band.
+BANDS, IN_BAND = 20, 5
+#: Differing bits that a pair at Jaccard 0.8 stays within: about 9.5 are expected, with a deviation of 2.8.
+WIDE = 24
 
 
 def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
@@ -200,17 +208,122 @@ def _row_key(id_col: str, text_col: str):
     return F.md5(F.concat(*parts))
 
 
+def shingle_hashes(text: bytes | None, shingle_words: int, seed: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH64 values; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    count = max(1, len(words) - shingle_words + 1)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle_words]), seed) for i in range(count)), np.uint64, count))
+
+
+def _bands(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One signed hash per band of MinHash values."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, np.multiply.outer(factors, hashes[at : at + 4096]).min(axis=1))
+    x = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, IN_BAND).T:
+        x = (x ^ (column >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x.view(np.int64)
+
+
+def _sketched(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
+    """``(row, node, n, fp, bands)`` per row of ``rows(row, text)``: a hash of its set of shingles, their number, fingerprint and bands."""
+    from xxhash import xxh64_intdigest
+
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            nodes, sizes, fps, bands = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle_words, seed)
+                ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                nodes.append(xxh64_intdigest(hashes.tobytes(), seed) if len(hashes) else 0)
+                sizes.append(len(hashes))
+                fps.append(int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big"))
+                bands.append(_bands(hashes, factors) if len(hashes) else hashes.view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            edges = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
+            lists = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sizes, pa.int32()), signed[1], lists], ["row", "node", "n", "fp", "bands"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", F.col("text").cast("binary")).mapInArrow(run, f"row {kind}, node long, n int, fp long, bands array<long>")
+
+
+def _near(a: str, b: str, overlap: float):
+    """Whether two sketches can belong to sets of that overlap: by their sizes, which is exact, and their fingerprints."""
+    sizes = F.least(f"{a}.n", f"{b}.n") / F.greatest(f"{a}.n", f"{b}.n") >= overlap
+    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & sizes & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= WIDE)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, overlap: float, shingle_words: int, seed: int) -> DataFrame:
+    """The pairs of nodes whose shingles overlap by ``overlap`` or more, told from the texts of those nodes alone."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(x, shingle_words, seed).view(np.int64) for x in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "hashes"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = written(distinct.join(asked, "node").select("node", F.col("least.key").alias("key")), "simhash-asked")
+    texts = rows.select(F.col("row.key").alias("key"), F.col("text").cast("binary").alias("text")).join(asked, "key").dropDuplicates(["node"])
+    sets = written(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("all"))
+    return written(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= overlap).select("a", "b"), "simhash-verified")
+
+
+def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: int = 42) -> DataFrame:
+    """``(root, least)`` per set of shingles in ``rows(row, text)``: its group, and the smallest row that has this set.
+
+    Sets that share ``overlap`` of their union link, and groups are what links reach. Candidates share a band. First each is
+    held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then all pairs of
+    a bucket that are still apart. So a pair that shares a band is missed only beyond ``WIDE`` bits.
+    """
+    marked = written(_sketched(rows, shingle_words, seed), "simhash")
+    distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-distinct")
+    bucket = Window.partitionBy("bucket")
+    banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp").alias("x"))
+    shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
+    first = written(_pairs(shared.where(_near("x", "y", overlap))), "simhash-first")
+    stars = _verified(first, rows, distinct, overlap, shingle_words, seed)
+    roots = written(components(stars, "simhash-stars"), "simhash-near")
+    parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
+    open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
+    open_ = written(open_, "simhash-open")
+    other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"))
+    rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap))
+    second = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-second")
+    linked = stars.unionByName(_verified(second, rows, distinct, overlap, shingle_words, seed))
+    linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
+    return distinct.join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "least")
+
+
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2, seed: int = 42, pivots: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2, seed: int = 42, pivots: int = 16, overlap: float | None = None
 ) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id, null ids last (of equal ids, the smallest text hash).
 
     Groups are of rows, not of ids: rows with a null id, or of one id with different texts, stay or go by their own texts.
+    overlap: link texts that share at least this part of their shingles (see :func:`overlapping`), whatever ``max_distance``.
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), _row_key(id_col, text_col).alias("key"))
     own = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    marked = written(fingerprints(own, "row", "text", shingle_words, seed), "simhash")
-    rooted = _rooted(marked, max_distance, pivots)
+    if overlap is None:
+        rooted = _rooted(written(fingerprints(own, "row", "text", shingle_words, seed), "simhash"), max_distance, pivots)
+    else:
+        rooted = overlapping(own, overlap, shingle_words, seed)
     heads = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_head")), "simhash-heads")
     once = Window.partitionBy("_key").orderBy(F.lit(1))
     kept = docs.withColumn("_key", _row_key(id_col, text_col)).join(heads, F.col("_key") == F.col("_head"), "left_semi")
