@@ -2,9 +2,10 @@
 
 A text is cut before its spaces; no piece of a merge-type vocabulary spans such a cut. Inside a stretch, neighbours that
 form a piece wait in an agenda, best score first and leftmost first on ties. A candidate that comes up is skipped when the
-keyed hash of (seed, variant, stretch, place, piece) falls below ``dropout``. Which variant an occurrence draws follows
-from the row's key and the place in the text, so one word is segmented in up to ``variants`` ways over a corpus, the same
-way on every run, and each worker computes a variant of a frequent word once.
+keyed hash of (occurrence, place, piece) falls below ``dropout``; an occurrence is named by the seed, the row's key and the
+stretch's place in the text. So every occurrence is segmented by draws of its own, the same way on every run. What a stretch
+becomes depends only on which of its candidates are skipped: their mask is computed for all occurrences at once, and each
+worker segments a stretch once under each mask that comes up.
 
 What is in no piece becomes byte pieces. A literal U+2581 becomes bytes too, so that it isn't read back as a space.
 """
@@ -25,6 +26,10 @@ from quellspan.llm.tokens import mixed, slices
 SPACE = "▁"
 LITERAL = "\0" + SPACE
 MOST_CACHED = 1_100_000
+#: The most candidates of a stretch that a mask holds; occurrences of stretches with more are segmented one by one.
+MASKED = 62
+#: Of a stretch seen once so far: it is segmented by its key, as listing its candidates costs more than that.
+ALONE: tuple[None, dict] = (None, {})
 SHORT, NEVER = 48, float("inf")
 MASK = (1 << 64) - 1
 
@@ -62,19 +67,36 @@ class Model:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans a space; texts can't be cut before spaces")
         self.table = pa.array(self.raw, pa.large_binary())
+        self.longest = max(map(len, self.ids))
         self.packed = {p: i.to_bytes(self.dtype.itemsize, "little") for p, i in self.ids.items()}
 
     def segment(self, stretch: str, dropout: float, key: int) -> bytes:
         """Raw ids of one stretch: leading spaces (one more than it shows, for the cut) and what follows them."""
-        body = stretch.lstrip(" ")
-        symbols = [SPACE] * (len(stretch) - len(body) + 1)
-        symbols += [c if c != SPACE else LITERAL for c in body] if SPACE in body else body
+        symbols = self._symbols(stretch)
         symbols = (self._merged if len(symbols) <= SHORT else self._merged_long)(symbols, int(dropout * 2147483647), key & 0x3FFFFFFF)
         try:
             return b"".join([self.packed[s] for s in symbols])
         except KeyError:
             return b"".join([self.packed[s] if s in self.packed else self._bytes(s) for s in symbols])
 
+    def _symbols(self, stretch: str) -> list[str]:
+        body = stretch.lstrip(" ")
+        symbols = [SPACE] * (len(stretch) - len(body) + 1)
+        symbols += [c if c != SPACE else LITERAL for c in body] if SPACE in body else body
+        return symbols
+
+    def candidates(self, stretch: str) -> list[int] | None:
+        """Place and piece of every candidate a stretch can have, as the keyed hash takes them; none if too many for a mask."""
+        symbols, known, found = self._symbols(stretch), self.known.get, []
+        n = len(symbols)
+        if n > SHORT:
+            return None
+        for i in range(n - 1):
+            for j in range(i + 2, min(n, i + self.longest) + 1):
+                if k := known("".join(symbols[i:j])):
+                    found.append((i << 15) ^ k[1])
+        return found if len(found) <= MASKED else None
+
     def _bytes(self, symbol: str) -> bytes:
         return b"".join([self.byte[x] for x in (SPACE if symbol == LITERAL else symbol).encode()])
 
@@ -143,20 +165,6 @@ class Model:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
-class Variant(dict):
-    """Segmentations of stretches under one variant's key."""
-
-    def __init__(self, model: Model, dropout: float, seed: int, number: int):
-        super().__init__()
-        self.model, self.dropout, self.salt = model, dropout, (seed * 0x9E3779B97F4A7C15 + number * 0xBF58476D1CE4E5B9) & MASK
-
-    def __missing__(self, stretch: str) -> bytes:
-        from xxhash import xxh64_intdigest
-
-        self[stretch] = out = self.model.segment(stretch, self.dropout, xxh64_intdigest(stretch, self.salt))
-        return out
-
-
 class Encoder:
     _kept: dict = {}
 
@@ -168,24 +176,41 @@ class Encoder:
         return cls._kept[given]
 
     def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.model = Model.of(path)
-        self.variants = [Variant(self.model, dropout, seed, v) for v in range(variants if dropout else 1)]
-        self.seed = seed
+        """``variants`` stands for callers of the earlier signature and changes nothing: each occurrence has its own draws."""
+        self.model, self.dropout, self.seed = Model.of(path), dropout, seed
+        self.kept: dict[str, tuple[list[int] | None, dict[int, bytes]]] = {}
+        self.size = 0
 
     def draw(self, count: np.ndarray, keys: list[bytes]) -> np.ndarray:
-        """The variant of each stretch of texts of ``count`` stretches; ``keys`` name the texts."""
+        """The key of each stretch of texts of ``count`` stretches; ``keys`` name the texts."""
         from xxhash import xxh64_intdigest
 
-        if len(self.variants) == 1:
-            return np.zeros(count.sum(), np.int64)
         base = np.repeat(np.fromiter((xxh64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys)), count)
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         with np.errstate(over="ignore"):
             hashed = mixed(within.astype(np.uint64) + base, self.seed)
-        return ((hashed >> np.uint64(40)) % np.uint64(len(self.variants))).astype(np.int64)
+        return (hashed >> np.uint64(34)).astype(np.int64)
+
+    def masks(self, place: np.ndarray, drawn: np.ndarray, candidates: list[list[int] | None]) -> np.ndarray:
+        """Which candidates each occurrence skips, a bit each; the key itself, made negative, where a mask can't hold them."""
+        limit = int(self.dropout * 2147483647)
+        size = np.array([-1 if c is None else len(c) for c in candidates], np.int64)[place]
+        out = np.where(size < 0, -1 - drawn, 0)
+        if not limit:
+            return np.zeros(len(place), np.int64)
+        rows = np.argsort(-size, kind="stable")
+        own, keys, mask = place[rows], drawn[rows], np.zeros(len(rows), np.int64)
+        most = np.sort(-size)
+        for b in range(max(0, int(size.max(initial=0)))):
+            m = int(np.searchsorted(most, -b, side="left"))
+            column = np.array([c[b] if c and len(c) > b else 0 for c in candidates], np.int64)
+            mask[:m] |= ((keys[:m] ^ column[own[:m]]) * 48271 % 2147483647 < limit).astype(np.int64) << b
+        out[rows] |= np.where(size[rows] < 0, 0, mask)
+        return out
 
-    def encode_one(self, text: str, key: bytes) -> bytes:
-        """Raw ids of a text in which spaces follow each other."""
+    @staticmethod
+    def cuts(text: str) -> list[str]:
+        """The stretches of a text in which spaces follow each other."""
         cut, spaces = [], 0
         for p in text.split(" ") if text else ():
             if p:
@@ -193,38 +218,57 @@ class Encoder:
             spaces = 0 if p else spaces + 1
         if spaces:
             cut.append(" " * (spaces - 1))
-        return b"".join(self.variants[v][p] for v, p in zip(self.draw(np.array([len(cut)]), [key]).tolist(), cut))
+        return cut
 
     def encode(self, texts: pa.Array, keys: list[bytes]) -> tuple[bytes, np.ndarray]:
-        """Raw ids of all texts one after the other, and how many each has. Each distinct stretch and variant is looked up once."""
-        if sum(map(len, self.variants)) > MOST_CACHED:
-            for v in self.variants:
-                v.clear()
+        """Raw ids of all texts one after the other, and how many each has. Each distinct stretch and mask is looked up once."""
+        if self.size > MOST_CACHED:
+            self.kept.clear()
+            self.size = 0
         n, lists = len(texts), pc.split_pattern(texts, " ")
         count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = lists.flatten().dictionary_encode()
-        place, distinct = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary.to_pylist()
+        flat = lists.flatten()
         own = np.repeat(np.arange(n), count)
         apart = np.zeros(n, bool)
-        if "" in distinct:
-            apart[own[place == distinct.index("")]] = True
-        whole = [self.encode_one(texts[i].as_py(), keys[i]) for i in np.flatnonzero(apart).tolist()]
-        kept = ~apart[own]
-        code, found = np.unique(place[kept] * len(self.variants) + self.draw(count, keys)[kept], return_inverse=True)
-        values = [self.variants[c % len(self.variants)][distinct[c // len(self.variants)]] for c in code.tolist()]
-        size = np.where(apart, 1, count)
-        order = np.empty(int(size.sum()), np.int64)
-        single = np.repeat(apart, size)
-        order[~single], order[single] = found, len(values) + np.arange(len(whole))
-        out = pa.array([*values, *whole], pa.large_binary()).take(pa.array(order))
-        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[np.concatenate([[0], np.cumsum(size)])]
+        apart[own[pc.equal(flat, "").to_numpy(zero_copy_only=False)]] = True
+        cut = [self.cuts(texts[i].as_py()) for i in np.flatnonzero(apart).tolist()]
+        count[apart] = [len(c) for c in cut]
+        stretches = pa.concat_arrays([flat.filter(pa.array(~apart[own])), pa.array([p for c in cut for p in c], flat.type)]).dictionary_encode()
+        place, distinct = stretches.indices.to_numpy(zero_copy_only=False).astype(np.int64), stretches.dictionary.to_pylist()
+        single = np.repeat(apart, count)
+        drawn = self.draw(count, keys)
+        drawn = np.concatenate([drawn[~single], drawn[single]])
+        known = []
+        for p, times in zip(distinct, np.bincount(place, minlength=len(distinct)).tolist()):
+            if (k := self.kept.get(p)) is None or (k is ALONE and len(p) < SHORT):
+                k = self.kept[p] = ALONE if k is None and times == 1 and self.dropout else (self.model.candidates(p), {})
+                self.size += 1
+            known.append(k)
+        mask = self.masks(place, drawn, [k[0] for k in known])
+        rows = np.lexsort((mask, place))
+        new = np.concatenate([[True], (place[rows[1:]] != place[rows[:-1]]) | (mask[rows[1:]] != mask[rows[:-1]])]) if len(rows) else np.zeros(0, bool)
+        found = np.empty(len(rows), np.int64)
+        found[rows] = np.cumsum(new) - 1
+        values, first = [], rows[new]
+        for p, m, key in zip(place[first].tolist(), mask[first].tolist(), drawn[first].tolist()):
+            segmented = known[p][1]
+            if (value := segmented.get(m)) is None:
+                value = self.model.segment(distinct[p], self.dropout, key)
+                if m >= 0:
+                    segmented[m] = value
+                    self.size += 1
+            values.append(value)
+        order = np.empty(len(rows), np.int64)
+        order[~single], order[single] = found[: int((~single).sum())], found[int((~single).sum()) :]
+        out = pa.array(values, pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[np.concatenate([[0], np.cumsum(count)])]
         return out.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(out) else b"", np.diff(at) // self.model.dtype.itemsize
 
 
 def encoded(text: Column, key: Column, model: str, dropout: float = 0.1, seed: int = 20240229, variants: int = 4) -> Column:
     """``struct<pieces array<int>, ids_crc32 long, lossless boolean>`` of each text; a null text is empty.
 
-    key: what draws the variants, such as the id. ids_crc32: of the ids as little-endian 32-bit numbers. lossless: whether the
+    key: what names the rows' occurrences, such as the id. variants: changes nothing, see :class:`Encoder`. ids_crc32: of the ids as little-endian 32-bit numbers. lossless: whether the
     ids were decoded to the very text. One function gives all three, so that a text is encoded once.
     """
 

@@ -73,3 +73,21 @@ def test_query(spark, sf_dir):
     for r in got:
         ids = np.array(one(encoder, docs[r.doc_id], str(r.doc_id).encode()))
         assert r.lossless and (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+
+
+def test_every_occurrence_draws_its_own():
+    """One word over many rows and many times in a row has far more than a few segmentations, each by its own key alone."""
+    encoder, model = pieces.Encoder(PATH, 0.1, 5, 4), pieces.Model.of(PATH)
+    word = "internationalization"
+    over_rows = {tuple(one(encoder, word, str(k).encode())) for k in range(2000)}
+    assert len(over_rows) > 16
+    raw, counts = encoder.encode(pa.array([word] * 300 + [" ".join([word] * 300), "  x".join([word] * 300)]), [str(k).encode() for k in range(302)])
+    assert len({tuple(x) for x in np.split(np.frombuffer(raw, model.dtype), np.cumsum(counts)[:-1])[:300]}) > 16
+    texts = [*odd_texts(200), "the word and the word", "x" * 300 + " y"]
+    keys = [str(k % 7).encode() for k in range(len(texts))]
+    raw, counts = encoder.encode(pa.array(texts), keys)
+    want = b""
+    for t, k in zip(texts, keys):
+        cut = encoder.cuts(t)
+        want += b"".join(model.segment(p, 0.1, d) for p, d in zip(cut, encoder.draw(np.array([len(cut)]), [k]).tolist()))
+    assert raw == want
