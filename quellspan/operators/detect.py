@@ -17,9 +17,11 @@ BEFORE, AFTER = 80, 40
 
 def gate(rule: Rule, text: Column) -> Column:
     """Whether the text can hold the rule's value: one of its keywords occurs."""
-    held = F.lit(not rule.keywords)
+    held = F.lit(not (rule.keywords or rule.folded))
     for k in rule.keywords:
         held = held | text.contains(k)
+    for k in rule.folded:
+        held = held | F.lower(text).contains(k)
     return held
 
 
@@ -38,7 +40,7 @@ def cut_by(rule: Rule, order: int, text: Column) -> Column:
     near = f"(?:^|[^a-z])(?:{'|'.join(rule.near)})" if rule.near else ""
     ask = F.expr(f"named_struct('priority', {order}, 'rule', {_text(rule.id)}, 'type', {_text(rule.type)}, 'after', {_text(rule.after)}, 'near', {_text(near)})")
     pieces = marked(text, rule.before, rule.value)
-    return F.struct(ask.alias("ask"), (F.when(gate(rule, text), pieces).otherwise(F.array().cast("array<string>")) if rule.keywords else pieces).alias("pieces"))
+    return F.struct(ask.alias("ask"), (F.when(gate(rule, text), pieces).otherwise(F.array().cast("array<string>")) if rule.keywords or rule.folded else pieces).alias("pieces"))
 
 
 def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into: str = "candidates") -> DataFrame:

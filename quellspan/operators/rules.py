@@ -15,6 +15,7 @@ BANDS = {"secret": 100, "prefix": 150, "label": 300, "regional": 500, "personal"
 class Rule:
     """``before`` is consumed in front of the value; ``after`` must not match the character behind it; ``keywords`` gate the text.
 
+    folded: keywords of a rule that ignores case, in lower case; they gate the lower-cased text, and only in the column.
     near: one of these words must stand in the 80 characters before or the 40 after. channel: ``tool``, ``prompt`` or both.
     """
 
@@ -29,6 +30,7 @@ class Rule:
     band: str = "secret"
     region: str = "generic"
     channel: str = "both"
+    folded: tuple[str, ...] = ()
 
 
 B62, B64, URL64, HEX = "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]", "[0-9a-f]"
@@ -103,14 +105,14 @@ LABELLED = (
     labelled("token-assignment", 'token = "', rf"{HEX}{{16,}}", "token = "),
     labelled("url-query-secret", r"[?&](?:access_token|api_?key|auth|secret|sig|token)=", r"[^&\s\"'<>#]{8,}", "?", "&", checks=(checks.NOT_PLACEHOLDER,)),
     labelled("url-password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:", r"[^\s/@\"']{3,80}", "://", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("auth-scheme", r"(?i)authorization:? ?[\"']?:? ?[\"']?(?:bearer|basic|token) ", r"[0-9A-Za-z._~+/=-]{16,}", "uthorization", "UTHORIZATION"),
+    labelled("auth-scheme", r"(?i)authorization:? ?[\"']?:? ?[\"']?(?:bearer|basic|token) ", r"[0-9A-Za-z._~+/=-]{16,}", folded=("authorization",)),
     labelled("label-netrc-password", r"machine \S{1,80} login \S{1,80} password ", r"\S{4,80}", "machine "),
     labelled("label-redis-auth", r"(?:^|\n)AUTH ", r"\S{8,80}", "AUTH "),
     labelled("wifi-qr-password", r"WIFI:[^\n]{0,60}P:", r"[^;\n]{4,63}", "WIFI:"),
     labelled("odbc-braced-password", r"(?i)(?:pwd|password)=\{", r"[^}\n]{4,80}", "={"),
-    labelled("label-aws-session-token", r"(?i)aws_session_token[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{60,}}=*", "ession_token", "ESSION_TOKEN"),
-    labelled("aws-secret-access-key", r"(?i)aws_?secret_?access_?key[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{40}}", "ecret", "ECRET", after="[0-9A-Za-z+/]"),
-    labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,80}", "pass", "Pass", "PASS", "pwd", "PWD", "ecret", "ECRET", "key", "KEY", "Key", checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
+    labelled("label-aws-session-token", r"(?i)aws_session_token[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{60,}}=*", folded=("session_token",)),
+    labelled("aws-secret-access-key", r"(?i)aws_?secret_?access_?key[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{40}}", folded=("secret",), after="[0-9A-Za-z+/]"),
+    labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,80}", folded=("pass", "pwd", "secret", "key"), checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
 )
 
 REGIONAL = (
@@ -136,8 +138,8 @@ PERSONAL = (
     Rule("ipv4", "IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", before="(?:^|[^0-9.])", after="[0-9]", checks=(checks.PUBLIC_IPV4,), band="personal"),
     Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", before="(?:^|[^A-Za-z0-9._%+-])", keywords=("@",), checks=(checks.PERSON_EMAIL,), band="personal"),
     Rule("phone", "PHONE", r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}", before="(?:^|[^0-9A-Za-z+])", after="[0-9]", keywords=("+",), checks=(checks.PHONE_DIGITS,), band="personal"),
-    Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", keywords=("irth", "IRTH", "dob", "DOB", "Dob", "ebur", "EBUR", "ebor", "acimiento", "aissance"), band="personal", channel="tool"),
-    Rule("username-after-label", "USERNAME", r"[A-Za-z0-9._-]{3,40}", before=r"(?i)(?:user ?name|login|benutzername|usuario|utilisateur) ?[:=] ?", keywords=("ser", "SER", "ogin", "LOGIN", "enutzer", "suario", "tilisateur"), band="personal", channel="tool"),
+    Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", folded=("birth", "dob", "geburtsdatum", "geboren", "nacimiento", "naissance"), band="personal", channel="tool"),
+    Rule("username-after-label", "USERNAME", r"[A-Za-z0-9._-]{3,40}", before=r"(?i)(?:user ?name|login|benutzername|usuario|utilisateur) ?[:=] ?", folded=("user", "login", "benutzername", "usuario", "utilisateur"), band="personal", channel="tool"),
     Rule("user-in-home-path", "USERNAME", r"[a-z_][a-z0-9_-]{1,31}", before="/home/", after="[A-Za-z0-9_]", keywords=("/home/",), band="personal", channel="tool"),
     Rule("name-after-label", "NAME", r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}", before=r"(?:[Ff]ull [Nn]ame|[Nn]ame|[Cc]ontact|[Pp]atient): ", keywords=("ame: ", "ontact: ", "atient: "), band="personal", channel="tool"),
     Rule("street-address", "ADDRESS", r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)", before="(?:^|[^0-9A-Za-z])", after="[A-Za-z]", keywords=(" St", " Ave", " R", " L", " Dr", " B", " C"), band="personal", channel="tool"),

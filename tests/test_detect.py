@@ -108,3 +108,17 @@ def test_records(spark):
     odd = spark.createDataFrame([("\x1b[31mto​ken\x1b[0m ＡＢ aGVsbG8gd29ybGQgb2YgdGV4dHM=",)], "t string")
     r = odd.select(records.without_hidden(F.col("t")).alias("c"), records.decoded_runs(F.col("t")).alias("d")).first()
     assert r.c.startswith("token AB ") and r.d == ["hello world of texts"]
+
+
+def test_labels_in_any_case(spark):
+    """The gate of a rule that ignores case lets every label through in upper, lower and mixed case."""
+    labels = [("birth-date-after-label", x + ": ", "01.02.1980") for x in ("date of birth", "birth date", "dob", "geburtsdatum", "geboren am", "fecha de nacimiento", "date de naissance")]
+    labels += [("username-after-label", x + ": ", "jroe_77") for x in ("user name", "login", "benutzername", "usuario", "utilisateur")]
+    labels += [("keyword-assignment", x + ' = "', "q7Rt9zLx2Vb4") for x in ("password", "passwd", "pwd", "secret", "api_key", "passphrase")]
+    labels += [("auth-scheme", "authorization: bearer ", "q7Rt9zLx2Vb4Km8Ws3Yd"), ("label-aws-session-token", "aws_session_token=", "q7Rt9zLx2Vb4" * 6), ("aws-secret-access-key", "aws_secret_access_key=", "q7Rt9zLx2V" * 4)]
+    rows = [(rule, f"{form(x)}{value}" + ('"' if x.endswith('"') else ""), value) for rule, x, value in labels for form in (str.upper, str.lower, str.title, str.swapcase, lambda t: "".join(c.upper() if i % 2 else c for i, c in enumerate(t)))]
+    docs = spark.createDataFrame(rows, "want string, text string, wanted string")
+    for rule in sorted({r for r, _, _ in rows}):
+        mine = docs.where(F.col("want") == rule)
+        got = {r.text for r in detect.candidate_rows(mine, "text", "wanted", rules=chosen(ids={rule})).where("value = wanted").collect()}
+        assert got == {r.text for r in mine.collect()}, rule
