@@ -1,13 +1,18 @@
 """Line dedup across documents: exact repeats, and lines within a small edit distance. DataFrame functions only.
 
 A line goes if the same line stands earlier, or if another line within ``threshold`` edits first stands earlier; earlier means
-a smaller document id, then a smaller line number. Lines of fewer than ``min_chars`` code points always stay.
+a smaller document id, then a smaller line number. Lines without a word always stay. Every other line may go as a repeat;
+near lines are told from ``min_chars`` code points on, where the threshold is a tenth of the line or less.
 
 Near lines meet in a segment-partition join. A line of length l is cut into threshold + 1 even segments, each filed under
 (l, segment number, text). Of two lines within the threshold the longer holds some segment of the shorter unchanged, at a
-place that the edits before and after it allow; only those places are probed, for every length the shorter may have.
-Candidates are verified by a banded bit-parallel edit distance: the 2 * threshold + 1 cells around the diagonal are two bit
-vectors of vertical steps, and one column of the table costs a few word operations.
+place that the edits before and after it allow; only those places are probed, for every length the shorter may have. A
+segment under which very many lines are filed takes a second one: what is left of both lines around it is within the
+threshold as well, so it is cut and probed in the same way.
+
+Candidates are told apart inside the join by their letter counts, and verified by a banded bit-parallel edit distance: the
+2 * threshold + 1 cells around the diagonal are two bit vectors of vertical steps, and one column of the table costs a few
+word operations.
 """
 
 from __future__ import annotations
@@ -15,18 +20,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.session import written
+from quellspan.session import scratch, tidy, work_path, written
 
-THRESHOLD, MIN_CHARS = 2, 40
+THRESHOLD, MIN_CHARS = 2, 20
 #: Letters whose counts bound the edit distance from below.
-COUNTED = "eantirs"
+COUNTED = "eantirsoldhucmg"
+#: A segment with about this many filed lines takes a second one. It decides how pairs are found, not which.
+HOT, SAMPLED = 256, 16
+WORD = r"[^\x20\x09-\x0D]"
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(line, place, doc, number, text)`` of the lines that may go; line: hash of the text; place: orders (doc, number)."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number, as it says which line is earlier")
     cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("number", "text"))
     place = F.coalesce("doc", F.lit(-(1 << 62))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("number")
-    return cut.where(F.length("text") >= min_chars).select(F.xxhash64("text").alias("line"), place.cast("decimal(38,0)").alias("place"), "doc", "number", "text")
+    return cut.where(F.col("text").rlike(WORD)).select(F.xxhash64("text").alias("line"), place.cast("decimal(38,0)").alias("place"), "doc", "number", "text")
 
 
 # ---- segments -----------------------------------------------------------------------------------------------------------
@@ -39,30 +49,55 @@ def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     return base * number + F.greatest(F.lit(number) - short, F.lit(0)), base + F.when(F.lit(number) >= short, 1).otherwise(0)
 
 
-def _key(number: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, text)
-
-
-def filed(threshold: int) -> Column:
-    """The keys under which a line is filed."""
-    parts, length, out = threshold + 1, F.col("length"), []
+def filed(text: Column, length: Column, threshold: int, *within: Column) -> list[tuple[Column, Column, Column]]:
+    """Key, start and length of the segments under which a line is filed; ``within``: what else belongs to the keys."""
+    parts, out = threshold + 1, []
     for i in range(parts):
         start, size = _segment(length, i, parts)
-        out.append(_key(i, length, F.col("text").substr(start + 1, size)))
-    return F.array(*out)
+        out.append((F.xxhash64(*within, F.lit(i), length, text.substr(start + 1, size)), start, size))
+    return out
+
 
+def probed(text: Column, length: Column, threshold: int, *within: Column) -> list[tuple[Column, Column, Column]]:
+    """The same of the segments under which lines no longer than this one, and within the threshold of it, may be filed.
 
-def probed(threshold: int) -> Column:
-    """The keys under which lines no longer than this one, and within the threshold of it, may be filed."""
+    A key is null where the line has no such segment.
+    """
     parts, out = threshold + 1, []
-    for gap in range(threshold + 1):
-        length = F.col("length") - gap
-        for i in range(parts):
-            start, size = _segment(length, i, parts)
+    for i in range(parts):
+        (first, _), (last, size) = _segment(length - threshold, i, parts), _segment(length, i, parts)
+        # the places of a segment lie close together, so the line is read up to them once
+        left = F.greatest(first - threshold, F.lit(0))
+        near = text.substr(left + 1, last + size + threshold - left)
+        for gap in range(threshold + 1):
+            start, size = _segment(length - gap, i, parts)
             for shift in range(max(-i, gap - (threshold - i)), min(i, gap + threshold - i) + 1):
-                ok = (start + shift >= 0) & (start + shift + size <= F.col("length"))
-                out.append(F.when(ok, _key(i, length, F.col("text").substr(start + shift + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                at = start + shift
+                key = F.xxhash64(*within, F.lit(i), length - gap, near.substr(at - left + 1, size))
+                out.append((F.when((at >= 0) & (at + size <= length), key), at, size))
+    return out
+
+
+def _keys(of: list[tuple[Column, Column, Column]]) -> Column:
+    return F.filter(F.array(*[key for key, _, _ in of]), lambda k: k.isNotNull())
+
+
+def _places(of: list[tuple[Column, Column, Column]]) -> Column:
+    return F.array(*[F.struct(key.alias("key"), at.alias("at"), size.alias("size")) for key, at, size in of])
+
+
+def _side(sized: DataFrame, cut, threshold: int, hot: DataFrame | None) -> DataFrame:
+    """``(line, letters, key)`` of one side of the join; a key in ``hot(key)`` is replaced by those of a second segment."""
+    text, length = F.col("text"), F.col("length")
+    if hot is None:
+        return sized.select("line", "letters", F.explode(_keys(cut(text, length, threshold))).alias("key"))
+    first = sized.select("line", "letters", "text", "length", F.explode(_places(cut(text, length, threshold))).alias("s")).where("s.key IS NOT NULL")
+    met = first.join(hot.select("key", F.lit(True).alias("hot")), F.col("s.key") == F.col("key"), "left").drop("key")
+    around = F.concat(F.substring("text", 1, F.col("s.at")), text.substr(F.col("s.at") + F.col("s.size") + 1, F.length("text")))
+    once = met.where("hot IS NULL").select("line", "letters", "s.key")
+    rest = met.where("hot").select("line", "letters", "s.key", around.alias("text"), (F.col("length") - F.col("s.size")).alias("length"))
+    twice = rest.select("line", "letters", F.explode(_keys(cut(text, length, threshold, F.col("key")))).alias("key"))
+    return once.unionByName(twice)
 
 
 # ---- verification -------------------------------------------------------------------------------------------------------
@@ -112,43 +147,56 @@ def banded_distance(short: Column, long: Column, threshold: int) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """How many characters are each counted letter, and how many are none, modulo 256, a byte each."""
-    packed, rest = F.lit(0).cast("bigint"), F.length(text)
+    """How many characters are each counted letter, and how many there are, modulo 16, four bits each."""
+    packed = F.lit(0).cast("bigint")
     for k, c in enumerate(COUNTED):
         n = F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-        rest = rest - n
-        packed = packed.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255)), 8 * k))
-    return packed.bitwiseOR(F.shiftleft(rest.cast("bigint").bitwiseAND(F.lit(255)), 8 * len(COUNTED)))
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(15)), 4 * k))
+    return packed.bitwiseOR(F.shiftleft(F.length(text).cast("bigint").bitwiseAND(F.lit(15)), 4 * len(COUNTED)))
+
+
+def _count(packed: Column, k: int) -> Column:
+    return F.shiftright(packed, 4 * k).bitwiseAND(F.lit(15))
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """The sum of the differences of two counts, each on the circle of 256; an edit changes it by two at most."""
+    """The sum of the differences of two counts, each on the circle of 16; an edit changes it by two at most.
+
+    A replaced character changes two letters, an added one a letter and the length.
+    """
     total = F.lit(0).cast("bigint")
     for k in range(len(COUNTED) + 1):
-        byte = lambda x: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
-        gap = F.abs(byte(a) - byte(b))
-        total = total + F.least(gap, 256 - gap)
+        gap = F.abs(_count(a, k) - _count(b, k))
+        total = total + F.least(gap, 16 - gap)
     return total
 
 
-def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFrame:
+def near_pairs(distinct: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
     """``(a, b)``: distinct lines within the threshold, their places as ``place_a``, ``place_b``.
 
-    distinct: ``(line, place, text, letters)``; texts: the same rows, laid out by line.
+    distinct: ``(line, place, text, length, letters)``, laid out by line.
     """
-    sized = distinct.select("line", "text", F.length("text").alias("length"), "letters")
-    index = sized.select(F.col("line").alias("a"), F.col("letters").alias("of_a"), F.explode(filed(threshold)).alias("key"))
-    probes = sized.select(F.col("line").alias("b"), F.col("letters").alias("of_b"), F.explode(probed(threshold)).alias("key"))
-    # lines that share a segment but differ in more letters than the threshold allows are told apart inside the join
-    alike = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("of_a"), F.col("of_b")) <= 2 * threshold)
-    pairs = index.join(probes, alike).select("a", "b").distinct()
+    sized = distinct.select("line", "text", "length", "letters")
+    every = min(SAMPLED, hot)
+    drawn = sized.where(F.pmod("line", F.lit(every)) == 0).select(F.explode(_keys(filed(F.col("text"), F.col("length"), threshold))).alias("key"))
+    busy = written(drawn.groupBy("key").count().where(F.col("count") >= hot // every).select("key"), "lines-hot")
+    busy = None if busy.isEmpty() else busy
+    index = _side(sized, filed, threshold, busy).select(F.col("line").alias("a"), F.col("letters").alias("of_a"), "key")
+    probes = _side(sized, probed, threshold, busy).select(F.col("line").alias("b"), F.col("letters").alias("of_b"), "key")
+    # lines that share a segment but differ in more letters than the threshold allows are told apart inside the join; two of
+    # one length probe each other, and once is enough
+    other_length = _count(F.col("of_a"), len(COUNTED)) != _count(F.col("of_b"), len(COUNTED))
+    alike = (index["key"] == probes["key"]) & (letters_apart(F.col("of_a"), F.col("of_b")) <= 2 * threshold)
+    pairs = index.join(probes, alike & ((F.col("a") < F.col("b")) | (other_length & (F.col("a") != F.col("b"))))).select("a", "b").distinct()
     pairs = written(pairs, "lines-pairs")
-    side = lambda x: texts.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
+    side = lambda x: distinct.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
     # the texts stay where they are laid out, and the pairs of each part are hashed rather than all its texts sorted
     met = side("b").join(side("a").join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
-    met = met.where((F.length("text_b") - F.length("text_a")).between(0, threshold))
+    swap = F.length("text_b") < F.length("text_a")
+    short, long = F.when(swap, F.col("text_b")).otherwise(F.col("text_a")), F.when(swap, F.col("text_a")).otherwise(F.col("text_b"))
+    met = met.where(F.abs(F.length("text_b") - F.length("text_a")) <= threshold)
     # the code points are bound first: an expression inside a lambda is evaluated at each of its steps
-    edits = _let(F.split("text_a", ""), lambda short: _let(F.split("text_b", ""), lambda long: banded_distance(short, long, threshold)))
+    edits = _let(F.split(short, ""), lambda s: _let(F.split(long, ""), lambda t: banded_distance(s, t, threshold)))
     met = met.withColumn("edits", edits)
     return met.where(F.col("edits") <= threshold).select("a", "b", "place_a", "place_b")
 
@@ -156,38 +204,45 @@ def near_pairs(distinct: DataFrame, threshold: int, texts: DataFrame) -> DataFra
 # ---- operator -----------------------------------------------------------------------------------------------------------
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """``(doc, number, near)`` of every line that goes; numbers start at 0; near: it goes only for an earlier near line.
 
     Rows with one id are one document for the order of lines: an equal line at an equal number of theirs is the same line.
-    Null ids come first. ``min_chars`` must exceed twice the threshold.
+    Ids are whole numbers; null ids come first. Null and empty texts have no lines that go. ``min_chars`` must exceed twice
+    the threshold. Other columns are not read. Should two different lines share a 64-bit hash, neither goes.
     """
-    lines = lines_of(docs, id_col, text_col, min_chars)
+    lines = lines_of(docs, id_col, text_col)
     spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from quellspan.session import work_path
-
-    # one row per distinct line, laid out by line, so that joins by line need not move texts again
-    first = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
-    first = first.withColumn("letters", letters(F.col("text")))
-    path = work_path(spark, "lines-distinct")
-    name = "lines_" + path.rsplit("-", 1)[1]
-    first.write.option("path", path).option("compression", "zstd").bucketBy(parts, "line").saveAsTable(name)
-    distinct = spark.table(name)
-    pairs = written(near_pairs(distinct, threshold, distinct), "lines-near")
-    later = F.when((F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a"))
-    near = written(pairs.select(later.alias("line")).distinct(), "lines-later")
-    known = distinct.select("line", "place", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near")
-    known = written(known.select("line", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-known")
+    with scratch(spark):
+        # one row per distinct line, laid out by line, so that joins by line need not move texts again
+        check = F.hash("text")
+        first = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.max("text").alias("text"), F.min(check).alias("c"), F.max(check).alias("d"))
+        first = first.where("c = d").drop("c", "d").withColumns({"length": F.length("text"), "letters": letters(F.col("text"))})
+        path = work_path(spark, "lines-distinct")
+        name = "lines_" + path.rsplit("-", 1)[1]
+        with tidy(spark):
+            first.write.option("path", path).option("compression", "zstd").bucketBy(parts, "line").saveAsTable(name)
+        try:
+            distinct = spark.table(name)
+            pairs = written(near_pairs(distinct.where(F.col("length") >= min_chars), threshold, hot), "lines-near")
+            later = F.when((F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a"))
+            near = written(pairs.select(later.alias("line")).distinct(), "lines-later")
+            known = distinct.select("line", "place", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near")
+            known = written(known.select("line", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-known", keep=True)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     met = lines.select("line", "place", "doc", "number").join(known, "line").where("near OR place <> first")
     return met.select("doc", "number", (F.col("near") & (F.col("place") == F.col("first"))).alias("near"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, n_lines, n_exact and n_near (lines that go), kept_lines, removed (their numbers, ascending)."""
-    gone = removed_lines(docs, id_col, text_col, **options).distinct()
-    per_doc = gone.groupBy("doc").agg(
-        F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("exact"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("nearly"), F.sort_array(F.collect_list("number")).alias("removed")
-    )
+    with scratch(docs.sparkSession):
+        gone = removed_lines(docs, id_col, text_col, **options).distinct()
+        per_doc = gone.groupBy("doc").agg(
+            F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("exact"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("nearly"), F.sort_array(F.collect_list("number")).alias("removed")
+        )
+        per_doc = written(per_doc, "lines-gone", keep=True)
     rows = docs.select(F.col(id_col), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long").alias("n_lines"))
     met = rows.join(per_doc, rows[id_col].eqNullSafe(per_doc["doc"]), "left")
     zero = F.lit(0).cast("long")
@@ -202,11 +257,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that go; a row that had text and keeps no line with a word goes as a whole."""
-    gone = removed_lines(docs, id_col, text_col, **options).distinct()
-    per_doc = written(gone.groupBy("doc").agg(F.collect_set("number").alias("_gone")).withColumnRenamed("doc", "_doc"), "lines-gone")
-    met = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["_doc"]), "left")
-    left = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    met = met.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return met.withColumn(text_col, F.col("_text")).select(docs.columns)
+    """``docs`` without the lines that go; a row that had text and keeps no line with a word goes as a whole.
+
+    Rows without lines that go stay as they are, null and empty texts among them. Repeated rows lose the same lines.
+    """
+    with scratch(docs.sparkSession):
+        gone = removed_lines(docs, id_col, text_col, **options).distinct()
+        per_doc = written(gone.groupBy("doc").agg(F.collect_set("number").alias("gone")), "lines-gone", keep=True)
+    # the row travels as one value, so that no column of its own can clash
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    met = own.join(per_doc, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
+    text = F.col(f"row.{text_col}")
+    left = _let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
+    met = met.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))).where(F.col("gone").isNull() | F.col("left").rlike(WORD))
+    return met.select(*[(F.col("left") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
