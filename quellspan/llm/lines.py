@@ -20,84 +20,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.session import scratch, tidy, work_path, written
+from quellspan.session import scratch, written
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: Letters whose counts bound the edit distance from below.
-COUNTED = "eantirsoldhucmg"
+COUNTED = "eantirsold"
 #: A segment with about this many filed lines takes a second one. It decides how pairs are found, not which.
 HOT, SAMPLED = 256, 16
-WORD = r"[^\x20\x09-\x0D]"
+SPACES = " \t\n\v\f\r"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(line, place, doc, number, text)`` of the lines that may go; line: hash of the text; place: orders (doc, number)."""
+    """``(line, check, place, doc, number, text)`` of the lines that may go; line, check: hashes of the text; place: orders (doc, number)."""
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col} must be a whole number, as it says which line is earlier")
     cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("number", "text"))
     place = F.coalesce("doc", F.lit(-(1 << 62))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("number")
-    return cut.where(F.col("text").rlike(WORD)).select(F.xxhash64("text").alias("line"), place.cast("decimal(38,0)").alias("place"), "doc", "number", "text")
+    return cut.where(F.ltrim("text", F.lit(SPACES)) != "").select(F.xxhash64("text").alias("line"), F.hash("text").alias("check"), place.cast("decimal(38,0)").alias("place"), "doc", "number", "text")
 
 
 # ---- segments -----------------------------------------------------------------------------------------------------------
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment; the last ones take the remainder."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = F.lit(parts) - longer
-    return base * number + F.greatest(F.lit(number) - short, F.lit(0)), base + F.when(F.lit(number) >= short, 1).otherwise(0)
+    longer = length % parts
+    base, short = ((length - longer) / parts).cast("int"), F.lit(parts) - longer
+    return base * number + F.greatest(number - short, F.lit(0)), base + F.when(number >= short, 1).otherwise(0)
 
 
-def filed(text: Column, length: Column, threshold: int, *within: Column) -> list[tuple[Column, Column, Column]]:
-    """Key, start and length of the segments under which a line is filed; ``within``: what else belongs to the keys."""
-    parts, out = threshold + 1, []
-    for i in range(parts):
-        start, size = _segment(length, i, parts)
-        out.append((F.xxhash64(*within, F.lit(i), length, text.substr(start + 1, size)), start, size))
-    return out
+def filed(threshold: int) -> list[tuple[int, int, int]]:
+    """Segment number, gap and shift of the segments under which a line is filed."""
+    return [(i, 0, 0) for i in range(threshold + 1)]
 
 
-def probed(text: Column, length: Column, threshold: int, *within: Column) -> list[tuple[Column, Column, Column]]:
-    """The same of the segments under which lines no longer than this one, and within the threshold of it, may be filed.
+def probed(threshold: int) -> list[tuple[int, int, int]]:
+    """The same of the segments under which lines ``gap`` shorter, and within the threshold of this one, may be filed."""
+    shifts = lambda i, gap: range(max(-i, gap - (threshold - i)), min(i, gap + threshold - i) + 1)
+    return [(i, gap, shift) for gap in range(threshold + 1) for i in range(threshold + 1) for shift in shifts(i, gap)]
 
-    A key is null where the line has no such segment.
-    """
-    parts, out = threshold + 1, []
-    for i in range(parts):
-        (first, _), (last, size) = _segment(length - threshold, i, parts), _segment(length, i, parts)
-        # the places of a segment lie close together, so the line is read up to them once
-        left = F.greatest(first - threshold, F.lit(0))
-        near = text.substr(left + 1, last + size + threshold - left)
-        for gap in range(threshold + 1):
-            start, size = _segment(length - gap, i, parts)
-            for shift in range(max(-i, gap - (threshold - i)), min(i, gap + threshold - i) + 1):
-                at = start + shift
-                key = F.xxhash64(*within, F.lit(i), length - gap, near.substr(at - left + 1, size))
-                out.append((F.when((at >= 0) & (at + size <= length), key), at, size))
-    return out
-
-
-def _keys(of: list[tuple[Column, Column, Column]]) -> Column:
-    return F.filter(F.array(*[key for key, _, _ in of]), lambda k: k.isNotNull())
 
+def _cut(rows: DataFrame, segments: list[tuple[int, int, int]], parts: int, *within: str) -> DataFrame:
+    """``rows(text, length, ...)`` times the segments, with the segment's ``key`` and its place ``at`` and ``size`` in the line.
 
-def _places(of: list[tuple[Column, Column, Column]]) -> Column:
-    return F.array(*[F.struct(key.alias("key"), at.alias("at"), size.alias("size")) for key, at, size in of])
+    The segments are a constant array, and one small expression makes the key of each: a list of such expressions would grow
+    beyond what the JVM compiles. within: columns that belong to the key as well.
+    """
+    number, gap, shift = (F.col("s")[x] for x in ("number", "gap", "shift"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.lit(g).alias("gap"), F.lit(d).alias("shift")) for i, g, d in segments]))
+    out = rows.withColumn("s", each).withColumns({"of": F.col("length") - gap, "number": number, "shift": shift})
+    start, size = _segment(F.col("of"), F.col("number"), parts)
+    out = out.withColumns({"at": start + F.col("shift"), "size": size}).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("length")))
+    return out.withColumn("key", F.xxhash64(*within, "number", "of", F.col("text").substr(F.col("at") + 1, F.col("size")))).drop("s", "of", "number", "shift")
 
 
-def _side(sized: DataFrame, cut, threshold: int, hot: DataFrame | None) -> DataFrame:
+def _side(sized: DataFrame, segments: list[tuple[int, int, int]], parts: int, hot: DataFrame | None) -> DataFrame:
     """``(line, letters, key)`` of one side of the join; a key in ``hot(key)`` is replaced by those of a second segment."""
-    text, length = F.col("text"), F.col("length")
+    first = _cut(sized, segments, parts)
     if hot is None:
-        return sized.select("line", "letters", F.explode(_keys(cut(text, length, threshold))).alias("key"))
-    first = sized.select("line", "letters", "text", "length", F.explode(_places(cut(text, length, threshold))).alias("s")).where("s.key IS NOT NULL")
-    met = first.join(hot.select("key", F.lit(True).alias("hot")), F.col("s.key") == F.col("key"), "left").drop("key")
-    around = F.concat(F.substring("text", 1, F.col("s.at")), text.substr(F.col("s.at") + F.col("s.size") + 1, F.length("text")))
-    once = met.where("hot IS NULL").select("line", "letters", "s.key")
-    rest = met.where("hot").select("line", "letters", "s.key", around.alias("text"), (F.col("length") - F.col("s.size")).alias("length"))
-    twice = rest.select("line", "letters", F.explode(_keys(cut(text, length, threshold, F.col("key")))).alias("key"))
-    return once.unionByName(twice)
+        return first.select("line", "letters", "key")
+    met = first.join(hot.select(F.col("key").alias("busy")), F.col("key") == F.col("busy"), "left")
+    around = F.concat(F.col("text").substr(F.lit(1), F.col("at")), F.col("text").substr(F.col("at") + F.col("size") + 1, F.col("length")))
+    once = met.where("busy IS NULL").select("line", "letters", "key")
+    rest = met.where("busy IS NOT NULL").select("line", "letters", "busy", around.alias("text"), (F.col("length") - F.col("size")).alias("length"))
+    return once.unionByName(_cut(rest, segments, parts, "busy").select("line", "letters", "key"))
 
 
 # ---- verification -------------------------------------------------------------------------------------------------------
@@ -150,7 +136,8 @@ def letters(text: Column) -> Column:
     """How many characters are each counted letter, and how many there are, modulo 16, four bits each."""
     packed = F.lit(0).cast("bigint")
     for k, c in enumerate(COUNTED):
-        n = F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+        # in bytes, which need not be counted
+        n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(15)), 4 * k))
     return packed.bitwiseOR(F.shiftleft(F.length(text).cast("bigint").bitwiseAND(F.lit(15)), 4 * len(COUNTED)))
 
@@ -171,34 +158,60 @@ def letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """How many characters two texts begin with alike, ``most`` at most: found in steps of halves."""
+
+    def step(n, k):
+        fits = (n + k <= most) & (a.substr(n + 1, k) == b.substr(n + 1, k))
+        return n + F.when(fits, k).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
+
+
+def _begin(a: Column, b: Column, most: Column) -> Column:
+    """:func:`_common` with its texts bound, so that no step makes them anew."""
+    return _let(a, lambda x: _let(b, lambda y: _let(most, lambda n: _common(x, y, n))))
+
+
+def _differing(met: DataFrame, threshold: int) -> DataFrame:
+    """``met(short, long)`` without what both begin and end with, but for a few characters that the verification needs."""
+    room = F.length("short") - threshold - 1
+    met = met.withColumn("head", _begin(F.col("short"), F.col("long"), room))
+    met = met.withColumn("tail", _begin(F.reverse("short"), F.reverse("long"), F.length("short") - threshold - 1 - F.col("head")))
+    inner = lambda c: F.col(c).substr(F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail"))
+    return met.withColumns({"short": inner("short"), "long": inner("long")}).drop("head", "tail")
+
+
 def near_pairs(distinct: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
-    """``(a, b)``: distinct lines within the threshold, their places as ``place_a``, ``place_b``.
+    """``(place_a, place_b, line_a, line_b, check_a, check_b)``: distinct lines within the threshold of each other.
 
-    distinct: ``(line, place, text, length, letters)``, laid out by line.
+    distinct: ``(line, check, place, text, length, letters)``.
     """
-    sized = distinct.select("line", "text", "length", "letters")
-    every = min(SAMPLED, hot)
-    drawn = sized.where(F.pmod("line", F.lit(every)) == 0).select(F.explode(_keys(filed(F.col("text"), F.col("length"), threshold))).alias("key"))
+    sized, parts, every = distinct.select("line", "text", "length", "letters"), threshold + 1, min(SAMPLED, hot)
+    drawn = _cut(sized.where(F.pmod("line", F.lit(every)) == 0), filed(threshold), parts)
     busy = written(drawn.groupBy("key").count().where(F.col("count") >= hot // every).select("key"), "lines-hot")
     busy = None if busy.isEmpty() else busy
-    index = _side(sized, filed, threshold, busy).select(F.col("line").alias("a"), F.col("letters").alias("of_a"), "key")
-    probes = _side(sized, probed, threshold, busy).select(F.col("line").alias("b"), F.col("letters").alias("of_b"), "key")
+    index = _side(sized, filed(threshold), parts, busy).select(F.col("line").alias("a"), F.col("letters").alias("of_a"), "key")
+    probes = _side(sized, probed(threshold), parts, busy).select(F.col("line").alias("b"), F.col("letters").alias("of_b"), "key")
     # lines that share a segment but differ in more letters than the threshold allows are told apart inside the join; two of
     # one length probe each other, and once is enough
     other_length = _count(F.col("of_a"), len(COUNTED)) != _count(F.col("of_b"), len(COUNTED))
     alike = (index["key"] == probes["key"]) & (letters_apart(F.col("of_a"), F.col("of_b")) <= 2 * threshold)
     pairs = index.join(probes, alike & ((F.col("a") < F.col("b")) | (other_length & (F.col("a") != F.col("b"))))).select("a", "b").distinct()
     pairs = written(pairs, "lines-pairs")
-    side = lambda x: distinct.select(F.col("line").alias(x), F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
-    # the texts stay where they are laid out, and the pairs of each part are hashed rather than all its texts sorted
-    met = side("b").join(side("a").join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
+    # the texts of the lines in pairs alone; the join is broadcast where that list is small
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-asked")
+    texts = written(distinct.join(asked, "line").select("line", "check", "place", "text"), "lines-texts", "zstd")
+    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in texts.columns])
+    met = pairs.join(side("a"), F.col("a") == F.col("line_a")).join(side("b"), F.col("b") == F.col("line_b")).drop("a", "b")
     swap = F.length("text_b") < F.length("text_a")
-    short, long = F.when(swap, F.col("text_b")).otherwise(F.col("text_a")), F.when(swap, F.col("text_a")).otherwise(F.col("text_b"))
-    met = met.where(F.abs(F.length("text_b") - F.length("text_a")) <= threshold)
+    met = met.withColumns({"short": F.when(swap, F.col("text_b")).otherwise(F.col("text_a")), "long": F.when(swap, F.col("text_a")).otherwise(F.col("text_b"))})
+    met = _differing(met.drop("text_a", "text_b").where(F.length("long") - F.length("short") <= threshold), threshold)
+    # written, as a filter would pull all of this into itself once for every use
+    met = written(met, "lines-differing", "zstd")
     # the code points are bound first: an expression inside a lambda is evaluated at each of its steps
-    edits = _let(F.split(short, ""), lambda s: _let(F.split(long, ""), lambda t: banded_distance(s, t, threshold)))
-    met = met.withColumn("edits", edits)
-    return met.where(F.col("edits") <= threshold).select("a", "b", "place_a", "place_b")
+    edits = _let(F.split("short", ""), lambda s: _let(F.split("long", ""), lambda t: banded_distance(s, t, threshold)))
+    return met.withColumn("edits", edits).where(F.col("edits") <= threshold).drop("edits", "short", "long")
 
 
 # ---- operator -----------------------------------------------------------------------------------------------------------
@@ -209,29 +222,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with one id are one document for the order of lines: an equal line at an equal number of theirs is the same line.
     Ids are whole numbers; null ids come first. Null and empty texts have no lines that go. ``min_chars`` must exceed twice
-    the threshold. Other columns are not read. Should two different lines share a 64-bit hash, neither goes.
+    the threshold. Other columns are not read. Lines are told apart by their texts, and named by two hashes of 96 bits.
     """
-    lines = lines_of(docs, id_col, text_col)
-    spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines, spark = lines_of(docs, id_col, text_col), docs.sparkSession
+    own = ["line", "check"]
     with scratch(spark):
-        # one row per distinct line, laid out by line, so that joins by line need not move texts again
-        check = F.hash("text")
-        first = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.max("text").alias("text"), F.min(check).alias("c"), F.max(check).alias("d"))
-        first = first.where("c = d").drop("c", "d").withColumns({"length": F.length("text"), "letters": letters(F.col("text"))})
-        path = work_path(spark, "lines-distinct")
-        name = "lines_" + path.rsplit("-", 1)[1]
-        with tidy(spark):
-            first.write.option("path", path).option("compression", "zstd").bucketBy(parts, "line").saveAsTable(name)
-        try:
-            distinct = spark.table(name)
-            pairs = written(near_pairs(distinct.where(F.col("length") >= min_chars), threshold, hot), "lines-near")
-            later = F.when((F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a"))
-            near = written(pairs.select(later.alias("line")).distinct(), "lines-later")
-            known = distinct.select("line", "place", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near")
-            known = written(known.select("line", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-known", keep=True)
-        finally:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-    met = lines.select("line", "place", "doc", "number").join(known, "line").where("near OR place <> first")
+        distinct = lines.groupBy(*own, "text").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+        distinct = written(distinct.withColumns({"length": F.length("text"), "letters": letters(F.col("text"))}), "lines-distinct", "zstd")
+        pairs = written(near_pairs(distinct.where(F.col("length") >= min_chars), threshold, hot), "lines-near")
+        b_later = (F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("line_a") < F.col("line_b")))
+        near = pairs.select(*[F.when(b_later, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in own]).distinct()
+        near = written(near.withColumn("near", F.lit(True)), "lines-later")
+        known = distinct.select(*own, "place", "n").join(near, own, "left").where("n > 1 OR near")
+        known = written(known.select(*own, F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-known", keep=True)
+    met = lines.drop("text").join(known, own).where("near OR place <> first")
     return met.select("doc", "number", (F.col("near") & (F.col("place") == F.col("first"))).alias("near"))
 
 
@@ -269,5 +273,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = own.join(per_doc, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
     text = F.col(f"row.{text_col}")
     left = _let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
-    met = met.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))).where(F.col("gone").isNull() | F.col("left").rlike(WORD))
+    met = met.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))).where(F.col("gone").isNull() | (F.ltrim("left", F.lit(SPACES)) != ""))
     return met.select(*[(F.col("left") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -109,8 +109,3 @@ def test_ids_must_be_whole_numbers(spark):
     with pytest.raises(TypeError):
         lines.report(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
-
-def test_no_table_is_left(spark, sf_dir):
-    before = {t.name for t in spark.catalog.listTables()}
-    lines.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
-    assert {t.name for t in spark.catalog.listTables()} == before
