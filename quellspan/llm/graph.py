@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.session import written
+from quellspan.session import scratch, written
 
 
 def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -20,13 +20,14 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     before = None
     for _ in range(most_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large")
-        large = written(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-up"
-        )
-        nearest = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
-        down = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = written(down.unionByName(nearest.withColumnRenamed("m", "v")).distinct(), f"{name}-down")
+        with scratch(links.sparkSession):
+            least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large")
+            large = written(
+                both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-up"
+            )
+            nearest = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+            down = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            stars = written(down.unionByName(nearest.withColumnRenamed("m", "v")).distinct(), f"{name}-down", keep=True)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

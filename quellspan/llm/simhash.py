@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quellspan.llm.graph import components
-from quellspan.session import written
+from quellspan.session import scratch, written
 
 LONG_RUN = 64
 BLOCK = 512
@@ -179,10 +179,11 @@ def links(distinct: DataFrame, max_distance: int = 2, pivots: int = 16) -> DataF
 
 def _rooted(marked: DataFrame, max_distance: int, pivots: int) -> DataFrame:
     """``(fp, root, least)`` per fingerprint of ``marked(id, fp)``: the smallest fingerprint that links reach, and its own smallest id."""
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    linked = written(components(links(distinct, max_distance, pivots), "simhash"), "simhash-roots")
-    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    return written(rooted, "simhash-rooted")
+    with scratch(marked.sparkSession):
+        distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+        linked = written(components(links(distinct, max_distance, pivots), "simhash"), "simhash-roots")
+        rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        return written(rooted, "simhash-rooted", keep=True)
 
 
 def near_duplicates(
@@ -194,9 +195,10 @@ def near_duplicates(
     like any other; repeated rows give repeated result rows; other columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle_words, seed), "simhash")
-    rooted = _rooted(marked, max_distance, pivots)
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    with scratch(docs.sparkSession):
+        rooted = _rooted(marked, max_distance, pivots)
+        least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+        named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named", keep=True)
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -275,13 +277,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, overlap: f
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "hashes"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = written(distinct.join(asked, "node").select("node", F.col("least.key").alias("key")), "simhash-asked")
-    texts = rows.select(F.col("row.key").alias("key"), F.col("text").cast("binary").alias("text")).join(asked, "key").dropDuplicates(["node"])
-    sets = written(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("all"))
-    return written(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= overlap).select("a", "b"), "simhash-verified")
+    with scratch(rows.sparkSession):
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = written(distinct.join(asked, "node").select("node", F.col("least.key").alias("key")), "simhash-asked")
+        texts = rows.select(F.col("row.key").alias("key"), F.col("text").cast("binary").alias("text")).join(asked, "key").dropDuplicates(["node"])
+        sets = written(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
+        shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("all"))
+        return written(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= overlap).select("a", "b"), "simhash-verified", keep=True)
 
 
 def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: int = 42) -> DataFrame:
@@ -291,23 +294,25 @@ def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: i
     held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then all pairs of
     a bucket that are still apart. So a pair that shares a band is missed only beyond ``WIDE`` bits.
     """
-    marked = written(_sketched(rows, shingle_words, seed), "simhash")
-    distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-distinct")
-    bucket = Window.partitionBy("bucket")
-    banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp").alias("x"))
-    shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
-    first = written(_pairs(shared.where(_near("x", "y", overlap))), "simhash-first")
-    stars = _verified(first, rows, distinct, overlap, shingle_words, seed)
-    roots = written(components(stars, "simhash-stars"), "simhash-near")
-    parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
-    open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
-    open_ = written(open_, "simhash-open")
-    other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"))
-    rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap))
-    second = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-second")
-    linked = stars.unionByName(_verified(second, rows, distinct, overlap, shingle_words, seed))
-    linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
-    return distinct.join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "least")
+    with scratch(rows.sparkSession):
+        marked = written(_sketched(rows, shingle_words, seed), "simhash")
+        distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-distinct")
+        bucket = Window.partitionBy("bucket")
+        banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp").alias("x"))
+        shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
+        first = written(_pairs(shared.where(_near("x", "y", overlap))), "simhash-first")
+        stars = _verified(first, rows, distinct, overlap, shingle_words, seed)
+        roots = written(components(stars, "simhash-stars"), "simhash-near")
+        parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
+        open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
+        open_ = written(open_, "simhash-open")
+        other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"))
+        rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap))
+        second = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-second")
+        linked = stars.unionByName(_verified(second, rows, distinct, overlap, shingle_words, seed))
+        linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
+        rooted = distinct.join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "least")
+        return written(rooted, "simhash-rooted", keep=True)
 
 
 def deduplicate(
@@ -320,11 +325,14 @@ def deduplicate(
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), _row_key(id_col, text_col).alias("key"))
     own = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    if overlap is None:
-        rooted = _rooted(written(fingerprints(own, "row", "text", shingle_words, seed), "simhash"), max_distance, pivots)
-    else:
-        rooted = overlapping(own, overlap, shingle_words, seed)
-    heads = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_head")), "simhash-heads")
-    once = Window.partitionBy("_key").orderBy(F.lit(1))
-    kept = docs.withColumn("_key", _row_key(id_col, text_col)).join(heads, F.col("_key") == F.col("_head"), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    with scratch(docs.sparkSession):
+        if overlap is None:
+            rooted = _rooted(written(fingerprints(own, "row", "text", shingle_words, seed), "simhash"), max_distance, pivots)
+        else:
+            rooted = overlapping(own, overlap, shingle_words, seed)
+        heads = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("head")), "simhash-heads", keep=True)
+    # the row travels as one value, so that no column of its own can clash
+    kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _row_key(id_col, text_col).alias("key"))
+    kept = kept.join(heads, F.col("key") == F.col("head"), "left_semi")
+    once = Window.partitionBy("key").orderBy(F.lit(1))
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
