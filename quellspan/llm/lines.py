@@ -235,7 +235,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = written(near.withColumn("near", F.lit(True)), "lines-later")
         known = distinct.select(*own, "place", "n").join(near, own, "left").where("n > 1 OR near")
         known = written(known.select(*own, F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-known", keep=True)
-    met = lines.drop("text").join(known, own).where("near OR place <> first")
+    met = lines.drop("text").join(known.hint("merge"), own).where("near OR place <> first")
     return met.select("doc", "number", (F.col("near") & (F.col("place") == F.col("first"))).alias("near"))
 
 
@@ -270,7 +270,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         per_doc = written(gone.groupBy("doc").agg(F.collect_set("number").alias("gone")), "lines-gone", keep=True)
     # the row travels as one value, so that no column of its own can clash
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    met = own.join(per_doc, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
+    met = own.join(per_doc.hint("merge"), F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
     text = F.col(f"row.{text_col}")
     left = _let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
     met = met.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))).where(F.col("gone").isNull() | (F.ltrim("left", F.lit(SPACES)) != ""))
