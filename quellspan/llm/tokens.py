@@ -35,7 +35,7 @@ class Encoder:
     """Ids of whole texts from the tokenizers library; each distinct stretch between spaces is encoded once per worker.
 
     The pre-tokenizer never joins what stands before a single space to what follows it, so a text may be cut there. Texts in
-    which a space touches other white space are encoded in one piece.
+    which a space touches other white space, or that hold a special token's string, are encoded in one piece.
     """
 
     _kept: dict = {}
@@ -53,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -89,13 +89,15 @@ class Encoder:
         values, used = list(map(self.cache.get, distinct)), np.zeros(len(distinct), bool)
         used[place[~first]] = True
         new = [distinct[i] for i in np.flatnonzero(used).tolist() if values[i] is None]
-        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special)]
         self._learn(list(set(new).difference(odd)))
         self.cache.update(dict.fromkeys(odd, b""))  # at an empty value a text can't be cut
         values = [v if v is not None or not u else self.cache[p] for p, v, u in zip(distinct, values, used.tolist())]
         blocked = np.fromiter((v == b"" for v in values), bool, len(values))
         whole = np.zeros(n, bool)
         whole[own[blocked[place] & ~first]] = True
+        for s in self.special:
+            whole |= pc.match_substring(texts.fill_null(""), s).to_numpy(zero_copy_only=False)
         heads = [self._ids(texts[i].as_py()) if whole[i] else self._ids(distinct[place[at]]) for i, at in enumerate(edges[:-1].tolist())]
         place[first] = len(distinct) + np.arange(n)
         kept = first | ~whole[own]
