@@ -100,16 +100,16 @@ LUHN = Check(_luhn, _sql_luhn)
 
 def _mod_97(v: Column) -> Column:
     """Remainder of the rearranged account number, letter by letter."""
-    chars = _chars(F.concat(F.substring(F.regexp_replace(v, " ", ""), 5, 64), F.substring(v, 1, 4)))
+    chars = _chars(F.concat(F.substring(F.regexp_replace(v, "[^0-9A-Za-z]", ""), 5, 64), F.substring(v, 1, 4)))
     return F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
 
 
 def _sql_mod_97(v: str) -> str:
-    moved = f"substr(replace({v}, ' ', ''), 5) || substr({v}, 1, 4)"
+    moved = f"substr(regexp_replace({v}, '[^0-9A-Za-z]', '', 'g'), 5) || substr({v}, 1, 4)"
     return f"list_reduce({_sql_chars(moved)}, lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97)"
 
 
-IBAN = Check(lambda v: F.coalesce((F.length(F.regexp_replace(v, " ", "")).between(15, 34)) & (_mod_97(v) == 1), F.lit(False)), lambda v: f"coalesce(length(replace({v}, ' ', '')) BETWEEN 15 AND 34 AND {_sql_mod_97(v)} = 1, FALSE)")
+IBAN = Check(lambda v: F.coalesce((F.length(F.regexp_replace(v, "[^0-9A-Za-z]", "")).between(15, 34)) & (_mod_97(v) == 1), F.lit(False)), lambda v: f"coalesce(length(regexp_replace({v}, '[^0-9A-Za-z]', '', 'g')) BETWEEN 15 AND 34 AND {_sql_mod_97(v)} = 1, FALSE)")
 
 
 def _de_tax(v: Column) -> Column:
@@ -145,12 +145,16 @@ def _part(v: Column, sep: str, i: int) -> Column:
     return F.get(F.split(v, sep), F.lit(i)).try_cast("int")
 
 
+#: Numbers that were printed as samples, and those of one digit.
+NO_SSN = "^(078-05-1120|219-09-9999|457-55-5462|" + "|".join(f"{d * 3}-{d * 2}-{d * 4}" for d in "123456789") + ")$"
+
+
 def _ssn(v: Column) -> Column:
     area, group, serial = (_part(v, "-", i) for i in range(3))
-    return F.coalesce(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), F.lit(False))
+    return F.coalesce(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0) & ~v.rlike(NO_SSN), F.lit(False))
 
 
-US_SSN = Check(_ssn, lambda v: "(SELECT coalesce(a BETWEEN 1 AND 899 AND a <> 666 AND g > 0 AND s > 0, FALSE) FROM (SELECT " + ", ".join(f"TRY_CAST(string_split({v}, '-')[{i}] AS INTEGER) AS {n}" for i, n in ((1, "a"), (2, "g"), (3, "s"))) + "))")
+US_SSN = Check(_ssn, lambda v: "(SELECT coalesce(a BETWEEN 1 AND 899 AND a <> 666 AND g > 0 AND s > 0 AND NOT " + f"regexp_matches({v}, '{NO_SSN}')" + ", FALSE) FROM (SELECT " + ", ".join(f"TRY_CAST(string_split({v}, '-')[{i}] AS INTEGER) AS {n}" for i, n in ((1, "a"), (2, "g"), (3, "s"))) + "))")
 
 
 def _routable(v: Column) -> Column:

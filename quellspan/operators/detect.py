@@ -37,7 +37,7 @@ def _text(x: str) -> str:
 
 def cut_by(rule: Rule, order: int, text: Column) -> Column:
     """What the rule asks of a span, as data, and the text cut at the rule's values."""
-    near = f"(?:^|[^a-z])(?:{'|'.join(rule.near)})" if rule.near else ""
+    near = f"(?:^|[^a-z])(?:{'|'.join(rule.near)})(?:[^a-z]|$)" if rule.near else ""
     ask = F.expr(f"named_struct('priority', {order}, 'rule', {_text(rule.id)}, 'type', {_text(rule.type)}, 'after', {_text(rule.after)}, 'near', {_text(near)})")
     pieces = marked(text, rule.before, rule.value)
     return F.struct(ask.alias("ask"), (F.when(gate(rule, text), pieces).otherwise(F.array().cast("array<string>")) if rule.keywords or rule.folded else pieces).alias("pieces"))

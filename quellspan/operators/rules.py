@@ -34,6 +34,7 @@ class Rule:
 
 
 B62, B64, URL64, HEX = "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]", "[0-9a-f]"
+UUID = f"{HEX}{{8}}(?:-{HEX}{{4}}){{3}}-{HEX}{{12}}"
 
 
 def token(id: str, value: str, *keywords: str, **more) -> Rule:
@@ -71,19 +72,20 @@ TOKENS = (
     token("mailchimp-api-key", rf"{HEX}{{32}}-us[0-9]{{1,2}}", "-us"),
     token("mailgun-key", rf"key-{HEX}{{32}}", "key-"),
     token("twilio-api-key", rf"SK{HEX}{{32}}", "SK"),
-    token("telegram-bot-token", rf"[0-9]{{8,10}}:AA{URL64}{{33}}", ":AA"),
-    token("discord-bot-token", rf"[MNO]{B64.replace('+/', '_-')}{{23,25}}\.{URL64}{{6}}\.{URL64}{{27,38}}", "."),
+    token("telegram-bot-token", rf"[0-9]{{5,16}}:A{URL64}{{33,34}}", ":A"),
+    token("discord-bot-token", rf"[MNO]{B64.replace('+/', '_-')}{{23,27}}\.{URL64}{{6}}\.{URL64}{{27,38}}", "."),
     token("shopify-token", rf"shp(?:at|ca|pa|ss)_{HEX}{{32}}", "shpat_", "shpca_", "shppa_", "shpss_"),
     token("digitalocean-token", rf"do[opr]_v1_{HEX}{{64}}", "_v1_"),
     token("databricks-token", rf"dapi{HEX}{{32}}", "dapi"),
     token("dropbox-short-lived-token", rf"sl\.{URL64}{{130,152}}", "sl."),
-    token("fireworks-api-key", rf"fw_{B62}{{22,24}}", "fw_", checks=(checks.MIXED,)),
+    token("fireworks-api-key", rf"fw_{B62}{{20,40}}", "fw_", checks=(checks.MIXED,)),
     token("firecrawl-api-key", rf"fc-{HEX}{{32}}", "fc-"),
     token("deepseek-api-key-bare", rf"sk-{HEX}{{32}}", "sk-"),
     token("elevenlabs-api-key-bare", rf"sk_{HEX}{{48}}", "sk_"),
-    token("infisical-service-token", rf"st\.{HEX}{{24}}\.{HEX}{{32}}\.{HEX}{{32}}", "st."),
-    token("asana-personal-access-token", rf"[0-2]/[0-9]{{15,17}}(?:/[0-9]{{15,17}})?:{HEX}{{32}}", "/"),
-    token("salesforce-session-id", r"00D[0-9A-Za-z]{12,15}![0-9A-Za-z._]{60,120}", "00D"),
+    token("infisical-service-token", rf"st\.{UUID}\.{HEX}{{32}}(?:\.{HEX}{{32}})?", "st."),
+    token("infisical-service-token-hex", rf"st\.{HEX}{{24}}\.{HEX}{{32}}(?:\.{HEX}{{32}})?", "st."),
+    token("asana-personal-access-token", rf"[12]/[0-9]{{13,16}}(?:/[0-9]{{13,16}})?:{HEX}{{32}}", "/"),
+    token("salesforce-session-id", r"00D[0-9A-Za-z]{12,15}![0-9A-Za-z._]{79,}[0-9A-Za-z_]", "00D"),
     token("sonarqube-token", rf"sq[apu]_{HEX}{{40}}", "sqa_", "sqp_", "squ_"),
     token("tailscale-key", rf"tskey-[a-z]+-{B62}+-{B62}+", "tskey-"),
     token("hashicorp-vault-token", rf"hv[bs]\.{URL64}{{24,200}}", "hvs.", "hvb."),
@@ -93,8 +95,9 @@ TOKENS = (
     token("paseto-token", rf"v[1-4]\.(?:local|public)\.{URL64}{{32,}}", ".local.", ".public."),
     token("paserk-secret-key", rf"k[1-4]\.(?:secret|local)\.{URL64}{{40,}}", ".secret.", ".local."),
     token("json-web-token", rf"eyJ{URL64}{{10,}}\.eyJ{URL64}{{10,}}\.{URL64}{{10,}}", "eyJ"),
-    token("k3s-join-token", rf"K10{HEX}{{64}}::(?:server|node):{B62}{{16,}}", "K10"),
-    token("bitwarden-sm-access-token", rf"0\.{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}\.{B62}{{30}}:{B64}{{22}}==", "0.", after=""),
+    token("k3s-join-token", rf"K10{HEX}{{64}}::[0-9A-Za-z._-]{{1,64}}:[0-9A-Za-z._-]{{7,}}{URL64}", "K10"),
+    token("microsoft-account-refresh-token", r"M\.C[0-9]{3}_[A-Z]{2,4}\.[0-9A-Za-z!*$.-]{99,}[0-9A-Za-z*$-]", "M.C"),
+    token("bitwarden-sm-access-token", rf"0\.{UUID}\.{B62}{{30}}:{B64}{{22}}==", "0.", after=""),
     token("crypto-extended-private-key", r"[xyz]prv[1-9A-HJ-NP-Za-km-z]{107}", "prv"),
     token("ntlmssp-message", rf"TlRMTVNTUAA[DCB]{B64}{{20,}}=*", "TlRMTVNTUAA", after=""),
     Rule("bitlocker-recovery-key", "SECRET", r"[0-9]{6}(?:-[0-9]{6}){7}", after="[0-9-]", checks=(checks.BITLOCKER,), keywords=("-",)),
@@ -104,15 +107,15 @@ TOKENS = (
 LABELLED = (
     labelled("token-assignment", 'token = "', rf"{HEX}{{16,}}", "token = "),
     labelled("url-query-secret", r"[?&](?:access_token|api_?key|auth|secret|sig|token)=", r"[^&\s\"'<>#]{8,}", "?", "&", checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("url-password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:", r"[^\s/@\"']{3,80}", "://", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("url-password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:", r"[^\s/@\"']{3,}", "://", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
     labelled("auth-scheme", r"(?i)authorization:? ?[\"']?:? ?[\"']?(?:bearer|basic|token) ", r"[0-9A-Za-z._~+/=-]{16,}", folded=("authorization",)),
-    labelled("label-netrc-password", r"machine \S{1,80} login \S{1,80} password ", r"\S{4,80}", "machine "),
-    labelled("label-redis-auth", r"(?:^|\n)AUTH ", r"\S{8,80}", "AUTH "),
-    labelled("wifi-qr-password", r"WIFI:[^\n]{0,60}P:", r"[^;\n]{4,63}", "WIFI:"),
-    labelled("odbc-braced-password", r"(?i)(?:pwd|password)=\{", r"[^}\n]{4,80}", "={"),
+    labelled("label-netrc-password", r"machine \S{1,80} login \S{1,80} password ", r"\S{4,}", "machine "),
+    labelled("label-redis-auth", r"(?:^|\n)AUTH ", r"\S{8,}", "AUTH "),
+    labelled("wifi-qr-password", r"WIFI:[^\n]{0,60}P:", r"[^;\n]{4,}", "WIFI:"),
+    labelled("odbc-braced-password", r"(?i)(?:pwd|password)=\{", r"[^}\n]{4,}", "={"),
     labelled("label-aws-session-token", r"(?i)aws_session_token[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{60,}}=*", folded=("session_token",)),
     labelled("aws-secret-access-key", r"(?i)aws_?secret_?access_?key[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{40}}", folded=("secret",), after="[0-9A-Za-z+/]"),
-    labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,80}", folded=("pass", "pwd", "secret", "key"), checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
+    labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,}", folded=("pass", "pwd", "secret", "key"), checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
 )
 
 REGIONAL = (
@@ -123,18 +126,19 @@ REGIONAL = (
     number("pl-pesel", "PL_PESEL", r"[0-9]{11}", checks.PL_PESEL, "pl", "pesel"),
     number("es-nif", "ES_NIF", r"[0-9]{7,8}-?[A-Z]", checks.ES_NIF, "es", "nif", "dni"),
     number("es-nie", "ES_NIE", r"[XYZ]-?[0-9]{7}-?[A-Z]", checks.ES_NIF, "es", "nie"),
-    number("de-tax-id", "DE_TAX_ID", r"[1-9][0-9](?: ?[0-9]{3}){3}", checks.DE_TAX_ID, "de", "steuer", "idnr", "tin"),
-    number("de-document", "DE_ID_CARD", r"[CFGHJKLMNPRTVWXYZ0-9]{9}[0-9]", checks.DE_DOCUMENT, "de", "ausweis", "reisepass", "passport"),
+    number("de-tax-id", "DE_TAX_ID", r"[1-9][0-9](?: ?[0-9]{3}){3}", checks.DE_TAX_ID, "de", "steuer", "steuernummer", "steuer-id", "steueridentifikationsnummer", "steuerliche", "identifikationsnummer", "idnr", "tin"),
+    number("de-document", "DE_ID_CARD", r"[CFGHJKLMNPRTVWXYZ0-9]{9}[0-9]", checks.DE_DOCUMENT, "de", "ausweis", "ausweisnummer", "personalausweis", "personalausweisnummer", "reisepass", "reisepassnummer", "passport"),
     number("ch-ahv", "CH_AHV", r"756\.?[0-9]{4}\.?[0-9]{4}\.?[0-9]{2}", checks.CH_AHV, "ch"),
     number("ch-uid", "CH_UID", r"CHE-?[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}", checks.CH_UID, "ch"),
-    number("at-social-security", "AT_SOCIAL_SECURITY", r"[0-9]{4} ?[0-9]{6}", checks.AT_SOCIAL_SECURITY, "at", "svnr", "sozialversicherung"),
-    number("se-organisation", "SE_ORGANISATIONSNUMMER", r"[0-9]{6}-[0-9]{4}", checks.SE_ORGANISATION, "se", "org"),
+    number("at-social-security", "AT_SOCIAL_SECURITY", r"[1-9][0-9]{3} ?[0-9]{6}", checks.AT_SOCIAL_SECURITY, "at", "svnr", "sv-nr", "sozialversicherung", "sozialversicherungsnummer"),
+    number("se-organisation", "SE_ORGANISATIONSNUMMER", r"[0-9]{6}-[0-9]{4}", checks.SE_ORGANISATION, "se", "org", "orgnr", "organisationsnummer", "organisation"),
     number("au-abn", "AU_ABN", r"[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}", checks.AU_ABN, "au", "abn"),
 )
 
 PERSONAL = (
     Rule("card", "CARD", r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}", before="(?:^|[^0-9])", after="[0-9]", checks=(checks.LUHN,), band="personal"),
-    Rule("iban", "IBAN", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(checks.IBAN,), band="personal"),
+    Rule("iban", "IBAN", r"[A-Z]{2}[0-9]{2}(?:[  -]?[A-Z0-9]{4}){2,7}(?:[  -]?[A-Z0-9]{1,3})?", before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(checks.IBAN,), band="personal"),
+    Rule("iban-lowercase", "IBAN", r"[a-z]{2}[0-9]{2}[a-z0-9]{11,30}", before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(checks.IBAN,), near=("iban", "konto", "account", "cuenta", "compte"), band="personal"),
     Rule("ipv4", "IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", before="(?:^|[^0-9.])", after="[0-9]", checks=(checks.PUBLIC_IPV4,), band="personal"),
     Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", before="(?:^|[^A-Za-z0-9._%+-])", keywords=("@",), checks=(checks.PERSON_EMAIL,), band="personal"),
     Rule("phone", "PHONE", r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}", before="(?:^|[^0-9A-Za-z+])", after="[0-9]", keywords=("+",), checks=(checks.PHONE_DIGITS,), band="personal"),

@@ -122,3 +122,37 @@ def test_labels_in_any_case(spark):
         mine = docs.where(F.col("want") == rule)
         got = {r.text for r in detect.candidate_rows(mine, "text", "wanted", rules=chosen(ids={rule})).where("value = wanted").collect()}
         assert got == {r.text for r in mine.collect()}, rule
+
+
+def _values(spark, rule, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = {r.id: r.value for r in detect.candidate_rows(rows, "id", rules=chosen(ids=(rule,))).collect()}
+    return [found.get(i) for i in range(len(texts))]
+
+
+def test_long_values_are_whole(spark):
+    """No rest of a value is left behind a mask."""
+    long = "aB3dE6gH9kL" * 15
+    assert _values(spark, "keyword-assignment", f'password = "{long}"') == [long]
+    assert _values(spark, "label-redis-auth", f"AUTH {long}\n") == [long]
+    assert _values(spark, "odbc-braced-password", f"pwd={{{long}}}") == [long]
+    assert _values(spark, "wifi-qr-password", f"WIFI:S:x;P:{long};") == [long]
+
+
+def test_context_words_are_whole(spark):
+    assert _values(spark, "us-aba-routing", "abandon 021000021", "aba 021000021") == [None, "021000021"]
+
+
+def test_shapes(spark):
+    h = "0123456789abcdef"
+    uuid = "01234567-89ab-cdef-0123-456789abcdef"
+    good, hexed = f"st.{uuid}.{h * 2}", f"st.{h}{h[:8]}.{h * 2}"
+    assert _values(spark, "infisical-service-token", good, hexed) == [good, None]
+    assert _values(spark, "infisical-service-token-hex", hexed, good) == [hexed, None]
+    token = "12345:A" + "b" * 33
+    assert _values(spark, "telegram-bot-token", token, token[:-1]) == [token, None]
+    asana = f"1/1234567890123:{h * 2}"
+    assert _values(spark, "asana-personal-access-token", asana, "0" + asana[1:]) == [asana, None]
+    assert _values(spark, "us-ssn", "ssn 078-05-1120", "ssn 111-11-1111", "ssn 536-22-1234") == [None, None, "536-22-1234"]
+    assert _values(spark, "iban", "DE89-3704-0044-0532-0130-00", "DE89 3704 0044 0532 0130 00") == ["DE89-3704-0044-0532-0130-00", "DE89 3704 0044 0532 0130 00"]
+    assert _values(spark, "iban-lowercase", "iban de89370400440532013000", "de89370400440532013000") == ["de89370400440532013000", None]
