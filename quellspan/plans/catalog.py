@@ -10,7 +10,7 @@ from quellspan.functions import checks
 from quellspan.operators import detect, lookups, masking, records, reports
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle
-from quellspan.session import spread, table
+from quellspan.session import spread, table, written
 
 FLAGSHIP = "all_findings_resolved"
 QUERIES: dict = {}
@@ -73,9 +73,9 @@ def _core(spark, sf_dir, *keep):
     return detect.findings(_documents(spark, sf_dir), "doc_id", *keep, rules=CORE)
 
 
-@query("findings_by_type", f"{_CORE} SELECT type, rule, count(*) AS n, count(DISTINCT doc_id) AS texts FROM findings GROUP BY type, rule")
+@query("findings_by_type", f"{_FOUND} SELECT type, rule, count(*) AS n, count(DISTINCT doc_id) AS texts FROM findings GROUP BY type, rule")
 def findings_by_type(spark, sf_dir):
-    return _core(spark, sf_dir).groupBy("type", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("texts"))
+    return detect.findings(_documents(spark, sf_dir), "doc_id").groupBy("type", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("texts"))
 
 
 @query("findings_by_lang_source", f"{_CORE} SELECT lang, source, type, count(*) AS n FROM findings JOIN documents USING (doc_id) GROUP BY lang, source, type")
@@ -131,13 +131,13 @@ def entropy_by_token(spark, sf_dir):
 
 @query(
     "masked_documents",
-    f"""{_CORE},
+    f"""{_FOUND},
 cut AS (SELECT doc_id, body, "start", type, "end", lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY "start") AS before FROM findings JOIN source USING (doc_id)),
 out AS (SELECT doc_id, string_agg(substr(body, before + 1, "start" - before) || '⟦' || type || '⟧', '' ORDER BY "start") || substr(any_value(body), max("end") + 1) AS masked, count(*) AS n FROM cut GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(length(coalesce(masked, text)) AS BIGINT) AS chars, sha256(coalesce(masked, text)) AS digest FROM documents LEFT JOIN out USING (doc_id)""",
 )
 def masked_documents(spark, sf_dir):
-    out = detect.with_findings(_documents(spark, sf_dir), rules=CORE).withColumn("masked", masking.masked(F.col("text"), F.col("findings")))
+    out = detect.with_findings(_documents(spark, sf_dir)).withColumn("masked", masking.masked(F.col("text"), F.col("findings")))
     return out.select("doc_id", F.size("findings").cast("long").alias("n"), F.length("masked").cast("long").alias("chars"), F.sha2("masked", 256).alias("digest"))
 
 
@@ -165,11 +165,12 @@ def reference_assignment(spark, sf_dir):
     return masking.numbered(_core(spark, sf_dir), _KEY)
 
 
-@query("allow_list_anti_join", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE sha256(value) NOT IN (SELECT sha256(value) FROM findings WHERE doc_id % 2 = 0)")
+@query("allow_list_anti_join", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE sha256(value) NOT IN (SELECT sha256(value) FROM findings JOIN labels USING (doc_id) WHERE quality = 1)")
 def allow_list_anti_join(spark, sf_dir):
-    """Values that some even document holds are allowed everywhere."""
-    found = _core(spark, sf_dir)
-    allowed = found.where("doc_id % 2 = 0").select(F.sha2("value", 256).alias("digest")).distinct()
+    """Values of documents that are labelled good are allowed everywhere."""
+    found = written(_core(spark, sf_dir), "allow-list")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    allowed = found.join(good, "doc_id", "left_semi").select(F.sha2("value", 256).alias("digest")).distinct()
     return detect.without_values(found, allowed).select("doc_id", "start", "type")
 
 
@@ -179,19 +180,24 @@ def audit_verdicts(spark, sf_dir):
     return reports.verdicts(_core(spark, sf_dir, "source"), ("token-assignment", "card"))
 
 
+_LOOSE = replace(_DIGITS, id="loose-card", type="CARD", value="[0-9][0-9 -]{11,21}[0-9]", before="(?:^|[^0-9])", after="[0-9]", band="personal")
+_CARD = by_id("card")
+
+
 @query(
     "span_scoring",
-    f"""{_CORE}, truth AS (SELECT doc_id, "start", "end" - CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS "end", type FROM findings WHERE doc_id % 5 > 0), found AS (SELECT * FROM findings WHERE doc_id % 4 > 0),
-per AS (SELECT t.type, max(CASE WHEN f.start = t.start AND f."end" = t."end" THEN 2 WHEN f.start IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM truth t LEFT JOIN found f ON t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end" GROUP BY t.type, t.doc_id, t.start, t."end"),
+    f"""WITH truth AS (WITH {oracle.findings_sql(_CARD)} SELECT * FROM findings), loose AS (WITH {oracle.findings_sql((_LOOSE,))} SELECT * FROM findings),
+per AS (SELECT t.type, max(CASE WHEN f.start = t.start AND f."end" = t."end" THEN 2 WHEN f.start IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM truth t LEFT JOIN loose f ON t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end" GROUP BY t.type, t.doc_id, t.start, t."end"),
 hits AS (SELECT type, count(*) FILTER (hit = 2) AS exact, count(*) FILTER (hit = 1) AS partial, count(*) FILTER (hit = 0) AS missed FROM per GROUP BY type),
-wrong AS (SELECT type, count(*) AS false_findings FROM found f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end") GROUP BY type)
+wrong AS (SELECT type, count(*) AS false_findings FROM loose f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end") GROUP BY type)
 SELECT type, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(false_findings, 0) AS false_findings FROM hits FULL JOIN wrong USING (type)""",
 )
 def span_scoring(spark, sf_dir):
-    """The scorer against a truth that lacks some findings, cuts others short and has some that weren't found."""
-    found = _core(spark, sf_dir)
-    truth = found.where("doc_id % 5 > 0").withColumn("end", F.col("end") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0))
-    return reports.scored(found.where("doc_id % 4 > 0"), truth, "doc_id")
+    """Any run of digits of a card's length, scored against the card numbers that pass their check."""
+    docs = _documents(spark, sf_dir)
+    truth = written(detect.findings(docs, "doc_id", rules=_CARD), "scoring-truth")
+    found = written(detect.findings(docs, "doc_id", rules=(_LOOSE,)), "scoring-found")
+    return reports.scored(found, truth, "doc_id")
 
 
 # ---- other tables and records -------------------------------------------------------------------------------------------
@@ -217,11 +223,12 @@ def term_dictionary_hits(spark, sf_dir):
     return lookups.term_hits(_documents(spark, sf_dir), "doc_id", "text", spark.createDataFrame(list(_TERMS), "label string, term string"), 2)
 
 
-@query("imported_value_hits", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE value IN (SELECT value FROM findings WHERE doc_id < 500)")
+@query("imported_value_hits", f"{_CORE} SELECT doc_id, \"start\", type FROM findings WHERE value IN (SELECT value FROM findings JOIN labels USING (doc_id))")
 def imported_value_hits(spark, sf_dir):
-    """Values of one part of the corpus, imported, found in all of it."""
-    found = _core(spark, sf_dir)
-    return lookups.value_hits(found, found.where("doc_id < 500").select("value")).select("doc_id", "start", "type")
+    """Values of the labelled documents, imported, found in all of them."""
+    found = written(_core(spark, sf_dir), "imported")
+    values = found.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("value")
+    return lookups.value_hits(found, values).select("doc_id", "start", "type")
 
 
 @query(
@@ -254,7 +261,9 @@ def normalised_hits(spark, sf_dir):
 
 @query("decoded_run_hits")
 def decoded_run_hits(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.size(records.decoded_runs(F.col("text"))).alias("runs")).where("runs > 0")
+    """Findings of the readable texts behind base64 runs, with the run's number."""
+    runs = _documents(spark, sf_dir).select("doc_id", F.posexplode(records.decoded_runs(F.col("text"))).alias("run", "text"))
+    return detect.findings(runs, "doc_id", "run", rules=CORE).drop("value")
 
 
 @query("session_rate_limit", "SELECT event_id, uses, uses > 20 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS uses FROM events)")

@@ -19,7 +19,7 @@ def rule_sql(rule: Rule, order: int, table: str, key: str) -> str:
         ok.append(f"NOT regexp_matches(substr(body, x.end + 1, 1), {quoted(rule.after)})")
     if rule.near:
         around = f"lower(substr(body, greatest(x.start - {BEFORE}, 0) + 1, x.start - greatest(x.start - {BEFORE}, 0)) || ' ' || substr(body, x.end + 1, {AFTER}))"
-        ok.append(f"regexp_matches({around}, {quoted(f'(?:^|[^a-z])(?:{chr(124).join(rule.near)})')})")
+        ok.append(f"regexp_matches({around}, {quoted(f'(?:^|[^a-z])(?:{chr(124).join(rule.near)})(?:[^a-z]|$)')})")
     return f"""SELECT {key}, {order} AS priority, x.start AS "start", x.end AS "end", '{rule.id}' AS rule, '{rule.type}' AS type, value
 FROM (SELECT *, x.value AS value FROM (SELECT {key}, body, unnest({sql_spans("body", rule.before, rule.value)}) AS x FROM {table} WHERE {gate}))
 WHERE {" AND ".join(ok) or "TRUE"}"""
