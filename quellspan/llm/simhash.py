@@ -34,6 +34,9 @@ WIDE = 24
 #: MinHash values, of all in the bands, that differ in four mixed bits: at Jaccard 0.8 19 of 100 are expected, with a deviation
 #: of 3.9, so that 0.0004 of such pairs differ in more; of a pair at 0.6, 38 are.
 APART, IN_LONG = 32, 16
+#: Further MinHash values, held where pairs of one bucket are many, and how many of all may differ: 64 of 340 are expected at
+#: Jaccard 0.8, with a deviation of 7.2, so that 0.0003 of such pairs differ in more; of a pair at 0.7, 96 are.
+MORE, APART_IN_ALL = 240, 88
 
 
 def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
@@ -249,15 +252,15 @@ def _low_bits(least: np.ndarray) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """``(row, node, n, fp, low, bands)`` per row of ``rows(row, text)``: a hash of its set of shingles, their number,
-    fingerprint, low bits of MinHash values and bands."""
+    """``(row, node, n, fp, low, more, bands)`` per row of ``rows(row, text)``: a hash of its set of shingles, their number,
+    fingerprint, low bits of the MinHash values in bands and of further ones, and bands."""
     from xxhash import xxh64_intdigest
 
-    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * IN_BAND + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, fps, low, bands = [], [], [], [], []
+            nodes, sizes, fps, low, more, bands = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle_words, seed)
                 ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -265,28 +268,33 @@ def _sketched(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
                 sizes.append(len(hashes))
                 fps.append(int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big"))
                 least = _least(hashes, factors)
-                low.append(_low_bits(least))
-                bands.append(_bands(least) if len(hashes) else hashes.view(np.int64))
+                low.append(_low_bits(least[: BANDS * IN_BAND]))
+                more.append(_low_bits(least[BANDS * IN_BAND :]))
+                bands.append(_bands(least[: BANDS * IN_BAND]) if len(hashes) else hashes.view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            edges = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
-            lists = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            lows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, low)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *low])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sizes, pa.int32()), signed[1], lows, lists], ["row", "node", "n", "fp", "low", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (low, more, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sizes, pa.int32()), signed[1], *lists], ["row", "node", "n", "fp", "low", "more", "bands"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", F.col("text").cast("binary")).mapInArrow(run, f"row {kind}, node long, n int, fp long, low array<long>, bands array<long>")
+    return rows.select("row", F.col("text").cast("binary")).mapInArrow(run, f"row {kind}, node long, n int, fp long, low array<long>, more array<long>, bands array<long>")
 
 
-def _near(a: str, b: str, overlap: float):
-    """Whether two sketches can belong to sets of that overlap: by their sizes, which is exact, their fingerprints and low bits."""
+def _apart(a: str, b: str, values: int):
+    """How many of ``values`` MinHash values differ in their low bits, told from two columns of :func:`_low_bits`."""
     apart = F.lit(0)
-    for k in range(-(-BANDS * IN_BAND // IN_LONG)):
-        x = F.get(f"{a}.low", F.lit(k)).bitwiseXOR(F.get(f"{b}.low", F.lit(k)))
+    for k in range(-(-values // IN_LONG)):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         # a bit for each four that aren't all zero
         half = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         apart = apart + F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return apart
+
+
+def _near(a: str, b: str, overlap: float):
+    """Whether two sketches can belong to sets of that overlap: by their sizes, which is exact, their fingerprints and low bits."""
     sizes = F.least(f"{a}.n", f"{b}.n") / F.greatest(f"{a}.n", f"{b}.n") >= overlap
-    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & sizes & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= WIDE) & (apart <= APART)
+    wide = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= WIDE
+    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & sizes & wide & (_apart(f"{a}.low", f"{b}.low", BANDS * IN_BAND) <= APART)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -317,11 +325,12 @@ def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: i
 
     Sets that share ``overlap`` of their union link, and groups are what links reach. Candidates share a band. First each is
     held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then all pairs of
-    a bucket that are still apart. So a pair that shares a band is missed only beyond ``WIDE`` bits or ``APART`` values.
+    a bucket that are still apart, which ``MORE`` values tell apart further. So a pair that shares a band is missed only beyond
+    ``WIDE`` bits, ``APART`` values of the bands or ``APART_IN_ALL`` of all.
     """
     with scratch(rows.sparkSession):
         marked = written(_sketched(rows, shingle_words, seed), "simhash")
-        distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low"), F.first("bands").alias("bands")), "simhash-distinct")
+        distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in ("low", "more", "bands")]), "simhash-distinct")
         bucket = Window.partitionBy("bucket")
         banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp", "low").alias("x"))
         shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
@@ -330,9 +339,11 @@ def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: i
         roots = written(components(stars, "simhash-stars"), "simhash-near")
         parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
         open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
-        open_ = written(open_, "simhash-open")
-        other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"))
-        rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap))
+        # few rows stay open; only they carry the further values
+        open_ = written(open_.join(distinct.select("node", "more"), F.col("x.node") == F.col("node")).drop("node"), "simhash-open")
+        other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"), F.col("more").alias("_more"))
+        in_all = _apart("x.low", "y.low", BANDS * IN_BAND) + _apart("more", "_more", MORE) <= APART_IN_ALL
+        rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap) & in_all)
         second = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-second")
         linked = stars.unionByName(_verified(second, rows, distinct, overlap, shingle_words, seed))
         linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
