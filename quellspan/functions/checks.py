@@ -17,6 +17,21 @@ class Check:
     column: Callable[[Column], Column]
     sql: Callable[[str], str]
 
+    def __and__(self, other: Check) -> Check:
+        return Check(lambda v: self.column(v) & other.column(v), lambda v: f"({self.sql(v)} AND {other.sql(v)})")
+
+    def __or__(self, other: Check) -> Check:
+        return Check(lambda v: self.column(v) | other.column(v), lambda v: f"({self.sql(v)} OR {other.sql(v)})")
+
+
+def shaped(pattern: str) -> Check:
+    """The value, or a part of it, matches."""
+    return Check(lambda v: v.rlike(pattern), lambda v: f"regexp_matches({v}, '{pattern}')")
+
+
+def unlike(pattern: str) -> Check:
+    return Check(lambda v: ~v.rlike(pattern), lambda v: f"NOT regexp_matches({v}, '{pattern}')")
+
 
 # ---- digits -------------------------------------------------------------------------------------------------------------
 
@@ -68,19 +83,90 @@ def weighted(weights, modulus: int, good: Callable[[Column], Column], sql_good:
 
 ZERO = (lambda r: r == 0, "{r} = 0")
 
-#: Routing number of a bank: weights 3, 7, 1.
-US_ABA = weighted((3, 7, 1) * 3, 10, *ZERO)
+#: One digit over and over passes most sums and is a placeholder.
+VARIED = unlike("^(" + "|".join(f"[{d} -]+" for d in range(10)) + ")$")
+
+
+def closed(weights, modulus: int, sign: int = 1, offset: int = 0, fold: bool = False, read=(lambda v: v, lambda v: v)) -> Check:
+    """The digit behind the weighted ones is ``offset + sign * sum`` modulo ``modulus``; ``read`` turns the value into digits first."""
+    n = len(weights)
+
+    def column(v):
+        d = digits_of(read[0](v))
+        product = F.zip_with(F.slice(d, 1, n), F.array(*map(F.lit, weights)), lambda x, w: x * w)
+        if fold:
+            product = F.transform(product, lambda p: F.floor(p / 10) + p % 10)
+        total = F.aggregate(product, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.coalesce((F.size(d) == n + 1) & (F.pmod(total * sign + offset, F.lit(modulus)) == F.get(d, F.lit(n))), F.lit(False))
+
+    def sql(v):
+        term = f"d[i] * {list(weights)}[i]"
+        if fold:
+            term = f"({term}) // 10 + ({term}) % 10"
+        total = f"list_sum(list_transform(range(1, {n + 1}), lambda i: {term}))"
+        return f"(SELECT coalesce(len(d) = {n + 1} AND ((({total}) * {sign} + {offset}) % {modulus} + {modulus}) % {modulus} = d[{n + 1}], FALSE) FROM (SELECT {sql_digits(read[1](v))} AS d))"
+
+    return Check(column, sql)
+
+
+def _lettered(at: int):
+    """Reads a value whose character ``at`` (from 1) is a letter as digits: A is 01, Z is 26."""
+
+    def column(v):
+        c = F.regexp_replace(F.upper(v), "[^0-9A-Z]", "")
+        return F.concat(F.substring(c, 1, at - 1), F.lpad((F.ascii(F.substring(c, at, 1)) - 64).cast("string"), 2, "0"), F.substring(c, at + 1, 64))
+
+    def sql(v):
+        c = f"regexp_replace(upper({v}), '[^0-9A-Z]', '', 'g')"
+        return f"(substr({c}, 1, {at - 1}) || lpad(CAST(ascii(substr({c}, {at}, 1)) - 64 AS VARCHAR), 2, '0') || substr({c}, {at + 1}))"
+
+    return column, sql
+
+
+#: Pension insurance: area, birth date, first letter of the name, serial, check digit.
+DE_SOCIAL_SECURITY = closed((2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1), 10, fold=True, read=_lettered(9))
+#: Health insurance: a letter, eight digits, a check digit.
+DE_HEALTH_INSURANCE = closed((1, 2) * 5, 10, fold=True, read=_lettered(1))
+#: Physicians: the seventh digit closes the first six, the last two name the field.
+DE_LANR = closed((4, 9) * 3, 10, sign=-1, read=(lambda v: F.substring(v, 1, 7), lambda v: f"substr({v}, 1, 7)")) & VARIED
+#: Practices: an area from 01 to 99 and a serial; no check digit.
+DE_BSNR = unlike("^00") & VARIED
+#: Value-added tax in Austria: the Luhn sum of seven digits from 96.
+AT_UID = closed((1, 2) * 3 + (1,), 10, sign=-1, offset=96, fold=True)
+#: Number plates of the form in use: an age from 02 to 29 or 51 to 79.
+UK_VEHICLE = shaped("^[A-Z]{2}(0[2-9]|[12][0-9]|5[1-9]|[67][0-9])")
+
+#: What a digit or letter counts at an odd place of the Italian tax code.
+IT_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+
+
+def _it_code(v: Column) -> Column:
+    """Sixteen characters; the last is the letter at the sum of the others modulo 26."""
+    c = _chars(v)
+    odd = F.array(*map(F.lit, IT_ODD))
+    each = F.transform(F.slice(c, 1, 15), lambda x, i: F.when(i % 2 == 0, F.get(odd, x)).when(x > 9, x - 10).otherwise(x))
+    total = F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.coalesce((F.size(c) == 16) & (total % 26 == F.get(c, F.lit(15)) - 10), F.lit(False))
+
+
+IT_FISCAL_CODE = Check(
+    _it_code,
+    lambda v: f"(SELECT coalesce(len(c) = 16 AND list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {list(IT_ODD)}[c[i] + 1] WHEN c[i] > 9 THEN c[i] - 10 ELSE c[i] END)) % 26 = c[16] - 10, FALSE) FROM (SELECT {_sql_chars(v)} AS c))",
+)
+
+#: Routing number of a bank: weights 3, 7, 1, and a first pair that is in use.
+US_ABA = weighted((3, 7, 1) * 3, 10, *ZERO) & shaped("^(0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)") & VARIED
 #: Health number: weights 10 to 1, so that the check digit closes the sum.
-UK_NHS = weighted(range(10, 0, -1), 11, *ZERO)
+UK_NHS = weighted(range(10, 0, -1), 11, *ZERO) & VARIED
 PL_PESEL = weighted((1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1), 10, *ZERO)
 #: Social security number with country prefix 756: the check digit of an EAN-13.
 CH_AHV = weighted((1, 3) * 6 + (1,), 10, *ZERO)
 #: Business number: weights 5 4 3 2 7 6 5 4, the check digit closes modulo 11.
 CH_UID = weighted((5, 4, 3, 2, 7, 6, 5, 4, 1), 11, *ZERO)
 AT_SOCIAL_SECURITY = weighted((3, 7, 9, -1, 5, 8, 4, 2, 1, 6), 11, *ZERO)
-SE_ORGANISATION = weighted((2, 1) * 4 + (2, 1), 10, *ZERO, fold=True)
-#: Document numbers of identity cards and passports: weights 7 3 1 over letters and digits.
-DE_DOCUMENT = weighted((7, 3, 1) * 3 + (-1,), 10, *ZERO, chars=True)
+SE_ORGANISATION = weighted((2, 1) * 4 + (2, 1), 10, *ZERO, fold=True) & shaped("^[0-9]{2}[2-9]")
+#: Document numbers of identity cards and passports: the nine printed characters, or those and a digit, weights 7 3 1.
+DE_DOCUMENT = weighted((7, 3, 1) * 3 + (-1,), 10, *ZERO, chars=True) | shaped("^.{9}$")
 #: Provider number: Luhn over the prefix 80840, which adds 24.
 US_NPI = weighted((2, 1) * 5, 10, lambda r: (r + 24) % 10 == 0, "({r} + 24) % 10 = 0", fold=True)
 AU_ABN = weighted((10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19), 89, lambda r: r == 10, "{r} = 10")
@@ -112,13 +198,25 @@ def _sql_mod_97(v: str) -> str:
 IBAN = Check(lambda v: F.coalesce((F.length(F.regexp_replace(v, "[^0-9A-Za-z]", "")).between(15, 34)) & (_mod_97(v) == 1), F.lit(False)), lambda v: f"coalesce(length(regexp_replace({v}, '[^0-9A-Za-z]', '', 'g')) BETWEEN 15 AND 34 AND {_sql_mod_97(v)} = 1, FALSE)")
 
 
+def _closes_11_10(d: Column, n: int) -> Column:
+    """Whether digit ``n`` of the array is the modulo 11, 10 check of those before it."""
+    step = lambda p, x: F.when((p + x) % 10 == 0, 20).otherwise(2 * ((p + x) % 10)) % 11
+    return (11 - F.aggregate(F.slice(d, 1, n - 1), F.lit(10), step)) % 10 == F.get(d, F.lit(n - 1))
+
+
+def _de_vat(v: Column) -> Column:
+    d = digits_of(v)
+    return F.coalesce((F.size(d) == 9) & _closes_11_10(d, 9), F.lit(False))
+
+
+DE_VAT_ID = Check(_de_vat, lambda v: f"(SELECT coalesce(len(d) = 9 AND (11 - list_reduce(list_prepend(10, d[1:8]), lambda p, x: CASE WHEN (p + x) % 10 = 0 THEN 20 ELSE 2 * ((p + x) % 10) END % 11)) % 10 = d[9], FALSE) FROM (SELECT {sql_digits(v)} AS d))")
+
+
 def _de_tax(v: Column) -> Column:
     """Eleven digits, the last a modulo 11, 10 check; one digit of the first ten occurs twice or three times."""
     d = digits_of(v)
-    step = lambda p, x: F.when((p + x) % 10 == 0, 20).otherwise(2 * ((p + x) % 10)) % 11
-    product = F.aggregate(F.slice(d, 1, 10), F.lit(10), step)
     distinct = F.size(F.array_distinct(F.slice(d, 1, 10)))
-    return F.coalesce((F.size(d) == 11) & (F.get(d, F.lit(0)) != 0) & distinct.isin(8, 9) & ((11 - product) % 10 == F.get(d, F.lit(10))), F.lit(False))
+    return F.coalesce((F.size(d) == 11) & (F.get(d, F.lit(0)) != 0) & distinct.isin(8, 9) & _closes_11_10(d, 11), F.lit(False))
 
 
 DE_TAX_ID = Check(_de_tax, lambda v: f"(SELECT coalesce(len(d) = 11 AND d[1] <> 0 AND len(list_distinct(d[1:10])) IN (8, 9) AND (11 - list_reduce(list_prepend(10, d[1:10]), lambda p, x: CASE WHEN (p + x) % 10 = 0 THEN 20 ELSE 2 * ((p + x) % 10) END % 11)) % 10 = d[11], FALSE) FROM (SELECT {sql_digits(v)} AS d))")
@@ -185,6 +283,9 @@ PUBLIC_IPV4 = Check(
 RESERVED_DOMAIN = r"(?i)[@.](example\.(com|org|net)|[a-z0-9-]+\.(test|example|invalid|localhost|local))$"
 PERSON_EMAIL = Check(lambda v: ~v.rlike(RESERVED_DOMAIN), lambda v: f"NOT regexp_matches({v}, '{RESERVED_DOMAIN}')")
 
+#: The same of an address whose at sign is written as %40.
+PERSON_EMAIL_ENCODED = Check(lambda v: PERSON_EMAIL.column(F.replace(v, F.lit("%40"), F.lit("@"))), lambda v: PERSON_EMAIL.sql(f"replace({v}, '%40', '@')"))
+
 PHONE_DIGITS = Check(
     lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15) & ~F.regexp_replace(v, "[^0-9]", "").rlike("^1?8(00|33|44|55|66|77|88)"),
     lambda v: f"(length(regexp_replace({v}, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 AND NOT regexp_matches(regexp_replace({v}, '[^0-9]', '', 'g'), '^1?8(00|33|44|55|66|77|88)'))",

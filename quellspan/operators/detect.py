@@ -15,13 +15,14 @@ FINDING = "array<struct<priority:int,start:bigint,end:bigint,rule:string,type:st
 BEFORE, AFTER = 80, 40
 
 
-def gate(rule: Rule, text: Column) -> Column:
-    """Whether the text can hold the rule's value: one of its keywords occurs."""
+def gate(rule: Rule, text: Column, low: Column | None = None) -> Column:
+    """Whether the text can hold the rule's value: one of its keywords occurs. ``low``: the text in lower case."""
+    low = F.lower(text) if low is None else low
     held = F.lit(not (rule.keywords or rule.folded))
     for k in rule.keywords:
         held = held | text.contains(k)
     for k in rule.folded:
-        held = held | F.lower(text).contains(k)
+        held = held | low.contains(k)
     return held
 
 
@@ -35,12 +36,12 @@ def _text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def cut_by(rule: Rule, order: int, text: Column) -> Column:
+def cut_by(rule: Rule, order: int, text: Column, low: Column | None = None) -> Column:
     """What the rule asks of a span, as data, and the text cut at the rule's values."""
     near = f"(?:^|[^a-z])(?:{'|'.join(rule.near)})(?:[^a-z]|$)" if rule.near else ""
     ask = F.expr(f"named_struct('priority', {order}, 'rule', {_text(rule.id)}, 'type', {_text(rule.type)}, 'after', {_text(rule.after)}, 'near', {_text(near)})")
     pieces = marked(text, rule.before, rule.value)
-    return F.struct(ask.alias("ask"), (F.when(gate(rule, text), pieces).otherwise(F.array().cast("array<string>")) if rule.keywords or rule.folded else pieces).alias("pieces"))
+    return F.struct(ask.alias("ask"), (F.when(gate(rule, text, low), pieces).otherwise(F.array().cast("array<string>")) if rule.keywords or rule.folded else pieces).alias("pieces"))
 
 
 def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into: str = "candidates") -> DataFrame:
@@ -50,7 +51,8 @@ def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into:
     """
     order, text = priority(rules), F.col("_clean")
     out = df.withColumn("_clean", unmarked(F.col(text_col)))
-    out = out.withColumn("_cut", F.array(*[cut_by(r, order[r.id], text) for r in rules]))
+    out = out.withColumn("_low", F.lower(text))
+    out = out.withColumn("_cut", F.array(*[cut_by(r, order[r.id], text, F.col("_low")) for r in rules]))
     asked = {c: [r.id for r in rules if c in r.checks] for c in dict.fromkeys(c for r in rules for c in r.checks)}
 
     def spans_of(r):
@@ -66,7 +68,7 @@ def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into:
     found = F.flatten(F.transform(F.filter("_cut", lambda r: F.size(r["pieces"]) > 1), spans_of))
     if asked:
         found = F.filter(found, lambda x: reduce(and_, [~x["rule"].isin(ids) | check.column(x["value"]) for check, ids in asked.items()]))
-    return out.withColumn(into, found).drop("_clean", "_cut")
+    return out.withColumn(into, found).drop("_clean", "_low", "_cut")
 
 
 def with_findings(df: DataFrame, text_col: str = "text", rules=CATALOG, into: str = "findings") -> DataFrame:

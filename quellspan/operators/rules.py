@@ -48,7 +48,7 @@ def labelled(id: str, label: str, value: str, *keywords: str, **more) -> Rule:
 
 
 def number(id: str, type: str, value: str, check: Check, region: str, *near: str) -> Rule:
-    return Rule(id, type, value, before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(check,), near=near, band="regional", region=region)
+    return Rule(id, type, value, before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(check,), near=near, folded=near, band="regional", region=region)
 
 
 TOKENS = (
@@ -100,6 +100,53 @@ TOKENS = (
     token("bitwarden-sm-access-token", rf"0\.{UUID}\.{B62}{{30}}:{B64}{{22}}==", "0.", after=""),
     token("crypto-extended-private-key", r"[xyz]prv[1-9A-HJ-NP-Za-km-z]{107}", "prv"),
     token("ntlmssp-message", rf"TlRMTVNTUAA[DCB]{B64}{{20,}}=*", "TlRMTVNTUAA", after=""),
+    token("gitlab-runner-token", rf"gl(?:rt|dt|ptt|ft|cbt)-{URL64}{{20,40}}", "glrt-", "gldt-", "glptt-", "glft-", "glcbt-"),
+    token("linear-api-key", rf"lin_api_{B62}{{40}}", "lin_api_"),
+    token("notion-api-token", rf"ntn_{B62}{{43,46}}", "ntn_"),
+    token("postman-api-token", rf"PMAK-{HEX}{{24}}-{HEX}{{34}}", "PMAK-"),
+    token("doppler-api-token", rf"dp\.(?:pt|st|ct|sa|scim|audit)\.{URL64}{{40,60}}", "dp."),
+    token("dynatrace-api-token", r"dt0[a-z][0-9]{2}\.[A-Z0-9]{24}\.[A-Z0-9]{64}", "dt0"),
+    token("grafana-service-account-token", rf"glsa_{B62}{{32}}_[0-9A-Fa-f]{{8}}", "glsa_"),
+    token("grafana-cloud-api-token", rf"glc_{B64}{{32,400}}={{0,2}}", "glc_", after=""),
+    token("planetscale-token", r"pscale_(?:tkn|oauth|pw)_[0-9A-Za-z_.=-]{32,64}", "pscale_"),
+    token("pulumi-api-token", rf"pul-{HEX}{{40}}", "pul-"),
+    token("rubygems-api-token", rf"rubygems_{HEX}{{48}}", "rubygems_"),
+    token("readme-api-token", r"rdme_[a-z0-9]{70}", "rdme_"),
+    token("sendinblue-api-token", rf"xkeysib-{HEX}{{64}}-{B62}{{16}}", "xkeysib-"),
+    token("shippo-api-token", rf"shippo_(?:live|test)_{HEX}{{40}}", "shippo_"),
+    token("square-access-token", rf"sq0(?:atp|csp)-{URL64}{{22,43}}", "sq0atp-", "sq0csp-"),
+    token("hashicorp-tf-api-token", rf"{B62}{{14}}\.atlasv1\.{URL64}{{60,70}}", ".atlasv1."),
+    token("typeform-api-token", r"tfp_[0-9A-Za-z_.=-]{59}", "tfp_"),
+    token("prefect-api-token", r"pnu_[a-z0-9]{36}", "pnu_"),
+    token("perplexity-api-key", rf"pplx-{B62}{{48}}", "pplx-"),
+    token("replicate-api-token", rf"r8_{B62}{{37}}", "r8_"),
+    token("groq-api-key", rf"gsk_{B62}{{52}}", "gsk_"),
+    token("xai-api-key", rf"xai-{B62}{{80}}", "xai-"),
+    token("new-relic-user-api-key", r"NRAK-[A-Z0-9]{27}", "NRAK-"),
+    token("new-relic-insert-key", rf"NRII-{URL64}{{32}}", "NRII-"),
+    token("alibaba-access-key-id", rf"LTAI{B62}{{20}}", "LTAI"),
+    token("adafruit-api-key", rf"aio_{B62}{{28}}", "aio_"),
+    token("atlassian-api-token", rf"ATATT3{URL64}{{180,190}}(?:=[0-9A-F]{{8}})?", "ATATT3"),
+    token("airtable-personal-access-token", rf"pat{B62}{{14}}\.{HEX}{{64}}", "pat"),
+    token("heroku-api-key-v2", rf"HRKU-AA{URL64}{{58}}", "HRKU-AA"),
+    token("flyio-access-token", rf"fo1_{URL64}{{43}}", "fo1_"),
+    token("duffel-api-token", rf"duffel_(?:test|live)_{URL64}{{43}}", "duffel_"),
+    token("easypost-api-token", rf"EZ[AT]K{B62}{{54}}", "EZAK", "EZTK"),
+    token("frameio-api-token", rf"fio-u-{URL64}{{64}}", "fio-u-"),
+    token("scalingo-api-token", rf"tk-us-{URL64}{{48}}", "tk-us-"),
+    token("sentry-user-token", rf"sntryu_{HEX}{{64}}", "sntryu_"),
+    token("sentry-org-token", rf"sntrys_eyJ{B64}{{80,300}}={{0,2}}_{B64}{{43}}", "sntrys_eyJ"),
+    token("openshift-user-token", rf"sha256~{URL64}{{43}}", "sha256~"),
+    token("clojars-api-token", r"CLOJARS_[a-z0-9]{60}", "CLOJARS_"),
+    token("cloudflare-origin-ca-key", rf"v1\.0-{HEX}{{24}}-{HEX}{{146}}", "v1.0-"),
+    token("intra42-client-secret", rf"s-s4t2(?:ud|af)-{HEX}{{64}}", "s-s4t2"),
+    token("facebook-page-access-token", rf"EAA[MC]{B62}{{20,}}", "EAAM", "EAAC", checks=(checks.MIXED,)),
+    token("slack-webhook-url", rf"https://hooks\.slack\.com/(?:services|workflows|triggers)/{B64}{{43,60}}", "hooks.slack.com"),
+    token("discord-webhook-url", rf"https://(?:ptb\.|canary\.)?discord(?:app)?\.com/api/webhooks/[0-9]{{17,20}}/{URL64}{{60,80}}", "/api/webhooks/"),
+    token("convex-deploy-key", rf"(?:prod|dev|preview|project):[a-z0-9-]{{3,64}}\|eyJ2MiI6{B64}{{40,}}={{0,2}}", "eyJ2MiI6", after="[0-9A-Za-z+/=]"),
+    # fixed values: how the headers of these containers read in Base64
+    token("pkcs12-der-base64", rf"MII{B64}{{3}}IBAzCC{B64}{{200,}}={{0,2}}", "IBAzCC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]"),
+    token("rsa-pkcs8-key-der-base64", rf"MII{B64}{{3}}IBADANBgkqhkiG9w0BAQEFAASC{B64}{{200,}}={{0,2}}", "ANBgkqhkiG9w0BAQEFAASC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]"),
     Rule("bitlocker-recovery-key", "SECRET", r"[0-9]{6}(?:-[0-9]{6}){7}", after="[0-9-]", checks=(checks.BITLOCKER,), keywords=("-",)),
     Rule("private-key-pem", "SECRET", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]{40,}", before="", keywords=("PRIVATE KEY-----",)),
 )
@@ -115,6 +162,21 @@ LABELLED = (
     labelled("odbc-braced-password", r"(?i)(?:pwd|password)=\{", r"[^}\n]{4,}", "={"),
     labelled("label-aws-session-token", r"(?i)aws_session_token[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{60,}}=*", folded=("session_token",)),
     labelled("aws-secret-access-key", r"(?i)aws_?secret_?access_?key[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{40}}", folded=("secret",), after="[0-9A-Za-z+/]"),
+    labelled("url-password-no-user", "://:", r"[^\s:/?#@&\[\]\"']{3,}", "://:", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("oracle-jdbc-thin-password", "jdbc:oracle:thin:[A-Za-z0-9_$#]{1,30}/", r"[^@\s\"']{3,}", "jdbc:oracle:thin:", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("label-cli-password", r"(?i)[ \t]--?(?:[a-z0-9]+[-_])?(?:password|passwd|passphrase|pwd)[ \t]+[\"']?", r"[^\s\"'<>$|;&-][^\s\"'<>|;&]{3,}", folded=("passw", "passphrase", "pwd"), checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("label-mysql-p", r"(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|mariadb-dump)[ \t](?:[^\n|;&]{0,400}?[ \t])?-p[\"']?", r"[^\s\"'<>|;&]{3,}", "mysql", "mariadb", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("label-redis-cli-a", r"redis-cli[ \t](?:[^\n|;&]{0,400}?[ \t])?-a[ \t]+[\"']?", r"[^\s\"'<>|;&]{4,}", "redis-cli", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("secret-teams-meeting-passcode", r"teams\.microsoft\.com/meet/[0-9]{6,24}/?\?(?:[^\s#\"'<>]{0,400}&)?p=", f"{URL64}{{6,64}}", "teams.microsoft.com/meet/", after=URL64),
+    labelled("twilio-account-sid-labelled", r"(?i)(?:twilio|account_?sid|[^a-z]sid)[^\n]{0,40}?[^0-9a-z]", f"AC{HEX}{{32}}", "AC", after="[0-9A-Za-z]"),
+    labelled("auth-scheme-apikey", r"(?i)authorization[\"'\]]{0,2}[ \t]*[:=][ \t]*[\"'`]?apikey[ \t]+", r"[0-9A-Za-z+/_-]{8,}={0,2}", folded=("authorization",), checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("label-laravel-app-key", r"(?:^|\n)[ \t]*(?:export[ \t]+)?APP_KEY[ \t]*=[ \t]*[\"']?", f"base64:{B64}{{20,44}}={{0,2}}", "APP_KEY", after="[0-9A-Za-z+/=]"),
+    labelled("label-php-define-key", r"define[ \t]*\([ \t]*[\"'](?:[A-Z0-9]+_){0,6}(?:KEY|SALT|SECRET|TOKEN)[\"'][ \t]*,[ \t]*[\"']", r"[^\"'\n]{16,}", "define", checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
+    labelled("secret-add-mask", "::add-mask::", r"\S{4,}", "::add-mask::", checks=(checks.NOT_PLACEHOLDER,), channel="tool"),
+    labelled("secret-shared-access-key", "(?i)sharedaccesskey=", f"{B64}{{16,}}={{0,2}}", folded=("sharedaccesskey=",), checks=(checks.MIXED,), channel="tool"),
+    labelled("secret-postman-variable", r"\"key\" ?: ?\"[^\"\n]{0,40}(?:password|passwd|secret|token|api_?key)[^\"\n]{0,20}\" ?, ?\"value\" ?: ?\"", r"[^\"\n]{8,}", '"value"', checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5)), channel="tool"),
+    labelled("secret-hex48-after-token-word", r"(?i)(?:token|secret|code|key)[\"' :=]{1,4}", f"{HEX}{{48}}", folded=("token", "secret", "code", "key"), after="[0-9A-Za-z]", checks=(checks.MIXED,), channel="tool"),
+    labelled("aws-secret-after-access-key", r"(?:AKIA|ASIA)[0-9A-Z]{16}[^0-9A-Za-z](?:[^\n]{0,120}\n){0,4}?(?:[^\n]{0,120}?[^0-9A-Za-z/+=])??", f"{B64}{{40}}", "AKIA", "ASIA", after="[0-9A-Za-z/+=]", checks=(checks.unlike("^[0-9a-f]{40}$"),)),
     labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,}", folded=("pass", "pwd", "secret", "key"), checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
 )
 
@@ -127,11 +189,19 @@ REGIONAL = (
     number("es-nif", "ES_NIF", r"[0-9]{7,8}-?[A-Z]", checks.ES_NIF, "es", "nif", "dni"),
     number("es-nie", "ES_NIE", r"[XYZ]-?[0-9]{7}-?[A-Z]", checks.ES_NIF, "es", "nie"),
     number("de-tax-id", "DE_TAX_ID", r"[1-9][0-9](?: ?[0-9]{3}){3}", checks.DE_TAX_ID, "de", "steuer", "steuernummer", "steuer-id", "steueridentifikationsnummer", "steuerliche", "identifikationsnummer", "idnr", "tin"),
-    number("de-document", "DE_ID_CARD", r"[CFGHJKLMNPRTVWXYZ0-9]{9}[0-9]", checks.DE_DOCUMENT, "de", "ausweis", "ausweisnummer", "personalausweis", "personalausweisnummer", "reisepass", "reisepassnummer", "passport"),
+    number("de-document", "DE_ID_CARD", r"[CFGHJKLMNPRTVWXYZ0-9]{9}[0-9]?", checks.DE_DOCUMENT, "de", "ausweis", "ausweisnummer", "personalausweis", "personalausweisnummer", "reisepass", "reisepassnummer", "passport"),
     number("ch-ahv", "CH_AHV", r"756\.?[0-9]{4}\.?[0-9]{4}\.?[0-9]{2}", checks.CH_AHV, "ch"),
     number("ch-uid", "CH_UID", r"CHE-?[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}", checks.CH_UID, "ch"),
     number("at-social-security", "AT_SOCIAL_SECURITY", r"[1-9][0-9]{3} ?[0-9]{6}", checks.AT_SOCIAL_SECURITY, "at", "svnr", "sv-nr", "sozialversicherung", "sozialversicherungsnummer"),
     number("se-organisation", "SE_ORGANISATIONSNUMMER", r"[0-9]{6}-[0-9]{4}", checks.SE_ORGANISATION, "se", "org", "orgnr", "organisationsnummer", "organisation"),
+    number("de-social-security", "DE_SOCIAL_SECURITY", r"[0-9]{2} ?[0-9]{6} ?[A-Z] ?[0-9]{3}", checks.DE_SOCIAL_SECURITY, "de", "rentenversicherung", "rentenversicherungsnummer", "sozialversicherungsnummer", "versicherungsnummer", "svnr", "rvnr"),
+    number("de-health-insurance", "DE_HEALTH_INSURANCE", r"[A-Z][0-9]{9}", checks.DE_HEALTH_INSURANCE, "de", "krankenversicherung", "krankenversichertennummer", "krankenkasse", "versichertennummer", "kvnr"),
+    number("de-lanr", "DE_LANR", r"[0-9]{9}", checks.DE_LANR, "de", "lanr", "arztnummer"),
+    number("de-bsnr", "DE_BSNR", r"[0-9]{9}", checks.DE_BSNR, "de", "bsnr", "betriebsstättennummer", "betriebsstaettennummer"),
+    number("de-vat-id", "DE_VAT_ID", r"DE ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}", checks.DE_VAT_ID, "de", "ust-idnr", "ust-id", "ustid", "umsatzsteuer-id", "umsatzsteuer", "vat"),
+    number("at-uid", "AT_UID", r"ATU ?[0-9]{8}", checks.AT_UID, "at", "uid", "uid-nummer", "ust-id", "ust-idnr", "umsatzsteuer", "vat"),
+    number("it-fiscal-code", "IT_FISCAL_CODE", r"[A-Z]{6}[0-9L-NP-V]{2}[A-EHLMPRST][0-9L-NP-V]{2}[A-Z][0-9L-NP-V]{3}[A-Z]", checks.IT_FISCAL_CODE, "it", "codice fiscale", "fiscale", "cf"),
+    number("uk-vehicle-registration", "UK_VEHICLE_REGISTRATION", r"[A-Z]{2}[0-9]{2} ?[A-Z]{3}", checks.UK_VEHICLE, "uk", "vehicle", "registration", "plate", "reg", "vrm"),
     number("au-abn", "AU_ABN", r"[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}", checks.AU_ABN, "au", "abn"),
 )
 
@@ -142,6 +212,16 @@ PERSONAL = (
     Rule("ipv4", "IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", before="(?:^|[^0-9.])", after="[0-9]", checks=(checks.PUBLIC_IPV4,), band="personal"),
     Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", before="(?:^|[^A-Za-z0-9._%+-])", keywords=("@",), checks=(checks.PERSON_EMAIL,), band="personal"),
     Rule("phone", "PHONE", r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}", before="(?:^|[^0-9A-Za-z+])", after="[0-9]", keywords=("+",), checks=(checks.PHONE_DIGITS,), band="personal"),
+    Rule("email-percent-encoded", "EMAIL", r"[A-Za-z0-9._+-]{1,64}%40(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}", before="(?:^|%3[Dd]|%3[Aa]|[^A-Za-z0-9._+%-])", keywords=("%40",), checks=(checks.PERSON_EMAIL_ENCODED,), band="personal"),
+    Rule("phone-us-national", "PHONE", r"\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}", before="(?:^|[^0-9A-Za-z+])", after="[0-9A-Za-z]", checks=(checks.PHONE_DIGITS,), near=("phone", "telephone", "tel", "call", "mobile", "cell", "fax"), folded=("phone", "tel", "call", "mobile", "cell", "fax"), band="personal", region="us"),
+    Rule("phone-url-encoded", "PHONE", r"%2[Bb][1-9][0-9]{7,14}", before="(?:^|[^0-9A-Za-z])", after="[0-9]", keywords=("%2B", "%2b"), band="personal", channel="tool"),
+    Rule("birth-date-vcard-compact", "BIRTH_DATE", r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}", before=r"(?:^|\n)BDAY(?:;[^:\n]{0,40})?:", after="[0-9]", keywords=("BDAY",), band="personal", channel="tool"),
+    Rule("name-vcard-n", "NAME", r"[^\s;:][^\r\n:]{1,80}", before=r"(?:^|\n)F?N(?:;[^:\n]{0,40})?:", keywords=("BEGIN:VCARD",), band="personal", channel="tool"),
+    Rule("address-vcard-fields", "ADDRESS", r"[^\r\n]{5,200}", before=r"(?:^|\n)ADR(?:;[^:\n]{0,80})?:;*", after=r"[^\r\n]", keywords=("BEGIN:VCARD",), band="personal", channel="tool"),
+    Rule("address-jp-postcode", "ADDRESS", r"[0-9]{3}-[0-9]{4}", before="〒 ?", after="[0-9]", keywords=("〒",), band="personal", channel="tool"),
+    Rule("name-after-german-title", "NAME", r"[A-ZÄÖÜ][a-zäöüß]{1,30}(?:[ -][A-ZÄÖÜ][a-zäöüß]{1,30})?", before=r"(?:^|[^A-Za-z])(?:Herrn?|Frau) (?:Dr\. |Prof\. ){0,2}", keywords=("Herr", "Frau"), band="personal", region="de", channel="tool"),
+    Rule("id-number-after-label", "ID_NUMBER", r"[0-9][0-9-]{3,18}[0-9]", before=r"(?i)(?:customer|member|employee|patient|student|kunden|mitglieds|personal)[ _-]?(?:id|no\.?|number|nummer)[ ]?[:=#][ ]?", after="[0-9A-Za-z]", folded=("customer", "member", "employee", "patient", "student", "kunden", "mitglieds", "personal"), band="personal", channel="tool"),
+    Rule("user-in-url", "USERNAME", r"[A-Za-z][A-Za-z0-9._-]{1,31}", before="(?:ssh|sftp|ftp)://", after="[^@]", keywords=("ssh://", "ftp://"), band="personal", channel="tool"),
     Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", folded=("birth", "dob", "geburtsdatum", "geboren", "nacimiento", "naissance"), band="personal", channel="tool"),
     Rule("username-after-label", "USERNAME", r"[A-Za-z0-9._-]{3,40}", before=r"(?i)(?:user ?name|login|benutzername|usuario|utilisateur) ?[:=] ?", folded=("user", "login", "benutzername", "usuario", "utilisateur"), band="personal", channel="tool"),
     Rule("user-in-home-path", "USERNAME", r"[a-z_][a-z0-9_-]{1,31}", before="/home/", after="[A-Za-z0-9_]", keywords=("/home/",), band="personal", channel="tool"),
