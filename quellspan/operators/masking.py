@@ -19,6 +19,13 @@ def masked(text: Column, findings: Column) -> Column:
     return F.aggregate(findings, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
 
 
+def derived(value: Column) -> Column:
+    """The forms under which a value may stand elsewhere, as ``(form, value)``: Base64, hex and percent-encoded."""
+    raw = F.encode(value, "UTF-8")
+    forms = {"base64": F.base64(raw), "hex": F.lower(F.hex(raw)), "percent": F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))}
+    return F.array(*[F.struct(F.lit(k).alias("form"), v.alias("value")) for k, v in forms.items()])
+
+
 def fingerprint(value: Column, key: str) -> Column:
     """A keyed digest of a value; the value can't be told from it without the key."""
     return F.sha2(F.concat(F.sha2(F.concat(F.lit(key), value), 256), F.lit(key)), 256)

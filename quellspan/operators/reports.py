@@ -32,6 +32,20 @@ def scored(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     return hits.join(wrong, "type", "full").select("type", *[F.coalesce(c, zero).alias(c) for c in ("exact", "partial", "missed", "false_findings")])
 
 
+def rates(scores: DataFrame, least: int = 30) -> DataFrame:
+    """Precision, recall and F1 of :func:`scored` rows; null for types of fewer than ``least`` true spans, which tell too little."""
+    hit, true = F.col("exact") + F.col("partial"), F.col("exact") + F.col("partial") + F.col("missed")
+    told = F.when(true >= least, F.lit(1.0))
+    precision, recall = F.try_divide(hit * told, hit + F.col("false_findings")), F.try_divide(hit * told, true)
+    return scores.select("type", true.alias("spans"), precision.alias("precision"), recall.alias("recall")).withColumn("f1", F.try_divide(F.col("precision") * F.col("recall") * 2, F.col("precision") + F.col("recall")))
+
+
+def spread(findings: DataFrame, key: str, *over: str) -> DataFrame:
+    """Per value digest and type: uses, texts, the first and last text, and how many of each column of ``over`` hold it."""
+    counts = [F.count_distinct(c).alias(f"n_{c}") for c in (key, *over)]
+    return findings.groupBy(F.sha2("value", 256).alias("digest"), "type").agg(F.count(F.lit(1)).alias("uses"), *counts, F.min(key).alias("first_text"), F.max(key).alias("last_text"))
+
+
 def verdicts(findings: DataFrame, strong: tuple[str, ...]) -> DataFrame:
     """Per value digest: uses, texts, sources and a class: REAL by a strong rule, SPREAD in several texts, else SINGLE."""
     per = findings.groupBy(F.sha2("value", 256).alias("digest"), "type").agg(

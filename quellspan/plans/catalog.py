@@ -184,14 +184,14 @@ _LOOSE = replace(_DIGITS, id="loose-card", type="CARD", value="[0-9][0-9 -]{11,2
 _CARD = by_id("card")
 
 
-@query(
-    "span_scoring",
-    f"""WITH truth AS (WITH {oracle.findings_sql(_CARD)} SELECT * FROM findings), loose AS (WITH {oracle.findings_sql((_LOOSE,))} SELECT * FROM findings),
+_SCORES = f"""WITH truth AS (WITH {oracle.findings_sql(_CARD)} SELECT * FROM findings), loose AS (WITH {oracle.findings_sql((_LOOSE,))} SELECT * FROM findings),
 per AS (SELECT t.type, max(CASE WHEN f.start = t.start AND f."end" = t."end" THEN 2 WHEN f.start IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM truth t LEFT JOIN loose f ON t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end" GROUP BY t.type, t.doc_id, t.start, t."end"),
 hits AS (SELECT type, count(*) FILTER (hit = 2) AS exact, count(*) FILTER (hit = 1) AS partial, count(*) FILTER (hit = 0) AS missed FROM per GROUP BY type),
 wrong AS (SELECT type, count(*) AS false_findings FROM loose f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND f.start < t."end" AND t.start < f."end") GROUP BY type)
-SELECT type, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(false_findings, 0) AS false_findings FROM hits FULL JOIN wrong USING (type)""",
-)
+SELECT type, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(false_findings, 0) AS false_findings FROM hits FULL JOIN wrong USING (type)"""
+
+
+@query("span_scoring", _SCORES)
 def span_scoring(spark, sf_dir):
     """Any run of digits of a card's length, scored against the card numbers that pass their check."""
     docs = _documents(spark, sf_dir)
@@ -200,6 +200,31 @@ def span_scoring(spark, sf_dir):
     return reports.scored(found, truth, "doc_id")
 
 
+@query(
+    "span_rates",
+    f"""SELECT *, precision * recall * 2 / nullif(precision + recall, 0) AS f1 FROM (SELECT type, spans, CASE WHEN spans >= 10 THEN CAST(hit AS DOUBLE) / nullif(hit + false_findings, 0) END AS precision, CASE WHEN spans >= 10 THEN CAST(hit AS DOUBLE) / nullif(spans, 0) END AS recall
+FROM (SELECT *, exact + partial AS hit, exact + partial + missed AS spans FROM ({_SCORES})))""",
+)
+def span_rates(spark, sf_dir):
+    """Rates of the same scores, told from ten true spans on."""
+    return reports.rates(span_scoring(spark, sf_dir), 10)
+
+
+@query("value_spread", f"""{_FOUND} SELECT sha256(value) AS digest, type, count(*) AS uses, count(DISTINCT doc_id) AS n_doc_id, count(DISTINCT lang) AS n_lang, count(DISTINCT source) AS n_source, min(doc_id) AS first_text, max(doc_id) AS last_text FROM findings JOIN documents USING (doc_id) GROUP BY sha256(value), type""")
+def value_spread(spark, sf_dir):
+    """Where each value of the whole catalog occurs."""
+    return reports.spread(detect.findings(_documents(spark, sf_dir), "doc_id", "lang", "source"), "doc_id", "lang", "source")
+
+
+@query(
+    "derived_forms",
+    f"""{_FOUND} SELECT doc_id, "start", type, form, sha256(v) AS digest FROM (SELECT doc_id, "start", type, unnest(['base64', 'hex', 'percent']) AS form, unnest([to_base64(encode(value)), lower(hex(encode(value))), url_encode(value)]) AS v FROM findings)""",
+)
+def derived_forms(spark, sf_dir):
+    found = detect.findings(_documents(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "start", "type", F.explode(masking.derived(F.col("value"))).alias("x")).select("doc_id", "start", "type", "x.form", F.sha2("x.value", 256).alias("digest"))
+
+
 # ---- other tables and records -------------------------------------------------------------------------------------------
 
 
