@@ -37,6 +37,9 @@ APART, IN_LONG = 32, 16
 #: Further MinHash values, held where pairs of one bucket are many, and how many of all may differ: 64 of 340 are expected at
 #: Jaccard 0.8, with a deviation of 7.2, so that 0.0003 of such pairs differ in more; of a pair at 0.7, 96 are.
 MORE, APART_IN_ALL = 240, 88
+#: Rounds of an open bucket by differing values: first the pairs that are nearer than is expected at 0.8, of which many link.
+#: They join the parts that most of the wider pairs lie in, and pairs inside a part need no verification.
+ROUNDS = (64, APART_IN_ALL)
 
 
 def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
@@ -324,9 +327,9 @@ def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: i
     """``(root, least)`` per set of shingles in ``rows(row, text)``: its group, and the smallest row that has this set.
 
     Sets that share ``overlap`` of their union link, and groups are what links reach. Candidates share a band. First each is
-    held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then all pairs of
-    a bucket that are still apart, which ``MORE`` values tell apart further. So a pair that shares a band is missed only beyond
-    ``WIDE`` bits, ``APART`` values of the bands or ``APART_IN_ALL`` of all.
+    held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then the pairs of a
+    bucket whose parts are still apart, the nearest first (``ROUNDS``), which ``MORE`` values tell apart further. So a pair that
+    shares a band is missed only beyond ``WIDE`` bits, ``APART`` values of the bands or ``APART_IN_ALL`` of all.
     """
     with scratch(rows.sparkSession):
         marked = written(_sketched(rows, shingle_words, seed), "simhash")
@@ -335,17 +338,20 @@ def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: i
         banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp", "low").alias("x"))
         shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
         first = written(_pairs(shared.where(_near("x", "y", overlap))), "simhash-first")
-        stars = _verified(first, rows, distinct, overlap, shingle_words, seed)
-        roots = written(components(stars, "simhash-stars"), "simhash-near")
-        parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
-        open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
-        # few rows stay open; only they carry the further values
-        open_ = written(open_.join(distinct.select("node", "more"), F.col("x.node") == F.col("node")).drop("node"), "simhash-open")
-        other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"), F.col("more").alias("_more"))
-        in_all = _apart("x.low", "y.low", BANDS * IN_BAND) + _apart("more", "_more", MORE) <= APART_IN_ALL
-        rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap) & in_all)
-        second = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-second")
-        linked = stars.unionByName(_verified(second, rows, distinct, overlap, shingle_words, seed))
+        linked = _verified(first, rows, distinct, overlap, shingle_words, seed)
+        for least, most in zip((None, *ROUNDS), ROUNDS):
+            roots = written(components(linked, "simhash-parts"), "simhash-near")
+            parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
+            open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
+            # few rows stay open; only they carry the further values
+            open_ = written(open_.join(distinct.select("node", "more"), F.col("x.node") == F.col("node")).drop("node"), "simhash-open")
+            other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"), F.col("more").alias("_more"))
+            in_all = _apart("x.low", "y.low", BANDS * IN_BAND) + _apart("more", "_more", MORE)
+            # what is no further apart than the round before asked for was verified there, or is of one part since
+            asked = in_all <= most if least is None else (in_all <= most) & (in_all > least)
+            rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap) & asked)
+            further = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-further")
+            linked = linked.unionByName(_verified(further, rows, distinct, overlap, shingle_words, seed))
         linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
         rooted = distinct.join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "least")
         return written(rooted, "simhash-rooted", keep=True)
