@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, kneser_ney, lines, mixing, pieces, quality, simhash, tokens, vectors
+from quellspan.llm import brown, chat, kneser_ney, lines, merkle, mixing, pieces, quality, simhash, tokens, vectors
 from quellspan.session import table
 
 
@@ -169,5 +169,11 @@ drawn AS (
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0.0), 6) AS weight, probability, chance < probability AS kept FROM drawn"""
 
 
-QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, id_ = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    tampered = F.when(F.crc32(id_) % 3 == 0, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), shown={"text": tampered})
+
+
+QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash, "op11_merkle": op11_merkle}
 ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}
