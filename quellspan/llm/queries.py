@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellspan.llm import brown, chat, kneser_ney, lines, merkle, mixing, pieces, quality, simhash, tokens, toxicity, vectors
+from quellspan.llm import alignment, brown, chat, kneser_ney, lines, merkle, mixing, pieces, quality, simhash, tokens, toxicity, vectors
 from quellspan.session import table
 
 
@@ -175,10 +175,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), shown={"text": tampered})
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash, "op11_merkle": op11_merkle, "op13_toxicity": op13_toxicity}
+QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash, "op11_merkle": op11_merkle, "op12_alignment": op12_alignment, "op13_toxicity": op13_toxicity}
 ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}
