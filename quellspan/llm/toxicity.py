@@ -135,76 +135,99 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), *(c.combine_chunks() for c in found.columns)], ["place", "toxic", "words", "counts"])
 
 
-def swaps(own: np.ndarray, word: np.ndarray, count: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What swapping changes: the pair, its row, and the words whose counts rise and fall, with by how much.
+def class_of(word: str, kept: set[str]) -> str:
+    """What the fit takes a word for: words of the same kept features are alike. Itself, if it is kept or names a group of
+    people, else its longest kept beginning (shorter beginnings are in no fewer texts); empty if there is none."""
+    if f"{word}$" in kept or word in others():
+        return f"{word}$"
+    return next((word[:n] for n in range(min(len(word), LONGEST), SHORTEST - 1, -1) if word[:n] in kept), "")
+
+
+def parts(name: str) -> list[str]:
+    """The features of a class of words."""
+    return features(name[:-1]) if name.endswith("$") else [name[:n] for n in range(SHORTEST, len(name) + 1)]
+
+
+def kept_features(bags: DataFrame, least: int) -> list[str]:
+    """The features that stand in at least so many texts, a text counted once for each of its words."""
+    word = F.col("word")
+    begins = F.when(F.length(word) >= SHORTEST, F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(word), F.lit(LONGEST))), lambda n: F.substring(word, F.lit(1), n))).otherwise(F.array())
+    words = bags.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    found = words.select(F.explode(F.concat(F.array(F.concat(word, F.lit("$"))), begins)).alias("feature"), "texts").groupBy("feature").agg(F.sum("texts").alias("texts"))
+    return sorted(found.where(F.col("texts") >= least).select("feature").toArrow().column(0).to_pylist())
+
+
+def _classed(kept: list[str], names: dict[str, int]):
+    def run(batches):
+        known, cache = set(kept), {}
+        for batch in batches:
+            lists, rows = batch.column("words"), {"size": [], "classes": [], "counts": []}
+            for words, counts in zip(lists.to_pylist(), batch.column("counts").to_pylist()):
+                own: dict[int, int] = {}
+                for w, c in zip(words, counts):
+                    if w not in cache:
+                        cache[w] = names.get(class_of(w, known), -1)
+                    if cache[w] >= 0:
+                        own[cache[w]] = own.get(cache[w], 0) + c
+                rows["size"].append(sum(counts))
+                rows["classes"].append(list(own))
+                rows["counts"].append(list(own.values()))
+            kinds = {"size": pa.int64(), "classes": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), *(pa.array(v, kinds[k]) for k, v in rows.items())], ["place", "toxic", *rows])
+
+    return run
+
+
+def swaps(own: np.ndarray, place: np.ndarray, count: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What swapping changes: the pair, its row, and the classes whose counts rise and fall, with by how much.
 
     Each row that names groups gives ``SWAPS`` counterfactual texts; in the k-th every term has become the k-th after it.
-    ``known`` numbers the words, and takes in those that only swaps bring.
     """
-    named = {known[t]: alike for t, alike in others().items() if t in known}
-    hits = np.flatnonzero(np.isin(word, np.fromiter(named, np.int64, len(named))))
-    pairs, rows, moved, change = [], [], [], []
+    named = {number[f"{t}$"]: alike for t, alike in others().items()}
+    hits = np.flatnonzero(np.isin(place, np.fromiter(named, np.int64, len(named))))
+    out = []
     for k in range(SWAPS):
         for h in hits.tolist():
-            alike = named[int(word[h])]
-            new = known.setdefault(alike[k % len(alike)], len(known))
-            for w, c in ((int(word[h]), -count[h]), (new, count[h])):
-                pairs.append(int(own[h]) * SWAPS + k)
-                rows.append(int(own[h]))
-                moved.append(w)
-                change.append(c)
-    return tuple(np.array(x, np.int64) for x in (pairs, rows, moved, change))
-
-
-def fit(bags: pa.Table, penalty: float = PENALTY, least: int = LEAST_TEXTS) -> tuple[dict[str, float], float]:
-    """Weights by feature and the constant, of ``(toxic, words, counts)``."""
+            alike = named[int(place[h])]
+            for name, c in ((int(place[h]), -count[h]), (number[f"{alike[k % len(alike)]}$"], count[h])):
+                out.append((int(own[h]) * SWAPS + k, int(own[h]), name, int(c)))
+    return tuple(np.array(out, np.int64).reshape(-1, 4).T)
+
+
+def fit(bags: pa.Table, kept: list[str], names: dict[str, int], penalty: float = PENALTY) -> tuple[dict[str, float], float]:
+    """Weights by feature and the constant, of ``(toxic, size, classes, counts)``; names: the number of each class."""
     y = bags["toxic"].to_numpy().astype(float)
-    n, lists = len(y), bags["words"].combine_chunks()
+    n, lists = len(y), bags["classes"].combine_chunks()
     prior = (y.sum() + 0.5) / (n + 10)
     constant = float(np.log(prior / (1 - prior)))
-    if not n:
+    if not n or not kept:
         return {}, constant
-    own = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
-    table = lists.flatten().dictionary_encode()
-    word, distinct = table.indices.to_numpy().astype(np.int64), table.dictionary.to_pylist()
-    count = bags["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    per = 100 / (np.bincount(own, count, n) + PADDING)
-    known = {w: i for i, w in enumerate(distinct)}
-    pair, row, moved, change = swaps(own, word, count, known)
-    distinct += list(known)[len(distinct) :]
-
-    # features of words, those that stand in enough labelled texts
-    keys: dict[str, int] = {}
-    of = [[keys.setdefault(k, len(keys)) for k in features(w)] for w in distinct]
-    many = np.fromiter(map(len, of), np.int64, len(of))
-    key, word_of = np.concatenate([np.array(k, np.int64) for k in of]), np.repeat(np.arange(len(of)), many)
-    texts = np.bincount(word, minlength=len(distinct))
-    held = np.bincount(key, texts[word_of], len(keys)) >= least
-    number = np.cumsum(held) - 1
-    word_of, key = word_of[held[key]], number[key[held[key]]]
-    size, words = int(held.sum()), len(distinct)
-    used = np.bincount(word_of, minlength=words) > 0
-    keep = used[word]
-    own, word, rate = own[keep], word[keep], (count * per[own])[keep]
-    pair_of = np.unique(pair, return_inverse=True)[1] if len(pair) else pair
-    pairs, shift = (int(pair_of.max()) + 1, change * per[row]) if len(pair) else (0, change)
-
-    weight, gained, fell = np.zeros(size), np.full(size, 1e-8), 1e-8
+    own = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    place, count = lists.flatten().to_numpy(), bags["counts"].combine_chunks().flatten().to_numpy()
+    per = 100 / (bags["size"].to_numpy() + PADDING)
+    rate = count * per[own]
+    pair, row, moved, change = swaps(own, place, count, names)
+    pair_of = np.unique(pair, return_inverse=True)[1]
+    pairs, shift = int(pair_of.max(initial=-1)) + 1, change * per[row]
+
+    of = {k: i for i, k in enumerate(kept)}
+    held = [[of[k] for k in parts(name) if k in of] for name in names]
+    class_, key = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.array([k for x in held for k in x], np.int64)
+    weight, gained, fell = np.zeros(len(kept)), np.full(len(kept), 1e-8), 1e-8
     for _ in range(ROUNDS):
-        by_word = np.bincount(word_of, weight[key], words)
-        wrong = (1 / (1 + np.exp(-np.clip(np.bincount(own, rate * by_word[word], n) + constant, -60, 60))) - y) / n
-        pull = np.bincount(word, rate * wrong[own], words)
+        by_class = np.bincount(class_, weight[key], len(names))
+        wrong = (1 / (1 + np.exp(-np.clip(np.bincount(own, rate * by_class[place], n) + constant, -60, 60))) - y) / n
+        pull = np.bincount(place, rate * wrong[own], len(names))
         if pairs and penalty:
-            apart = np.bincount(pair_of, shift * by_word[moved], pairs)
-            pull += np.bincount(moved, shift * (2 * penalty / pairs * apart)[pair_of], words)
-        slope = np.bincount(key, pull[word_of], size) + DECAY * weight
+            apart = np.bincount(pair_of, shift * by_class[moved], pairs)
+            pull += np.bincount(moved, shift * (2 * penalty / pairs * apart)[pair_of], len(names))
+        slope = np.bincount(key, pull[class_], len(kept)) + DECAY * weight
         gained += slope**2
         weight -= STEP * slope / np.sqrt(gained)
         fell += wrong.sum() ** 2
         constant -= STEP * wrong.sum() / np.sqrt(fell)
-    named = [k for k, h in zip(keys, held.tolist()) if h]
     heaviest = np.argsort(-np.abs(weight), kind="stable")[:MOST_FEATURES]
-    return {named[i]: float(weight[i]) for i in heaviest.tolist() if weight[i]}, float(constant)
+    return {kept[i]: float(weight[i]) for i in heaviest.tolist() if weight[i]}, float(constant)
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -219,11 +242,14 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int, id_col:
     return met if n <= 2 * rows else met.where(F.pmod(F.col("place"), F.lit(n)) < rows)
 
 
-def trained(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
+def trained(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, least: int = LEAST_TEXTS) -> tuple[dict[str, float], float]:
     """The model of labelled rows."""
     rows = sample(docs, labels, train, sample_rows, id_col, text_col)
-    bags = rows.mapInArrow(_rows, "place long, toxic int, words array<string>, counts array<int>").toArrow()
-    return fit(bags.sort_by([("place", "ascending"), ("toxic", "ascending")]))
+    bags = written(rows.mapInArrow(_rows, "place long, toxic int, words array<string>, counts array<int>"), "toxicity-bags")
+    kept = kept_features(bags, least)
+    names = {k: i for i, k in enumerate(dict.fromkeys([*kept, *(f"{t}$" for t in others())]))}
+    schema = "place long, toxic int, size long, classes array<int>, counts array<int>"
+    return fit(bags.mapInArrow(_classed(kept, names), schema).toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")]), kept, names, penalty)
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------------------

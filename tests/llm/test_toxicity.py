@@ -56,9 +56,10 @@ def plain_fit(rows, penalty=toxicity.PENALTY, least=toxicity.LEAST_TEXTS):
     return lambda text: 1 / (1 + math.exp(-(weigh(plain(bag(text), sum(bag(text).values()))) + c)))
 
 
-def bags_of(rows):
-    found = [bag(t) for _, t in rows]
-    return pa.table({"toxic": pa.array([y for y, _ in rows], pa.int32()), "words": [list(b) for b in found], "counts": pa.array([list(b.values()) for b in found], pa.list_(pa.int32()))})
+def scorer(spark, rows, **options):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(rows)], "doc_id long, toxic int")
+    return toxicity.Scorer(*toxicity.trained(docs, labels, F.lit(True), **options))
 
 
 def biased(seed=3):
@@ -78,20 +79,20 @@ def biased(seed=3):
     return rows
 
 
-def test_fit_equals_plain_descent():
+def test_fit_equals_plain_descent(spark):
     rows = biased()[:90]
-    scorer, plain = toxicity.Scorer(*toxicity.fit(bags_of(rows), least=2)), plain_fit(rows, least=2)
+    own, plain = scorer(spark, rows, least=2), plain_fit(rows, least=2)
     texts = [t for _, t in rows] + ["", "Scum!", "the muslims, the hindus", "x" * 50]
-    assert scorer.scores(pa.array(texts)).tolist() == pytest.approx([plain(t) for t in texts], abs=1e-7)
+    assert own.scores(pa.array(texts)).tolist() == pytest.approx([plain(t) for t in texts], abs=1e-7)
 
 
-def test_neutral_mentions_keep_their_score():
+def test_neutral_mentions_keep_their_score(spark):
     rows = biased()
     said = pa.array([" ".join(["word1 word2 word3 word4"] * 4 + [g]) for g in ("muslims", "christians")])
-    fair, unfair = (toxicity.Scorer(*toxicity.fit(bags_of(rows), penalty=p)).scores(said) for p in (toxicity.PENALTY, 0.0))
+    fair, unfair = (scorer(spark, rows, penalty=p).scores(said) for p in (toxicity.PENALTY, 0.0))
     assert unfair[0] - unfair[1] > 0.2 and unfair[0] >= toxicity.THRESHOLD
     assert abs(fair[0] - fair[1]) < 0.05 and fair[0] < toxicity.THRESHOLD
-    abuse = toxicity.Scorer(*toxicity.fit(bags_of(rows))).scores(pa.array(["word1 word2 word5 word9 scum word7 worthless word8"]))
+    abuse = scorer(spark, rows).scores(pa.array(["word1 word2 word5 word9 scum word7 worthless word8"]))
     assert abuse[0] >= toxicity.THRESHOLD
 
 
