@@ -23,7 +23,7 @@ gives no rows. Only the id and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 from hashlib import sha256
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from quellspan.llm.tokens import slices
 from quellspan.session import written
 
-MOST_CACHED = 400_000
-BATCH_BYTES = 8 << 20
+MOST_CACHED = 300_000
+#: Text of a batch, and of the slices in which it is read.
+BATCH_BYTES, CUT_BYTES = 8 << 20, 2 << 20
 
 
 def byte_of() -> dict[str, int]:
@@ -74,8 +75,36 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def joined_bytes(values: pa.Array) -> bytes:
+    """The bytes of all values one after the other."""
+    return values.buffers()[2].to_pybytes() if len(values) and values.buffers()[2] else b""
+
+
+class Store:
+    """Alignments one after the other: tokens of either tokenizer, groups, the tokens in the order of the groups' text, and
+    the linked pairs. ``at``: where those of each alignment begin."""
+
+    def __init__(self, counts, said, pairs):
+        self.counts, self.said, self.pairs = counts, said, pairs
+        self.sizes = [counts[0] + counts[1], counts[0] + counts[1] - counts[2]]
+        self.at = [np.cumsum(x) - x for x in self.sizes]
+
+    @classmethod
+    def empty(cls) -> Store:
+        return cls(np.zeros((3, 0), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def joined(self, other: Store) -> Store:
+        return Store(np.concatenate([self.counts, other.counts], axis=1), np.concatenate([self.said, other.said]), np.concatenate([self.pairs, other.pairs]))
+
+    def said_by(self, places: np.ndarray) -> np.ndarray:
+        return self.said[spread(self.at[0][places], self.sizes[0][places])]
+
+    def linked_by(self, places: np.ndarray) -> np.ndarray:
+        return self.pairs[spread(self.at[1][places], self.sizes[1][places])]
+
+
 class Aligner:
-    """Two vocabularies, and the alignments of stretches seen so far: how many tokens and groups, the groups, the linked ids."""
+    """Two vocabularies, and the alignments of the stretches seen so far; number 0 is of those whose bytes are lost."""
 
     _kept: dict = {}
 
@@ -104,82 +133,83 @@ class Aligner:
         self.opens = np.array([e.startswith("Ġ") for e in entries])
         self.raw = [pa.array(x, pa.large_binary()) for x in (raw, own)]
         self.length = [np.array([len(b) for b in x], np.int64) for x in (raw, own)]
-        self.size = len(pieces)
-        self.cache: dict[str, tuple] = {}
+        self.sizes = len(entries), len(pieces)
+        # how tokens read in the groups' text: in turn with what follows inside a group, and what follows the group's last
+        self.shown = pa.array([f"{i}{end}" for ends, n in ((",|", size), (",;", len(pieces))) for i in range(n) for end in ends], pa.large_string()).cast(pa.large_binary())
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.store = Store.empty().joined(Store(np.zeros((3, 1), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)))
 
     # ---- encoding ---------------------------------------------------------------------------------------------------------
 
     def _byte_ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of stretches, each with the space before it, and how many each has. Those that are plain are encoded together."""
-        plain = [bool(s) and not s[0].isspace() and not s[-1].isspace() and "  " not in s for s in stretches]
-        joined = "".join(f" {s}" for s, p in zip(stretches, plain) if p)
-        many = [1 + s.count(" ") for s, p in zip(stretches, plain) if p]
+        """Ids of stretches, each with the space before it, and how many each has. Those without white space are encoded together."""
+        whole = np.fromiter((" " in s or s[0].isspace() or s[-1].isspace() for s in stretches), bool, len(stretches))
+        joined = "".join([f" {s}" for s, w in zip(stretches, whole.tolist()) if not w])
         ids = np.array(self.byte.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64) if joined else np.zeros(0, np.int64)
         at = np.flatnonzero(self.opens[ids])
-        if len(at) != sum(many):  # a token that opens with a space in another place
-            plain, many, ids, at = [False] * len(stretches), [], ids[:0], at[:0]
-        starts = np.append(at, len(ids))[np.cumsum([0, *many])] if many else np.zeros(1, np.int64)
-        alone = iter(self.byte.encode_batch_fast([f" {s}" for s, p in zip(stretches, plain) if not p], add_special_tokens=False))
-        runs = iter(np.split(ids, starts[1:-1]) if many else [])
-        found = [next(runs) if p else np.array(next(alone).ids, np.int64) for p in plain]
-        return np.concatenate([*found, ids[:0]]), np.fromiter(map(len, found), np.int64, len(found))
+        if len(at) != len(stretches) - whole.sum():  # a token that opens with a space in another place
+            whole[:], ids, at = True, ids[:0], at[:0]
+        alone = [np.array(e.ids, np.int64) for e in self.byte.encode_batch_fast([f" {s}" for s, w in zip(stretches, whole.tolist()) if w], add_special_tokens=False)]
+        count, begin = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
+        count[~whole], begin[~whole] = np.diff(np.append(at, len(ids))), at
+        count[whole] = [len(x) for x in alone]
+        begin[whole] = len(ids) + np.cumsum(count[whole]) - count[whole]
+        return np.concatenate([ids, *alone])[spread(begin, count)], count
 
     def _piece_ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.piece.encode(stretches, num_threads=1) if stretches else []
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.int64, int(count.sum())), count
+        return np.array(list(chain.from_iterable(found)), np.int64), np.fromiter(map(len, found), np.int64, len(found))
 
     def _kept_bytes(self, side: int, ids: np.ndarray, count: np.ndarray, want: list[bytes]) -> np.ndarray:
         """Whether the tokens' bytes are each stretch's."""
-        raw = b"".join(self.raw[side].take(pa.array(ids)).to_pylist())
-        edges = np.append(0, np.cumsum(self.length[side][ids]))[np.append(0, np.cumsum(count))].tolist()
+        ends = np.append(0, np.cumsum(self.length[side][ids]))[np.append(0, np.cumsum(count))]
+        raw = joined_bytes(self.raw[side].take(pa.array(ids)))
+        if raw == b"".join(want) and np.array_equal(np.diff(ends), [len(w) for w in want]):
+            return np.ones(len(want), bool)
+        edges = ends.tolist()
         return np.fromiter((raw[a:b] == w for a, b, w in zip(edges, edges[1:], want)), bool, len(want))
 
     # ---- alignment --------------------------------------------------------------------------------------------------------
 
-    def align(self, stretches: list[str]) -> list[tuple]:
-        """(tokens of either, groups, their text, linked pairs as 64-bit numbers) of each stretch; None where bytes are lost."""
+    def align(self, stretches: list[str]) -> tuple[np.ndarray, Store]:
+        """Whether no bytes of a stretch are lost, and the alignments of those."""
         both = [self._byte_ids(stretches), self._piece_ids(stretches)]
         want = [f" {s}".encode() for s in stretches]
         right = self._kept_bytes(0, *both[0], want) & self._kept_bytes(1, *both[1], want)
-        both = [(ids[np.repeat(right, n)], n[right]) for ids, n in both]
-        (a, na), (b, nb) = both
+        (a, na), (b, nb) = [(ids[np.repeat(right, n)], n[right]) for ids, n in both]
         ids = np.concatenate([a, b])
         ends = np.concatenate([np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])])
         begins = [np.cumsum(na) - na, len(a) + np.cumsum(nb) - nb]
 
         # the shorter list of each stretch drives
-        drives = np.where(na <= nb, 0, 1)
-        pick = lambda x, y: np.where(drives == 0, x, y)
+        turned = na > nb
+        pick = lambda x, y: np.where(turned, y, x)
         n, m, begin, other = pick(na, nb), pick(nb, na), pick(*begins), pick(*begins[::-1])
         driver, of = spread(begin, n), np.repeat(np.arange(len(n)), n)
         rank = galloped(ends[driver], ends, other[of], (other + m)[of])
         common = ends[rank] == ends[driver]
 
         # a token's links reach from behind what ended with or before the token before it up to what holds its end
-        first = np.concatenate([other[:1], (rank + common)[:-1]]) if len(rank) else rank
-        head = np.cumsum(n) - n
-        first[head] = other
+        first = np.append(0, (rank + common)[:-1])[: len(rank)]
+        first[np.cumsum(n) - n] = other
         reach = rank - first + 1
         left, right_ = np.repeat(ids[driver], reach), ids[spread(first, reach)]
-        turned = np.repeat(drives[of] == 1, reach)
-        pairs = np.where(turned, right_, left) * self.size + np.where(turned, left, right_)
-        link_at = np.append(0, np.cumsum(reach))[np.append(head, len(driver))].tolist()
-
-        groups = np.bincount(of[common], minlength=len(n))
-        where = np.flatnonzero(common)
-        at = [np.where(drives[of[where]] == side, driver[where], rank[where]) + 1 for side in (0, 1)]
-        bounds, text = [x.tolist() for x in at], list(map(str, ids.tolist()))
-        out, packed, done, begins = [], pairs.tobytes(), 0, [x.tolist() for x in begins]
-        for k, (x, y, g) in enumerate(zip(na.tolist(), nb.tolist(), groups.tolist())):
-            i, j, said = begins[0][k], begins[1][k], []
-            for e, f in zip(bounds[0][done : done + g], bounds[1][done : done + g]):
-                said.append(f"{','.join(text[i:e])}|{','.join(text[j:f])}")
-                i, j = e, f
-            done += g
-            out.append((x, y, g, ";".join(said), packed[8 * link_at[k] : 8 * link_at[k + 1]]))
-        rest = iter(out)
-        return [next(rest) if r else None for r in right.tolist()]
+        swap = np.repeat(turned[of], reach)
+        pairs = np.where(swap, right_, left) * self.sizes[1] + np.where(swap, left, right_)
+
+        # the order of the groups' text: of each group the first tokenizer's tokens, then the other's
+        last = np.zeros(len(ids), bool)
+        last[driver[common]] = last[rank[common]] = True
+        one, two = last[: len(a)], last[len(a) :]
+        at = [np.append(0, np.flatnonzero(x) + 1) for x in (one, two)]
+        said = np.empty(len(ids), np.int32)
+        said[np.arange(len(a)) + at[1][np.cumsum(one) - one]] = 2 * a + one
+        said[np.arange(len(b)) + at[0][np.cumsum(two) - two + 1]] = 2 * (self.sizes[0] + b) + two
+        groups = np.bincount(np.repeat(np.arange(len(na)), na), one, len(na)).astype(np.int64)
+        return right, Store(np.stack([na, nb, groups]), said, pairs)
 
     def stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The row and the stretch of each occurrence, in order, and the distinct stretches; null and empty texts have none."""
@@ -187,51 +217,55 @@ class Aligner:
         own = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         table = lists.flatten().dictionary_encode()
         place, distinct = table.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary.to_pylist()
-        odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in distinct), bool, len(distinct))
+        odd = pc.not_equal(pc.utf8_trim_whitespace(table.dictionary), table.dictionary)
+        odd = pc.or_(odd, pc.equal(table.dictionary, "")).to_numpy(zero_copy_only=False).astype(bool)
         whole = np.zeros(n, bool)
         whole[own[odd[place]]] = True
         keep, alone = ~whole[own], np.flatnonzero(whole)
         said = [texts[i].as_py() or "" for i in alone.tolist()]
         full = np.fromiter((s != "" for s in said), bool, len(said))
+        used, place = np.unique(place[keep], return_inverse=True)
         own = np.concatenate([own[keep], alone[full]])
-        place = np.concatenate([place[keep], len(distinct) + np.arange(full.sum())])
+        place = np.concatenate([place, len(used) + np.arange(full.sum())])
         order = np.argsort(own, kind="stable")
-        return own[order], place[order], distinct + [s for s in said if s]
-
-    def found(self, stretches: list[str], used: np.ndarray) -> list[tuple | None]:
-        """The alignments of stretches; of those that are not used, None. Those of up to 64 characters are remembered."""
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        missing = object()
-        out = [self.cache.get(s, missing) if u else None for s, u in zip(stretches, used.tolist())]
-        new = [i for i, x in enumerate(out) if x is missing]
-        for i, x in zip(new, self.align([stretches[i] for i in new])):
-            out[i] = x
-            if len(stretches[i]) <= 64:
-                self.cache[stretches[i]] = x
-        return out
+        return own[order], place[order], [distinct[i] for i in used.tolist()] + [s for s in said if s]
+
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row and the alignment's number in the store of each stretch, and which rows have lost bytes."""
+        own, place, distinct = self.stretches(texts)
+        new = [s for s in distinct if s not in self.number]
+        right, store = self.align(new)
+        numbers = np.where(right, len(self.store.counts[0]) + np.cumsum(right) - 1, 0)
+        self.number.update(zip(new, numbers.tolist()))
+        self.store = self.store.joined(store)
+        at = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[place]
+        lost = np.zeros(len(texts), bool)
+        lost[own[at == 0]] = True
+        keep = ~lost[own]
+        return own[keep], at[keep], lost
 
     def summed(self, texts: pa.Array) -> dict:
         """What a batch of texts keeps: counts and the groups' digest by row, and the links by row, stretch and pair."""
-        own, place, distinct = self.stretches(texts)
-        n, used = len(texts), np.bincount(place, minlength=len(distinct)) > 0
-        records = self.found(distinct, used)
-        lost = np.fromiter((r is None for r in records), bool, len(records))
-        bad = np.zeros(n, bool)
-        bad[own[lost[place]]] = True
-        keep = ~bad[own]
-        own, place = own[keep], place[keep]
-        records = [r or (0, 0, 0, "", b"") for r in records]
-        by_row = [np.array([r[i] for r in records], np.int64) for i in range(3)]
-        counts = [np.bincount(own, x[place], n).astype(np.int64) for x in by_row]
-        said, sizes = [r[3] for r in records], np.bincount(own, minlength=n)
-        edges = [0, *accumulate(sizes.tolist())]
-        flat = place.tolist()
-        digests = [sha256(";".join([said[i] for i in flat[a:b]]).encode()).hexdigest() if b > a else "" for a, b in zip(edges, edges[1:])]
-        reach = np.fromiter((len(r[4]) // 8 for r in records), np.int64, len(records))
-        pairs, links = np.unique(np.frombuffer(b"".join(r[4] for r in records), np.int64), return_inverse=True)
-        uses = np.bincount(links, np.repeat(np.bincount(place, minlength=len(records)), reach), len(pairs)).astype(np.int64)
-        return {"counts": counts, "digests": digests, "sizes": sizes, "places": place, "reach": reach, "links": links, "pairs": pairs, "uses": uses}
+        if len(self.number) > MOST_CACHED:
+            self.clear()
+        counts, digests, sizes, places = [], [], [], []
+        for cut in slices(texts, CUT_BYTES):
+            own, at, _ = self.found(cut)
+            n, said = len(cut), self.store.said_by(at)
+            shown = self.shown.take(pa.array(said))
+            tokens = np.bincount(own, self.store.sizes[0][at], n).astype(np.int64)
+            edges = np.frombuffer(shown.buffers()[1], np.int64, len(shown) + 1)[np.append(0, np.cumsum(tokens))].tolist() if len(said) else [0] * (n + 1)
+            raw = memoryview(shown.buffers()[2]) if len(said) else b""
+            digests += [sha256(raw[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(edges, edges[1:])]
+            counts.append(np.stack([np.bincount(own, x[at], n) for x in self.store.counts]).astype(np.int64))
+            sizes.append(np.bincount(own, minlength=n))
+            places.append(at)
+        numbers, place = np.unique(np.concatenate([*places, np.zeros(0, np.int64)]), return_inverse=True)
+        pairs, links = np.unique(self.store.linked_by(numbers), return_inverse=True)
+        reach = self.store.sizes[1][numbers]
+        uses = np.bincount(links, np.repeat(np.bincount(place, minlength=len(numbers)), reach), len(pairs)).astype(np.int64)
+        by_row = np.concatenate([*counts, np.zeros((3, 0), np.int64)], axis=1)
+        return {"counts": by_row, "digests": digests, "sizes": np.concatenate([*sizes, np.zeros(0, np.int64)]), "places": place, "reach": reach, "links": links, "pairs": pairs, "uses": uses}
 
 
 # ---- over tables ----------------------------------------------------------------------------------------------------------
@@ -294,7 +328,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
     """Per row: the id, tokens of either tokenizer, groups, links, links that are a second id's most frequent, the sum of the
     links' counts, and the digest of the groups."""
     parts = written(batches(docs, byte_path, piece_path, id_col, text_col), "alignment-batches")
-    judged = pair_counts(parts, Aligner.of(byte_path, piece_path).size)
+    judged = pair_counts(parts, Aligner.of(byte_path, piece_path).sizes[1])
     told = parts.select("batch", F.posexplode("pairs").alias("pos", "pair")).join(judged, "pair")
     told = told.groupBy("batch").agg(F.collect_list(F.struct("pos", "n", "best")).alias("t"))
     told = told.select("batch", F.struct(*[F.col("t")[c].alias(c) for c in ("pos", "n", "best")]).alias("told"))
@@ -309,17 +343,18 @@ def groups(text: Column, byte_path: str, piece_path: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         own, out = Aligner.of(byte_path, piece_path), []
         for cut in slices(texts):
-            rows, place, distinct = own.stretches(cut)
-            records = own.found(distinct, np.bincount(place, minlength=len(distinct)) > 0)
+            rows, at, _ = own.found(cut)
             edges = np.searchsorted(rows, np.arange(len(cut) + 1)).tolist()
             for a, b in zip(edges, edges[1:]):
-                mine, at, one = [records[i] for i in place[a:b].tolist()], 0, []
-                for record in mine if None not in mine else ():
-                    for said in record[3].split(";"):
-                        first, second = ([int(x) for x in side.split(",")] for side in said.split("|"))
-                        end = at + int(own.length[0][first].sum())
-                        one.append({"start": at, "end": end, "a": first, "b": second})
-                        at = end
+                one, group, begin = [], ([], []), 0
+                for code in own.store.said_by(at[a:b]).tolist():
+                    token, last = divmod(code, 2)
+                    side = int(token >= own.sizes[0])
+                    group[side].append(token - side * own.sizes[0])
+                    if side and last:
+                        end = begin + int(own.length[0][group[0]].sum())
+                        one.append({"start": begin, "end": end, "a": group[0], "b": group[1]})
+                        group, begin = ([], []), end
                 out.append(one)
         return pa.array(out, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())})))
 
