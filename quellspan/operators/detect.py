@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.functions.spans import marked, measured, resolve, unmarked
+from quellspan.functions.spans import between, blocks, marked, measured, resolve, unmarked
 from quellspan.operators.rules import CATALOG, Rule, priority
 
 FINDING = "array<struct<priority:int,start:bigint,end:bigint,rule:string,type:string,value:string>>"
@@ -26,10 +26,9 @@ def gate(rule: Rule, text: Column, low: Column | None = None) -> Column:
     return held
 
 
-def window(text: Column, start: Column, end: Column) -> Column:
-    """The text around a span, lower case, without the value."""
-    left = F.greatest(start - BEFORE, F.lit(0))
-    return F.lower(F.concat(text.substr((left + 1).cast("int"), (start - left).cast("int")), F.lit(" "), text.substr((end + 1).cast("int"), F.lit(AFTER))))
+def window(cut: Column, start: Column, end: Column) -> Column:
+    """What stands around a span of a text in blocks, lower case, without the value."""
+    return F.lower(F.concat(between(cut, F.greatest(start - BEFORE, F.lit(0)), start), F.lit(" "), between(cut, end, end + AFTER)))
 
 
 def _text(x: str) -> str:
@@ -52,7 +51,9 @@ def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into:
     order, text = priority(rules), F.col("_clean")
     out = df.withColumn("_clean", unmarked(F.col(text_col)))
     out = out.withColumn("_low", F.lower(text))
-    out = out.withColumn("_cut", F.array(*[cut_by(r, order[r.id], text, F.col("_low")) for r in rules]))
+    out = out.withColumn("_cut", F.filter(F.array(*[cut_by(r, order[r.id], text, F.col("_low")) for r in rules]), lambda r: F.size(r["pieces"]) > 1))
+    out = out.withColumn("_blocks", F.when(F.size("_cut") > 0, blocks(text)))
+    cut = F.col("_blocks")
     asked = {c: [r.id for r in rules if c in r.checks] for c in dict.fromkeys(c for r in rules for c in r.checks)}
 
     def spans_of(r):
@@ -60,15 +61,15 @@ def with_candidates(df: DataFrame, text_col: str = "text", rules=CATALOG, into:
             return F.struct(*[r["ask"][k].alias(k) if k in ("priority", "rule", "type") else x[k].alias(k) for k in ("priority", "start", "end", "rule", "type", "value")])
 
         def fits(x):
-            ok = (r["ask"]["after"] == "") | ~F.rlike(text.substr((x["end"] + 1).cast("int"), F.lit(1)), r["ask"]["after"])
-            return ok & ((r["ask"]["near"] == "") | F.rlike(window(text, x["start"], x["end"]), r["ask"]["near"]))
+            ok = (r["ask"]["after"] == "") | ~F.rlike(between(cut, x["end"], x["end"] + 1), r["ask"]["after"])
+            return ok & ((r["ask"]["near"] == "") | F.rlike(window(cut, x["start"], x["end"]), r["ask"]["near"]))
 
         return F.transform(F.filter(measured(r["pieces"]), fits), candidate)
 
-    found = F.flatten(F.transform(F.filter("_cut", lambda r: F.size(r["pieces"]) > 1), spans_of))
+    found = F.flatten(F.transform("_cut", spans_of))
     if asked:
         found = F.filter(found, lambda x: reduce(and_, [~x["rule"].isin(ids) | check.column(x["value"]) for check, ids in asked.items()]))
-    return out.withColumn(into, found).drop("_clean", "_low", "_cut")
+    return out.withColumn(into, found).drop("_clean", "_low", "_cut", "_blocks")
 
 
 def with_findings(df: DataFrame, text_col: str = "text", rules=CATALOG, into: str = "findings") -> DataFrame:

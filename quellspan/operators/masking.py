@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellspan.functions.spans import between, blocks, let
 from quellspan.session import written
 
 
 def masked(text: Column, findings: Column) -> Column:
     """The text with ``⟦TYPE⟧`` in place of each finding; findings are in order of start and don't overlap."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        gap = text.substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit("⟦"), x["type"], F.lit("⟧")).alias("out"))
+    def joined(own):
+        def whole(cut):
+            tag = lambda x, k: F.concat(between(cut, F.coalesce(F.get(own, k - 1)["end"], F.lit(0)), x["start"]), F.lit("⟦"), x["type"], F.lit("⟧"))
+            return F.concat(F.array_join(F.transform(own, tag), ""), between(cut, F.element_at(own, -1)["end"], F.length(text)))
 
-    return F.aggregate(findings, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
+        return F.when(F.size(own) > 0, let(blocks(text), whole)).otherwise(text)
+
+    return let(findings, joined)
 
 
 def derived(value: Column) -> Column:
