@@ -30,6 +30,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def mapped(pairs: dict[str, str]) -> Column:
+    """A map of texts as one literal."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(quoted(x) for pair in sorted(pairs.items()) for x in pair)})")
+
+
 def scanned(values: Column, first: Column, join) -> Column:
     """For each value what joins all before it, beginning with ``first``, as ``array<bigint>``.
 

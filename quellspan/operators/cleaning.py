@@ -15,7 +15,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellspan.functions.spans import CLOSE, OPEN, let, scanned, unmarked
+from quellspan.functions.spans import CLOSE, OPEN, let, mapped, scanned, unmarked
 from quellspan.operators import detect
 from quellspan.operators.rules import CATALOG
 from quellspan.session import written
@@ -40,7 +40,7 @@ NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 def _named() -> Column:
     """The named entities of HTML 4, as the language's own table has them."""
-    return F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    return mapped({name: chr(code) for name, code in name2codepoint.items()})
 
 
 def entity(piece: Column) -> Column:

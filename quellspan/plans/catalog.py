@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quellspan.functions import checks
-from quellspan.operators import detect, lookups, masking, records, reports
+from quellspan.operators import cleaning, detect, grids, lookups, masking, records, reports
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
-from quellspan.plans import oracle
+from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
 
 FLAGSHIP = "all_findings_resolved"
@@ -277,11 +277,30 @@ def html_entity_text(spark, sf_dir):
     return out.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
-@query("normalised_hits")
+_HIDDEN_COLUMNS = 'doc_id, "start", "end", rule, type'
+
+
+@query("normalised_hits", f"{oracle.copies_sql(CATALOG, 'text')} SELECT {_HIDDEN_COLUMNS} FROM merged")
 def normalised_hits(spark, sf_dir):
-    """Findings of the texts cleaned of invisible characters."""
-    clean = _documents(spark, sf_dir).withColumn("text", records.without_hidden(F.col("text")))
-    return detect.findings(clean, "doc_id", rules=CORE).drop("value")
+    """Findings of documents and of their cleaned copies, at their places in the original."""
+    return cleaning.findings(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id").drop("value")
+
+
+@query("disguised_hits", f"{oracle.copies_sql(CATALOG, planted.disguised_sql())} SELECT {_HIDDEN_COLUMNS} FROM merged")
+def disguised_hits(spark, sf_dir):
+    """The same where values are split by invisible characters and escapes, or written as entities."""
+    return cleaning.findings(spread(planted.disguised(table(spark, sf_dir, "documents"))), "doc_id").drop("value")
+
+
+def _grid_query(name: str, kind: str, rule: str) -> None:
+    @query(name, planted.tables_sql(kind, rule))
+    def run(spark, sf_dir):
+        return grids.findings(spread(planted.tables(table(spark, sf_dir, "customer"), kind)), "text_id", rules=(rule,))
+
+
+_grid_query("csv_column_findings", "csv", "csv-personal-column")
+_grid_query("insert_column_findings", "insert", "sql-insert-personal-column")
+_grid_query("html_column_findings", "html", "html-table-personal-column")
 
 
 @query("decoded_run_hits")
