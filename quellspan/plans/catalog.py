@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quellspan.functions import checks
-from quellspan.operators import cleaning, detect, grids, lookups, masking, records, reports
+from quellspan.operators import cleaning, detect, grids, known, lookups, masking, records, reports
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -256,6 +256,34 @@ def imported_value_hits(spark, sf_dir):
     return lookups.value_hits(found, values).select("doc_id", "start", "type")
 
 
+_LETTER = r"[\p{L}\p{N}]"
+
+
+@query(
+    "known_value_redaction",
+    f"""WITH core AS ({_CORE} SELECT doc_id, type, value FROM findings),
+registry AS (SELECT value, min(type) AS type FROM (
+SELECT type, value FROM core JOIN labels USING (doc_id)
+UNION ALL SELECT 'PASSAGE', trim(unnest(string_split_regex(text, '[.\n]'))) FROM benchmark) WHERE length(value) >= 8 AND regexp_matches(value, '{_LETTER}') GROUP BY value),
+source AS (SELECT doc_id, text, coalesce(text, '') AS body FROM documents),
+cut AS (SELECT doc_id, body, type, value, string_split(body, value) AS p FROM source JOIN registry ON contains(body, value)),
+placed AS (SELECT doc_id, body, type, value, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(value) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cut)),
+whole AS (SELECT *, s + length(value) AS e FROM placed WHERE NOT (regexp_matches(value, '^{_LETTER}') AND s > 0 AND regexp_matches(substr(body, s, 1), '{_LETTER}')) AND NOT (regexp_matches(value, '{_LETTER}$') AND regexp_matches(substr(body, s + length(value) + 1, 1), '{_LETTER}'))),
+kept AS (SELECT doc_id, list_reduce(list_transform(list(c ORDER BY c.p, c.s), lambda c: [c]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN acc ELSE list_concat(acc, x) END) AS k
+FROM (SELECT doc_id, {{'p': -length(value), 's': s, 'e': e, 'type': type}} AS c FROM whole) GROUP BY doc_id),
+hits AS (SELECT doc_id, body, h.s AS s, h.e AS e, h.type AS type, lag(h.e, 1, 0) OVER (PARTITION BY doc_id ORDER BY h.s) AS before FROM (SELECT doc_id, unnest(k) AS h FROM kept) JOIN source USING (doc_id)),
+out AS (SELECT doc_id, string_agg(substr(body, before + 1, s - before) || '⟦' || type || '⟧', '' ORDER BY s) || substr(any_value(body), max(e) + 1) AS masked, count(*) AS n FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(length(coalesce(masked, body)) AS BIGINT) AS chars, sha256(coalesce(masked, body)) AS digest FROM source LEFT JOIN out USING (doc_id)""",
+)
+def known_value_redaction(spark, sf_dir):
+    """Values found in labelled documents, and the sentences of the benchmark, masked in all documents."""
+    docs = _documents(spark, sf_dir)
+    values = _core(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("value", "type")
+    sentences = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[.\n]")).alias("value"), F.lit("PASSAGE").alias("type")).withColumn("value", F.trim("value"))
+    out = known.redacted(docs.select("doc_id", "text"), "doc_id", values.unionByName(sentences).where(F.length("value") >= 8))
+    return out.select("doc_id", F.size("hits").cast("long").alias("n"), F.length("masked").cast("long").alias("chars"), F.sha2("masked", 256).alias("digest"))
+
+
 @query(
     "pipe_table_cells",
     """WITH l AS (SELECT doc_id, i - 1 AS number, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
