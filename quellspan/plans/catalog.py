@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quellspan.functions import checks
-from quellspan.operators import cleaning, detect, grids, known, lookups, masking, records, reports
+from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -299,6 +299,20 @@ def json_leaf_values(spark, sf_dir):
     return records.json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
 
 
+@query("object_leaf_places", planted.dialogues_sql())
+def object_leaf_places(spark, sf_dir):
+    """Every leaf of conversations written as nested JSON, at its place in the JSON text."""
+    out = leaves.leaf_rows(spread(planted.dialogues(table(spark, sf_dir, "conversations"))), "conv_id")
+    return out.select("conv_id", F.array_join("path", ".").alias("path"), "start", "end", F.sha2("value", 256).alias("digest"))
+
+
+@query("object_scan_findings", planted.records_sql(lambda source, key: f'WITH {oracle.findings_sql(CATALOG, source, key, "body")} SELECT {key}, "start", "end", rule, type FROM findings'))
+def object_scan_findings(spark, sf_dir):
+    """Findings of documents written as nested records, over leaves and the sentences that two leaves make."""
+    out = leaves.object_findings(spread(planted.records(table(spark, sf_dir, "documents"))), "doc_id")
+    return out.select("doc_id", F.array_join("path", ".").alias("path"), "start", "end", "rule", "type")
+
+
 @query("html_entity_text", f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest FROM (SELECT page_id, {records.sql_html_text('html')} AS t FROM pages)")
 def html_entity_text(spark, sf_dir):
     out = table(spark, sf_dir, "pages").select("page_id", records.html_text(F.col("html")).alias("t"))

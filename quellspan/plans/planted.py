@@ -102,3 +102,59 @@ def disguised_sql(text: str = "text") -> str:
     for pattern, group, put in DISGUISES:
         out = f"regexp_replace({out}, '{pattern}', '{chr(92) + '1' if group else ''}{put}', 'g')"
     return out
+
+
+def records(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: documents as JSON: the text as a field, in two nodes of a list of content, and once more."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    nodes = F.array(*[F.struct(x.alias("text")) for x in (F.substring(text, F.lit(1), half), text.substr(half + 1, F.length(text)))])
+    record = F.struct(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), text.alias("body"), nodes.alias("content"), F.struct(text.alias("body")).alias("again"))
+    return documents.select("doc_id", F.to_json(record).alias("text"))
+
+
+def dialogues(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, text)``: each conversation as a JSON object of its turns, in order."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    said = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    return rows.withColumn("turns", said).select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("conv"), "turns")).alias("text"))
+
+
+def escaped_sql(x: str) -> str:
+    for plain, put in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(9)", "'\\t'"), ("chr(13)", "'\\r'")):
+        x = f"replace({x}, {plain}, {put})"
+    return x
+
+
+def dialogues_sql() -> str:
+    """The leaves of :func:`dialogues`: the places by adding up what stands before."""
+    turn = f"""'{{"role":"' || {escaped_sql("role")} || '","text":"' || {escaped_sql("text")} || '"}}'"""
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER w - 1 AS i, length('{{"conv":' || conv_id || ',"turns":[') + coalesce(sum(length({turn}) + 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+cells AS (SELECT conv_id, 'turns.' || i || '.role' AS path, begin + 9 AS s, length({escaped_sql("role")}) AS n, role AS value FROM placed
+UNION ALL SELECT conv_id, 'turns.' || i || '.text', begin + 9 + length({escaped_sql("role")}) + 10, length({escaped_sql("text")}), text FROM placed
+UNION ALL SELECT DISTINCT conv_id, 'conv', 8, length(CAST(conv_id AS VARCHAR)), CAST(conv_id AS VARCHAR) FROM t)
+SELECT conv_id, path, CAST(s AS BIGINT) AS "start", CAST(s + n AS BIGINT) AS "end", sha256(value) AS digest FROM cells"""
+
+
+def records_sql(findings) -> str:
+    """Findings of :func:`records`: those of the text and of its halves, moved to where their characters are written.
+    ``findings(table, key)``: a query of the findings of a table's column ``body``."""
+    esc = lambda part: f"length({escaped_sql(part)})"
+    at = lambda base, text, n: f"{base} + {esc(f'substr({text}, 1, CAST({n} AS BIGINT))')}"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS body, length(coalesce(text, '')) // 2 AS half FROM documents),
+halves AS (SELECT doc_id, 0 AS node, substr(body, 1, half) AS body FROM docs UNION ALL SELECT doc_id, 1, substr(body, half + 1) FROM docs),
+b1 AS (SELECT *, length('{{"id":' || doc_id || ',"source":"') + {esc("source")} + 10 AS base FROM docs),
+b2 AS (SELECT *, base + {esc("body")} + 22 AS base0 FROM b1),
+b3 AS (SELECT *, base0 + {esc("substr(body, 1, half)")} + 12 AS base1 FROM b2),
+bases AS (SELECT *, base1 + {esc("substr(body, half + 1)")} + 21 AS base2 FROM b3),
+whole AS ({findings("docs", "doc_id")}),
+parts AS ({findings("halves", "doc_id, node")}),
+own AS (SELECT doc_id, node, "start" AS s, "end" AS e, rule, type FROM parts),
+over AS (SELECT doc_id, node, greatest("start", lo) - lo AS s, least("end", hi) - lo AS e, rule, type FROM (SELECT w.*, 0 AS node, 0 AS lo, half AS hi FROM whole w JOIN docs USING (doc_id) UNION ALL SELECT w.*, 1, half, length(body) FROM whole w JOIN docs USING (doc_id)) WHERE greatest("start", lo) < least("end", hi)),
+nodes AS (SELECT * FROM own UNION ALL SELECT * FROM over o WHERE NOT EXISTS (SELECT 1 FROM own p WHERE p.doc_id = o.doc_id AND p.node = o.node AND p.s = o.s AND p.e = o.e AND p.type = o.type)),
+moved AS (SELECT doc_id, 'body' AS path, {at("base", "body", '"start"')} AS s, {at("base", "body", '"end"')} AS e, rule, type FROM whole JOIN bases USING (doc_id)
+UNION ALL SELECT doc_id, 'again.body', {at("base2", "body", '"start"')}, {at("base2", "body", '"end"')}, rule, type FROM whole JOIN bases USING (doc_id)
+UNION ALL SELECT n.doc_id, 'content.' || n.node || '.text', CASE n.node WHEN 0 THEN base0 ELSE base1 END + {esc("substr(h.body, 1, CAST(n.s AS BIGINT))")}, CASE n.node WHEN 0 THEN base0 ELSE base1 END + {esc("substr(h.body, 1, CAST(n.e AS BIGINT))")}, rule, type FROM nodes n JOIN bases USING (doc_id) JOIN halves h ON h.doc_id = n.doc_id AND h.node = n.node)
+SELECT doc_id, path, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", rule, type FROM moved"""
