@@ -83,7 +83,7 @@ def weighted(weights, modulus: int, good: Callable[[Column], Column], sql_good:
 
 ZERO = (lambda r: r == 0, "{r} = 0")
 
-#: One digit over and over passes most sums and is a placeholder.
+#: Not the same digit in every place.
 VARIED = unlike("^(" + "|".join(f"[{d} -]+" for d in range(10)) + ")$")
 
 
@@ -165,7 +165,7 @@ CH_AHV = weighted((1, 3) * 6 + (1,), 10, *ZERO)
 CH_UID = weighted((5, 4, 3, 2, 7, 6, 5, 4, 1), 11, *ZERO)
 AT_SOCIAL_SECURITY = weighted((3, 7, 9, -1, 5, 8, 4, 2, 1, 6), 11, *ZERO)
 SE_ORGANISATION = weighted((2, 1) * 4 + (2, 1), 10, *ZERO, fold=True) & shaped("^[0-9]{2}[2-9]")
-#: Document numbers of identity cards and passports: the nine printed characters, or those and a digit, weights 7 3 1.
+#: Machine-readable document number (ICAO 9303): weights 7 3 1 where a check digit follows the nine characters.
 DE_DOCUMENT = weighted((7, 3, 1) * 3 + (-1,), 10, *ZERO, chars=True) | shaped("^.{9}$")
 #: Provider number: Luhn over the prefix 80840, which adds 24.
 US_NPI = weighted((2, 1) * 5, 10, lambda r: (r + 24) % 10 == 0, "({r} + 24) % 10 = 0", fold=True)
@@ -312,3 +312,13 @@ MIXED = Check(lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), lambda v: f"(reg
 #: What stands where a secret would.
 PLACEHOLDERS = "(?i)^(placeholder|changeme|redacted|example|your[-_ ]?.*|xxx+|\\*+|<.*>|test|dummy|secret|password|none|null|true|false)$"
 NOT_PLACEHOLDER = Check(lambda v: ~v.rlike(PLACEHOLDERS), lambda v: f"NOT regexp_matches({v}, '{PLACEHOLDERS}')")
+
+#: Rows of keys and alphabets in which four neighbours, read either way, are a sequence.
+ROWS = ("abcdefghijklmnopqrstuvwxyz", "01234567890", "qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "zxcvbnm", "yxcvbnm")
+_FOURS = sorted({row[::way][i : i + 4] for row in ROWS for way in (1, -1) for i in range(len(row) - 3)})
+SEQUENCES = f"(?i)(?:{'|'.join(_FOURS)})"
+#: A value that is nothing but sequences and up to three other characters is made up, not chosen or drawn.
+NOT_SEQUENCE = Check(
+    lambda v: (F.length(F.regexp_replace(v, SEQUENCES, "")) > 3) | ~v.rlike(SEQUENCES),
+    lambda v: f"(length(regexp_replace({v}, '{SEQUENCES}', '', 'g')) > 3 OR NOT regexp_matches({v}, '{SEQUENCES}'))",
+)

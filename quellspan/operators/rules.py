@@ -31,6 +31,8 @@ class Rule:
     region: str = "generic"
     channel: str = "both"
     folded: tuple[str, ...] = ()
+    #: Where the shape is documented.
+    source: str = ""
 
 
 B62, B64, URL64, HEX = "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]", "[0-9a-f]"
@@ -72,31 +74,33 @@ TOKENS = (
     token("mailchimp-api-key", rf"{HEX}{{32}}-us[0-9]{{1,2}}", "-us"),
     token("mailgun-key", rf"key-{HEX}{{32}}", "key-"),
     token("twilio-api-key", rf"SK{HEX}{{32}}", "SK"),
-    token("telegram-bot-token", rf"[0-9]{{5,16}}:A{URL64}{{33,34}}", ":A"),
-    token("discord-bot-token", rf"[MNO]{B64.replace('+/', '_-')}{{23,27}}\.{URL64}{{6}}\.{URL64}{{27,38}}", "."),
+    token("telegram-bot-token", rf"[0-9]{{6,12}}:A{URL64}{{34}}", ":A", source="Telegram Bot API, Authorizing your bot"),
+    # the first part is an id of 17 to 19 digits in Base64, so it has no signs
+    token("discord-bot-token", rf"[MNO]{B62}{{22,25}}\.{URL64}{{6}}\.{URL64}{{27,}}", ".", source="Discord Developer Docs, Reference: Authentication, Snowflakes"),
     token("shopify-token", rf"shp(?:at|ca|pa|ss)_{HEX}{{32}}", "shpat_", "shpca_", "shppa_", "shpss_"),
     token("digitalocean-token", rf"do[opr]_v1_{HEX}{{64}}", "_v1_"),
     token("databricks-token", rf"dapi{HEX}{{32}}", "dapi"),
-    token("dropbox-short-lived-token", rf"sl\.{URL64}{{130,152}}", "sl."),
-    token("fireworks-api-key", rf"fw_{B62}{{20,40}}", "fw_", checks=(checks.MIXED,)),
+    token("dropbox-short-lived-token", rf"sl\.{URL64}{{130,}}", "sl.", source="Dropbox OAuth Guide, short-lived tokens"),
+    token("fireworks-api-key", rf"fw_{B62}{{22,}}", "fw_", checks=(checks.MIXED,), source="Fireworks AI Docs, API keys"),
     token("firecrawl-api-key", rf"fc-{HEX}{{32}}", "fc-"),
     token("deepseek-api-key-bare", rf"sk-{HEX}{{32}}", "sk-"),
     token("elevenlabs-api-key-bare", rf"sk_{HEX}{{48}}", "sk_"),
     token("infisical-service-token", rf"st\.{UUID}\.{HEX}{{32}}(?:\.{HEX}{{32}})?", "st."),
     token("infisical-service-token-hex", rf"st\.{HEX}{{24}}\.{HEX}{{32}}(?:\.{HEX}{{32}})?", "st."),
-    token("asana-personal-access-token", rf"[12]/[0-9]{{13,16}}(?:/[0-9]{{13,16}})?:{HEX}{{32}}", "/"),
-    token("salesforce-session-id", r"00D[0-9A-Za-z]{12,15}![0-9A-Za-z._]{79,}[0-9A-Za-z_]", "00D"),
+    token("asana-personal-access-token", rf"[0-9]/[0-9]{{10,}}(?:/[0-9]{{10,}})?:{HEX}{{32}}", "/", source="Asana Developers, Personal access token"),
+    # the id of an organisation, of 15 characters or of 18 with its checksum, and a session of that organisation
+    token("salesforce-session-id", rf"00D{B62}{{12}}(?:{B62}{{3}})?![0-9A-Za-z._]{{80,}}", "00D", source="Salesforce SOAP API Developer Guide, login()"),
     token("sonarqube-token", rf"sq[apu]_{HEX}{{40}}", "sqa_", "sqp_", "squ_"),
     token("tailscale-key", rf"tskey-[a-z]+-{B62}+-{B62}+", "tskey-"),
     token("hashicorp-vault-token", rf"hv[bs]\.{URL64}{{24,200}}", "hvs.", "hvb."),
-    token("aiven-service-password", rf"AVNS_{URL64}{{19}}", "AVNS_"),
+    token("aiven-service-password", rf"AVNS_{URL64}{{19,}}", "AVNS_", source="Aiven Docs, service passwords"),
     token("age-secret-key", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", "AGE-SECRET-KEY-1"),
     token("nats-nkey-seed", r"S[ACNOPUX][A-Z2-7]{56}", "S"),
     token("paseto-token", rf"v[1-4]\.(?:local|public)\.{URL64}{{32,}}", ".local.", ".public."),
     token("paserk-secret-key", rf"k[1-4]\.(?:secret|local)\.{URL64}{{40,}}", ".secret.", ".local."),
     token("json-web-token", rf"eyJ{URL64}{{10,}}\.eyJ{URL64}{{10,}}\.{URL64}{{10,}}", "eyJ"),
-    token("k3s-join-token", rf"K10{HEX}{{64}}::[0-9A-Za-z._-]{{1,64}}:[0-9A-Za-z._-]{{7,}}{URL64}", "K10"),
-    token("microsoft-account-refresh-token", r"M\.C[0-9]{3}_[A-Z]{2,4}\.[0-9A-Za-z!*$.-]{99,}[0-9A-Za-z*$-]", "M.C"),
+    token("k3s-join-token", rf"K10{HEX}{{64}}::[^\s:\"']+:[^\s:\"']{{8,}}", "K10", source="K3s Docs, token: secure token format"),
+    token("microsoft-account-refresh-token", r"M\.[A-Z][0-9]{1,3}_[A-Z0-9]{2,5}\.[^\s\"'<>,;&]{64,}", "M.", source="Microsoft identity platform, OAuth 2.0 authorization code flow: sample responses"),
     token("bitwarden-sm-access-token", rf"0\.{UUID}\.{B62}{{30}}:{B64}{{22}}==", "0.", after=""),
     token("crypto-extended-private-key", r"[xyz]prv[1-9A-HJ-NP-Za-km-z]{107}", "prv"),
     token("ntlmssp-message", rf"TlRMTVNTUAA[DCB]{B64}{{20,}}=*", "TlRMTVNTUAA", after=""),
@@ -143,14 +147,20 @@ TOKENS = (
     token("facebook-page-access-token", rf"EAA[MC]{B62}{{20,}}", "EAAM", "EAAC", checks=(checks.MIXED,)),
     token("slack-webhook-url", rf"https://hooks\.slack\.com/(?:services|workflows|triggers)/{B64}{{43,60}}", "hooks.slack.com"),
     token("discord-webhook-url", rf"https://(?:ptb\.|canary\.)?discord(?:app)?\.com/api/webhooks/[0-9]{{17,20}}/{URL64}{{60,80}}", "/api/webhooks/"),
-    token("convex-deploy-key", rf"(?:prod|dev|preview|project):[a-z0-9-]{{3,64}}\|eyJ2MiI6{B64}{{40,}}={{0,2}}", "eyJ2MiI6", after="[0-9A-Za-z+/=]"),
-    # fixed values: how the headers of these containers read in Base64
-    token("pkcs12-der-base64", rf"MII{B64}{{3}}IBAzCC{B64}{{200,}}={{0,2}}", "IBAzCC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]"),
-    token("rsa-pkcs8-key-der-base64", rf"MII{B64}{{3}}IBADANBgkqhkiG9w0BAQEFAASC{B64}{{200,}}={{0,2}}", "ANBgkqhkiG9w0BAQEFAASC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]"),
+    token("convex-deploy-key", r"(?:prod|dev|preview|project):[^\s|\"']+\|ey[0-9A-Za-z+/_-]{40,}={0,2}", "|ey", after="[0-9A-Za-z+/=]", source="Convex Docs, Deploy keys"),
+    # fixed values: how 30 82 and two bytes of length, 02 01 03 or 02 01 00, and what follows by the RFCs read in Base64
+    token("pkcs12-der-base64", rf"MII{B64}{{2}}[AQgw]IBAzCC{B64}{{120,}}={{0,2}}", "IBAzCC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]", source="RFC 7292, 4: PFX, version 3"),
+    token("rsa-pkcs8-key-der-base64", rf"MII{B64}{{2}}[AQgw]IBADANBgkqhkiG9w0BAQEFAASC{B64}{{120,}}={{0,2}}", "ANBgkqhkiG9w0BAQEFAASC", before="(?:^|[^0-9A-Za-z+/])", after="[0-9A-Za-z+/=]", source="RFC 5958, 2: OneAsymmetricKey, version 0; RFC 8017: rsaEncryption"),
     Rule("bitlocker-recovery-key", "SECRET", r"[0-9]{6}(?:-[0-9]{6}){7}", after="[0-9-]", checks=(checks.BITLOCKER,), keywords=("-",)),
     Rule("private-key-pem", "SECRET", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]{40,}", before="", keywords=("PRIVATE KEY-----",)),
 )
 
+#: What a password is called in nine languages, and parts of these in lower case.
+PASSWORD_WORDS = "password|passwd|passphrase|pwd|passwort|kennwort|losungswort|contraseña|contrasena|clave|mot de passe|senha|palavra-passe|parola|hasło|haslo|lösenord|wachtwoord"
+PASSWORD_HINTS = ("passw", "passphrase", "pwd", "kennwort", "losungswort", "contrase", "clave", "mot de passe", "senha", "palavra-passe", "parola", "haslo", "hasło", "senord", "wachtwoord")
+#: What a value after such a word must look like: letters and digits, no placeholder, not along the keyboard.
+CHOSEN = (checks.MIXED, checks.NOT_PLACEHOLDER, checks.NOT_SEQUENCE)
+
 LABELLED = (
     labelled("token-assignment", 'token = "', rf"{HEX}{{16,}}", "token = "),
     labelled("url-query-secret", r"[?&](?:access_token|api_?key|auth|secret|sig|token)=", r"[^&\s\"'<>#]{8,}", "?", "&", checks=(checks.NOT_PLACEHOLDER,)),
@@ -163,21 +173,25 @@ LABELLED = (
     labelled("label-aws-session-token", r"(?i)aws_session_token[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{60,}}=*", folded=("session_token",)),
     labelled("aws-secret-access-key", r"(?i)aws_?secret_?access_?key[\"' ]{0,3}[=:][\"' ]{0,3}", rf"{B64}{{40}}", folded=("secret",), after="[0-9A-Za-z+/]"),
     labelled("url-password-no-user", "://:", r"[^\s:/?#@&\[\]\"']{3,}", "://:", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("oracle-jdbc-thin-password", "jdbc:oracle:thin:[A-Za-z0-9_$#]{1,30}/", r"[^@\s\"']{3,}", "jdbc:oracle:thin:", after="[^@]", checks=(checks.NOT_PLACEHOLDER,)),
+    labelled("oracle-jdbc-thin-password", r"jdbc:oracle:thin:[^/@\s:]{1,64}/", r"[^@\s\"'/]{4,}", "jdbc:oracle:thin:", after="[^@]", checks=(checks.NOT_PLACEHOLDER,), source="Oracle JDBC Developer's Guide, Database URLs and Database Specifiers"),
     labelled("label-cli-password", r"(?i)[ \t]--?(?:[a-z0-9]+[-_])?(?:password|passwd|passphrase|pwd)[ \t]+[\"']?", r"[^\s\"'<>$|;&-][^\s\"'<>|;&]{3,}", folded=("passw", "passphrase", "pwd"), checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("label-mysql-p", r"(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|mariadb-dump)[ \t](?:[^\n|;&]{0,400}?[ \t])?-p[\"']?", r"[^\s\"'<>|;&]{3,}", "mysql", "mariadb", checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("label-redis-cli-a", r"redis-cli[ \t](?:[^\n|;&]{0,400}?[ \t])?-a[ \t]+[\"']?", r"[^\s\"'<>|;&]{4,}", "redis-cli", checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("secret-teams-meeting-passcode", r"teams\.microsoft\.com/meet/[0-9]{6,24}/?\?(?:[^\s#\"'<>]{0,400}&)?p=", f"{URL64}{{6,64}}", "teams.microsoft.com/meet/", after=URL64),
-    labelled("twilio-account-sid-labelled", r"(?i)(?:twilio|account_?sid|[^a-z]sid)[^\n]{0,40}?[^0-9a-z]", f"AC{HEX}{{32}}", "AC", after="[0-9A-Za-z]"),
-    labelled("auth-scheme-apikey", r"(?i)authorization[\"'\]]{0,2}[ \t]*[:=][ \t]*[\"'`]?apikey[ \t]+", r"[0-9A-Za-z+/_-]{8,}={0,2}", folded=("authorization",), checks=(checks.NOT_PLACEHOLDER,)),
-    labelled("label-laravel-app-key", r"(?:^|\n)[ \t]*(?:export[ \t]+)?APP_KEY[ \t]*=[ \t]*[\"']?", f"base64:{B64}{{20,44}}={{0,2}}", "APP_KEY", after="[0-9A-Za-z+/=]"),
-    labelled("label-php-define-key", r"define[ \t]*\([ \t]*[\"'](?:[A-Z0-9]+_){0,6}(?:KEY|SALT|SECRET|TOKEN)[\"'][ \t]*,[ \t]*[\"']", r"[^\"'\n]{16,}", "define", checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
+    labelled("label-mysql-p", r"(?:mysql|mariadb)[a-z_-]*(?: +[^\s|;&]+){0,20}? +-p[\"']?", r"[^\s\"'|;&=-][^\s\"'|;&]{3,}", "mysql", "mariadb", checks=(checks.NOT_PLACEHOLDER,), source="MySQL Reference Manual, Specifying Program Options: -p takes no space"),
+    labelled("label-redis-cli-a", r"redis-cli(?: +[^\s|;&]+){0,20}? +-a +[\"']?", r"[^\s\"'|;&]{5,}", "redis-cli", checks=(checks.NOT_PLACEHOLDER,), source="Redis Docs, redis-cli: -a <password>"),
+    labelled("secret-teams-meeting-passcode", r"teams\.microsoft\.com/meet/[0-9]+/?\?(?:[a-z]+=[^\s&\"'<>]*&)*p=", f"{B62}{{6,}}", "teams.microsoft.com/meet/", after="[0-9A-Za-z_-]", source="Microsoft Support, Join a meeting in Teams"),
+    labelled("twilio-account-sid-labelled", r"(?i)(?:twilio|account)[a-z_ -]{0,20}sid[\"' ]{0,2}[:=]?[\"' ]{0,2}", f"AC{HEX}{{32}}", "AC", after="[0-9A-Za-z]", source="Twilio Docs, What is a String Identifier (SID)"),
+    labelled("auth-scheme-apikey", r"(?i)authorization[\"']? ?[:=] ?[\"']?apikey +", f"{B64}{{8,}}={{0,2}}", folded=("authorization",), checks=(checks.NOT_PLACEHOLDER,), source="Elasticsearch API, Create an API key: Authorization header"),
+    # 32 bytes, or 16 for AES-128
+    labelled("label-laravel-app-key", r"(?:^|\n)(?:export )?APP_KEY ?= ?[\"']?", f"base64:(?:{B64}{{43}}=|{B64}{{22}}==)", "APP_KEY", after="[0-9A-Za-z+/=]", source="Laravel Docs, Encryption: Configuration"),
+    labelled("label-php-define-key", r"define\( ?[\"'][A-Z_]*(?:KEY|SALT|SECRET|TOKEN)[\"'], ?[\"']", r"[^\"'\n]{12,}", "define", checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5)), source="WordPress Developer Resources, wp-config.php: Security Keys"),
     labelled("secret-add-mask", "::add-mask::", r"\S{4,}", "::add-mask::", checks=(checks.NOT_PLACEHOLDER,), channel="tool"),
     labelled("secret-shared-access-key", "(?i)sharedaccesskey=", f"{B64}{{16,}}={{0,2}}", folded=("sharedaccesskey=",), checks=(checks.MIXED,), channel="tool"),
     labelled("secret-postman-variable", r"\"key\" ?: ?\"[^\"\n]{0,40}(?:password|passwd|secret|token|api_?key)[^\"\n]{0,20}\" ?, ?\"value\" ?: ?\"", r"[^\"\n]{8,}", '"value"', checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5)), channel="tool"),
     labelled("secret-hex48-after-token-word", r"(?i)(?:token|secret|code|key)[\"' :=]{1,4}", f"{HEX}{{48}}", folded=("token", "secret", "code", "key"), after="[0-9A-Za-z]", checks=(checks.MIXED,), channel="tool"),
-    labelled("aws-secret-after-access-key", r"(?:AKIA|ASIA)[0-9A-Z]{16}[^0-9A-Za-z](?:[^\n]{0,120}\n){0,4}?(?:[^\n]{0,120}?[^0-9A-Za-z/+=])??", f"{B64}{{40}}", "AKIA", "ASIA", after="[0-9A-Za-z/+=]", checks=(checks.unlike("^[0-9a-f]{40}$"),)),
+    labelled("aws-secret-after-access-key", r"(?:AKIA|ASIA)[A-Z2-7]{16}[^\n]{0,80}\n?[^\n]{0,80}?[^0-9A-Za-z/+=]", f"{B64}{{40}}", "AKIA", "ASIA", after="[0-9A-Za-z/+=]", checks=(checks.unlike("^[0-9a-f]{40}$"),), source="AWS IAM User Guide, Manage access keys: a key id and a secret of 40 characters together"),
     labelled("keyword-assignment", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|passphrase)[\"']? ?[=:] ?[\"']", r"[^\s\"']{8,}", folded=("pass", "pwd", "secret", "key"), checks=(checks.NOT_PLACEHOLDER, checks.least_entropy(2.5))),
+    labelled("label-password", rf"(?i)(?:^|[^0-9A-Za-z])(?:[A-Za-z0-9]{{1,32}}[_.-]){{0,4}}(?:{PASSWORD_WORDS})[\"']? ?[:=] ?[\"']?", r"[^\s\"',;<>&]{5,63}[^\s\"',;<>&.)]", folded=PASSWORD_HINTS, checks=CHOSEN),
+    labelled("label-password-words-is", rf"(?i)(?:^|[^0-9A-Za-z])(?:{PASSWORD_WORDS})(?: (?:is|ist|lautet|es|est|é|jest|är))[: ] ?[\"']?", r"[^\s\"',;<>&]{5,63}[^\s\"',;<>&.)]", folded=PASSWORD_HINTS, checks=CHOSEN),
+    labelled("label-env-secret", r"(?:^|[^0-9A-Za-z_])[A-Z0-9_]{0,48}(?:API_?KEY|SECRET|TOKEN|ACCESS_KEY|PRIVATE_KEY)=[\"']?", r"[^\s\"',;<>&]{11,127}[^\s\"',;<>&.)]", "KEY=", "SECRET=", "TOKEN=", checks=(*CHOSEN, checks.least_entropy(3.0))),
 )
 
 REGIONAL = (
@@ -205,6 +219,9 @@ REGIONAL = (
     number("au-abn", "AU_ABN", r"[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}", checks.AU_ABN, "au", "abn"),
 )
 
+#: Words after a German title that name an office, not a person.
+ROLES = "^(?:Doktor|Professor|Minister|Ministerpräsident|Präsident|Kanzler|Bundeskanzler|Bundespräsident|Direktor|Pfarrer|Pastor|Richter|Staatsanwalt|Bürgermeister|Oberbürgermeister|Botschafter|General|Hauptmann|Kommissar|Abgeordnete|Vorsitzende|Kollege|Lehrer|Nachbar)(?:in|en|er|r|n)?$"
+
 PERSONAL = (
     Rule("card", "CARD", r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}", before="(?:^|[^0-9])", after="[0-9]", checks=(checks.LUHN,), band="personal"),
     Rule("iban", "IBAN", r"[A-Z]{2}[0-9]{2}(?:[  -]?[A-Z0-9]{4}){2,7}(?:[  -]?[A-Z0-9]{1,3})?", before="(?:^|[^0-9A-Za-z])", after="[0-9A-Za-z]", checks=(checks.IBAN,), band="personal"),
@@ -219,7 +236,7 @@ PERSONAL = (
     Rule("name-vcard-n", "NAME", r"[^\s;:][^\r\n:]{1,80}", before=r"(?:^|\n)F?N(?:;[^:\n]{0,40})?:", keywords=("BEGIN:VCARD",), band="personal", channel="tool"),
     Rule("address-vcard-fields", "ADDRESS", r"[^\r\n]{5,200}", before=r"(?:^|\n)ADR(?:;[^:\n]{0,80})?:;*", after=r"[^\r\n]", keywords=("BEGIN:VCARD",), band="personal", channel="tool"),
     Rule("address-jp-postcode", "ADDRESS", r"[0-9]{3}-[0-9]{4}", before="〒 ?", after="[0-9]", keywords=("〒",), band="personal", channel="tool"),
-    Rule("name-after-german-title", "NAME", r"[A-ZÄÖÜ][a-zäöüß]{1,30}(?:[ -][A-ZÄÖÜ][a-zäöüß]{1,30})?", before=r"(?:^|[^A-Za-z])(?:Herrn?|Frau) (?:Dr\. |Prof\. ){0,2}", keywords=("Herr", "Frau"), band="personal", region="de", channel="tool"),
+    Rule("name-after-german-title", "NAME", r"[A-ZÄÖÜ][a-zäöüß]{1,30}(?:[ -][A-ZÄÖÜ][a-zäöüß]{1,30})?", before=r"(?:^|[^A-Za-z])(?:Herrn?|Frau) (?:Dr\. |Prof\. ){0,2}", keywords=("Herr", "Frau"), checks=(checks.unlike(ROLES),), band="personal", region="de", channel="tool"),
     Rule("id-number-after-label", "ID_NUMBER", r"[0-9][0-9-]{3,18}[0-9]", before=r"(?i)(?:customer|member|employee|patient|student|kunden|mitglieds|personal)[ _-]?(?:id|no\.?|number|nummer)[ ]?[:=#][ ]?", after="[0-9A-Za-z]", folded=("customer", "member", "employee", "patient", "student", "kunden", "mitglieds", "personal"), band="personal", channel="tool"),
     Rule("user-in-url", "USERNAME", r"[A-Za-z][A-Za-z0-9._-]{1,31}", before="(?:ssh|sftp|ftp)://", after="[^@]", keywords=("ssh://", "ftp://"), band="personal", channel="tool"),
     Rule("birth-date-after-label", "BIRTH_DATE", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", before=r"(?i)(?:date of birth|birth ?date|dob|geburtsdatum|geboren am|fecha de nacimiento|date de naissance)[:=]? ", after="[0-9]", folded=("birth", "dob", "geburtsdatum", "geboren", "nacimiento", "naissance"), band="personal", channel="tool"),
