@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quellspan.functions import checks
-from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports
+from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -313,6 +313,34 @@ def object_scan_findings(spark, sf_dir):
     return out.select("doc_id", F.array_join("path", ".").alias("path"), "start", "end", "rule", "type")
 
 
+_PAIR = "regexp_replace(lower({0}), '[^a-z]', '.', 'g')"
+
+
+@query(
+    "judged_url_parts",
+    f"""WITH RECURSIVE vals AS (SELECT DISTINCT v FROM (SELECT unnest(string_split_regex(url, '[/.?=&:]')) AS v FROM pages) WHERE length(v) >= 5),
+words AS (SELECT w FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\\pL+'))) AS w FROM documents) GROUP BY w HAVING count(*) >= 10),
+folded AS (SELECT v, CASE WHEN regexp_matches(lower(v), '\\pL') THEN translate(lower(v), '{"".join(a for a, _ in words.PAIRS)}', '{"".join(b for _, b in words.PAIRS)}') ELSE lower(v) END AS r FROM vals),
+pieces AS (SELECT v, r, i, unnest(range({words.SHORTEST_WORD}, {words.LONGEST_WORD} + 1)) AS n FROM (SELECT v, r, unnest(range(0, length(r))) AS i FROM folded)),
+steps AS (SELECT v, i, n, n AS m FROM pieces WHERE i + n <= length(r) AND substr(r, i + 1, n) IN (SELECT w FROM words WHERE length(w) BETWEEN {words.SHORTEST_WORD} AND {words.LONGEST_WORD}) UNION ALL SELECT v, unnest(range(0, length(r))), 1, 0 FROM folded),
+reach AS (SELECT v, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS c FROM folded UNION SELECT v, reach.i + n, c + m FROM reach JOIN steps USING (v) WHERE steps.i = reach.i),
+cover AS (SELECT v, max(c) AS covered FROM reach JOIN folded USING (v) WHERE i = length(r) GROUP BY v),
+seen AS (SELECT substr(p, k, 2) AS pair, count(*) AS n FROM (SELECT p, unnest(range(1, length(p))) AS k FROM (SELECT {_PAIR.format("w")} AS p FROM words WHERE length(w) > 1)) GROUP BY ALL),
+letters AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz.', '')) AS c),
+model AS (SELECT a.c || b.c AS pair, round(-log2((coalesce(n, 0) + 0.5) / sum(coalesce(n, 0) + 0.5) OVER (PARTITION BY a.c)), 6) AS bits FROM letters a, letters b LEFT JOIN seen ON pair = a.c || b.c),
+surprise AS (SELECT v, round(avg(bits), 4) AS surprise FROM (SELECT v, p, unnest(range(1, length(p))) AS k FROM (SELECT v, {_PAIR.format("v")} AS p FROM vals)) JOIN model ON pair = substr(p, k, 2) GROUP BY v),
+told AS (SELECT v AS value, CAST(length(regexp_replace(r, '[^\\pL]', '', 'g')) AS BIGINT) AS letters, covered, surprise, round((length(v) - length(regexp_replace(v, '{checks.SEQUENCES}', '', 'g'))) / length(v), 6) AS sequences FROM folded JOIN cover USING (v) JOIN surprise USING (v))
+SELECT *, CASE WHEN sequences >= 0.5 THEN 'sequence' WHEN letters > 0 AND covered >= 0.7 * letters AND NOT regexp_matches(value, '[0-9]{{3}}') THEN 'words'
+WHEN surprise >= 5.0 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')) THEN 'random' ELSE 'unclear' END AS verdict FROM told""",
+)
+def judged_url_parts(spark, sf_dir):
+    """Parts of pages' addresses judged by the words of ten documents or more."""
+    parts = table(spark, sf_dir, "pages").select(F.explode(F.split("url", "[/.?=&:]")).alias("value")).where(F.length("value") >= 5)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    known = _documents(spark, sf_dir).select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("word")
+    return words.judged(parts, written(known, "known-words"))
+
+
 @query("html_entity_text", f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest FROM (SELECT page_id, {records.sql_html_text('html')} AS t FROM pages)")
 def html_entity_text(spark, sf_dir):
     out = table(spark, sf_dir, "pages").select("page_id", records.html_text(F.col("html")).alias("t"))
