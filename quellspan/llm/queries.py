@@ -175,6 +175,44 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), shown={"text": tampered})
 
 
+def op11_sql(levels: int = 12) -> str:
+    """The same trees level by level, for up to 8 ** levels leaves; each row's proof is gathered and folded on the way up."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    ctes = [
+        # lower() would fold other letters too: A-Z one by one
+        f"rows_ AS (SELECT row_number() OVER () AS rid, *, CASE WHEN ({_crc32_sql('CAST(doc_id AS VARCHAR)')}) % 3 = 0 THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END AS shown FROM documents)",
+        f"hashed AS (SELECT rid, doc_id, lang, {leaf('text')} AS leaf, {leaf('shown')} AS other FROM rows_)",
+        "p0 AS (SELECT rid, lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, other AS fold, '' AS proof FROM hashed)",
+        "n0 AS (SELECT lang AS tree, i, leaf AS d, n FROM hashed JOIN p0 USING (rid))",
+    ]
+
+    def climb(name: str, first: int) -> None:
+        """Levels of nodes n and of paths p; a tree of one node stays as it is."""
+        for k in range(first, first + levels):
+            ctes.append(f"r{k} AS (SELECT tree, i, d, n, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n{k} WINDOW w AS (PARTITION BY tree, i // 8 ORDER BY i))")
+            ctes.append(f"n{k + 1} AS (SELECT tree, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d, (any_value(n) + 7) // 8 AS n FROM n{k} GROUP BY tree, i // 8)")
+            ctes.append(f"p{k + 1} AS (SELECT rid, p.tree, p.i // 8 AS i, CASE WHEN r.n > 1 THEN sha256(l || fold || r) ELSE fold END AS fold, CASE WHEN r.n > 1 THEN proof || l || r ELSE proof END AS proof FROM p{k} p JOIN r{k} r ON p.tree IS NOT DISTINCT FROM r.tree AND p.i = r.i)")
+
+    climb("tree", 0)
+    top = levels + 1
+    ctes.append(f"n{top} AS (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS i, d, count(*) OVER () AS n, tree AS of FROM n{levels})")
+    ctes.append(f"p{top} AS (SELECT rid, '' AS tree, i, fold, proof, d AS subroot FROM (SELECT rid, tree, fold, proof FROM p{levels}) p JOIN (SELECT of, i, d FROM n{top}) t ON p.tree IS NOT DISTINCT FROM t.of)")
+    climb("forest", top)
+    end = top + levels
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(p.proof) AS proof_sha256, p.fold AS folded_root, p.fold = d AS verified, CAST(log_position AS BIGINT) AS log_position
+FROM hashed JOIN p{end} p USING (rid) JOIN p{top} q USING (rid) CROSS JOIN n{end}
+JOIN (SELECT rid, {" + ".join(f"(i // CAST(pow(8, {m}) AS BIGINT)) * CAST(n > CAST(pow(8, {m - 1}) AS BIGINT) AS BIGINT)" if m else "i" for m in range(levels + 1))} AS log_position FROM p0) USING (rid)"""
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short text of one-byte characters, bit by bit."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: ({bits})), 4294967295)"
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -185,4 +223,4 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_lines": op4_lines, "op3_kneser_ney": op3_kneser_ney, "op9_vectors": op9_vectors, "op8_mixing": op8_mixing, "op1_pieces": op1_pieces, "op6_quality": op6_quality, "op2_chat": op2_chat, "op5_tokens": op5_tokens, "op10_brown": op10_brown, "op7_simhash": op7_simhash, "op11_merkle": op11_merkle, "op12_alignment": op12_alignment, "op13_toxicity": op13_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_chat": op2_sql(), "op6_quality": op6_sql(), "op8_mixing": op8_sql(), "op11_merkle": op11_sql()}
