@@ -52,7 +52,7 @@ def with_hits(df: DataFrame, key: str, registry: DataFrame, text_col: str = "tex
     values = written(filed(registry), "known-values")
     size = values.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("longest")).first()
     small = size["n"] <= MOST_SENT and (size["longest"] or 0) <= LONGEST_SENT
-    places = df.select(F.col(key).alias("_key"), F.explode(runs(unmarked(F.col(text_col)))).alias("x")).select("_key", F.col("x.value").alias("anchor"), F.col("x.start").alias("at"))
+    places = df.select(F.col(key).alias("_key"), F.explode_outer(runs(unmarked(F.col(text_col)))).alias("x")).where("x IS NOT NULL").select("_key", F.col("x.value").alias("anchor"), F.col("x.start").alias("at"))
     met = places.join(F.broadcast(values) if small else values, "anchor").where("at >= lead").select("_key", (F.col("at") - F.col("lead")).alias("start"), "value", "type")
     met = met.groupBy("_key").agg(F.collect_list(F.struct("start", "value", "type")).alias("_met"))  # of one text
     text = F.col("_text")

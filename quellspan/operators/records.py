@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellspan.functions.spans import let, mapped, scanned, starts, unmarked
+from quellspan.operators.grids import TYPES, column_kind, fits
+
 #: The entities that texts of web pages use most.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -21,6 +24,40 @@ def next_line_values(df: DataFrame, key: str, text_col: str, label: str) -> Data
     return rows.withColumn("value", F.trim(after)).where(F.col("line").rlike(label) & F.col("value").isNotNull()).select(key, "number", "value")
 
 
+def labelled_lines(df: DataFrame, *keep: str, text_col: str = "text", back: int = 40) -> DataFrame:
+    """Values on a line of their own under a label: the columns ``keep``, start, end, rule, type, value.
+
+    A label is a line that names a personal column and ends in a colon or an equals sign; its value is the first line with
+    anything on it among the ``back`` lines below, if it holds what the label names. Lines stay in their text's row: the last
+    label above each line is a running maximum of line numbers.
+    """
+    lines = F.split(unmarked(F.col(text_col)), "\n")
+
+    def found(own):
+        name = lambda x: F.regexp_extract(x, r"^\s*(\S.{0,62}?)\s*[:=]\s*$", 1)
+        kinds = F.transform(own, lambda x: F.when(name(x) != "", column_kind(name(x))))
+        begin = starts(F.transform(own, lambda x: F.length(x) + 1))
+        filled = F.transform(own, lambda x, i: F.when(F.trim(F.translate(x, "\r\t", "  ")) != "", i).otherwise(-1))
+        last = scanned(filled, F.lit(-1), lambda a, x: F.greatest(a, x))
+
+        def told(s):
+            def value(x, i):
+                lead = F.length(F.regexp_extract(x, r"^\s*", 0))
+                said = F.regexp_replace(x, r"^\s+|\s+$", "")
+                above = F.get(s["last"], i).cast("int")
+                kind = F.when((above >= 0) & (i - above <= back), F.get(s["kinds"], above))
+                start = F.get(s["begin"], i) + lead
+                row = F.struct(start.alias("start"), (start + F.length(said)).alias("end"), F.lit("label-line-above").alias("rule"), F.coalesce(F.try_element_at(mapped(TYPES), kind), kind).alias("type"), said.alias("value"))
+                return F.when((said != "") & kind.isNotNull() & fits(kind, said), row)
+
+            return F.filter(F.transform(own, value), lambda x: x.isNotNull())
+
+        return let(F.struct(kinds.alias("kinds"), begin.alias("begin"), last.alias("last")), told)
+
+    out = df.select(*keep, lines.alias("_lines")).withColumn("_found", let(F.col("_lines"), found))
+    return out.select(*keep, F.explode_outer("_found").alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
+
+
 def pipe_cells(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, number, position, cell)`` of the lines that are rows of a pipe table."""
     rows = line_rows(df, key, text_col).where(F.col("line").contains(" | "))

@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quellspan.functions import checks
-from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports, words
+from quellspan.functions.spans import sql_spans
+from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports, terms, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -341,6 +342,36 @@ def judged_url_parts(spark, sf_dir):
     return words.judged(parts, written(known, "known-words"))
 
 
+@query("label_line_findings", planted.tables_sql("form", "label-line-above", ("NAME", "PHONE", "ID_NUMBER")))
+def label_line_findings(spark, sf_dir):
+    """Values under labels on lines of their own, in forms made of customers."""
+    return records.labelled_lines(spread(planted.tables(table(spark, sf_dir, "customer"), "form")), "text_id")
+
+
+_RUN_WORDS = 5
+
+
+@query(
+    "benchmark_term_runs",
+    f"""WITH source AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(65533) || chr(65533)) AS body FROM documents),
+items AS (SELECT 'item ' || item_id AS label, list_transform(regexp_extract_all(coalesce(text, ''), '{terms.WORD}'), lambda x: lower(x)) AS w FROM benchmark),
+index AS (SELECT DISTINCT label, array_to_string(w[i:i + {_RUN_WORDS - 1}], ' ') AS gram FROM (SELECT label, w, unnest(range(1, len(w) - {_RUN_WORDS - 2})) AS i FROM items)),
+words AS (SELECT doc_id, {sql_spans("body", "", terms.WORD)} AS w FROM source),
+grams AS (SELECT doc_id, array_to_string(list_transform(w[i:i + {_RUN_WORDS - 1}], lambda x: lower(x.value)), ' ') AS gram, w[i].start AS s, w[i + {_RUN_WORDS - 1}]."end" AS e FROM (SELECT doc_id, w, unnest(range(1, len(w) - {_RUN_WORDS - 2})) AS i FROM words)),
+hits AS (SELECT DISTINCT doc_id, label, s, e FROM grams JOIN index USING (gram)),
+turns AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY doc_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM hits),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY s, e) AS run FROM turns)
+SELECT doc_id, label, min(s) AS "start", max(e) AS "end", count(*) AS hits FROM runs GROUP BY doc_id, label, run""",
+)
+def benchmark_term_runs(spark, sf_dir):
+    """Every five words in a row of the benchmark as terms of a dictionary, found in documents and merged to passages."""
+    said = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(terms.WORD), F.lit(0)), F.lower)
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("label"), said.alias("w")).where(F.size("w") >= _RUN_WORDS)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (_RUN_WORDS - 1)), lambda i: F.array_join(F.slice("w", i, _RUN_WORDS), " "))
+    listed = items.select("label", F.explode(runs).alias("term")).withColumn("stems", F.lit(False))
+    return terms.merged(terms.hits(_documents(spark, sf_dir), "doc_id", "text", listed), "doc_id")
+
+
 @query("html_entity_text", f"SELECT page_id, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS digest FROM (SELECT page_id, {records.sql_html_text('html')} AS t FROM pages)")
 def html_entity_text(spark, sf_dir):
     out = table(spark, sf_dir, "pages").select("page_id", records.html_text(F.col("html")).alias("t"))

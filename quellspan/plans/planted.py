@@ -21,6 +21,7 @@ FORMATS = {
         ("<tr><td>", "</td><td><b>", "</b></td><td>", "</td><td class='id'>", "</td></tr>"),
         "</table>",
     ),
+    "form": ("Members\n\n", ("Full name:\n", "\n\nPhone:\n\n", "\nNote:\n", "\nCustomer id =\n  ", "\n\n"), ""),
 }
 
 
@@ -57,8 +58,8 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def tables_sql(kind: str, rule: str) -> str:
-    """Where the personal cells of :func:`tables` stand."""
+def tables_sql(kind: str, rule: str, types: tuple[str, ...] = ("NAME", "PHONE", "ADDRESS", "ID_NUMBER")) -> str:
+    """Where the cells of these types of :func:`tables` stand."""
     head, marks, _ = FORMATS[kind]
     pick = lambda words: f"[{', '.join(map(_text, words))}][k % {len(words)} + 1]"
     name, address, quoted = "full_name", "address", "0"
@@ -70,7 +71,7 @@ def tables_sql(kind: str, rule: str) -> str:
     widths = ["length(name)", "length(phone)", "length(home) + 2 * quoted", "length(customer_id)"]
     before = [f"{sum(map(len, marks[: i + 1]))} + {' + '.join(widths[:i]) or '0'}" for i in range(4)]
     cells = [("NAME", "name", before[0], "full_name <> 'n/a'"), ("PHONE", "phone", before[1], "TRUE"), ("ADDRESS", "home", f"{before[2]} + quoted", "TRUE"), ("ID_NUMBER", "customer_id", before[3], "TRUE")]
-    union = " UNION ALL ".join(f"SELECT text_id, begin + {at} AS \"start\", begin + {at} + length({v}) AS \"end\", '{t}' AS type, {v} AS value FROM placed WHERE {ok}" for t, v, at, ok in cells)
+    union = " UNION ALL ".join(f"SELECT text_id, begin + {at} AS \"start\", begin + {at} + length({v}) AS \"end\", '{t}' AS type, {v} AS value FROM placed WHERE {ok}" for t, v, at, ok in cells if t in types)
     return f"""WITH keyed AS (SELECT c_custkey AS k, c_mktsegment FROM customer),
 people AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'n/a' ELSE {pick(FIRST)} || ' ' || {pick(LAST)} END AS full_name, '+1 212 555 ' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS phone,
 CASE k % 3 WHEN 0 THEN (k % 900 + 10) || ' Harbor Street, Unit "' || c_mktsegment || '"' WHEN 1 THEN (k % 900 + 10) || ' Mill Road' || chr(10) || 'Rear' ELSE (k % 900 + 10) || ' Elm Avenue' END AS address, CAST(k + 700000 AS VARCHAR) AS customer_id FROM keyed),
