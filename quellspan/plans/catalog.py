@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quellspan.functions import checks
 from quellspan.functions.spans import sql_spans
-from quellspan.operators import cleaning, detect, grids, known, leaves, lookups, masking, records, reports, terms, words
+from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lookups, masking, records, reports, terms, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -404,11 +404,10 @@ _grid_query("insert_column_findings", "insert", "sql-insert-personal-column")
 _grid_query("html_column_findings", "html", "html-table-personal-column")
 
 
-@query("decoded_run_hits")
+@query("decoded_run_hits", planted.encoded_sql(lambda source, key: f'WITH {oracle.findings_sql(CATALOG, source, key, "body")} SELECT {key}, rule, type FROM findings'))
 def decoded_run_hits(spark, sf_dir):
-    """Findings of the readable texts behind base64 runs, with the run's number."""
-    runs = _documents(spark, sf_dir).select("doc_id", F.posexplode(records.decoded_runs(F.col("text"))).alias("run", "text"))
-    return detect.findings(runs, "doc_id", "run", rules=CORE).drop("value")
+    """Findings behind encoded runs, told of the runs: documents' starts in Base64, in hex, and in Base64 twice."""
+    return decoding.findings(spread(planted.encoded(table(spark, sf_dir, "documents"))), "doc_id").drop("value")
 
 
 @query("session_rate_limit", "SELECT event_id, uses, uses > 20 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS uses FROM events)")

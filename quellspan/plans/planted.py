@@ -159,3 +159,23 @@ moved AS (SELECT doc_id, 'body' AS path, {at("base", "body", '"start"')} AS s, {
 UNION ALL SELECT doc_id, 'again.body', {at("base2", "body", '"start"')}, {at("base2", "body", '"end"')}, rule, type FROM whole JOIN bases USING (doc_id)
 UNION ALL SELECT n.doc_id, 'content.' || n.node || '.text', CASE n.node WHEN 0 THEN base0 ELSE base1 END + {esc("substr(h.body, 1, CAST(n.s AS BIGINT))")}, CASE n.node WHEN 0 THEN base0 ELSE base1 END + {esc("substr(h.body, 1, CAST(n.e AS BIGINT))")}, rule, type FROM nodes n JOIN bases USING (doc_id) JOIN halves h ON h.doc_id = n.doc_id AND h.node = n.node)
 SELECT doc_id, path, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", rule, type FROM moved"""
+
+
+#: Characters of a document that are encoded: fewer bytes than the longest run that is decoded, also when encoded twice.
+ENCODED = 300
+
+
+def encoded(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the start of each document in Base64, in hex, and in Base64 twice."""
+    start = F.substring(F.coalesce("text", F.lit("")), 1, ENCODED)
+    once = F.base64(F.encode(start, "UTF-8"))
+    return documents.select("doc_id", F.concat(F.lit("a "), once, F.lit(" b "), F.lower(F.hex(F.encode(start, "UTF-8"))), F.lit(" c "), F.base64(F.encode(once, "UTF-8"))).alias("text"))
+
+
+def encoded_sql(findings) -> str:
+    """The findings of those starts, each told of all three runs."""
+    return f"""WITH starts AS (SELECT doc_id, substr(coalesce(text, ''), 1, {ENCODED}) AS body FROM documents),
+sizes AS (SELECT doc_id, length(to_base64(encode(body))) AS one, 2 * octet_length(encode(body)) AS two, length(to_base64(encode(to_base64(encode(body))))) AS three FROM starts WHERE octet_length(encode(body)) >= 18),
+found AS ({findings("starts", "doc_id")}),
+places AS (SELECT doc_id, 2 AS s, 2 + one AS e FROM sizes UNION ALL SELECT doc_id, 5 + one, 5 + one + two FROM sizes UNION ALL SELECT doc_id, 8 + one + two, 8 + one + two + three FROM sizes)
+SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", rule, type FROM found JOIN places USING (doc_id)"""
