@@ -22,10 +22,15 @@ def masked(text: Column, findings: Column) -> Column:
     return let(findings, joined)
 
 
+def base64_line(raw: Column) -> Column:
+    """Base64 without the line breaks that long values are given."""
+    return F.regexp_replace(F.base64(raw), "[\r\n]", "")
+
+
 def derived(value: Column) -> Column:
     """The forms under which a value may stand elsewhere, as ``(form, value)``: Base64, hex and percent-encoded."""
     raw = F.encode(value, "UTF-8")
-    forms = {"base64": F.base64(raw), "hex": F.lower(F.hex(raw)), "percent": F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))}
+    forms = {"base64": base64_line(raw), "hex": F.lower(F.hex(raw)), "percent": F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))}
     return F.array(*[F.struct(F.lit(k).alias("form"), v.alias("value")) for k, v in forms.items()])
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellspan.operators.masking import base64_line
+
 FIRST = ("Anna", "Boris", "Clara", "David", "Elena", "Farid", "Greta", "Henry")
 LAST = ("Okafor", "Schmidt", "Moreau", "Castillo", "O'Neil", "Jensen", "Rossi")
 ROWS_PER_TEXT = 100
@@ -168,8 +170,8 @@ ENCODED = 300
 def encoded(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)``: the start of each document in Base64, in hex, and in Base64 twice."""
     start = F.substring(F.coalesce("text", F.lit("")), 1, ENCODED)
-    once = F.base64(F.encode(start, "UTF-8"))
-    return documents.select("doc_id", F.concat(F.lit("a "), once, F.lit(" b "), F.lower(F.hex(F.encode(start, "UTF-8"))), F.lit(" c "), F.base64(F.encode(once, "UTF-8"))).alias("text"))
+    once = base64_line(F.encode(start, "UTF-8"))
+    return documents.select("doc_id", F.concat(F.lit("a "), once, F.lit(" b "), F.lower(F.hex(F.encode(start, "UTF-8"))), F.lit(" c "), base64_line(F.encode(once, "UTF-8"))).alias("text"))
 
 
 def encoded_sql(findings) -> str:
