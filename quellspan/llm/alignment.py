@@ -10,7 +10,7 @@ Neither tokenizer joins what stands before a single space to what follows it, so
 one after the other, and each distinct stretch is encoded and aligned once in a worker. A text in which a space touches other
 white space is one stretch.
 
-What ids meet is counted over the corpus in joins. A batch (the texts of about 8 MB) keeps the number of each pair of ids it
+What ids meet is counted over the corpus in joins. A batch (the texts of about 4 MB) keeps the number of each pair of ids it
 holds, these are summed over all batches, and each batch gets back the counts of its own pairs; so what is shuffled follows
 the distinct pairs of batches, not the tokens, and no task needs the whole table of counts.
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from quellspan.llm.tokens import slices
 from quellspan.session import written
 
-MOST_CACHED = 300_000
+MOST_CACHED = 220_000
 #: Text of a batch, and of the slices in which it is read.
-BATCH_BYTES, CUT_BYTES = 8 << 20, 2 << 20
+BATCH_BYTES, CUT_BYTES = 4 << 20, 1 << 20
 
 
 def byte_of() -> dict[str, int]:
@@ -292,6 +292,8 @@ def batches(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
                 lists = [pa.array([x[c]], pa.list_(pa.int64())) for c in ("pairs", "uses")]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *packed, *lists], ["batch", "rows", *_PACKED, "pairs", "uses"])
                 at, number = at + len(texts), number + 1
+        own.clear()  # the worker lives on beside the joins that follow
+        pa.default_memory_pool().release_unused()
 
     schema = "batch long, rows binary, sizes binary, places binary, reach binary, links binary, pairs array<long>, uses array<long>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -307,7 +309,8 @@ def pair_counts(parts: DataFrame, size: int) -> DataFrame:
 
 def _scored(parts):
     for part in parts:
-        for row in part.to_pylist():
+        for i in range(part.num_rows):
+            (row,) = part.slice(i, 1).to_pylist()
             sizes, places, reach, links = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in _PACKED)
             told = row["told"] or {"pos": [], "n": [], "best": []}
             n, best = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
