@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,17 @@ def derived(value: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("form"), v.alias("value")) for k, v in forms.items()])
 
 
+def padded(key: str) -> tuple[bytes, bytes]:
+    """The inner and the outer block of RFC 2104 for SHA-256."""
+    raw = key.encode()
+    block = (sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(x ^ 0x36 for x in block), bytes(x ^ 0x5C for x in block)
+
+
 def fingerprint(value: Column, key: str) -> Column:
-    """A keyed digest of a value; the value can't be told from it without the key."""
-    return F.sha2(F.concat(F.sha2(F.concat(F.lit(key), value), 256), F.lit(key)), 256)
+    """HMAC-SHA-256 of a value; the value can't be told from it without the key."""
+    inner, outer = padded(key)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(value, "UTF-8")), 256))), 256)
 
 
 def numbered(values: DataFrame, key: str) -> DataFrame:

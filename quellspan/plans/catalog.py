@@ -148,7 +148,7 @@ _SQL_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 @query(
     "display_masks",
     f"""{_CORE} SELECT doc_id, "start", CASE type WHEN 'EMAIL' THEN substr(value, 1, 2) || '•••@' || string_split(value, '@')[-1] WHEN 'PHONE' THEN '+' || substr({_SQL_DIGITS}, 1, 1) || '•••' || right({_SQL_DIGITS}, 2)
-WHEN 'CARD' THEN '•••' || right({_SQL_DIGITS}, 4) WHEN 'IP' THEN string_split(value, '.')[1] || '.' || string_split(value, '.')[2] || '.•.•' ELSE '•••' END AS shown FROM findings""",
+WHEN 'CARD' THEN '•••' || right({_SQL_DIGITS}, 4) WHEN 'IP' THEN string_split(value, '.')[1] || '.' || string_split(value, '.')[2] || '.•.•' WHEN 'IBAN' THEN substr(value, 1, 4) || '•••' || right(value, 2) ELSE '•••' END AS shown FROM findings""",
 )
 def display_masks(spark, sf_dir):
     return _core(spark, sf_dir).select("doc_id", "start", masking.displayed(F.col("type"), F.col("value")).alias("shown"))
@@ -160,7 +160,7 @@ _KEY = "quellspan-demo-key"
 @query(
     "reference_assignment",
     f"""{_CORE}, f AS (SELECT type, value, min({{'d': doc_id, 's': "start"}}) AS place, count(*) AS uses FROM findings GROUP BY type, value)
-SELECT type, sha256(sha256('{_KEY}' || value) || '{_KEY}') AS fingerprint, row_number() OVER (PARTITION BY type ORDER BY place, value) AS number, uses FROM f""",
+SELECT type, sha256(unhex('{masking.padded(_KEY)[1].hex()}') || unhex(sha256(unhex('{masking.padded(_KEY)[0].hex()}') || encode(value)))) AS fingerprint, row_number() OVER (PARTITION BY type ORDER BY place, value) AS number, uses FROM f""",
 )
 def reference_assignment(spark, sf_dir):
     return masking.numbered(_core(spark, sf_dir), _KEY)

@@ -222,3 +222,13 @@ def test_shapes(spark):
     assert _values(spark, "us-ssn", "ssn 078-05-1120", "ssn 111-11-1111", "ssn 536-22-1234") == [None, None, "536-22-1234"]
     assert _values(spark, "iban", "DE89-3704-0044-0532-0130-00", "DE89 3704 0044 0532 0130 00") == ["DE89-3704-0044-0532-0130-00", "DE89 3704 0044 0532 0130 00"]
     assert _values(spark, "iban-lowercase", "iban de89370400440532013000", "de89370400440532013000") == ["de89370400440532013000", None]
+
+
+def test_fingerprints_are_hmacs(spark):
+    import hmac
+
+    values, keys = ["a", "", "é🙂", "x" * 300], ["k", "key" * 40]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    for key in keys:
+        got = {r["v"]: r["f"] for r in df.select("v", masking.fingerprint(F.col("v"), key).alias("f")).collect()}
+        assert got == {**{v: hmac.new(key.encode(), v.encode(), "sha256").hexdigest() for v in values}, None: None}
