@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quellspan.functions import checks
 from quellspan.functions.spans import sql_spans
-from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lookups, masking, records, reports, terms, words
+from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lifetimes, lookups, masking, records, reports, terms, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -418,3 +418,41 @@ def session_rate_limit(spark, sf_dir):
 @query("ttl_expiry", "SELECT user_id, max(epoch_us(ts)) AS last_use, count(*) AS uses, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) > 86400000000 AS expired FROM events GROUP BY user_id")
 def ttl_expiry(spark, sf_dir):
     return reports.expired(table(spark, sf_dir, "events"), "user_id", "ts", 86_400)
+
+
+_USES = "SELECT user_id, event_type, epoch_us(ts) AS t, CASE WHEN event_type = 'error' THEN 43200000000 ELSE 172800000000 END AS ttl FROM events WHERE ts IS NOT NULL"
+
+
+@query(
+    "value_lives",
+    f"""WITH RECURSIVE uses AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS n FROM ({_USES})),
+steps AS (SELECT user_id, event_type, n, t AS first, t AS last, ttl FROM uses WHERE n = 1 UNION ALL
+SELECT user_id, event_type, u.n, CASE WHEN u.t > least(last + u.ttl, first + 432000000000) THEN u.t ELSE first END, u.t, u.ttl FROM steps s JOIN uses u USING (user_id, event_type) WHERE u.n = s.n + 1)
+SELECT user_id, event_type, first, max(last) AS "last", count(*) AS uses, least(max(last) + any_value(ttl), first + 432000000000) AS expires FROM steps GROUP BY user_id, event_type, first""",
+)
+def value_lives(spark, sf_dir):
+    """A user's events of one type as uses of a value: renewed for two days, errors for half a day, at most five days in all."""
+    ttl = lifetimes.ttl_of(F.col("event_type"), {"error": 43_200}, 172_800)
+    return lifetimes.lives(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", ttl, 172_800, 432_000)
+
+
+@query(
+    "session_key_limit",
+    "SELECT event_id, CAST(len(list_distinct(k)) AS BIGINT) AS keys, len(list_distinct(k)) > 40 AS limited FROM (SELECT event_id, list(user_id) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS k FROM events)",
+)
+def session_key_limit(spark, sf_dir):
+    """Distinct users of each type of event in the six hours up to each event."""
+    out = lifetimes.keys_in_session(table(spark, sf_dir, "events"), "event_type", "user_id", "ts", 21_600, 40)
+    return out.select("event_id", "keys", "limited")
+
+
+@query(
+    "error_incidents",
+    """WITH e AS (SELECT user_id, ts, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 86400000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS uses, count(DISTINCT CAST(ts AS DATE)) AS days FROM r GROUP BY user_id, run""",
+)
+def error_incidents(spark, sf_dir):
+    """Errors of a user with less than a day between them."""
+    return lifetimes.incidents(table(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id"], "ts", 86_400)
