@@ -322,3 +322,76 @@ NOT_SEQUENCE = Check(
     lambda v: (F.length(F.regexp_replace(v, SEQUENCES, "")) > 3) | ~v.rlike(SEQUENCES),
     lambda v: f"(length(regexp_replace({v}, '{SEQUENCES}', '', 'g')) > 3 OR NOT regexp_matches({v}, '{SEQUENCES}'))",
 )
+
+
+# ---- Base58 with a checksum -----------------------------------------------------------------------------------------------
+
+#: Fixed value: the digits of Base58, without 0, O, I and l.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_LIMB, _AT_ONCE = 24, 5
+
+
+def _limbs(n_bytes: int) -> int:
+    return n_bytes * 8 // _LIMB + 2
+
+
+def base58_hex(v: Column, n_bytes: int) -> Column:
+    """The hexadecimal digits of the number that a Base58 text of about ``n_bytes`` bytes writes, with leading zeros.
+
+    The number is kept in limbs of 24 bits; five digits are taken at once, so that a limb's product fits 64 bits.
+    """
+    padded = F.lpad(v, F.ceil(F.length(v) / _AT_ONCE).cast("int") * _AT_ONCE, F.lit(BASE58[0]))
+    digits = F.transform(F.regexp_extract_all(padded, F.lit("."), F.lit(0)), lambda c: F.position(c, F.lit(BASE58)) - 1)
+    fives = F.transform(F.sequence(F.lit(0), (F.size(digits) / _AT_ONCE).cast("int") - 1), lambda k: F.aggregate(F.slice(digits, k * _AT_ONCE + 1, _AT_ONCE), F.lit(0).cast("bigint"), lambda a, d: a * 58 + d))
+    state = "struct<carry:bigint,out:array<bigint>>"
+
+    def step(s, x):
+        total = x * 58**_AT_ONCE + s["carry"]
+        return F.struct(F.shiftright(total, _LIMB).alias("carry"), F.concat(s["out"], F.array(total.bitwiseAND(2**_LIMB - 1))).alias("out"))
+
+    add = lambda limbs, five: F.aggregate(limbs, F.struct(five.alias("carry"), F.array().cast("array<bigint>").alias("out")).cast(state), step, lambda s: s["out"])
+    number = F.aggregate(fives, F.array(*[F.lit(0).cast("bigint")] * _limbs(n_bytes)), add)
+    return F.lower(F.array_join(F.transform(F.reverse(number), lambda x: F.lpad(F.hex(x), _LIMB // 4, "0")), ""))
+
+
+def sql_base58_hex(v: str, n_bytes: int) -> str:
+    padded = f"lpad({v}, CAST(ceil(length({v}) / {_AT_ONCE}) * {_AT_ONCE} AS INTEGER), '{BASE58[0]}')"
+    fives = f"list_transform(range(0, length({padded}) // {_AT_ONCE}), lambda k: [CAST(" + " + ".join(f"(instr('{BASE58}', substr({padded}, k * {_AT_ONCE} + {i + 1}, 1)) - 1) * {58 ** (_AT_ONCE - 1 - i)}" for i in range(_AT_ONCE)) + " AS BIGINT)])"
+    inner = f"list_reduce(list_transform(limbs, lambda x: [x]), lambda s, x: list_concat([(x[1] * {58**_AT_ONCE} + s[1]) >> {_LIMB}], s[2:], [(x[1] * {58**_AT_ONCE} + s[1]) & {2**_LIMB - 1}]), five)[2:]"
+    number = f"list_reduce({fives}, lambda limbs, five: {inner}, CAST({[0] * _limbs(n_bytes)} AS BIGINT[]))"
+    return f"array_to_string(list_transform(list_reverse({number}), lambda x: printf('%06x', x)), '')"
+
+
+#: Fixed value: the order of the curve secp256k1, below which a private key lies.
+SECP256K1 = "fffffffffffffffffffffffffffffffebaaedce6af48a03bbfd25e8cd0364141"
+
+
+def _base58_key(n_bytes: int, shape: str, key_at: int) -> Check:
+    """Base58 of ``n_bytes`` whose last four are the head of SHA-256 taken twice of the rest; the digits before them match
+    ``shape``, and the 32 bytes from ``key_at`` are a private key."""
+    size, at = 2 * n_bytes, 2 * key_at + 1
+
+    def column(v):
+        def told(h):
+            body = F.left(h, F.lit(size - 8))
+            key = F.substring(h, at, 64)
+            twice = F.sha2(F.unhex(F.sha2(F.unhex(body), 256)), 256)
+            return body.rlike(shape) & (key > "0" * 64) & (key < SECP256K1) & (F.left(twice, F.lit(8)) == F.right(h, F.lit(8)))
+
+        digits = base58_hex(v, n_bytes)
+        whole = F.transform(F.array(digits), lambda d: ~F.rlike(F.left(d, F.length(d) - size), F.lit("[^0]")) & told(F.right(d, F.lit(size))))
+        return F.coalesce(v.rlike(f"^[{BASE58}]+$") & F.get(whole, F.lit(0)), F.lit(False))
+
+    def sql(v):
+        body, key = f"left(h, {size - 8})", f"substr(h, {at}, 64)"
+        good = f"regexp_matches({body}, '{shape}') AND {key} > '{'0' * 64}' AND {key} < '{SECP256K1}' AND left(sha256(unhex(sha256(unhex({body})))), 8) = right(h, 8)"
+        return f"(SELECT coalesce(NOT regexp_matches(left(d, length(d) - {size}), '[^0]') AND {good}, FALSE) FROM (SELECT d, right(d, {size}) AS h FROM (SELECT {sql_base58_hex(v, n_bytes)} AS d)))"
+
+    return Check(column, sql)
+
+
+#: A private key in wallet import format: a version (80, on test networks ef), the key and, if its public key is compressed, 01.
+WIF = _base58_key(37, "^(80|ef)", 1) | _base58_key(38, "^(80|ef).*01$", 1)
+#: Versions of extended private keys (BIP-32, SLIP-0132), mainnet then test networks.
+XPRV_VERSIONS = ("0488ade4", "049d7878", "04b2430c", "0295b005", "02aa7a99", "04358394", "044a4e28", "045f18bc", "024285b5", "02575048")
+XPRV = _base58_key(82, f"^({'|'.join(XPRV_VERSIONS)})[0-9a-f]{{82}}00", 46)

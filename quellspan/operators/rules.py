@@ -102,7 +102,8 @@ TOKENS = (
     token("k3s-join-token", rf"K10{HEX}{{64}}::[^\s:\"']+:[^\s:\"']{{8,}}", "K10", source="K3s Docs, token: secure token format"),
     token("microsoft-account-refresh-token", r"M\.[A-Z][0-9]{1,3}_[A-Z0-9]{2,5}\.[^\s\"'<>,;&]{64,}", "M.", source="Microsoft identity platform, OAuth 2.0 authorization code flow: sample responses"),
     token("bitwarden-sm-access-token", rf"0\.{UUID}\.{B62}{{30}}:{B64}{{22}}==", "0.", after=""),
-    token("crypto-extended-private-key", r"[xyz]prv[1-9A-HJ-NP-Za-km-z]{107}", "prv"),
+    token("crypto-extended-private-key", rf"[xyztuvYZUV]prv[{checks.BASE58}]{{107}}", "prv", checks=(checks.XPRV,), source="BIP-32, SLIP-0132"),
+    token("crypto-wif-private-key", rf"(?:[59][{checks.BASE58}]{{50}}|[KLc][{checks.BASE58}]{{51}})", checks=(checks.WIF,), source="Bitcoin wiki: wallet import format"),
     token("ntlmssp-message", rf"TlRMTVNTUAA[DCB]{B64}{{20,}}=*", "TlRMTVNTUAA", after=""),
     token("gitlab-runner-token", rf"gl(?:rt|dt|ptt|ft|cbt)-{URL64}{{20,40}}", "glrt-", "gldt-", "glptt-", "glft-", "glcbt-"),
     token("linear-api-key", rf"lin_api_{B62}{{40}}", "lin_api_"),

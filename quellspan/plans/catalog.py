@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quellspan.functions import checks
 from quellspan.functions.spans import sql_spans
-from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lifetimes, lookups, masking, records, reports, terms, words
+from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lifetimes, lookups, masking, phrases, records, reports, terms, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -456,3 +456,28 @@ SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS uses, count(DISTINC
 def error_incidents(spark, sf_dir):
     """Errors of a user with less than a day between them."""
     return lifetimes.incidents(table(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id"], "ts", 86_400)
+
+
+_LISTED = "length(w) BETWEEN 3 AND 8"
+
+
+@query(
+    "seed_phrase_windows",
+    rf"""WITH source AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(65533) || chr(65533)) AS body FROM documents),
+listed AS (SELECT w AS word, row_number() OVER (ORDER BY w) - 1 AS id FROM (SELECT w FROM (SELECT unnest(regexp_extract_all(body, '[a-z]+')) AS w FROM source) WHERE {_LISTED} GROUP BY w ORDER BY count(*) DESC, w LIMIT {phrases.LIST_SIZE})),
+runs AS (SELECT doc_id, body, x.start AS s, x."end" AS e, x.value AS run FROM (SELECT doc_id, body, unnest({sql_spans("body", phrases.BEFORE, phrases.RUN)}) AS x FROM source)),
+said AS (SELECT doc_id, s, run, w, unnest(range(1, len(w) + 1)) AS i, regexp_matches(run, '[a-z]$') AND regexp_matches(substr(body, e + 1, 1), '[\p{{L}}\p{{N}}_''-]') AS broken FROM (SELECT *, {sql_spans("run", "", phrases.WORD)} AS w FROM runs)),
+known AS (SELECT doc_id, s, i, w[i].start AS begins, w[i]."end" AS until, CASE WHEN broken AND i = len(w) THEN NULL ELSE id END AS id, i > 1 AND regexp_full_match(substr(run, w[i - 1]."end" + 1, w[i].start - w[i - 1]."end"), ',?[ \t]{{1,3}}|[ \t]*\r?\n[ \t]*') AS near FROM said LEFT JOIN listed ON word = w[i].value),
+isles AS (SELECT *, sum(CASE WHEN id IS NULL OR NOT near OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS isle FROM (SELECT *, lag(id) OVER (PARTITION BY doc_id, s ORDER BY i) AS before FROM known)),
+sized AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s, isle) AS n FROM isles WHERE id IS NOT NULL) WHERE n BETWEEN 12 AND {phrases.LONGEST_RUN}),
+windows AS (SELECT a.doc_id, a.s, a.isle, a.i, k, any_value(a.begins) AS begins, max(b.until) AS until, string_agg(lpad(bin(b.id), 11, '0'), '' ORDER BY b.i) AS bits, count(*) AS n FROM (SELECT *, unnest([12, 15, 18, 21, 24]) AS k FROM sized) a JOIN sized b ON b.doc_id = a.doc_id AND b.s = a.s AND b.isle = a.isle AND b.i BETWEEN a.i AND a.i + k - 1 GROUP BY a.doc_id, a.s, a.isle, a.i, k),
+proven AS (SELECT * FROM windows WHERE n = k AND left(lpad(bin(CAST('0x' || left(sha256(unbin(left(bits, k * 32 // 3))), 2) AS INTEGER)), 8, '0'), k // 3) = right(bits, k // 3))
+SELECT doc_id, min(s + begins) AS "start", max(s + until) AS "end", CAST(max(k) AS BIGINT) AS words FROM proven GROUP BY doc_id, s, isle""",
+)
+def seed_phrase_windows(spark, sf_dir):
+    """Runs of the documents' 2,048 most frequent short words that close like a seed phrase of that list."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    said = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0))).alias("w")).where(F.length("w").between(3, 8))
+    top = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(phrases.LIST_SIZE)
+    listed = sorted(r["w"] for r in top.select("w").collect())  # a list of fixed size
+    return phrases.phrases(docs, "doc_id", words=listed).drop("named")
