@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quellspan.functions import checks
 from quellspan.functions.spans import sql_spans
-from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lifetimes, lookups, masking, phrases, records, reports, terms, words
+from quellspan.operators import cleaning, decoding, detect, grids, known, leaves, lifetimes, lookups, masking, nearby, phrases, records, reports, terms, words
 from quellspan.operators.rules import CATALOG, EMAIL_SHAPE, LABELLED, PERSONAL, REGIONAL, TOKENS, chosen
 from quellspan.plans import oracle, planted
 from quellspan.session import spread, table, written
@@ -481,3 +481,21 @@ def seed_phrase_windows(spark, sf_dir):
     top = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(phrases.LIST_SIZE)
     listed = sorted(r["w"] for r in top.select("w").collect())  # a list of fixed size
     return phrases.phrases(docs, "doc_id", words=listed).drop("named")
+
+
+_FIRM_RULES = (*chosen(ids=("de-vat-id", "name-after-german-title")), nearby.POSTCODE)
+
+
+@query(
+    "company_number_release",
+    f"""WITH letters AS ({planted.letters_sql()}), {oracle.findings_sql(_FIRM_RULES, "letters", "text_id")},
+firms AS (SELECT text_id, x.start AS form, x."end" AS until, greatest(x.start - {nearby.PARAGRAPH}, 0) AS head, substr(body, greatest(x.start - {nearby.PARAGRAPH}, 0) + 1, x.start - greatest(x.start - {nearby.PARAGRAPH}, 0)) AS lead, body FROM (SELECT text_id, body, unnest({sql_spans("body", nearby.COMPANY, nearby.ADDRESS)}) AS x FROM source)),
+free AS (SELECT text_id, form, until, form - length(list_last(string_split(lead, chr(10) || chr(10)))) AS since FROM firms WHERE NOT regexp_matches(substr(body, greatest(form - {nearby.EMPLOYED_BEFORE}, 0) + 1, form - greatest(form - {nearby.EMPLOYED_BEFORE}, 0)), '{nearby.EMPLOYED}')),
+held AS (SELECT f.text_id, f."start", f."end", max(form) AS form, max(since) AS since FROM findings f JOIN free USING (text_id) WHERE f.type IN {nearby.NUMBERS} AND form BETWEEN f."start" - {nearby.REACH} AND f."start" AND CASE WHEN f.type = 'DE_PLZ' THEN f."end" <= until ELSE f."start" = until END GROUP BY ALL),
+gone AS (SELECT text_id, "start", "end" FROM held h WHERE NOT EXISTS (SELECT 1 FROM findings n WHERE n.text_id = h.text_id AND n.type = 'NAME' AND n."start" <= h."start" AND n."start" >= since AND (n."start" >= form OR n."end" < form - 1)))
+SELECT f.text_id, f."start", f."end", f.rule, f.type, g.text_id IS NOT NULL AS released FROM findings f LEFT JOIN gone g ON g."start" = f."start" AND g."end" = f."end" AND g.text_id = f.text_id""",
+)
+def company_number_release(spark, sf_dir):
+    """Postcodes, tax numbers and names of letters made of customers, and which numbers a company's address releases."""
+    letters = spread(planted.letters(table(spark, sf_dir, "customer")))
+    return nearby.released(letters, "text_id", rules=_FIRM_RULES).drop("value")

@@ -181,3 +181,29 @@ sizes AS (SELECT doc_id, length(to_base64(encode(body))) AS one, 2 * octet_lengt
 found AS ({findings("starts", "doc_id")}),
 places AS (SELECT doc_id, 2 AS s, 2 + one AS e FROM sizes UNION ALL SELECT doc_id, 5 + one, 5 + one + two FROM sizes UNION ALL SELECT doc_id, 8 + one + two, 8 + one + two + three FROM sizes)
 SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", rule, type FROM found JOIN places USING (doc_id)"""
+
+
+#: Lines of letters: companies with their numbers, with a person in front, an employer's, a person's, and one of no company.
+LETTERS = (
+    ("Nordwind-", " GmbH, Hafenstraße 7, 20095 Hamburg, USt-IdNr.: DE136695976"),
+    ("Frau Dr. Anna Weiß, Nordwind-", " AG, Am Hafen 7, 20097 Hamburg, USt-IdNr.: DE136695976"),
+    ("Arbeitgeber: Nordwind-", " KG, Hafenstraße 7, 20099 Hamburg"),
+    ("Herr Otto Brandt\nKunde ", ", Hafenstraße 8, 10115 Berlin"),
+    ("Nordwind-", " Ltd.\nAn der Alster 9\n80331 München"),
+    ("Konto ", " mit USt-IdNr.: DE136695976 von heute"),
+)
+LETTERS_PER_TEXT = 40
+
+
+def letters(customers: DataFrame) -> DataFrame:
+    """``(text_id, text)``: forty such paragraphs each, one per customer."""
+    k = F.col("c_custkey")
+    of = lambda at: F.get(F.array(*[F.lit(x[at]) for x in LETTERS]), (k % len(LETTERS)).cast("int"))
+    rows = customers.select(F.floor(k / LETTERS_PER_TEXT).alias("text_id"), F.struct(k.alias("k"), F.concat(of(0), k.cast("string"), of(1)).alias("row")).alias("x"))
+    grouped = rows.groupBy("text_id").agg(F.array_sort(F.collect_list("x")).alias("rows"))  # of forty rows at most
+    return grouped.select("text_id", F.array_join(F.transform("rows", lambda x: x["row"]), "\n\n").alias("text"))
+
+
+def letters_sql() -> str:
+    of = lambda at: f"[{', '.join(_text(x[at]) for x in LETTERS)}][c_custkey % {len(LETTERS)} + 1]"
+    return f"SELECT c_custkey // {LETTERS_PER_TEXT} AS text_id, string_agg({of(0)} || CAST(c_custkey AS VARCHAR) || {of(1)}, chr(10) || chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY ALL"
