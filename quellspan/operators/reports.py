@@ -55,10 +55,17 @@ def verdicts(findings: DataFrame, strong: tuple[str, ...]) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, user: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """Events with how many of their user lie in the ``seconds`` up to them, and whether that passes the limit."""
-    at = _micros(ts)
-    own = Window.partitionBy(user).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("uses", F.count(F.lit(1)).over(own)).withColumn("limited", F.col("uses") > limit)
+    """Events with how many of their user lie in the ``seconds`` up to them, and whether that passes the limit.
+
+    A user's events are dealt by stretches of ``seconds``; each stretch sees the times of the one before, so a hot user is
+    split. Null users are a user; a user's events without a time count each other.
+    """
+    span = seconds * 1_000_000
+    rows = events.withColumn("_at", _micros(ts)).withColumn("_stretch", F.floor(F.col("_at") / span)).withColumn("_own", F.lit(True))
+    before = rows.where("_at IS NOT NULL").select(user, "_at", (F.col("_stretch") + 1).alias("_stretch"), F.lit(False).alias("_own"))
+    near = Window.partitionBy(user, "_stretch").orderBy("_at").rangeBetween(-span, 0)
+    counted = rows.unionByName(before, allowMissingColumns=True).withColumn("uses", F.count(F.lit(1)).over(near)).where("_own")
+    return counted.drop("_at", "_stretch", "_own").withColumn("limited", F.col("uses") > limit)
 
 
 def expired(events: DataFrame, user: str, ts: str, seconds: int) -> DataFrame:

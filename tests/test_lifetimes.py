@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from quellspan.operators import lifetimes
+from quellspan.operators import lifetimes, reports
 from quellspan.streaming import streams
 from pyspark.sql import functions as F
 
@@ -95,3 +95,15 @@ def test_the_stream_of_lifetimes_equals_the_table(spark, tmp_path):
     assert q.awaitTermination(240)
     got = sorted((r["key"], r["first"], r["last"], r["uses"], r["expires"]) for r in spark.table("lives").collect())
     assert got == plain_lives(uses, 6 * HOUR, 40 * HOUR)
+
+
+def test_uses_of_a_hot_user_equal_a_plain_count(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot"] * 5 + ["b", None]), START + timedelta(seconds=rng.randrange(0, 5 * HOUR, 60))) for i in range(300)]
+    rows += [(300, "b", None), (301, "b", None)]
+    df = spark.createDataFrame(rows, "n int, who string, ts timestamp")
+    got = {r["n"]: (r["uses"], r["limited"]) for r in reports.rate_limited(df, "who", "ts", HOUR, 20).collect()}
+    for n, who, t in rows:
+        uses = sum(w == who and ((u is None) if t is None else (u is not None and t - timedelta(hours=1) <= u <= t)) for _, w, u in rows)
+        assert got[n] == (uses, uses > 20)
+    assert len(got) == len(rows)
