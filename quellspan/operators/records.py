@@ -61,7 +61,7 @@ def labelled_lines(df: DataFrame, *keep: str, text_col: str = "text", back: int
 def pipe_cells(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, number, position, cell)`` of the lines that are rows of a pipe table."""
     rows = line_rows(df, key, text_col).where(F.col("line").contains(" | "))
-    return rows.select(key, "number", F.posexplode(F.transform(F.split("line", r" \| "), F.trim)).alias("position", "cell"))
+    return rows.select(key, "number", F.posexplode(F.transform(F.split("line", r" \| "), lambda cell: F.trim(cell))).alias("position", "cell"))
 
 
 def key_value_pairs(df: DataFrame, key: str, text_col: str) -> DataFrame:

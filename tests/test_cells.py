@@ -21,3 +21,10 @@ def test_a_number_of_one_digit_repeated_is_a_number_and_zeros_are_none(spark, ru
 def test_a_label_line_takes_such_a_number(spark):
     df = spark.createDataFrame([(1, "Customer id =\n  999999\n")], "i int, text string")
     assert [r["value"] for r in records.labelled_lines(df, "i").collect()] == ["999999"]
+
+
+def test_cells_keep_the_digits_of_their_place(spark):
+    line = " | ".join([*"abcdef", "6 of 6", "x", "y", "z", "1 x 10 ", "1x11"])
+    df = spark.createDataFrame([(1, line)], "doc_id int, text string")
+    got = [r["cell"] for r in records.pipe_cells(df, "doc_id", "text").orderBy("position").collect()]
+    assert got == [*"abcdef", "6 of 6", "x", "y", "z", "1 x 10", "1x11"]
