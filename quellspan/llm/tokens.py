@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quellspan.session import work_path
 
-MOST_CACHED = 800_000
-SLICE_BYTES = 8 << 20
+MOST_CACHED = 600_000
+SLICE_BYTES = 4 << 20
 
 
 # ---- encoding ---------------------------------------------------------------------------------------------------------
