@@ -45,6 +45,11 @@ def _bit(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BITS)).cast("int")
 
 
+def begins(bits: Column, word: Column) -> Column:
+    """Whether a term may begin with this word, told from the bitmap of :func:`first_words`."""
+    return let(_bit(word), lambda h: F.bit_get(F.get(bits, F.floor(h / 64).cast("int")), F.pmod(h, F.lit(64))) == 1)
+
+
 def first_words(index: DataFrame) -> Column:
     """The bitmap of the terms' first words, 1,024 numbers of 64 bits."""
     at = index.select(_bit(F.col("first")).alias("h")).distinct()
@@ -56,9 +61,8 @@ def first_words(index: DataFrame) -> Column:
 def hits(df: DataFrame, key: str, text_col: str, terms: DataFrame) -> DataFrame:
     """``(key, label, start, end)`` of every term that stands in a text."""
     index = listed(terms)
-    size = index.agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("longest")).first()
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("longest"), *[F.coalesce(F.bool_or(F.col("first").startswith("~") == by), F.lit(False)).alias(k) for k, by in (("plain", False), ("stems", True))]).first()
     longest = size["longest"] or 0
-    has = lambda bits, w: F.bit_get(F.get(bits, F.floor(_bit(w) / 64).cast("int")), F.pmod(_bit(w), F.lit(64))) == 1
 
     def grams(words, said, bits):
         def run(i, n):
@@ -66,14 +70,17 @@ def hits(df: DataFrame, key: str, text_col: str, terms: DataFrame) -> DataFrame:
             return F.struct(F.when(i + n <= F.size(said), whole).alias("gram"), F.get(words, i)["start"].alias("start"), F.get(words, i + n - 1)["end"].alias("end"))
 
         def at(w, i):
-            return F.when(has(bits, w), F.array(*[run(i, n) for n in range(1, max(longest, 1) + 1)]))
+            return F.when(begins(bits, w), F.array(*[run(i, n) for n in range(1, max(longest, 1) + 1)]))
 
         return F.flatten(F.filter(F.transform(said, at), lambda x: x.isNotNull()))
 
     rows = df.select(F.col(key).alias("_key"), spans_of_words(unmarked(F.col(text_col))).alias("_words"))
     rows = rows.withColumn("_bits", first_words(index)).withColumn("_said", F.transform("_words", lambda w: w["value"]))
-    both = let(F.transform("_said", lambda w: F.concat(F.lit("~"), stem(w))), lambda stems: F.concat(grams(F.col("_words"), F.col("_said"), F.col("_bits")), grams(F.col("_words"), stems, F.col("_bits"))))
-    found = rows.withColumn("_grams", F.filter(both, lambda g: g["gram"].isNotNull())).select("_key", F.explode_outer("_grams").alias("g"))
+    # words are cut to stems, which costs more than all else, only where a term asks for it
+    asked = [grams(F.col("_words"), F.col("_said"), F.col("_bits"))] if size["plain"] or not size["stems"] else []
+    if size["stems"]:
+        asked.append(let(F.transform("_said", lambda w: F.concat(F.lit("~"), stem(w))), lambda stems: grams(F.col("_words"), stems, F.col("_bits"))))
+    found = rows.withColumn("_grams", F.filter(F.concat(*asked), lambda g: g["gram"].isNotNull())).select("_key", F.explode_outer("_grams").alias("g"))
     found = found.where("g IS NOT NULL").select("_key", "g.*")  # a filter before the explosion would cut the words anew for every gram
     met = found.join(F.broadcast(index.drop("words", "first")) if size["n"] <= MOST_SENT else index.drop("words", "first"), "gram")
     return met.select(F.col("_key").alias(key), "label", "start", "end").distinct()

@@ -65,3 +65,13 @@ def test_merged_runs(spark):
 def test_labels_above_values(spark, text, want):
     rows = records.labelled_lines(spark.createDataFrame([(1, text), (2, None)], "k int, text string"), "k").collect()
     assert [(r["type"], r["value"]) for r in rows] == want and all(text[r["start"] : r["end"]] == r["value"] for r in rows)
+
+
+def test_words_are_cut_to_stems_only_where_a_term_asks(spark, monkeypatch):
+    df, cut, calls = spark.createDataFrame([(1, "the acme corp")], "k int, t string"), terms.stem, []
+    monkeypatch.setattr(terms, "stem", lambda w: calls.append(w) or cut(w))
+    for by, times in ((False, 1), (True, 2)):  # once for the terms themselves
+        calls.clear()
+        listed = spark.createDataFrame([("A", "acme corp", by)], "label string, term string, stems boolean")
+        assert [tuple(r) for r in terms.hits(df, "k", "t", listed).collect()] == [(1, "A", 4, 13)]
+        assert len(calls) == times
