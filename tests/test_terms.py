@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quellspan.operators import records, terms
+from quellspan.operators import lookups, records, terms
 
 TERMS = [("A", "acme corp", False), ("A", "acme", False), ("B", "Project-Blue Sky", False), ("C", "one two three four five six seven eight", False), ("D", "encrypt key", True), ("E", "a b c d e f g h i", False), ("F", "--", False), ("B", "été", False)]
 
@@ -75,3 +75,11 @@ def test_words_are_cut_to_stems_only_where_a_term_asks(spark, monkeypatch):
         listed = spark.createDataFrame([("A", "acme corp", by)], "label string, term string, stems boolean")
         assert [tuple(r) for r in terms.hits(df, "k", "t", listed).collect()] == [(1, "A", 4, 13)]
         assert len(calls) == times
+
+
+def test_runs_of_words_begin_where_a_term_can(spark):
+    df = spark.createDataFrame([(1, "One of the few of the de la"), (2, None)], "k int, t string")
+    listed = spark.createDataFrame([("F", "of the"), ("F", "de la"), ("G", "few"), ("N", None)], "label string, term string")
+    assert sorted(map(tuple, lookups.term_hits(df, "k", "t", listed, 2).collect())) == [(1, "F", 1), (1, "F", 4), (1, "F", 6), (1, "G", 3)]
+    bits = terms.first_words(listed.select(F.substring_index("term", " ", 1).alias("first")).where("first IS NOT NULL"))
+    assert lookups.word_grams(df, "k", "t", 2, bits).count() <= 8 < lookups.word_grams(df, "k", "t", 2).count()
