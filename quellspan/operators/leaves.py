@@ -25,7 +25,7 @@ from quellspan.operators.cleaning import original, rewritten
 from quellspan.operators.rules import CATALOG
 from quellspan.session import written
 
-TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
 #: Fixed values of RFC 8259: escapes, and what the short ones stand for.
 PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 ESCAPED = rf"{PAIR}|\\u[0-9a-fA-F]{{4}}|\\[\"\\/bfnrt]"

@@ -78,3 +78,11 @@ def test_own_findings_are_not_repeated(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, '{"a": "+1 (212) 555-0123"}')], "k int, text string").withColumns({c: F.lit(0) for c in ("x", "path", "start", "said", "findings")})
     assert leaves.object_findings(df, "k", rules=RULES).count() == 1
+
+
+def test_tokens_are_those_of_the_plain_pattern():
+    plain = leaves.re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', leaves.re.S)
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choices('"\\{}[]:, \nan1é', k=rng.randint(0, 30)))
+        assert [m.span() for m in leaves.TOKEN.finditer(text)] == [m.span() for m in plain.finditer(text)]
