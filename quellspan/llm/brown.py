@@ -5,6 +5,9 @@ The log10 probability of a text is the sum over its tokens of P(class | class be
 * Words are counted over all training rows. The most frequent ones (at most ``exchanged``) are assigned to ``classes``
   classes by exchange: a word moves to the class that raises the likelihood of the class bigrams most. Every other word
   belongs to a shape class, a function of its last two bytes; the end of a text is a class of its own.
+* Unless ``exchanged`` bounds the words with a class, every other training word then moves out of its shape class to the
+  class that it fits best by all its neighbours, if the log likelihood gains more than it costs to name one of the classes
+  (:func:`placed_words`), and class bigrams are counted anew over all training rows.
 * Bigrams are counted over all training rows between units: exchanged words, shape classes and the end. A unit's counts
   stay in one row of a block, so a round of exchange is one Spark job over the blocks against a snapshot of the class
   counts; a third of the words may move in each round, and the best assignment seen is used.
@@ -28,6 +31,8 @@ LONGEST = 64
 SHAPES = 32
 BLOCKS = 64
 MOST_WORDS = 400_000
+#: Words outside the exchange whose neighbours a worker gathers before it passes them on.
+HELD = 250_000
 
 
 def shape(word: bytes) -> int:
@@ -269,7 +274,167 @@ def fit(training: DataFrame, head: int, exchanged: int, classes: int, rounds: in
     room = np.ones(SHAPES)
     for row in open_words.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
         room[row["shape"]] += row.n + row.types
-    return {"vocabulary": vocabulary, "in_head": in_head, "head": sent, "total": total or 0, "types": types, "n_end": n_end or 0, "assigned": assigned, "table": table, "room": room}
+    return {"vocabulary": vocabulary, "in_head": in_head, "head": sent, "cut": cut, "total": total or 0, "types": types, "n_end": n_end or 0, "assigned": assigned, "table": table, "room": room}
+
+
+def neighbour_counts(texts: DataFrame, head, assigned: np.ndarray) -> DataFrame:
+    """``(word, cell, n)`` of every word outside the exchange: how often which class stands behind it (cell: the class) and
+    before it (cell: the classes' number and the class)."""
+    sent, n_classes = texts.sparkSession.sparkContext.broadcast(assigned), int(assigned.max()) + 1
+
+    def run(batches):
+        h, cls = head.value, sent.value
+        own, ids, cells, held = {}, [], [], 0
+
+        def out():
+            keys, n = np.unique(np.concatenate(ids) * (2 * n_classes) + np.concatenate(cells), return_counts=True)
+            known = list(own)
+            words = [h.words[i] if i < len(h.words) else known[i - len(h.words)] for i in (keys // (2 * n_classes)).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array((keys % (2 * n_classes)).astype(np.int32)), pa.array(n, pa.int64())], ["word", "cell", "n"])
+
+        for batch in batches:
+            for text in (x.as_py() for x in batch.column(0)):
+                words, place, rest, units = h.read(text)
+                place[rest] = [len(h.words) + own.setdefault(words[i], len(own)) for i in rest.tolist()]
+                at, c = np.flatnonzero(place >= h.exchanged), cls[units]
+                ids += [place[at], place[at]]
+                cells += [c[at + 2], n_classes + c[at]]
+                held += len(at)
+                if held > HELD:
+                    yield out()
+                    own, ids, cells, held = {}, [], [], 0
+        if ids:
+            yield out()
+
+    return texts.mapInArrow(run, "word binary, cell int, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+def fitting_classes(own: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word, numbered in order by ``own``, that raises the likelihood of the class bigrams most by its counts;
+    the one it has ``now`` where no other gains the cost of a name beyond what the word adds there."""
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    behind, other = cell < len(table), cell % len(table)
+    was = np.where(behind[:, None], table[:classes, other].T, table[other, :classes])
+    gain = np.add.reduceat(_f(was + n[:, None]) - _f(was), first)
+    held = np.where(behind, table[now[own], other], table[other, now[own]])
+    stays = np.add.reduceat(_f(held) - _f(held - n), first)
+    for side, sums in ((behind, table.sum(1)), (~behind, table.sum(0))):
+        count = np.add.reduceat(n * side, first)
+        gain -= _f(sums[None, :classes] + count[:, None]) - _f(sums)[None, :classes]
+        stays -= _f(sums[now]) - _f(sums[now] - count)
+    return np.where(gain.max(axis=1) - stays > np.log(classes), gain.argmax(axis=1), now)
+
+
+def placed_words(training: DataFrame, fitted: dict, classes: int) -> DataFrame:
+    """``(word, n, class)`` of every training word outside the exchange: its count, and the class that it fits best, its shape class included.
+
+    Words are held against the table that the exchange left, each by itself, so they are placed side by side.
+    """
+    sent = training.sparkSession.sparkContext.broadcast(fitted["table"])
+    width = len(fitted["table"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                cut = batch.slice(at, 1000)
+                lists = cut.column(1)
+                sizes = np.array([len(x) for x in lists])
+                own, flat = np.repeat(np.arange(cut.num_rows), sizes), lists.flatten()
+                cell, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                now = np.array([classes + shape(w) for w in cut.column(0).to_pylist()])
+                to = fitting_classes(own, cell, n, now, sent.value, classes)
+                count = np.bincount(own, n * (cell < width), cut.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(count), pa.array(to.astype(np.int32))], ["word", "n", "class"])
+
+    # of one word: at most twice as many as there are classes
+    lists = neighbour_counts(training, fitted["head"], fitted["assigned"]).groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return lists.mapInArrow(run, "word binary, n long, class int")
+
+
+def _sequence(classes: bytes, at, to) -> np.ndarray:
+    """The classes of a text, the ends included, with those put in that a join found."""
+    c = np.frombuffer(classes, np.int16).astype(np.int64)
+    if at:
+        c[at] = to
+    return c
+
+
+def _placed_score(texts: DataFrame, fitted: dict, classes: int, prior: float) -> DataFrame:
+    """``(id, held_out, n_tokens, n_known, base_score, score)`` where every training word has one of ``classes`` classes."""
+    spark = texts.sparkSession
+    h, n_classes = fitted["head"], len(fitted["table"])
+    placed = written(placed_words(texts.where(~F.col("held_out")).select("text"), fitted, classes), "brown-placed")
+    in_head = (F.length("word") <= LONGEST) & (F.col("n") >= fitted["cut"])
+    class_of = np.zeros(len(h.value.words), np.int64)
+    class_of[: h.value.exchanged] = fitted["assigned"][: h.value.exchanged]
+    rows = placed.where(in_head).toArrow()
+    index = {w: i for i, w in enumerate(h.value.words)}
+    class_of[[index[w] for w in rows.column(0).to_pylist()]] = rows.column(2).to_numpy()
+    counts = h.value.counts
+    model = spark.sparkContext.broadcast((class_of.astype(np.int16), np.log10(counts + 1), np.log10(counts + (class_of >= classes))))
+    norm, end_known, end_log = float(np.log10(fitted["total"] + fitted["types"] + 1)), int(fitted["n_end"] > 0), float(np.log10(fitted["n_end"] + 1))
+
+    def read(batches):
+        of_head, more, plain = model.value
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for text in batch.column(2).to_pylist():
+                words, place, rest, _ = h.value.read(text)
+                known = place[place >= 0]
+                c = np.full(len(words) + 2, n_classes - 1, np.int16)
+                if len(of_head):
+                    c[1:-1] = of_head[place]
+                c[1 + rest] = [classes + shape(words[i]) for i in rest.tolist()]
+                for x, value in zip(out, (len(words) + 1, len(known) + end_known, float(more[known].sum()) + end_log - (len(words) + 1) * norm, float(plain[known].sum()), c.tobytes(), [words[i] for i in rest.tolist()], (1 + rest).tolist())):
+                    x.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds)]], ["id", "held_out", "n_tokens", "n_known", "base", "plain", "classes", "rest", "at"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    partly = texts.mapInArrow(read, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, plain double, classes binary, rest array<binary>, at array<int>")
+    partly = written(partly.withColumn("row", F.monotonically_increasing_id()), "brown-rows")
+    rare = partly.select("row", F.explode(F.arrays_zip("at", "rest")).alias("x")).select("row", "x.at", F.col("x.rest").alias("word"))
+    met = rare.join(placed.where(~in_head), "word").groupBy("row").agg(
+        F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.sum(F.log10(F.col("n") + (F.col("class") >= classes).cast("long"))).alias("plain_logs"), F.collect_list(F.struct("at", "class")).alias("put")
+    )  # of one text
+    full = partly.drop("rest", "at").join(met, "row", "left")
+    full = written(
+        full.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
+                    (F.col("plain") + F.coalesce("plain_logs", F.lit(0.0))).alias("plain"), "classes", F.col("put.at").alias("at"), F.col("put.class").alias("to")),
+        "brown-classes",
+    )
+
+    def count(batches):
+        for batch in batches:
+            total = np.zeros(n_classes * n_classes, np.int64)
+            for x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                c = _sequence(*x)
+                total += np.bincount(c[:-1] * n_classes + c[1:], minlength=n_classes * n_classes)
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+
+    table = np.zeros(n_classes * n_classes)
+    for row in full.where("not held_out").select("classes", "at", "to").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[row["cell"]] = row["n"]
+    table = table.reshape(n_classes, n_classes)
+    reached = (table.sum(0) + 1) / (table.sum() + n_classes)
+    size = np.bincount(fitted["assigned"][: h.value.exchanged], counts[: h.value.exchanged], n_classes).astype(float)
+    for row in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        size[row["class"]] += row["n"] + (row["types"] if row["class"] >= classes else 0)
+    size[classes : classes + SHAPES] += 1  # one unknown word
+    size = np.log10(np.maximum(size, 1))
+    last = spark.sparkContext.broadcast((np.log10((table + prior * reached[None, :]) / (table.sum(1)[:, None] + prior)), size))
+
+    def run(batches):
+        move, size = last.value
+        for batch in batches:
+            out = []
+            for plain, *x in zip(*(batch.column(i).to_pylist() for i in range(5, 9))):
+                c = _sequence(*x)
+                out.append(float(move[c[:-1], c[1:]].sum() + plain - size[c].sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(out, pa.float64())], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return full.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(
@@ -279,20 +444,27 @@ def score(
     folds: int = 7,
     held_out_fold: int = 2,
     head: int = 1 << 18,
-    exchanged: int = 4096,
+    exchanged: int | None = None,
     classes: int = 64,
     rounds: int = 12,
     prior: float = 4.0,
+    in_rounds: int = 4096,
 ) -> DataFrame:
     """Scores every row of ``docs`` with a model of the rows outside the held-out fold of crc32(id).
 
     Columns: the id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (class bigrams), both
     log10. A null text is empty and scores as its end alone; a null id counts as the empty text in the fold; repeated rows
     are scored, and counted, once each. Without training rows every probability is that of one unknown token.
+
+    Every training word has its own class: the ``in_rounds`` most frequent by rounds of exchange, all others by their
+    neighbours. exchanged: a bound instead, beyond which words keep their shape classes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), held_out_column(id_col, folds, held_out_fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    fitted = fit(texts.where(~F.col("held_out")).select("text"), head, exchanged, classes, rounds)
+    fitted = fit(texts.where(~F.col("held_out")).select("text"), head, in_rounds if exchanged is None else exchanged, classes, rounds)
+    if exchanged is None:
+        named = F.lit(fitted["total"]).cast("long").alias("train_tokens")
+        return _placed_score(texts, fitted, classes, prior).select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", named, "base_score", "score")
     vocabulary, sent, in_head, total, types, n_end = (fitted[k] for k in ("vocabulary", "head", "in_head", "total", "types", "n_end"))
     assigned, table, room, counts = fitted["assigned"], fitted["table"], fitted["room"], sent.value.counts
     own = sent.value.exchanged

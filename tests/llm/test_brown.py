@@ -137,3 +137,61 @@ def test_query(spark, sf_dir):
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in toks), rel=1e-9)
     rows = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 60])
+def test_every_word_has_a_class_by_its_neighbours(spark, head):
+    """Words beyond the rounds of exchange are placed where the likelihood gains most, and scored by that class."""
+    rows, classes, prior = fixture_rows(), 8, 4.0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3)
+    training = docs.where(~brown.held_out_column("doc_id")).select(F.col("text").cast("binary").alias("text"))
+    fitted = brown.fit(training, head, 20, classes, 5)
+    words = fitted["head"].value
+    first = {w: int(c) for w, c in zip(words.words[: words.exchanged], fitted["assigned"])}
+    end, m = classes + brown.SHAPES, fitted["table"]
+    of = lambda w: end if w == b"" else first.get(w, classes + zlib.crc32(w[-2:]) % brown.SHAPES)
+    counts, s, p = Counter(), {}, {}
+    seqs = [[b"", *tokens(t), b""] for i, t, _ in rows if in_training(i)]
+    for seq in seqs:
+        counts.update(seq[1:])
+        for a, b, c in zip(seq, seq[1:], seq[2:]):
+            if b not in first:
+                s.setdefault(b, np.zeros(len(m)))[of(c)] += 1
+                p.setdefault(b, np.zeros(len(m)))[of(a)] += 1
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    got = {bytes(r.word): (r.n, r["class"]) for r in brown.placed_words(training, fitted, classes).collect()}
+    assert {w: n for w, (n, _) in got.items()} == {w: n for w, n in counts.items() if w and w not in first}
+    for w, (_, to) in got.items():
+        gains = []
+        for b in range(classes):
+            sums = m[b].sum(), m[:, b].sum(), counts[w]
+            gains.append(sum(f(m[b] + s[w]) - f(m[b])) + sum(f(m[:, b] + p[w]) - f(m[:, b])) - sum(f(x + sums[2]) - f(x) for x in sums[:2]))
+        a, sums = classes + zlib.crc32(w[-2:]) % brown.SHAPES, counts[w]
+        stay = sum(f(m[a]) - f(m[a] - s[w])) + sum(f(m[:, a]) - f(m[:, a] - p[w])) - sum(f(x) - f(x - sums) for x in (m[a].sum(), m[:, a].sum()))
+        more = max(gains) - stay - math.log(classes)
+        assert abs(more) < 1e-6 or (to < classes) == (more > 0)
+        assert to == a if to >= classes else gains[to] == pytest.approx(max(gains))
+    assert any(to < classes for _, to in got.values()) and any(to >= classes for _, to in got.values())
+    known = first | {w: to for w, (_, to) in got.items()}
+    cls = lambda w: end if w == b"" else known.get(w, classes + zlib.crc32(w[-2:]) % brown.SHAPES)
+    moves = Counter((cls(a), cls(b)) for seq in seqs for a, b in zip(seq, seq[1:]))
+    before, after = Counter(), Counter()
+    for (a, b), n in moves.items():
+        before[a] += n
+        after[b] += n
+    total, types = sum(counts.values()), len(counts)
+    size = Counter()
+    for w, c in known.items():
+        size[c] += counts[w] + (c >= classes)
+    want = []
+    for i, text, _ in rows:
+        toks, model = [*tokens(text), b""], 0.0
+        for a, w in zip([b"", *toks], toks):
+            reach = (after[cls(w)] + 1) / (total + end + 1)
+            model += math.log10((moves[cls(a), cls(w)] + prior * reach) / (before[cls(a)] + prior))
+            if w:
+                stays = cls(w) >= classes
+                model += math.log10((counts[w] + stays) / (size[cls(w)] + stays))
+        base = sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in toks)
+        want.append((i, not in_training(i), len(toks), sum(counts[w] > 0 for w in toks), total, base, model))
+    close(brown.score(docs, head=head, classes=classes, rounds=5, in_rounds=20).collect(), want)
