@@ -22,9 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellspan.llm.tokens import slices
 from quellspan.session import written
 
 LONGEST = 64
@@ -32,7 +34,9 @@ SHAPES = 32
 BLOCKS = 64
 MOST_WORDS = 400_000
 #: Words outside the exchange whose neighbours a worker gathers before it passes them on.
-HELD = 250_000
+HELD = 800_000
+#: Bytes of text that are cut to words at once; each distinct word among them is looked up once.
+SLICE = 8 << 20
 
 
 def shape(word: bytes) -> int:
@@ -43,6 +47,18 @@ def held_out_column(id_col: str, folds: int = 7, fold: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)) == fold
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column of binary or lists (those as arrays); ``to_pylist`` makes a scalar of each first, which takes some ten times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def cut_to_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of binary texts, one after another (some of them empty), and how many each text has of them."""
+    # a view: bytes need not be UTF-8, only ASCII is looked at
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over all rows of ``texts(text binary)``; the end of a text counts as the empty word."""
 
@@ -59,7 +75,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             counts.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 counts.update((text or b"").lower().split())
                 counts[b""] += 1
                 if len(counts) > MOST_WORDS:
@@ -98,20 +114,31 @@ class Head:
     def units(self) -> int:
         return self.exchanged + SHAPES + 1
 
-    def read(self, text: bytes | None):
-        """Words of a text, each one's place in the head (-1: none) and all units with the end before and after."""
+    def read(self, texts: pa.Array):
+        """Per text: each word's place in the head (-1: none), where those without one stand, these words, and the units of all
+        words with the end before and after."""
         if self._index is None:
             self._index = dict(zip(self.words, range(len(self.words))))
-            shapes = np.fromiter(map(shape, self.words), np.int64, len(self.words))
-            self._unit = np.where(np.arange(len(self.words)) < self.exchanged, np.arange(len(self.words)), self.exchanged + shapes)
-        words = (text or b"").lower().split()
-        place = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
-        units = np.full(len(words) + 2, self.units - 1, np.int64)
-        rest = np.flatnonzero(place < 0)
-        if len(self.words):
-            units[1:-1] = self._unit[place]
-        units[1 + rest] = [self.exchanged + shape(words[i]) for i in rest.tolist()]
-        return words, place, rest, units
+        for cut in slices(texts, SLICE):
+            flat, counts = cut_to_words(cut)
+            coded = flat.dictionary_encode()
+            known = values(coded.dictionary.view(pa.binary()))
+            place = np.fromiter(map(self._index.get, known, repeat(-1)), np.int64, len(known))
+            unit = place.copy()
+            for i in np.flatnonzero((place < 0) | (place >= self.exchanged)).tolist():
+                unit[i] = self.exchanged + shape(known[i])
+            filled = np.fromiter(map(len, known), np.int64, len(known)) > 0
+            number = coded.indices.to_numpy(zero_copy_only=False)
+            keep = filled[number] if len(known) else np.zeros(0, bool)
+            ends = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(cut)), counts)[keep], minlength=len(cut))))
+            number = number[keep]
+            for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                own = number[a:b]
+                places = place[own]
+                units = np.full(b - a + 2, self.units - 1, np.int64)
+                units[1:-1] = unit[own]
+                rest = np.flatnonzero(places < 0)
+                yield places, rest, [known[i] for i in own[rest].tolist()], units
 
 
 def unit_blocks(texts: DataFrame, head) -> DataFrame:
@@ -126,8 +153,7 @@ def unit_blocks(texts: DataFrame, head) -> DataFrame:
         for batch in batches:
             h = head.value
             pairs = []
-            for text in batch.column(0).to_pylist():
-                units = h.read(text)[3]
+            for _, _, _, units in h.read(batch.column(0)):
                 pairs.append(units[:-1] * n_units + units[1:])
             if not pairs:
                 continue
@@ -277,84 +303,131 @@ def fit(training: DataFrame, head: int, exchanged: int, classes: int, rounds: in
     return {"vocabulary": vocabulary, "in_head": in_head, "head": sent, "cut": cut, "total": total or 0, "types": types, "n_end": n_end or 0, "assigned": assigned, "table": table, "room": room}
 
 
-def neighbour_counts(texts: DataFrame, head, assigned: np.ndarray) -> DataFrame:
-    """``(word, cell, n)`` of every word outside the exchange: how often which class stands behind it (cell: the class) and
-    before it (cell: the classes' number and the class)."""
+def neighbour_cells(texts: DataFrame, head, assigned: np.ndarray) -> DataFrame:
+    """``(word, cells)`` of words outside the exchange, several rows a word: for each occurrence, as packed int16, the class
+    behind it and (plus the classes' number) the class before it. A row holds what one worker gathered at a time."""
     sent, n_classes = texts.sparkSession.sparkContext.broadcast(assigned), int(assigned.max()) + 1
 
     def run(batches):
         h, cls = head.value, sent.value
-        own, ids, cells, held = {}, [], [], 0
+        own, ids, behind, before, held = {}, [], [], [], 0
 
         def out():
-            keys, n = np.unique(np.concatenate(ids) * (2 * n_classes) + np.concatenate(cells), return_counts=True)
-            known = list(own)
-            words = [h.words[i] if i < len(h.words) else known[i - len(h.words)] for i in (keys // (2 * n_classes)).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array((keys % (2 * n_classes)).astype(np.int32)), pa.array(n, pa.int64())], ["word", "cell", "n"])
+            known, every = list(own), np.concatenate(ids)
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            words = [h.words[i] if i < len(h.words) else known[i - len(h.words)] for i in every[first].tolist()]
+            cells = np.column_stack([np.concatenate(behind)[order], n_classes + np.concatenate(before)[order]]).astype(np.int16)
+            ends = pa.py_buffer(np.append(first, len(every)).astype(np.int32) * np.int32(4))
+            lists = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(cells)])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), lists], ["word", "cells"])
 
         for batch in batches:
-            for text in (x.as_py() for x in batch.column(0)):
-                words, place, rest, units = h.read(text)
-                place[rest] = [len(h.words) + own.setdefault(words[i], len(own)) for i in rest.tolist()]
+            for place, rest, words, units in h.read(batch.column(0)):
+                place[rest] = [len(h.words) + own.setdefault(w, len(own)) for w in words]
                 at, c = np.flatnonzero(place >= h.exchanged), cls[units]
-                ids += [place[at], place[at]]
-                cells += [c[at + 2], n_classes + c[at]]
+                ids.append(place[at].astype(np.int32))
+                behind.append(c[at + 2])
+                before.append(c[at])
                 held += len(at)
                 if held > HELD:
                     yield out()
-                    own, ids, cells, held = {}, [], [], 0
-        if ids:
+                    own, ids, behind, before, held = {}, [], [], [], 0
+        if held:
             yield out()
 
-    return texts.mapInArrow(run, "word binary, cell int, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-
-
-def fitting_classes(own: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
-    """The class of each word, numbered in order by ``own``, that raises the likelihood of the class bigrams most by its counts;
-    the one it has ``now`` where no other gains the cost of a name beyond what the word adds there."""
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    behind, other = cell < len(table), cell % len(table)
-    was = np.where(behind[:, None], table[:classes, other].T, table[other, :classes])
-    gain = np.add.reduceat(_f(was + n[:, None]) - _f(was), first)
-    held = np.where(behind, table[now[own], other], table[other, now[own]])
-    stays = np.add.reduceat(_f(held) - _f(held - n), first)
-    for side, sums in ((behind, table.sum(1)), (~behind, table.sum(0))):
-        count = np.add.reduceat(n * side, first)
-        gain -= _f(sums[None, :classes] + count[:, None]) - _f(sums)[None, :classes]
-        stays -= _f(sums[now]) - _f(sums[now] - count)
-    return np.where(gain.max(axis=1) - stays > np.log(classes), gain.argmax(axis=1), now)
+    return texts.mapInArrow(run, "word binary, cells binary")
+
+
+class Fit:
+    """Which class words fit best by the counts of their neighbours, against one table of class bigrams."""
+
+    def __init__(self, table: np.ndarray, classes: int):
+        self.table, self.classes = table, classes
+        # a row per cell: the counts with each class of the class behind, then of that before
+        self.was = np.concatenate([table[:classes].T, table[:, :classes]])
+        self.f = _f(self.was)
+        self.once_or_twice = np.concatenate([_f(self.was + k) - self.f for k in (1, 2)])
+
+    def classes_of(self, own: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The class of each word, numbered in order by ``own``, that raises the likelihood of the class bigrams most by its counts;
+        the one it has ``now`` where no other gains the cost of a name beyond what the word adds there."""
+        table, classes = self.table, self.classes
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        behind, other = cell < len(table), cell % len(table)
+        few, more = np.flatnonzero(n <= 2), np.flatnonzero(n > 2)
+        asked = np.zeros((len(first), len(self.once_or_twice)))
+        asked[own[few], cell[few] + (n[few] - 1) * len(self.was)] = 1
+        gain = asked @ self.once_or_twice
+        if len(more):
+            begin = np.flatnonzero(np.concatenate([[True], own[more[1:]] != own[more[:-1]]]))
+            gain[own[more[begin]]] += np.add.reduceat(_f(self.was[cell[more]] + n[more, None]) - self.f[cell[more]], begin)
+        held = np.where(behind, table[now[own], other], table[other, now[own]])
+        stays = np.add.reduceat(_f(held) - _f(held - n), first)
+        for side, sums in ((behind, table.sum(1)), (~behind, table.sum(0))):
+            count = np.add.reduceat(n * side, first)
+            gain -= _f(sums[None, :classes] + count[:, None]) - _f(sums)[None, :classes]
+            stays -= _f(sums[now]) - _f(sums[now] - count)
+        return np.where(gain.max(axis=1) - stays > np.log(classes), gain.argmax(axis=1), now)
 
 
 def placed_words(training: DataFrame, fitted: dict, classes: int) -> DataFrame:
     """``(word, n, class)`` of every training word outside the exchange: its count, and the class that it fits best, its shape class included.
 
-    Words are held against the table that the exchange left, each by itself, so they are placed side by side.
+    Words are held against the table that the exchange left, each by itself, so they are placed side by side. A word's rows
+    come one after another, sorted; a task keeps the counts of the last word of a batch, never a word's rows.
     """
     sent = training.sparkSession.sparkContext.broadcast(fitted["table"])
-    width = len(fitted["table"])
+    wide = 2 * len(fitted["table"])
 
     def run(batches):
+        fit = Fit(sent.value, classes)
+
+        def placed(words, own, cell, n):
+            """own: the place in ``words`` of each count."""
+            edges = np.searchsorted(own, np.arange(0, len(words) + 1000, 1000))
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                cut = words[1000 * k : 1000 * (k + 1)]
+                now = np.array([classes + shape(w) for w in cut])
+                to = fit.classes_of(own[a:b] - 1000 * k, cell[a:b], n[a:b], now)
+                count = np.bincount(own[a:b] - 1000 * k, n[a:b] * (cell[a:b] < wide // 2), len(cut)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(count), pa.array(to.astype(np.int32))], ["word", "n", "class"])
+
+        last, kept = None, np.zeros(wide, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                cut = batch.slice(at, 1000)
-                lists = cut.column(1)
-                sizes = np.array([len(x) for x in lists])
-                own, flat = np.repeat(np.arange(cut.num_rows), sizes), lists.flatten()
-                cell, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                now = np.array([classes + shape(w) for w in cut.column(0).to_pylist()])
-                to = fitting_classes(own, cell, n, now, sent.value, classes)
-                count = np.bincount(own, n * (cell < width), cut.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(count), pa.array(to.astype(np.int32))], ["word", "n", "class"])
-
-    # of one word: at most twice as many as there are classes
-    lists = neighbour_counts(training, fitted["head"], fitted["assigned"]).groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    return lists.mapInArrow(run, "word binary, n long, class int")
+            if not batch.num_rows:
+                continue
+            rows, lists = values(batch.column(0)), values(batch.column(1))
+            place, words = [], [] if last is None else [last]
+            for w in rows:
+                if not words or w != words[-1]:
+                    words.append(w)
+                place.append(len(words) - 1)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+            keys, n = np.unique(np.repeat(np.array(place), sizes) * wide + np.frombuffer(b"".join(lists), np.int16), return_counts=True)
+            if last is not None:
+                own = keys < wide
+                kept[keys[own]] += n[own]
+                cell = np.flatnonzero(kept)
+                keys, n = np.concatenate([cell, keys[~own]]), np.concatenate([kept[cell], n[~own]])
+            own, end = keys // wide, int(np.searchsorted(keys, (len(words) - 1) * wide))
+            if end:
+                yield from placed(words[:-1], own[:end], keys[:end] % wide, n[:end])
+            last, kept = words[-1], np.zeros(wide, np.int64)
+            kept[keys[end:] % wide] = n[end:]
+        if last is not None:
+            cell = np.flatnonzero(kept)
+            yield from placed([last], np.zeros(len(cell), np.int64), cell, kept[cell])
+
+    cells = neighbour_cells(training, fitted["head"], fitted["assigned"]).repartition("word").sortWithinPartitions("word")
+    return cells.mapInArrow(run, "word binary, n long, class int")
 
 
 def _sequence(classes: bytes, at, to) -> np.ndarray:
     """The classes of a text, the ends included, with those put in that a join found."""
     c = np.frombuffer(classes, np.int16).astype(np.int64)
-    if at:
+    if at is not None and len(at):
         c[at] = to
     return c
 
@@ -378,14 +451,13 @@ def _placed_score(texts: DataFrame, fitted: dict, classes: int, prior: float) ->
         of_head, more, plain = model.value
         for batch in batches:
             out = [[] for _ in range(7)]
-            for text in batch.column(2).to_pylist():
-                words, place, rest, _ = h.value.read(text)
-                known = place[place >= 0]
-                c = np.full(len(words) + 2, n_classes - 1, np.int16)
+            for place, rest, words, units in h.value.read(batch.column(2)):
+                known, tokens = place[place >= 0], len(place) + 1
+                c = np.full(tokens + 1, n_classes - 1, np.int16)
                 if len(of_head):
                     c[1:-1] = of_head[place]
-                c[1 + rest] = [classes + shape(words[i]) for i in rest.tolist()]
-                for x, value in zip(out, (len(words) + 1, len(known) + end_known, float(more[known].sum()) + end_log - (len(words) + 1) * norm, float(plain[known].sum()), c.tobytes(), [words[i] for i in rest.tolist()], (1 + rest).tolist())):
+                c[1 + rest] = classes + units[1 + rest] - h.value.exchanged
+                for x, value in zip(out, (tokens, len(known) + end_known, float(more[known].sum()) + end_log - tokens * norm, float(plain[known].sum()), c.tobytes(), words, (1 + rest).tolist())):
                     x.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds)]], ["id", "held_out", "n_tokens", "n_known", "base", "plain", "classes", "rest", "at"])
@@ -407,7 +479,7 @@ def _placed_score(texts: DataFrame, fitted: dict, classes: int, prior: float) ->
     def count(batches):
         for batch in batches:
             total = np.zeros(n_classes * n_classes, np.int64)
-            for x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for x in zip(*(values(batch.column(i)) for i in range(3))):
                 c = _sequence(*x)
                 total += np.bincount(c[:-1] * n_classes + c[1:], minlength=n_classes * n_classes)
             cell = np.flatnonzero(total)
@@ -429,7 +501,7 @@ def _placed_score(texts: DataFrame, fitted: dict, classes: int, prior: float) ->
         move, size = last.value
         for batch in batches:
             out = []
-            for plain, *x in zip(*(batch.column(i).to_pylist() for i in range(5, 9))):
+            for plain, *x in zip(batch.column(5).to_pylist(), *(values(batch.column(i)) for i in range(6, 9))):
                 c = _sequence(*x)
                 out.append(float(move[c[:-1], c[1:]].sum() + plain - size[c].sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(out, pa.float64())], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -481,15 +553,14 @@ def score(
         cls, log_count, emit, spare, move = model.value
         for batch in batches:
             out = [[], [], [], [], []]
-            for text in batch.column(2).to_pylist():
-                word_list, place, rest, units = sent.value.read(text)
+            for place, _, words, units in sent.value.read(batch.column(2)):
                 known = place[place >= 0]
                 c = cls[units]
-                out[0].append(len(word_list) + 1)
+                out[0].append(len(place) + 1)
                 out[1].append(len(known) + end_known)
-                out[2].append(float(log_count[known].sum()) + end_log - (len(word_list) + 1) * norm)
+                out[2].append(float(log_count[known].sum()) + end_log - (len(place) + 1) * norm)
                 out[3].append(float(move[c[:-1], c[1:]].sum() + emit[known].sum() + spare[c[1:]].sum()))
-                out[4].append([word_list[i] for i in rest.tolist()])
+                out[4].append(words)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds)]], ["id", "held_out", "n_tokens", "n_known", "base", "model", "rest"]

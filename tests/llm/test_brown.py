@@ -195,3 +195,22 @@ def test_every_word_has_a_class_by_its_neighbours(spark, head):
         base = sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in toks)
         want.append((i, not in_training(i), len(toks), sum(counts[w] > 0 for w in toks), total, base, model))
     close(brown.score(docs, head=head, classes=classes, rounds=5, in_rounds=20).collect(), want)
+
+
+def test_neighbours_travel_as_packed_rows(spark):
+    """A word of a worker is one row of all its neighbours' classes, not a row for each of them, and batches may part a word's rows."""
+    docs = spark.createDataFrame(fixture_rows(), "doc_id long, text string, word string").repartition(6)
+    training = docs.where(~brown.held_out_column("doc_id")).select(F.col("text").cast("binary").alias("text"))
+    fitted = brown.fit(training, 1 << 18, 20, 8, 2)
+    rows = brown.neighbour_cells(training, fitted["head"], fitted["assigned"]).collect()
+    per_word = Counter(bytes(r.word) for r in rows)
+    assert max(per_word.values()) <= training.rdd.getNumPartitions() and len(rows) < sum(len(r.cells) // 4 for r in rows) / 3
+    want = sorted(map(tuple, brown.placed_words(training, fitted, 8).collect()))
+    assert {bytes(w): n for w, n, _ in want} == {w: sum(len(r.cells) // 4 for r in rows if bytes(r.word) == w) for w in per_word}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        assert sorted(map(tuple, brown.placed_words(training, fitted, 8).collect())) == want
+    finally:
+        spark.conf.set(key, before)
