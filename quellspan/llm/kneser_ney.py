@@ -1,10 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted rows are labelled ones; at most about ``sample_rows`` of them, drawn by hash evenly over the languages, train the
-model, so its size has a bound that doesn't grow with the corpus. Counts, continuation counts and contexts are grouped by
-n-gram and meet in joins. A text's log probability then is a sum of one looked-up number per n-gram: what an n-gram adds to
-what its shorter ones gave, and the weight a context leaves to shorter ones. These numbers are sent to the tasks, their
-number checked against a bound, and every text's n-grams are looked up among them by their hashes.
+Trusted rows are labelled ones. All of them take part: nine of ten, told by a hash of their ids, train the model, the others
+set the thresholds. Counts, continuation counts and contexts are grouped by n-gram and meet in joins. A text's log probability
+then is a sum of one number per n-gram: what an n-gram adds to what its shorter ones gave, and the weight that it leaves to
+shorter ones as a context. Every text's n-grams meet these numbers in a join, so no process ever holds the model.
+
+With ``sample_rows`` a bounded number of trusted rows, drawn by hash evenly over the languages, trains instead. Then the numbers
+are sent to the tasks, their number checked against a bound, and looked up there.
 
 A row is kept if its perplexity is at most its language's quantile over the trusted rows that did not train the model.
 """
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellspan.llm.tokens import mixed, slices
-from quellspan.session import written
+from quellspan.session import scratch, written
 
-SAMPLE_ROWS, LONGEST_SAMPLE = 4096, 20_000
+LONGEST_SAMPLE = 20_000
+#: The part of the trusted rows that trains; the rest sets the thresholds.
+TRAINS = 0.9
 #: The quantile of the trusted rows' perplexity, and how far above it a row may still lie.
 QUANTILE, SLACK = 0.99, 1.25
 MOST_ENTRIES = 12_000_000
@@ -75,20 +79,22 @@ def word_hashes(texts: DataFrame) -> np.ndarray:
     return np.sort(found)
 
 
-def trigram_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
-    """``(u, v, w, n)`` over the sample ``texts(text string)``, by the words' numbers."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+def trigram_counts(texts: DataFrame, words: np.ndarray | None) -> DataFrame:
+    """``(u, v, w, n)`` over ``texts(text string)``, by the words' numbers or, without ``words``, by their hashes."""
+    sent = None if words is None else texts.sparkSession.sparkContext.broadcast(words)
+    kind = "long" if words is None else "int"
 
     def run(batches):
         for batch in batches:
             for cut in slices(batch.column(0), SLICE):
                 seq, own = sequences(cut)
-                seq = np.searchsorted(sent.value, seq).astype(np.int32)
+                if sent is not None:
+                    seq = np.searchsorted(sent.value, seq).astype(np.int32)
                 at = np.flatnonzero((own[2:] == own[:-2])) + 2
                 grams, n = np.unique(np.column_stack([seq[at - 2], seq[at - 1], seq[at]]), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(grams[:, i]) for i in range(3)), pa.array(n, pa.int64())], ["u", "v", "w", "n"])
 
-    return texts.mapInArrow(run, "u int, v int, w int, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, f"u {kind}, v {kind}, w {kind}, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame, col: str) -> tuple[float, float, float]:
@@ -109,9 +115,12 @@ def _contexts(counts: DataFrame, col: str, d, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(col).alias("total"), (F.sum(_off(col, d)) / F.sum(col)).alias("rest"))
 
 
-def fit(texts: DataFrame) -> dict:
-    """The model of ``texts(text)``: per order a table of n-grams with log10 probabilities, per context its log10 weight."""
-    words = word_hashes(texts)
+def fit(texts: DataFrame, numbered: bool = True) -> dict:
+    """The model of ``texts(text)``: per order a table of n-grams with log10 probabilities, per context its log10 weight.
+
+    numbered: words go by numbers that the driver gives them, which bounds their number; else by their hashes.
+    """
+    words = word_hashes(texts) if numbered else None
     three = written(trigram_counts(texts, words), "kn-3")
     two = written(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "kn-2")
     one = written(two.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "kn-1")
@@ -217,6 +226,74 @@ def log_probabilities(tables: list[Sums], unknown: float, texts: pa.Array) -> tu
     return n, total
 
 
+# ---- by joins -----------------------------------------------------------------------------------------------------------
+
+
+def gram_numbers(model: dict) -> DataFrame:
+    """``(gram, add)``: what each n-gram's hash brings to a text, as a word in its place and as a context of the next."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [batch.column(i).to_numpy() for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(*parts).view(np.int64)), batch.column(batch.num_columns - 1)], ["gram", "add"])
+
+    tables = [df.select(*names, "add").mapInArrow(run, "gram long, add double") for names, df in model["tables"]]
+    every = tables[0]
+    for df in tables[1:]:
+        every = every.unionByName(df)
+    return every.groupBy("gram").agg(F.sum("add").alias("add"))
+
+
+def text_grams(texts: DataFrame) -> DataFrame:
+    """``(doc, gram, n)``: how often each n-gram of order 1 to 3 stands in each of ``texts(doc long, text string)``.
+
+    The starts before a text count as its words: they are contexts, and the two of them stand once in each text.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at_row = 0
+            for cut in slices(batch.column(1), SLICE):
+                seq, own = sequences(cut)
+                two, three = (np.flatnonzero(own[k:] == own[:-k]) + k for k in (1, 2))
+                keys = np.concatenate([key_of(seq[two]), key_of(seq[two - 1], seq[two]), key_of(seq[three - 2], seq[three - 1], seq[three])])
+                row = np.concatenate([own[two], own[two], own[three]])
+                order = np.lexsort((keys, row))
+                keys, row = keys[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))
+                n = np.diff(np.append(first, len(keys))).astype(np.int32)
+                doc = batch.column(0).slice(at_row, len(cut)).to_numpy()[row[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys[first].view(np.int64)), pa.array(n)], ["doc", "gram", "n"])
+                at_row += len(cut)
+
+    return texts.mapInArrow(run, "doc long, gram long, n int")
+
+
+def scored_by_joins(rows: DataFrame, model: dict) -> DataFrame:
+    """``(id, lang, n_tokens, perplexity)`` per row of ``rows(id, lang, text)``; equal texts, told by their hash, share their sums."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [np.zeros(0, np.int64)]
+            for cut in slices(batch.column(3), SLICE):
+                lists = pc.ascii_split_whitespace(cut)
+                own = np.repeat(np.arange(len(cut)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                counts.append(np.bincount(own[pc.binary_length(lists.flatten()).to_numpy() > 0], minlength=len(cut)) + 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.concatenate(counts))], ["id", "lang", "doc", "n_tokens"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    keyed = rows.select("id", "lang", F.xxhash64("text").alias("doc"), "text")
+    sized = keyed.mapInArrow(run, f"id {kind}, lang string, doc long, n_tokens long")
+    if not model["tables"]:
+        return sized.select("id", "lang", "n_tokens", F.lit(1.0).alias("perplexity"))
+    starts = int(key_of(np.array([START]), np.array([START])).view(np.int64)[0])
+    met = text_grams(keyed.select("doc", "text")).join(gram_numbers(model), "gram")
+    # each text has the two starts once, and any model has them
+    sums = met.groupBy("doc").agg(F.sum(F.col("n") * F.col("add")).alias("adds"), F.sum(F.when(F.col("gram") == starts, F.col("n"))).alias("copies"))
+    logs = F.col("n_tokens") * model["unknown"] + F.col("adds") / F.col("copies")
+    return sized.join(sums, "doc").select("id", "lang", "n_tokens", F.pow(F.lit(10.0), -logs / F.col("n_tokens")).alias("perplexity"))
+
+
 # ---- operator -----------------------------------------------------------------------------------------------------------
 
 
@@ -231,18 +308,24 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     quantile: float = QUANTILE,
     slack: float = SLACK,
 ) -> DataFrame:
     """Per row: id, lang, n_tokens, perplexity, threshold, kept. ``trusted_ids`` holds the ids of trusted rows in its first column.
 
-    A null text is empty; a null language counts as the empty one. Trusted rows of more than LONGEST_SAMPLE characters don't
-    train. A language without trusted rows left takes the quantile of all of them; without any, every row is kept.
+    A null text is empty; a null language counts as the empty one. Every trusted row trains the model or sets thresholds, whatever
+    its length. sample_rows: a bound on the rows that train instead; then those of more than LONGEST_SAMPLE characters don't. A language without trusted rows left takes the quantile of all of them; without any, every row is kept.
     Repeated rows are judged once each.
     """
     trusted = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("id")).where("id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if sample_rows is None:
+        chosen = trusted.where(share_of("id") < TRAINS)
+        with scratch(docs.sparkSession):
+            model = fit(rows.join(chosen, "id", "left_semi").select("text"), numbered=False)
+            scored = written(scored_by_joins(rows, model), "kn-scored", keep=True)
+        return _judged(docs, id_col, scored, trusted, chosen, quantile, slack)
     marked = written(rows.select("id", "lang", (F.length("text") <= LONGEST_SAMPLE).alias("short")).join(trusted, "id"), "kn-trusted")
     per_lang = {r["lang"]: r.n for r in marked.where("short").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(sample_rows).collect()}
     quota, rate = sample_rows / max(len(per_lang), 1), F.lit(0.0)
@@ -265,7 +348,12 @@ def classify(
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = written(rows.mapInArrow(run, f"id {kind}, lang string, n_tokens long, perplexity double"), "kn-scored")
-    left = scored.join(trusted, "id", "left_semi").join(F.broadcast(chosen), "id", "left_anti")
+    return _judged(docs, id_col, scored, trusted, F.broadcast(chosen), quantile, slack)
+
+
+def _judged(docs: DataFrame, id_col: str, scored: DataFrame, trusted: DataFrame, chosen: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """The scored rows with their thresholds, which the trusted rows set that did not train."""
+    left = scored.join(trusted, "id", "left_semi").join(chosen, "id", "left_anti")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     own = written(left.groupBy("lang").agg((cut * slack).alias("own")), "kn-quantiles")
     every = left.agg(cut).first()[0]

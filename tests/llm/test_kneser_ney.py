@@ -113,3 +113,29 @@ def test_query(spark, sf_dir):
     assert {d.doc_id: len(words(d.text)) + 1 for d in docs} == {k: r.n_tokens for k, r in got.items()}
     good = [got[d].kept for d in got if labels.get(d) == 1]
     assert sum(good) / len(good) > 0.95
+
+
+def test_every_trusted_row_takes_part(spark):
+    """Beyond the former sample of 4,096 rows and 20,000 characters: counts, perplexities and thresholds by the definition."""
+    good = [*texts(4300, 4), " ".join(texts(900, 5))]
+    assert len(good[-1]) > kn.LONGEST_SAMPLE
+    rows = [(i, t, "de" if i % 3 else None) for i, t in enumerate(good)] + [(9000, None, "xx"), (9001, "", "xx"), (None, good[3], "en"), (9002, good[3], "en"), (9002, "never seen", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    trusted = spark.createDataFrame([(i,) for i in range(len(good))] + [(None,)], "doc_id long")
+    share = {r.doc_id: r.s for r in trusted.select("doc_id", kn.share_of("doc_id").alias("s")).collect()}
+    train = [i for i in range(len(good)) if share[i] < kn.TRAINS]
+    assert len(train) > 3800
+    plain, n = Plain([good[i] for i in train]), lambda t: len(words(t)) + 1
+    of = {t: 10 ** (-plain.log10(t) / n(t)) for t in {t for _, t, _ in rows}}
+    got = kn.classify(docs, trusted).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[3])
+    want = [(i, lang or "", n(t), of[t]) for i, t, lang in rows]
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(g[:3]) == w[:3] and g.perplexity == pytest.approx(w[3], rel=1e-6)
+    others = {"de": [], "": []}
+    for i in sorted(set(range(len(good))) - set(train)):
+        others[rows[i][2] or ""].append(of[good[i]])
+    cut = lambda x: sorted(x)[math.ceil(kn.QUANTILE * len(x)) - 1] * kn.SLACK
+    for r in got:
+        assert r.threshold == pytest.approx(cut(others[r.lang] if r.lang in others else sum(others.values(), [])), rel=1e-6)
+        assert r.kept is (r.perplexity <= r.threshold)
