@@ -25,6 +25,8 @@ from quellspan.session import scratch, written
 LONGEST_SAMPLE = 20_000
 #: The part of the trusted rows that trains; the rest sets the thresholds.
 TRAINS = 0.9
+#: Texts meet the model in so many parts, told by their hash, so that the n-grams of one part only lie on disk at a time.
+PASSES = 4
 #: The quantile of the trusted rows' perplexity, and how far above it a row may still lie.
 QUANTILE, SLACK = 0.99, 1.25
 MOST_ENTRIES = 12_000_000
@@ -287,9 +289,14 @@ def scored_by_joins(rows: DataFrame, model: dict) -> DataFrame:
     if not model["tables"]:
         return sized.select("id", "lang", "n_tokens", F.lit(1.0).alias("perplexity"))
     starts = int(key_of(np.array([START]), np.array([START])).view(np.int64)[0])
-    met = text_grams(keyed.select("doc", "text")).join(gram_numbers(model), "gram")
-    # each text has the two starts once, and any model has them
-    sums = met.groupBy("doc").agg(F.sum(F.col("n") * F.col("add")).alias("adds"), F.sum(F.when(F.col("gram") == starts, F.col("n"))).alias("copies"))
+    numbers, sums = written(gram_numbers(model), "kn-numbers"), None
+    for k in range(PASSES):
+        own = keyed.where(F.pmod("doc", F.lit(PASSES)) == k).select("doc", "text")
+        # each text has the two starts once, and any model has them
+        met = text_grams(own).join(numbers, "gram").groupBy("doc")
+        part = met.agg(F.sum(F.col("n") * F.col("add")).alias("adds"), F.sum(F.when(F.col("gram") == starts, F.col("n"))).alias("copies"))
+        part = written(part, "kn-sums")
+        sums = part if sums is None else sums.unionByName(part)
     logs = F.col("n_tokens") * model["unknown"] + F.col("adds") / F.col("copies")
     return sized.join(sums, "doc").select("id", "lang", "n_tokens", F.pow(F.lit(10.0), -logs / F.col("n_tokens")).alias("perplexity"))
 
