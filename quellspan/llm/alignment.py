@@ -12,7 +12,8 @@ white space is one stretch.
 
 What ids meet is counted over the corpus in joins. A batch (the texts of about 4 MB) keeps the number of each pair of ids it
 holds, these are summed over all batches, and each batch gets back the counts of its own pairs; so what is shuffled follows
-the distinct pairs of batches, not the tokens, and no task needs the whole table of counts.
+the distinct pairs of batches, not the tokens, and no task needs the whole table of counts. Nor does a task's memory grow with
+the table: a worker gets a few MB of texts or one batch at a time, and batches, of some 6 MB each, are written in row groups of a few.
 
 Rows: texts that are null, empty, or that one of the tokenizers does not keep byte by byte (such as those with a literal
 U+2581) have no tokens and no links. Special tokens' strings are text like any other. Texts of any length are taken whole;
@@ -22,6 +23,7 @@ gives no rows. Only the id and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import ctypes
 from hashlib import sha256
 from itertools import chain
 
@@ -32,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quellspan.llm.tokens import slices
-from quellspan.session import written
+from quellspan.session import LARGE_ROWS, arrow_batches, scratch, written
 
-MOST_CACHED = 220_000
-#: Text of a batch, and of the slices in which it is read.
-BATCH_BYTES, CUT_BYTES = 4 << 20, 1 << 20
+#: Stretches that a worker takes over from one batch to the next; a batch of 4 MB has some 150,000 of its own.
+MOST_CACHED = 100_000
+#: Text of a batch, of the slices in which it is read, and bytes of what Spark hands to a worker at once.
+BATCH_BYTES, CUT_BYTES, ARROW_CUT = 4 << 20, 1 << 18, 2 << 20
 
 
 def byte_of() -> dict[str, int]:
@@ -75,6 +78,14 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def released() -> None:
+    """Freed memory goes back to the system. By itself the C library keeps what lies between live blocks, as much again as is used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def joined_bytes(values: pa.Array) -> bytes:
     """The bytes of all values one after the other."""
     return values.buffers()[2].to_pybytes() if len(values) and values.buffers()[2] else b""
@@ -273,6 +284,21 @@ class Aligner:
 _PACKED = ("sizes", "places", "reach", "links")
 
 
+def gathered(parts):
+    """Arrow batches of any size as batches of about BATCH_BYTES of text; rows stay whole."""
+    held, size = [], 0
+    for part in parts:
+        at = 0
+        for texts in slices(part.column("text"), CUT_BYTES):
+            held.append(part.slice(at, len(texts)))
+            at, size = at + len(texts), size + (pc.sum(pc.binary_length(texts)).as_py() or 0)
+            if size >= BATCH_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def batches(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The batches of a table: their rows with counts and digests (as one Arrow batch), their links, and the pairs' numbers."""
 
@@ -280,20 +306,20 @@ def batches(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
         from pyspark import TaskContext
 
         own, number = Aligner.of(byte_path, piece_path), TaskContext.get().partitionId() << 32
-        for part in parts:
-            at = 0
-            for texts in slices(part.column("text"), BATCH_BYTES):
-                x = own.summed(texts)
-                rows = pa.RecordBatch.from_arrays([part.column("id").slice(at, len(texts)), *map(pa.array, x["counts"]), pa.array(x["digests"], pa.string())], ["id", "n_a", "n_b", "n_groups", "groups_sha256"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as stream:
-                    stream.write_batch(rows)
-                packed = [pa.array([x[c].astype("<u4").tobytes()], pa.binary()) for c in _PACKED]
-                lists = [pa.array([x[c]], pa.list_(pa.int64())) for c in ("pairs", "uses")]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *packed, *lists], ["batch", "rows", *_PACKED, "pairs", "uses"])
-                at, number = at + len(texts), number + 1
+        for part in gathered(parts):
+            x = own.summed(part.column("text"))
+            rows = pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, x["counts"]), pa.array(x["digests"], pa.string())], ["id", "n_a", "n_b", "n_groups", "groups_sha256"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_batch(rows)
+            packed = [pa.array([x[c].astype("<u4").tobytes()], pa.binary()) for c in _PACKED]
+            lists = [pa.array([x[c]], pa.list_(pa.int64())) for c in ("pairs", "uses")]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *packed, *lists], ["batch", "rows", *_PACKED, "pairs", "uses"])
+            number += 1
+            del part, x, rows, sink, packed, lists
+            released()
         own.clear()  # the worker lives on beside the joins that follow
-        pa.default_memory_pool().release_unused()
+        released()
 
     schema = "batch long, rows binary, sizes binary, places binary, reach binary, links binary, pairs array<long>, uses array<long>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -325,18 +351,26 @@ def _scored(parts):
             rows = pa.ipc.open_stream(row["rows"]).read_next_batch()
             names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], *found, rows.column("groups_sha256")], names)
+        released()
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, tokens of either tokenizer, groups, links, links that are a second id's most frequent, the sum of the
     links' counts, and the digest of the groups."""
-    parts = written(batches(docs, byte_path, piece_path, id_col, text_col), "alignment-batches")
-    judged = pair_counts(parts, Aligner.of(byte_path, piece_path).sizes[1])
+    spark = docs.sparkSession
+    with scratch(spark), arrow_batches(spark, ARROW_CUT):
+        parts = written(batches(docs, byte_path, piece_path, id_col, text_col), "alignment-batches", options=LARGE_ROWS)
+        return written(_told(parts, docs.schema[id_col].dataType.simpleString(), Aligner.of(byte_path, piece_path).sizes[1]), "alignment", keep=True).withColumnRenamed("id", id_col)
+
+
+def _told(parts: DataFrame, kind: str, size: int) -> DataFrame:
+    """The rows of all batches with their links judged."""
+    judged = pair_counts(parts, size)
     told = parts.select("batch", F.posexplode("pairs").alias("pos", "pair")).join(judged, "pair")
     told = told.groupBy("batch").agg(F.collect_list(F.struct("pos", "n", "best")).alias("t"))
     told = told.select("batch", F.struct(*[F.col("t")[c].alias(c) for c in ("pos", "n", "best")]).alias("told"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return parts.drop("uses").join(told, "batch", "left").mapInArrow(_scored, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return parts.drop("uses").join(told, "batch", "left").mapInArrow(_scored, schema)
 
 
 def groups(text: Column, byte_path: str, piece_path: str) -> Column:
