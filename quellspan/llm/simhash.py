@@ -8,9 +8,11 @@ coordinate difference exceeds ``max_distance`` cannot be linked; only survivors
 Exact copies fold into one fingerprint before any pair is looked at, and a bucket emits a spanning star of each of its
 linked parts, never its pairs.
 
-A bound on the overlap of the shingles instead of on bits (:func:`overlapping`) is a far wider radius: at Jaccard similarity
-0.8 two fingerprints differ in about ten bits, where blocks of bits no longer tell pairs apart. There, candidates share a
-band of MinHash values, fingerprints discard those beyond ``WIDE`` bits, and the shingles themselves decide.
+A bound on the overlap of the shingles (:func:`overlapping`) is a far wider radius: at Jaccard similarity 0.8 two fingerprints
+differ in about ten bits, where blocks of bits no longer tell pairs apart. There, what fingerprints link is only looked at first,
+and the rest is found by bounds that no pair of that overlap can break: two such sets share a shingle among the first ones of
+both in any one order, and the parities of their cells differ in no more bits than the sets differ in shingles. The shingles
+themselves decide. So every pair is found, whatever the fingerprints.
 """
 
 from __future__ import annotations
@@ -27,19 +29,17 @@ from quellspan.session import scratch, written
 
 LONG_RUN = 64
 BLOCK = 512
-#: MinHash bands and values in each: of pairs at Jaccard 0.8, 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 share a band.
-BANDS, IN_BAND = 20, 5
-#: Differing bits that a pair at Jaccard 0.8 stays within: about 9.5 are expected, with a deviation of 2.8.
-WIDE = 24
-#: MinHash values, of all in the bands, that differ in four mixed bits: at Jaccard 0.8 19 of 100 are expected, with a deviation
-#: of 3.9, so that 0.0004 of such pairs differ in more; of a pair at 0.6, 38 are.
-APART, IN_LONG = 32, 16
-#: Further MinHash values, held where pairs of one bucket are many, and how many of all may differ: 64 of 340 are expected at
-#: Jaccard 0.8, with a deviation of 7.2, so that 0.0003 of such pairs differ in more; of a pair at 0.7, 96 are.
-MORE, APART_IN_ALL = 240, 88
-#: Rounds of an open bucket by differing values: first the pairs that are nearer than is expected at 0.8, of which many link.
-#: They join the parts that most of the wider pairs lie in, and pairs inside a part need no verification.
-ROUNDS = (64, APART_IN_ALL)
+#: Cells of a small set's parities: bit i tells whether an odd number of its shingles fall into cell i. A set has as many cells
+#: as shingles at least, a power of two, so that sets apart differ in far more of them than sets of that overlap may.
+CELLS = 512
+#: Rounds of an open bucket, by the part of the allowed differences: first the nearest pairs, of which many link. They join the
+#: parts that most of the wider pairs lie in, and pairs inside a part need no verification.
+ROUNDS = (0.75, 1.0)
+#: Shingles put last when sets are ordered: of those in this many texts or more of one in so many, at most so many. They only
+#: keep buckets small; every order gives the same pairs.
+COMMON_LEAST, COMMON_OF, COMMON_MOST = 8, 16, 65_536
+#: Bounds on whole numbers are told from products of floats; this is far above their error and far below one.
+SLACK = 1e-6
 
 
 def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
@@ -230,78 +230,113 @@ def shingle_hashes(text: bytes | None, shingle_words: int, seed: int) -> np.ndar
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle_words]), seed) for i in range(count)), np.uint64, count))
 
 
-def _least(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The MinHash values of a text's shingles."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, np.multiply.outer(factors, hashes[at : at + 4096]).min(axis=1))
-    return least
+def _common(rows: DataFrame, shingle_words: int, seed: int) -> np.ndarray:
+    """Shingles of many texts, the rarest first, counted over the distinct ones of a sixteenth of the texts."""
 
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(x, shingle_words, seed).view(np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["hash"])
+
+    some = rows.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_key")).where(F.pmod("_key", F.lit(COMMON_OF)) == 0)
+    counted = some.dropDuplicates(["_key"]).select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "hash").limit(COMMON_MOST).collect()
+    return np.array([r["hash"] for r in reversed(most)], np.int64).view(np.uint64)
 
-def _bands(least: np.ndarray) -> np.ndarray:
-    """One signed hash per band of MinHash values."""
-    x = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, IN_BAND).T:
-        x = (x ^ (column >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return x.view(np.int64)
 
+def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, overlap: float) -> np.ndarray:
+    """The first shingles of a set, in the order of their hashes and common ones last, of which another set of that overlap has
+    one at least: it has ``overlap`` of them all, so all but these would be too few. common: ascending, with their ranks."""
+    keep = len(hashes) - int(np.ceil(overlap * len(hashes) - SLACK)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        last = common[at] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last][np.argsort(ranks[at[last]])]])
+    return hashes[:keep]
 
-def _low_bits(least: np.ndarray) -> np.ndarray:
-    """Four mixed bits of each MinHash value, 16 values to a signed long."""
-    bits = ((least ^ (least >> np.uint64(31))) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(60)
-    bits = np.append(bits, np.zeros(-len(bits) % IN_LONG, np.uint64)).reshape(-1, IN_LONG)
-    return np.bitwise_or.reduce(bits << (np.arange(IN_LONG, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """For each cell a bit: whether an odd number of shingles fall into it."""
+    cells = max(CELLS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % cells, minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def _sketched(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
-    """``(row, node, n, fp, low, more, bands)`` per row of ``rows(row, text)``: a hash of its set of shingles, their number,
-    fingerprint, low bits of the MinHash values in bands and of further ones, and bands."""
+
+def _sketched(rows: DataFrame, overlap: float, shingle_words: int, seed: int) -> DataFrame:
+    """``(row, node, n, fp, cells, prefix)`` per row of ``rows(row, text)``: a hash of its set of shingles, their number,
+    fingerprint, parities of cells and first shingles."""
     from xxhash import xxh64_intdigest
 
-    factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * IN_BAND + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    last = _common(rows, shingle_words, seed)
+    ranks = np.argsort(last, kind="stable")
+    common = last[ranks]
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, fps, low, more, bands = [], [], [], [], [], []
+            nodes, sizes, fps, cells, prefixes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle_words, seed)
                 ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 nodes.append(xxh64_intdigest(hashes.tobytes(), seed) if len(hashes) else 0)
                 sizes.append(len(hashes))
                 fps.append(int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big"))
-                least = _least(hashes, factors)
-                low.append(_low_bits(least[: BANDS * IN_BAND]))
-                more.append(_low_bits(least[BANDS * IN_BAND :]))
-                bands.append(_bands(least[: BANDS * IN_BAND]) if len(hashes) else hashes.view(np.int64))
+                cells.append(_parities(hashes))
+                prefixes.append(_prefix(hashes, common, ranks, overlap).view(np.int64) if len(hashes) else hashes.view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (low, more, bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sizes, pa.int32()), signed[1], *lists], ["row", "node", "n", "fp", "low", "more", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (cells, prefixes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sizes, pa.int32()), signed[1], *lists], ["row", "node", "n", "fp", "cells", "prefix"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", F.col("text").cast("binary")).mapInArrow(run, f"row {kind}, node long, n int, fp long, low array<long>, more array<long>, bands array<long>")
+    return rows.select("row", F.col("text").cast("binary")).mapInArrow(run, f"row {kind}, node long, n int, fp long, cells array<long>, prefix array<long>")
+
+
+def _needed(n, m, overlap: float):
+    """How many shingles two sets of ``n`` and ``m`` share at least, if they overlap by ``overlap``."""
+    return F.ceil((n + m) * F.lit(overlap / (1 + overlap)) - F.lit(SLACK))
+
+
+def _apart(a, b):
+    """In how many cells two columns of :func:`_parities` differ, at most the number of shingles that only one set has. Of twice as
+    many cells the upper half falls onto the lower; where they are more than that, nothing is told."""
+    size, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    folded = [F.when(F.size(c) > size, F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(c) for c in (a, b)]
+    told = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return F.when(most > size * 2, F.lit(0)).otherwise(told)
+
+
+def _near(a: str, b: str, overlap: float, part: float = 1.0):
+    """Whether two sets can overlap that much, told by bounds: by their sizes, by the places of the first shingle that they share
+    (all shared ones stand there or later), and by their cells, at most ``part`` of the allowed differences apart."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = _needed(n, m, overlap)
+    sizes = F.least(n, m) >= F.greatest(n, m) * F.lit(overlap) - F.lit(SLACK)
+    places = (F.col(f"{a}.at") <= n - need) & (F.col(f"{b}.at") <= m - need)
+    apart = _apart(F.col(f"{a}.cells"), F.col(f"{b}.cells"))
+    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & sizes & places & (apart <= (n + m - need * 2) * F.lit(part))
 
 
-def _apart(a: str, b: str, values: int):
-    """How many of ``values`` MinHash values differ in their low bits, told from two columns of :func:`_low_bits`."""
-    apart = F.lit(0)
-    for k in range(-(-values // IN_LONG)):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        # a bit for each four that aren't all zero
-        half = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        apart = apart + F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    return apart
+def _pairs(rows: DataFrame, x: str = "x.node", y: str = "y.node") -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _near(a: str, b: str, overlap: float):
-    """Whether two sketches can belong to sets of that overlap: by their sizes, which is exact, their fingerprints and low bits."""
-    sizes = F.least(f"{a}.n", f"{b}.n") / F.greatest(f"{a}.n", f"{b}.n") >= overlap
-    wide = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= WIDE
-    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & sizes & wide & (_apart(f"{a}.low", f"{b}.low", BANDS * IN_BAND) <= APART)
+def _by_fingerprint(distinct: DataFrame, max_distance: int, pivots: int) -> DataFrame:
+    """Pairs of sets of equal or linked fingerprints, a star for each fingerprint and each linked part of a bucket."""
+    heads = written(distinct.groupBy("fp").agg(F.min("node").alias("head")), "simhash-fps")
+    same = distinct.join(heads, "fp").where("node <> head").select("node", "head")
+    ends = links(heads.select("fp"), max_distance, pivots)
+    ends = ends.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("node")), "a").join(heads.select(F.col("fp").alias("b"), "head"), "b")
+    return _pairs(same.unionByName(ends.select("node", "head")), "node", "head")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _shared(distinct: DataFrame, overlap: float) -> DataFrame:
+    """``(bucket, x)`` for the first shingles of sets that another set has among its own, if one of them is of a size to overlap."""
+    by_size = Window.partitionBy("bucket").orderBy("n")
+    banded = distinct.select("node", "n", F.posexplode("prefix").alias("at", "bucket"))
+    banded = banded.withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
+    smaller = F.col("_less") >= F.col("n") * F.lit(overlap) - F.lit(SLACK)
+    larger = (F.col("n") >= F.col("_more") * F.lit(overlap) - F.lit(SLACK)) & (F.col("at") <= F.col("n") - _needed(F.col("n"), F.col("_more"), overlap))
+    held = written(banded.where(smaller | larger).select("bucket", "node", "at"), "simhash-held")
+    return held.join(distinct.select("node", "n", "cells"), "node").select("bucket", F.struct("node", "n", "at", "cells").alias("x"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, overlap: float, shingle_words: int, seed: int) -> DataFrame:
@@ -323,35 +358,33 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, overlap: f
         return written(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= overlap).select("a", "b"), "simhash-verified", keep=True)
 
 
-def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: int = 42) -> DataFrame:
+def overlapping(rows: DataFrame, overlap: float, shingle_words: int = 5, seed: int = 42, max_distance: int = 2, pivots: int = 16) -> DataFrame:
     """``(root, least)`` per set of shingles in ``rows(row, text)``: its group, and the smallest row that has this set.
 
-    Sets that share ``overlap`` of their union link, and groups are what links reach. Candidates share a band. First each is
-    held against the smallest of its bucket only, so a large group of near copies costs a star a bucket; then the pairs of a
-    bucket whose parts are still apart, the nearest first (``ROUNDS``), which ``MORE`` values tell apart further. So a pair that
-    shares a band is missed only beyond ``WIDE`` bits, ``APART`` values of the bands or ``APART_IN_ALL`` of all.
+    Sets that share ``overlap`` of their union link, and groups are what links reach; no such pair is missed. First what
+    fingerprints link (:func:`links`) is verified. Then sets meet in buckets, one for each of their first shingles
+    (:func:`_prefix`): each is held against the smallest of its bucket, so a large group of near copies costs a star a bucket;
+    then the pairs of a bucket whose parts are still apart, the nearest first (``ROUNDS``).
     """
     with scratch(rows.sparkSession):
-        marked = written(_sketched(rows, shingle_words, seed), "simhash")
-        distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in ("low", "more", "bands")]), "simhash-distinct")
+        with scratch(rows.sparkSession):
+            marked = written(_sketched(rows, overlap, shingle_words, seed), "simhash")
+            distinct = written(marked.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in ("cells", "prefix")]), "simhash-distinct", keep=True)
         bucket = Window.partitionBy("bucket")
-        banded = distinct.select(F.explode("bands").alias("bucket"), F.struct("node", "n", "fp", "low").alias("x"))
-        shared = written(banded.withColumns({"y": F.min("x").over(bucket), "_n": F.count(F.lit(1)).over(bucket)}).where("_n > 1").drop("_n"), "simhash-shared")
-        first = written(_pairs(shared.where(_near("x", "y", overlap))), "simhash-first")
+        shared = written(_shared(distinct, overlap), "simhash-shared")
+        stars = shared.withColumn("y", F.min("x").over(bucket)).where(_near("x", "y", overlap))
+        first = written(_pairs(stars).unionByName(_by_fingerprint(distinct, max_distance, pivots)).distinct(), "simhash-first")
         linked = _verified(first, rows, distinct, overlap, shingle_words, seed)
-        for least, most in zip((None, *ROUNDS), ROUNDS):
+        asked = first
+        for part in ROUNDS:
             roots = written(components(linked, "simhash-parts"), "simhash-near")
             parts = shared.select("bucket", "x").join(roots, F.col("x.node") == F.col("node"), "left").select("bucket", "x", F.coalesce("root", "x.node").alias("part"))
-            open_ = parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b")
-            # few rows stay open; only they carry the further values
-            open_ = written(open_.join(distinct.select("node", "more"), F.col("x.node") == F.col("node")).drop("node"), "simhash-open")
-            other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"), F.col("more").alias("_more"))
-            in_all = _apart("x.low", "y.low", BANDS * IN_BAND) + _apart("more", "_more", MORE)
-            # what is no further apart than the round before asked for was verified there, or is of one part since
-            asked = in_all <= most if least is None else (in_all <= most) & (in_all > least)
-            rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap) & asked)
-            further = written(_pairs(rest).join(first, ["a", "b"], "left_anti"), "simhash-further")
+            open_ = written(parts.withColumns({"_a": F.min("part").over(bucket), "_b": F.max("part").over(bucket)}).where("_a < _b").drop("_a", "_b"), "simhash-open")
+            other = open_.select(F.col("bucket").alias("_bucket"), F.col("x").alias("y"), F.col("part").alias("_part"))
+            rest = open_.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("_part")) & _near("x", "y", overlap, part))
+            further = written(_pairs(rest).join(asked, ["a", "b"], "left_anti"), "simhash-further")
             linked = linked.unionByName(_verified(further, rows, distinct, overlap, shingle_words, seed))
+            asked = asked.unionByName(further)
         linked = written(components(linked, "simhash"), "simhash-roots").withColumnRenamed("node", "_node")
         rooted = distinct.join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "least")
         return written(rooted, "simhash-rooted", keep=True)
@@ -363,7 +396,8 @@ def deduplicate(
     """One row of each group of near-duplicates: that with the smallest id, null ids last (of equal ids, the smallest text hash).
 
     Groups are of rows, not of ids: rows with a null id, or of one id with different texts, stay or go by their own texts.
-    overlap: link texts that share at least this part of their shingles (see :func:`overlapping`), whatever ``max_distance``.
+    overlap: link all texts that share at least this part of their shingles, and only these (see :func:`overlapping`);
+    ``max_distance`` then only tells which pairs are looked at first.
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), _row_key(id_col, text_col).alias("key"))
     own = docs.select(row.alias("row"), F.col(text_col).alias("text"))
@@ -371,7 +405,7 @@ def deduplicate(
         if overlap is None:
             rooted = _rooted(written(fingerprints(own, "row", "text", shingle_words, seed), "simhash"), max_distance, pivots)
         else:
-            rooted = overlapping(own, overlap, shingle_words, seed)
+            rooted = overlapping(own, overlap, shingle_words, seed, max_distance, pivots)
         heads = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("head")), "simhash-heads", keep=True)
     # the row travels as one value, so that no column of its own can clash
     kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _row_key(id_col, text_col).alias("key"))
